@@ -1,7 +1,9 @@
 """Queries of the corpus operators and their DuckDB SQL, by name."""
 
+from . import decontamination
+from .decontamination import op3_decontamination
 from .media import op10_media
 from .sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op10_media)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op7_sharding, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE}
