@@ -1,9 +1,10 @@
 """Queries of the corpus operators and their DuckDB SQL, by name."""
 
-from . import decontamination
+from . import decontamination, near_dedup
 from .decontamination import op3_decontamination
 from .media import op10_media
+from .near_dedup import op5_near_dedup
 from .sharding import op7_sharding
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op7_sharding, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (op3_decontamination, op5_near_dedup, op7_sharding, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
