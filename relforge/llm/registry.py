@@ -2,6 +2,7 @@
 
 from . import decontamination, near_dedup
 from .decontamination import op3_decontamination
+from .html_template import op8_html_extraction
 from .media import op10_media
 from .near_dedup import op5_near_dedup
 from .pii import op9_pii
@@ -10,5 +11,5 @@ from .sharding import op7_sharding
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op7_sharding, op9_pii, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op7_sharding, op8_html_extraction, op9_pii, op10_media)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
