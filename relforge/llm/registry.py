@@ -1,6 +1,7 @@
 """Queries of the corpus operators and their DuckDB SQL, by name."""
 
-from . import decontamination, near_dedup
+from . import chat, decontamination, near_dedup
+from .chat import op6_chat
 from .decontamination import op3_decontamination
 from .html_template import op8_html_extraction
 from .media import op10_media
@@ -11,5 +12,5 @@ from .sharding import op7_sharding
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op7_sharding, op8_html_extraction, op9_pii, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op6_chat, op7_sharding, op8_html_extraction, op9_pii, op10_media)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE, "op6_chat": chat.ORACLE}
