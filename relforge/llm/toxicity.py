@@ -171,11 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]] = C
     return fit_chain(words, table_of.reshape(len(words), len(names) + 1), [*names, label])
 
 
-def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """docs with p_<category> for every category of the chain, from whole texts; a null or empty text has no
-    words and gets the score of none. Columns of docs with such a name are replaced."""
+def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
+    """docs with <prefix><category> for every category of the chain, from whole texts; a null or empty text has
+    no words and gets the score of none. Columns of docs with such a name are replaced."""
     ship(docs.sparkSession)
-    columns = [f"p_{c}" for c in chain.names]
+    columns = [f"{prefix}{c}" for c in chain.names]
     docs = docs.drop(*columns)
     names, where = docs.columns, docs.columns.index(text)
     bits = np.uint64(64 - 16)
