@@ -1,15 +1,16 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Signatures: the minima of 160 hash functions over a document's distinct word shingles. Bands of five full
+Signatures: the minima of 320 hash functions over a document's distinct word shingles. Bands of five full
 minima give candidate buckets; of each minimum two low bits stay, packed into longs, and the share of equal
 fields, corrected for chance, estimates the similarity of a candidate pair by counting bits. Pairs whose
 estimate is far below the threshold go; the rest are confirmed on the full shingle sets.
 
 A bucket is not expanded into all pairs. Documents with equal sets are one class. In each bucket the classes
 are ranked by how crowded their buckets are, so that the centre of a group comes first. A round compares the
-next few ranks (1, 2, 4, ...) with all later ones, confirms the pairs and joins components; a pair already in
-one component needs no test, and a bucket whose rest is one component is done. So a group of n near copies
-costs about n pairs, yet no pair that shares a bucket is left undecided.
+next ranks (1, 16, 256, ...) with all later ones, confirms the pairs and joins components; a pair already in
+one component needs no test, and a bucket whose rest is one component is done. After the first round, documents
+whose own unshared shingles rule out any link are done too. So a group of n near copies costs about n pairs,
+yet no pair that shares a bucket is left undecided.
 """
 
 from __future__ import annotations
@@ -23,10 +24,13 @@ from .hashing import LOWER, mixed, run_hashes, word_bounds, word_hashes
 from .shared import saved, ship, table, text_slices
 
 BANDS, ROWS, BITS = 32, 5, 2
-HASHES = BANDS * ROWS
+#: The first BANDS * ROWS minima also make the bands.
+HASHES = 320
 #: Standard deviations of the estimate at the threshold by which a pair may fall short and still be confirmed.
-SLACK = 5.0
+SLACK = 4.5
 BROADCAST_IDS = 2_000_000
+#: A round takes so many times the ranks of the one before.
+GROWTH = 16
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
 _FIELDS = 64 // BITS
@@ -86,7 +90,7 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 low = minima(hashes, np.concatenate([bounds[:-1][full], bounds[-1:]])) if len(full) else np.zeros((0, HASHES), np.uint32)
                 keys = np.full((len(full), BANDS), np.arange(BANDS, dtype=np.uint64))
                 for r in range(ROWS):
-                    keys = mixed(keys ^ low[:, r::ROWS].astype(np.uint64) + np.uint64(r << 40))
+                    keys = mixed(keys ^ low[:, r : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(r << 40))
                 fields = np.zeros((len(full), _LONGS * _FIELDS), np.uint64)
                 fields[:, :HASHES] = low & np.uint32((1 << BITS) - 1)
                 packed = np.bitwise_or.reduce(fields.reshape(len(full), _LONGS, _FIELDS) << (np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
@@ -138,6 +142,32 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
+    """a, b: the pairs (p.rep, m.rep) whose full sets are similar enough."""
+    pairs = pairs.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct()
+    both = F.size(F.array_intersect("x", "y"))
+    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    return saved(found.where(both * 100 >= (F.size("x") + F.size("y") - both) * threshold_percent).select("a", "b"), "links")
+
+
+def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """live with the present roots, without the buckets that are one component."""
+    rooted = live.drop("root").join(roots, F.col("rep") == F.col("v"), "left").withColumn("root", F.coalesce("root", "rep")).drop("v")
+    band = Window.partitionBy("band")
+    return rooted.withColumns({"_lo": F.min("root").over(band), "_hi": F.max("root").over(band)}).where("_lo <> _hi").drop("_lo", "_hi")
+
+
+def _linkable(live: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
+    """live with ``common``, a bound on what any two documents share: the shingles that stand in another document
+    of an open bucket as well. A document whose bound is too low for every partner of its bucket's least size can
+    have no link there and goes."""
+    items = sets.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    bound = live.drop("common").join(alone, live.rep == alone.id, "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("id", "alone")
+    least = F.greatest(F.min("n").over(Window.partitionBy("band")), F.col("common"))
+    return bound.withColumn("_least", least).where((F.col("common") * 100) >= (F.col("_least") + F.col("n") - F.col("common")) * threshold_percent).drop("_least")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: its key, n_shingles, component_id (the smallest key reachable over links,
     its own included) and kept (key = component_id).
@@ -159,11 +189,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_percent: int =
     classes = saved(full.groupBy("n", "fa", "fb").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes, ["n", "fa", "fb"]).where("id = rep").dropDuplicates(["rep"])
     crowd = Window.partitionBy("band")
-    shared_bands = reps.select("rep", "n", "sig", F.explode("bands").alias("band")).select("rep", "n", "sig", "band", F.count("*").over(crowd).alias("crowd")).where("crowd > 1")
+    shared_bands = reps.select("rep", "n", F.explode("bands").alias("band")).withColumn("crowd", F.count("*").over(crowd)).where("crowd > 1")
     shared_bands = saved(shared_bands, "buckets")
     central = shared_bands.groupBy("rep").agg(F.sum("crowd").alias("central"))
     order = Window.partitionBy("band").orderBy(F.desc("central"), "rep")
-    members = saved(shared_bands.join(central, "rep").select("band", "rep", "n", "sig", "crowd", F.row_number().over(order).alias("rank")), "members")
+    members = saved(shared_bands.join(central, "rep").select("band", "rep", "n", F.row_number().over(order).alias("rank")), "members")
 
     inside = members.select(F.col("rep").alias("id")).distinct()
     if not (n_inside := inside.count()):
@@ -172,33 +202,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_percent: int =
         ids = saved(inside, "ids")
         texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if n_inside <= BROADCAST_IDS else ids, "id", "left_semi")
         sets = saved(_sets(texts, shingle).join(classes.select(F.col("rep").alias("id"), "n"), "id").where(F.size("items") == F.col("n")).select("id", "items"), "sets")
-        roots, links = None, None
-        done, width, live = 0, 1, members
-        while True:
-            first, later = live.where((F.col("rank") > done) & (F.col("rank") <= done + width)).alias("p"), live.where(F.col("rank") > done).alias("m")
-            apart = F.lit(True) if roots is None else F.col("p.root") != F.col("m.root")
-            sizes = F.least("p.n", "m.n") * 100 >= F.greatest("p.n", "m.n") * threshold_percent
-            pairs = (
-                later.join(first, (F.col("p.band") == F.col("m.band")) & (F.col("p.rank") < F.col("m.rank")) & apart & sizes & (_equal_fields("p", "m") >= least_equal))
-                .select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b"))
-                .distinct()
-            )
-            pairs = saved(pairs, "pairs")
-            both = F.size(F.array_intersect("x", "y"))
-            new = (
-                pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-                .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-                .where(both * 100 >= (F.size("x") + F.size("y") - both) * threshold_percent)
-                .select("a", "b")
-            )
-            links = saved(new if links is None else links.union(new), "links")
-            roots = components(links)
-            done, width = done + width, width * 2
-            rooted = members.where(F.col("crowd") > done + 1).where(F.col("rank") > done).join(roots, members.rep == roots.v, "left").select(*members.columns, F.coalesce("root", "rep").alias("root"))
-            open_bands = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-            live = saved(rooted.join(open_bands, "band", "left_semi"), "open")
-            if live.isEmpty():
-                break
+        marks = saved(reps.select("rep", "sig", "bands").join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi"), "marks")
+        alike = _equal_fields("p", "m") >= least_equal
+        p, m = members.where("rank = 1").alias("p"), members.where("rank > 1").alias("m")
+        sizes = F.least("p.n", "m.n") * 100 >= F.greatest("p.n", "m.n") * threshold_percent
+        pairs = m.join(p, (F.col("p.band") == F.col("m.band")) & sizes).select(F.col("p.rep").alias("x"), F.col("m.rep").alias("y")).distinct()
+        pairs = pairs.join(marks.alias("p"), F.col("x") == F.col("p.rep")).join(marks.alias("m"), F.col("y") == F.col("m.rep")).where(alike)
+        links = _confirmed(pairs, sets, threshold_percent)
+        roots = components(links)
+        live = saved(_open(members.where("rank > 1"), roots), "open")
+        if not live.isEmpty():
+            live = saved(_open(_linkable(live, sets, threshold_percent), roots).join(marks, "rep"), "open")
+        done, width = 1, GROWTH
+        while not live.isEmpty():
+            p, m = live.where(F.col("rank") <= done + width).alias("p"), live.alias("m")
+            most = F.least("p.common", "m.common")  # of the intersection
+            near = (most * 100 >= (F.col("p.n") + F.col("m.n") - most) * threshold_percent) & alike
+            # a pair counts in the first of its common buckets only
+            here = F.element_at(F.array_intersect("p.bands", "m.bands"), 1) == F.col("p.band")
+            pairs = m.join(p, (F.col("p.band") == F.col("m.band")) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.root") != F.col("m.root")) & near & here)
+            new = _confirmed(pairs, sets, threshold_percent)
+            if not new.isEmpty():
+                links = links.union(new)
+                roots = components(links)
+            done, width = done + width, width * GROWTH
+            live = saved(_open(live.where(F.col("rank") > done), roots), "open")
     named = saved(classes.join(roots, classes.rep == roots.v, "left").select("n", "fa", "fb", F.coalesce("root", "rep").alias("component_id")), "named")
     out = signed.select("id", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))
