@@ -167,7 +167,12 @@ def _loaded(path: str) -> tuple[Pieces, UnitCache]:
     """One model and cache for each Python worker."""
     if path not in _LOADED:
         pieces = Pieces(path)
-        _LOADED[path] = pieces, UnitCache(lambda units, first: pieces.encode([SPACE + u.replace(" ", SPACE) for u in units]))
+
+        def units(texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+            found = pieces.encode([SPACE + u.replace(" ", SPACE) for u in texts])
+            return np.concatenate(found), np.array(list(map(len, found)))
+
+        _LOADED[path] = pieces, UnitCache(units)
     return _LOADED[path]
 
 

@@ -15,10 +15,12 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from itertools import chain
 from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,8 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Words that a worker keeps with their ids before it starts afresh.
+MAX_WORDS = 300_000
 _LOADED: dict[str, UnitCache] = {}
 
 
@@ -44,18 +48,46 @@ def _tokenizer(path: str) -> UnitCache:
     """One tokenizer and cache for each Python worker.
 
     A byte-level BPE splits a text into words before it merges, and no word reaches over a blank that follows
-    something other than white space; so units are encoded on their own. Special tokens' strings are text.
+    something other than white space; so units are encoded on their own: the library splits them into words, and
+    its model merges each word that the worker has not seen yet. Special tokens' strings are ordinary text.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-
-        def encode(units: list[str], first: bool) -> list[np.ndarray]:
-            found = model.encode_batch(units if first else [f" {u}" for u in units], add_special_tokens=False)
-            return [np.array(e.ids, np.int32) for e in found]
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        whole = Tokenizer.from_file(path)
+        split, model = whole.pre_tokenizer, whole.model
+        if whole.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not isinstance(model, BPE):
+            raise ValueError("only a plain byte-level BPE is encoded by units")
+        blank = split.pre_tokenize_str(" ")[0][0]
+        known: dict[str, tuple[int, ...]] = {}
+
+        def merged(words: list[str]) -> list[tuple[int, ...]]:
+            if len(known) > MAX_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = tuple([t.id for t in model.tokenize(w)])
+            return list(map(known.__getitem__, words))
+
+        def flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = merged(words)
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+        def encode(units: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+            """Plain units are split as one text, in which each begins with the only word of it that opens with a
+            blank; the others are split one by one."""
+            if kind == "plain":
+                words = [w for w, _ in split.pre_tokenize_str(f" {' '.join(units)}")]
+                counts = np.diff(np.append(np.flatnonzero([w[0] == blank for w in words]), len(words)))
+            if kind != "plain" or len(counts) != len(units):
+                each = [split.pre_tokenize_str(u if kind == "first" else f" {u}") for u in units]
+                words, counts = [w for e in each for w, _ in e], np.array(list(map(len, each)), np.int64)
+            ids, lengths = flat(words)
+            sums, ends = np.concatenate([[0], np.cumsum(lengths)]), np.cumsum(counts)
+            return ids, sums[ends] - sums[ends - counts]
 
         _LOADED[path] = UnitCache(encode)
     return _LOADED[path]
@@ -69,7 +101,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
     def run(batches):
         cache = _tokenizer(path)
         for b in batches:
-            for first, stop, _, _ in text_slices(b.column(1)):
+            for first, stop, _, _ in text_slices(b.column(1), 2_000_000):
                 part = b.slice(first, stop - first)
                 ids = cache.ids(part.column(1).fill_null("").to_pylist())
                 raw = [np.append(i, end_id).astype("<u4").tobytes() for i in ids]
@@ -208,10 +240,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
 
     def run(batches):
         for whole in batches:
-            sizes = np.cumsum([len(x) for x in whole.column(1).to_pylist()])
+            sizes = np.cumsum(pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False))
             at = 0
             while at < whole.num_rows:
-                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4_000_000, side="right")))
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000, side="right")))
                 b = whole.slice(at, stop - at)
                 documents = [_wide(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 bits, lanes = pack(documents, lengths, codes)

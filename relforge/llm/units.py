@@ -10,72 +10,76 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: Distinct units that a worker keeps before it starts afresh.
 MAX_UNITS = 400_000
+PER_CALL = 20_000
 
 
 class UnitCache:
     """Ids of texts, by their units.
 
     A text is cut before every blank that follows something other than white space. `encode` gets distinct
-    units and returns their ids; a unit at the start of a text is told from one after a blank.
+    units, and how they stand in a text: 'first' (at its start), 'plain' (after a blank, without another blank and
+    without white space at the end) or 'other' (after a blank). It returns their ids, one unit after the other,
+    and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[str], bool], list[np.ndarray]]):
+    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self._clear()
 
     def _clear(self) -> None:
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.first: dict[str, int] = {}
+        self.after: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.count = 0
 
-    def _add(self, units: list[str], first: bool) -> None:
-        for at in range(0, len(units), 20_000):
-            part = units[at : at + 20_000]
-            for unit, ids in zip(part, self.encode(part, first), strict=True):
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if self.count == len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[self.count], self.lengths[self.count] = self.used, len(ids)
-                self.known[not first][unit] = self.count
-                self.used, self.count = self.used + len(ids), self.count + 1
+    def _add(self, known: dict[str, int], units: list[str], kind: str) -> None:
+        for at in range(0, len(units), PER_CALL):
+            part = units[at : at + PER_CALL]
+            flat, lengths = self.encode(part, kind)
+            n, m = self.count + len(part), self.used + len(flat)
+            while m > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            while n > len(self.starts):
+                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.flat[self.used : m] = flat
+            self.lengths[self.count : n] = lengths
+            self.starts[self.count : n] = self.used + np.cumsum(lengths) - lengths
+            known.update(zip(part, range(self.count, n), strict=True))
+            self.used, self.count = m, n
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
         if self.count > MAX_UNITS:
             self._clear()
-        split = [_units(t) if t else [] for t in texts]
-        firsts = {s[0] for s in split if s} - self.known[0].keys()
-        rest = set()
-        for s in split:
-            rest.update(s[1:])
-        rest -= self.known[1].keys()
-        self._add(sorted(firsts), True)
-        self._add(sorted(rest), False)
-        at = self._places(split)
+        split = [_units(t) for t in texts]
+        firsts = [s.pop(0) for s in split if s]
+        self._add(self.first, list(set(firsts).difference(self.first)), "first")
+        new = set().union(*split).difference(self.after)
+        other = [u for u in new if u == "" or " " in u or u[-1].isspace()]
+        self._add(self.after, list(new.difference(other)), "plain")
+        self._add(self.after, other, "other")
+        place, after, at = iter(map(self.first.__getitem__, firsts)), self.after.__getitem__, []
+        for s, t in zip(split, texts, strict=True):
+            if t:
+                at.append(next(place))
+                at += map(after, s)
+        at = np.array(at, np.int64)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-    def _places(self, split: list[list[str]]) -> np.ndarray:
-        first, after = self.known
-        out = []
-        for s in split:
-            if s:
-                out.append(first[s[0]])
-                out.extend(map(after.__getitem__, s[1:]))
-        return np.array(out, np.int64)
+        counts = [len(s) + 1 if t else 0 for s, t in zip(split, texts, strict=True)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
+        return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _units(text: str) -> list[str]:
-    """The first unit, then the others without their leading blank."""
+    """The first unit, then the others without their leading blank; none of an empty text."""
+    if not text:
+        return []
     parts = text.split(" ")
-    if "" not in parts and not any(map(str.isspace, [p[-1] for p in parts])):
+    if "" not in parts and not any([p[-1].isspace() for p in parts]):
         return parts
     first, *others = _CUT.split(text)
     return [first, *[u[1:] for u in others]]
