@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .shared import saved, table
 
 _QUOTE = r"^[ \t]*(>[> \t]*)"
+_HAS_QUOTE = r"(^|[\r\n])[ \t]*>"
 
 
 def lines(messages: DataFrame) -> DataFrame:
@@ -66,17 +67,17 @@ def conversations(table_of: DataFrame, conv: str = "conv_id", turn: str = "turn"
     A message without a linked quote replies to the message before it (reply_turn null for the first). Reply
     order puts each message behind what it replies to: by the turn it replies to within the conversation when it
     quotes, and by its own turn. A null text is empty; rows with a null conversation or turn keep their place
-    (null first) and are linked with nothing; repeated rows count each. Lines that are quotes go, and blank lines
-    at either end with them.
+    (null first) and are linked with nothing; repeated rows count each. Lines that are quotes go, blank and unlinked ones too,
+    and blank lines at either end with them.
     """
     rows = table_of.select(F.monotonically_increasing_id().alias("message"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = saved(rows, "messages")
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoting = known.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
+    quoting = known.where(F.col("text").rlike(_HAS_QUOTE))
     links = link(known) if not quoting.isEmpty() else rows.where("false").select("message", F.col("conv_id").alias("reply_conv"), F.col("turn").alias("reply_turn"), F.lit(0).cast("long").alias("n_quoted"), F.lit(0).cast("long").alias("n_linked"))
     kept = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1), lambda x: ~x.rlike(r"^[ \t]*>"))
     content = F.rtrim(F.regexp_replace(F.array_join(kept, "\n"), r"\A[ \t\n]*\n", ""), F.lit(" \t\n"))
-    joined = rows.join(links, "message", "left").withColumn("content", F.when(F.col("n_quoted") > 0, content).otherwise(F.coalesce("text", F.lit(""))))
+    joined = rows.join(links, "message", "left").withColumn("content", F.when(F.col("text").rlike(_HAS_QUOTE), content).otherwise(F.coalesce("text", F.lit(""))))
     by_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "message")
     before = F.lag("turn").over(by_turn)
     linked_here = F.col("reply_turn").isNotNull() & (F.col("reply_conv") == F.col("conv_id"))
@@ -122,7 +123,7 @@ j AS (SELECT m.*, best.reply_conv AS rc, best.reply_turn AS rt, coalesce(n_quote
       FROM m LEFT JOIN best USING (message) LEFT JOIN tally USING (message)),
 p AS (SELECT *, CASE WHEN rt IS NOT NULL AND rc = conv_id THEN rt ELSE coalesce(before, turn) END AS after FROM j)
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY after, turn) - 1 AS position, role,
-       CASE WHEN n_quoted = 0 THEN text ELSE rtrim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '\A[ \t\n]*\n', ''), ' ' || chr(9) || chr(10)) END AS content,
+       CASE WHEN NOT regexp_matches(text, '(^|[\r\n])[ \t]*>') THEN text ELSE rtrim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '\A[ \t\n]*\n', ''), ' ' || chr(9) || chr(10)) END AS content,
        coalesce(rc, CASE WHEN before IS NOT NULL THEN conv_id END, -1) AS reply_conv, coalesce(rt, before, -1) AS reply_turn,
        CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked
 FROM p

@@ -169,13 +169,13 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     groups = found.withColumn("before", before).withColumn("g", F.sum(F.when(F.coalesce(F.col("start") < F.col("before"), F.lit(False)), 0).otherwise(1)).over(order))
     merged = groups.groupBy("key", "text_hash", "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min_by("kind", F.struct("start", rank)).alias("kind"))
-    lists = saved(merged.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans")), "spans")
+    lists = saved(merged.groupBy("key", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans")).withColumnsRenamed({"key": "_key", "text_hash": "_text_hash"}), "spans")
     size = lists.select(F.sum(F.size("_spans"))).first()[0] or 0
     body = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(s["stop"].alias("at"), F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
     done = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(body, (a["at"] + 1).cast("int"), F.length(body))))
-    joined = docs.withColumn("_hash", F.xxhash64(F.coalesce(body, F.lit("")))).join(F.broadcast(lists) if size <= 500_000 else lists, F.col(key).eqNullSafe(F.col("key")) & (F.col("_hash") == F.col("text_hash")), "left")
+    joined = docs.join(F.broadcast(lists) if size <= 500_000 else lists, F.col(key).eqNullSafe(F.col("_key")) & (F.xxhash64(F.coalesce(body, F.lit(""))) == F.col("_text_hash")), "left")
     return joined.select(*[F.when(F.col("_spans").isNull() | body.isNull(), body).otherwise(done).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
