@@ -30,6 +30,8 @@ _BASE = _U(0x100000001B3)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Only hashes that share this many leading bits with some key are looked up.
+PREFIX_BITS = 20
 
 
 def model_path() -> str:
@@ -66,9 +68,15 @@ class Pieces:
             if SPACE in self.text[i].lstrip(SPACE):
                 raise ValueError(f"piece {i} holds a blank behind another character")
         self.longest = max(len(self.text[i]) for i in plain)
-        keys = np.concatenate([_piece_hashes(_matrix([self.text[i]]))[0, -1, :1] for i in plain])
+        sizes = np.array([len(self.text[i]) for i in plain])
+        keys = np.zeros(len(plain), _U)
+        for size in np.unique(sizes):
+            rows = np.flatnonzero(sizes == size)
+            keys[rows] = _piece_hashes(_matrix([self.text[plain[r]] for r in rows]))
         order = np.argsort(keys)
         self.keys, self.scores, self.ids = keys[order], scores[order], np.array(plain, np.int32)[order]
+        self.present = np.zeros(1 << PREFIX_BITS, bool)  # which leading bits the keys have
+        self.present[self.keys >> _U(64 - PREFIX_BITS)] = True
         self.unknown = float(scores.min()) - UNKNOWN_PENALTY
 
     def encode(self, units: list[str]) -> list[np.ndarray]:
@@ -127,8 +135,13 @@ class Pieces:
 
     def _probe(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = mixed(hashes ^ (lengths.astype(_U) << _U(56)))
-        key = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return self.keys[key] == hashes, key
+        found = self.present[hashes >> _U(64 - PREFIX_BITS)]
+        some = hashes[found]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        key = np.zeros(hashes.shape, np.int64)
+        key[found] = at
+        found[found] = self.keys[at] == some
+        return found, key
 
     def decode(self, ids: list[int]) -> str:
         out, raw = [], b""
@@ -157,7 +170,7 @@ def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _piece_hashes(points: np.ndarray) -> np.ndarray:
     sums, _ = _sums(points)
-    return mixed(sums[:, -1:] ^ (_U(points.shape[1]) << _U(56)))[:, None, :]
+    return mixed(sums[:, -1] ^ (_U(points.shape[1]) << _U(56)))
 
 
 _LOADED: dict[str, tuple[Pieces, UnitCache]] = {}
