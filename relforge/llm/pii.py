@@ -34,7 +34,7 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9][0-9 -]{11,}+"
 _CARD_GAPS = r"[ -](?![0-9])|(?<![0-9])[ -]"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,32}[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,63}+"
+_CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
 _TOKENS = r"[\s\"']+|(?<=[=:])"
 
 

@@ -165,6 +165,13 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[6] == "please contact: [ID] soon" and clean[0] == "reach me, contact: [EMAIL] today" and clean[9] == docs[9]
 
 
+def test_long_identifiers_go_whole(spark):
+    long, late = "k1" + "ab3" * 40, "x" * 50 + "7"
+    docs = [*[f"contact: user{i}@mail{i}.org" for i in range(6)], f"contact: {long}Z end", f"contact: {late}"]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert clean[6] == "contact: [ID] end" and clean[7] == "contact: [ID]"
+
+
 def test_redaction_of_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (None, "a@b.c"), (2, ""), (2, "x 1.2.3.4 +1 555 123 4567."), (2, "x 1.2.3.4 +1 555 123 4567.")], "doc_id long, text string").withColumn("key", F.lit(0))
     got = sorted("null" if r["text"] is None else r["text"] for r in pii.redact(df).collect())
