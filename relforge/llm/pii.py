@@ -5,7 +5,8 @@ text. They are also the seeds of the bootstrap: the token before a seed is a lex
 values they stand before form a graph; a pattern's score is the share of all its occurrences in the corpus,
 before whatever, that stand before a trusted value, and a value's score is the chance that one of its patterns
 is right. The scores are computed in a fixed number of rounds; candidates (tokens with digits that are no base
-entity) behind high-scoring patterns become spans of kind ``id``.
+entity) behind high-scoring patterns become spans of kind ``id``. In every round the tokens before all values
+trusted by then are patterns, so identifiers found behind one pattern lead to others.
 
 DataFrame functions only. Texts are scanned once for entities and candidates and once for the patterns' counts;
 what moves are matches with a few characters around them.
@@ -115,11 +116,13 @@ def _apart(found: DataFrame) -> DataFrame:
 def bootstrap(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """pattern, confidence: the lexical patterns whose confidence reaches CONFIDENCE after ROUNDS rounds.
 
-    found: what scan() gives, without overlaps. A pattern needs MIN_SEEDS different seed values.
+    found: what scan() gives, without overlaps. A pattern takes part from the round in which MIN_SEEDS different
+    values behind it are trusted (seeds, and values whose belief reaches CONFIDENCE). Tokens with fewer values
+    behind them can't; all others are counted in the texts once.
     """
     edges = found.where("left IS NOT NULL").groupBy(F.col("left").alias("pattern"), "value").agg(F.count("*").alias("n"), F.max(F.col("kind") != "id").alias("seed"))
     edges = saved(edges, "edges")
-    patterns = saved(edges.where("seed").groupBy("pattern").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS).select("pattern"), "patterns")
+    patterns = saved(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern"), "patterns")
     n = patterns.count()
     tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), _TOKENS)).alias("pattern"))
     totals = saved(tokens.join(F.broadcast(patterns) if n <= BROADCAST_PATTERNS else patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "totals")
@@ -128,12 +131,13 @@ def bootstrap(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFram
     scored = graph.withColumn("trust", trust)
     for last in range(ROUNDS - 1, -1, -1):
         confidence = F.least(F.sum(F.col("n") * F.col("trust")) / F.greatest(F.first("total"), F.sum("n")), F.lit(1.0))
-        by_pattern = saved(scored.groupBy("pattern").agg(confidence.alias("confidence")), "confidence")
+        trusted = F.count(F.when(F.col("trust") > 0, 1))
+        by_pattern = saved(scored.groupBy("pattern").agg(confidence.alias("confidence"), trusted.alias("trusted")).where(F.col("trusted") >= MIN_SEEDS).drop("trusted"), "confidence")
         if last:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
             by_value = graph.join(by_pattern, "pattern").groupBy("value").agg((1 - doubt).alias("belief"))
             belief = F.when(F.col("seed"), 1.0).when(F.col("belief") >= CONFIDENCE, F.col("belief")).otherwise(0.0)
-            scored = saved(graph.join(by_value, "value").withColumn("trust", belief).drop("belief"), "trust")
+            scored = saved(graph.join(by_value, "value", "left").withColumn("trust", belief).drop("belief"), "trust")
     return by_pattern.where(F.col("confidence") >= CONFIDENCE)
 
 

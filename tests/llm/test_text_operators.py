@@ -165,6 +165,13 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[6] == "please contact: [ID] soon" and clean[0] == "reach me, contact: [EMAIL] today" and clean[9] == docs[9]
 
 
+def test_found_identifiers_lead_to_new_contexts(spark):
+    docs = [*[f"contact: user{i}@mail{i}.org" for i in range(8)], *[f"contact: AB-{i}234-567" for i in range(3)], *[f"ref= AB-{i}234-567" for i in range(3)], "ref= ZZ-9999-111", "part= QQ-1111-222"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    found = {r["key"] for r in pii.spans(df).where("kind = 'id'").collect()}
+    assert found == set(range(8, 15))
+
+
 def test_long_identifiers_go_whole(spark):
     long, late = "k1" + "ab3" * 40, "x" * 50 + "7"
     docs = [*[f"contact: user{i}@mail{i}.org" for i in range(6)], f"contact: {long}Z end", f"contact: {late}"]
