@@ -31,6 +31,11 @@ BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd"
 #: Parts of class names, ids and roles that mark boilerplate and main content.
 BOILERPLATE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "banner", "sidebar", "menu", "nav", "navbar", "navigation", "footer", "header", "masthead", "cookie", "cookies", "consent", "notice", "comment", "comments", "disqus", "share", "social", "related", "promo", "popup", "modal", "breadcrumb", "breadcrumbs", "newsletter", "subscribe", "login", "widget", "pagination", "toolbar", "complementary", "contentinfo", "search"}
 CONTENT_NAMES = {"content", "article", "post", "entry", "story", "main", "text", "body"}
+#: Words that make a name tell of a layout ("no-sidebar"), elements whose name never makes them
+#: boilerplate, and those that an opening tag ends (a paragraph: that of any block).
+LAYOUT_WORDS = {"no", "with", "without", "has", "have", "is", "hide", "show", "on", "off", "enabled", "disabled"}
+SAFE = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
+ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 LIMIT_HOSTS = 20_000
 SALTS = 16
 
@@ -40,21 +45,35 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 def _label(name: str, attributes: str) -> tuple[str, int]:
-    """(name with its class, id and role; grade: -1 boilerplate, 4 article, 3 main, 2 content, 1 body, else 0)."""
+    """(name with its class, id and role; grade: -1 boilerplate, -2 perhaps, 4 article, 3 main, 2 content, 1 body, else 0).
+
+    A name all of whose words mark boilerplate does so for its element. One word of a longer name ("site-footer")
+    leaves it open, and decides nothing for a layout ("no-sidebar"), a header of content ("article-header"), or an
+    element that another name calls content.
+    """
     found = sorted({(k.lower(), (a or b or c).strip()) for k, a, b, c in _NAMES.findall(attributes)}) if attributes else []
     parts = {w.lower() for _, v in found for w in _WORDS.findall(v)}
     label = name + "".join(f"[{k}={v}]" for k, v in found)
-    if name in BOILERPLATE or parts & BOILERPLATE_NAMES:
+    if name in BOILERPLATE:
         return label, -1
+    if parts & BOILERPLATE_NAMES and name not in SAFE:
+        names = [{w.lower() for w in _WORDS.findall(one)} for _, v in found for one in v.split()]
+        if any(n and n <= BOILERPLATE_NAMES for n in names):
+            return label, -1
+        clear = any(len(n) == 1 and n <= CONTENT_NAMES for n in names)
+        if not clear and any(n & BOILERPLATE_NAMES and not n & LAYOUT_WORDS and not (n & CONTENT_NAMES and n & BOILERPLATE_NAMES == {"header"}) for n in names):
+            return label, -2
     grade = {"article": 4, "main": 3, "body": 1}.get(name, 0)
     return label, grade or (2 if name in ("div", "section", "td") and parts & CONTENT_NAMES else 0)
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, int, str]]:
+def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[str, str, str, int, str]]:
     """(what, path, name, grade, text): 'open' and 'close' of containers, 'tag' of other elements, 'text'.
 
-    A closing tag without its opening one is ignored; one that skips open containers closes them too. Contents
-    of scripts and the like are not walked.
+    A closing tag without its opening one is ignored; one that skips open containers closes them too, and an open
+    paragraph, item or cell ends where the next one begins. What is perhaps boilerplate by its name is so if its
+    path is in `confirmed`, or if that is None. A main part is no boilerplate by the names around it. Contents of
+    scripts and the like are not walked.
     """
     stack: list[tuple[str, str, int]] = []
     path, grade, at = "", 0, 0
@@ -76,10 +95,16 @@ def walk(page: str) -> Iterator[tuple[str, str, str, int, str]]:
                 path, grade = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
             continue
         label, own = _label(name, m[4])
+        while stack and name in ENDED_BY.get(stack[-1][0], ()):
+            ended = stack.pop()[0]
+            yield "close", path, ended, grade, ""
+            path, grade = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
+        if own == -2:
+            own = -1 if confirmed is None or f"{path}/{label}" in confirmed else 0
         if name in VOID or m[4].rstrip().endswith("/") or (name not in CONTAINERS and own >= 0):
             yield "tag", path, name, grade, ""
             continue
-        path, grade = f"{path}/{label}", -1 if grade < 0 else own
+        path, grade = f"{path}/{label}", own if grade >= 0 or (name == "main" and not any(s[0] in BOILERPLATE for s in stack)) else -1
         stack.append((name, path, grade))
         yield "open", path, name, grade, ""
     if at < len(page):
@@ -100,9 +125,11 @@ def tokens(page: str) -> dict[str, list[int]]:
     return found
 
 
-def main_text(page: str, main: str | None) -> str:
-    """The blocks inside the container with path `main` (else the page's best container), joined by blank lines."""
-    events = list(walk(page))
+def main_text(page: str, main: str | None, paths: list[str] | None = None) -> str:
+    """The blocks inside the container with path `main` (else the page's best container), joined by blank lines.
+
+    paths: those of the host's template, which confirm what is perhaps boilerplate (None: its names do)."""
+    events = list(walk(page, None if paths is None else frozenset(paths)))
     opened = [(g, p) for what, p, _, g, _ in events if what == "open"]
     if main is None or not any(p == main for _, p in opened):
         main = max(opened, key=lambda o: o[0])[1] if opened and max(opened)[0] > 0 else ""
@@ -167,25 +194,25 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", source: str = "
 
     A null or empty page has an empty text. A page of a host without a valid template, or without its main
     container, is read by its own best container, and a page without any as a whole, in both cases without
-    boilerplate. Repeated pages are read each. Columns of pages called ``text`` or ``main`` are not kept.
+    boilerplate. Repeated pages are read each. Columns of pages called ``text``, ``main`` or ``paths`` are not kept.
     """
     ship(pages.sparkSession)
-    keep = [c for c in keep if c not in ("text", "main")]
-    known = saved(templates(pages, url, source).select(F.col("host").alias("_host"), "main"), "templates")
+    keep = [c for c in keep if c not in ("text", "main", "paths")]
+    known = saved(templates(pages, url, source).select(F.col("host").alias("_host"), "main", "paths"), "templates")
     rows = pages.select(*keep, _host(url).alias("_host"), F.col(source).alias("_html"))
     if known.count() <= LIMIT_HOSTS:
         joined = rows.join(F.broadcast(known), "_host", "left")
     else:  # pages of a large host go to several tasks
         salted = known.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         joined = rows.withColumn("_salt", F.pmod(F.xxhash64(*keep, F.length("_html")), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    joined = joined.select(*keep, "_html", "main")
+    joined = joined.select(*keep, "_html", "main", "paths")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[: len(keep)])
 
     def run(batches):
         for b in batches:
             for first, stop, _, _ in text_slices(b.column(len(keep))):
                 part = b.slice(first, stop - first)
-                texts = [main_text(page, main) for page, main in zip(part.column(len(keep)).fill_null("").to_pylist(), part.column(len(keep) + 1).to_pylist(), strict=True)]
+                texts = [main_text(page, main, paths) for page, main, paths in zip(part.column(len(keep)).fill_null("").to_pylist(), *(part.column(len(keep) + j).to_pylist() for j in (1, 2)), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return joined.mapInArrow(run, f"{kept}text string")

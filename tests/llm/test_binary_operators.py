@@ -281,6 +281,17 @@ def test_main_text(spark):
     assert html_template.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_names_that_are_no_boilerplate():
+    text = lambda page, *more: html_template.main_text(page, None, *more)
+    assert text("<body class='no-sidebar'><h1 class=article-header>Head</h1><p>one") == "Head\n\none"
+    assert text("<main class='content with-sidebar'><p>one</main>") == "one"
+    assert text("<article class='post related-posts-on'><p>one<div class='ad-banner'>Buy</div></article>") == "one"
+    assert text("<article><p class=notice>note<p>one<ul><li class=share>s<li>two</ul>three</article>") == "one\n\ntwo\n\nthree"
+    assert text("<div class=sidebar-grid><main>one</main></div>") == "one"
+    foot = "<body><p>one</p><div class=site-footer>end</div>"
+    assert text(foot) == text(foot, ["/body/div[class=site-footer]"]) == "one" and text(foot, []) == "one\n\nend"
+
+
 # Toxicity
 
 
