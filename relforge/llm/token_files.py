@@ -13,6 +13,7 @@ into a table that the next bits index.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from itertools import chain
@@ -41,15 +42,16 @@ def tokenizer_path() -> str:
 
 #: Words that a worker keeps with their ids before it starts afresh.
 MAX_WORDS = 300_000
-_LOADED: dict[str, UnitCache] = {}
+_LOADED: dict[str, tuple[UnitCache, re.Pattern | None, dict[str, int]]] = {}
 
 
-def _tokenizer(path: str) -> UnitCache:
-    """One tokenizer and cache for each Python worker.
+def _tokenizer(path: str) -> tuple[UnitCache, re.Pattern | None, dict[str, int]]:
+    """One tokenizer and cache for each Python worker, with what finds its added tokens in a text and their ids.
 
     A byte-level BPE splits a text into words before it merges, and no word reaches over a blank that follows
     something other than white space; so units are encoded on their own: the library splits them into words, and
-    its model merges each word that the worker has not seen yet. Special tokens' strings are ordinary text.
+    its model merges each word that the worker has not seen yet. To it, strings of added tokens are ordinary
+    text; _ids() finds them.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,6 +61,9 @@ def _tokenizer(path: str) -> UnitCache:
 
         whole = Tokenizer.from_file(path)
         split, model = whole.pre_tokenizer, whole.model
+        added = {t.content: (i, t) for i, t in whole.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take in or look at what stands beside them are not found by units")
         if whole.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not isinstance(model, BPE):
             raise ValueError("only a plain byte-level BPE is encoded by units")
         blank = split.pre_tokenize_str(" ")[0][0]
@@ -89,21 +94,37 @@ def _tokenizer(path: str) -> UnitCache:
             sums, ends = np.concatenate([[0], np.cumsum(lengths)]), np.cumsum(counts)
             return ids, sums[ends] - sums[ends - counts]
 
-        _LOADED[path] = UnitCache(encode)
+        find = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
+        _LOADED[path] = UnitCache(encode), find, {content: i for content, (i, _) in added.items()}
     return _LOADED[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and ids (little-endian 32-bit integers, the end id last) of every row; a null text has the end id only."""
+def _ids(texts: list[str], path: str, special: bool) -> list[np.ndarray]:
+    """The ids of each text, as the library's encode(text, add_special_tokens=False) gives them: the string of an
+    added (also a special) token is that token, and what lies between is encoded on its own. Without `special`,
+    as the library does with encode_special_tokens, such strings are ordinary text.
+    """
+    cache, find, added = _tokenizer(path)
+    split = {k: find.split(t) for k, t in enumerate(texts) if find.search(t)} if find and special else {}
+    if not split:
+        return cache.ids(texts)
+    parts = [split.get(k, [t]) for k, t in enumerate(texts)]  # every second part is an added token
+    found = iter(cache.ids([p for each in parts for p in each[::2]]))
+    return [np.concatenate([[added[p]] if j % 2 else next(found) for j, p in enumerate(each)]).astype(np.int32) if len(each) > 1 else next(found) for each in parts]
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
+    """id and ids (little-endian 32-bit integers, the end id last) of every row; a null text has the end id only.
+
+    special: whether strings of the tokenizer's added tokens in a text are these tokens."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
 
     def run(batches):
-        cache = _tokenizer(path)
         for b in batches:
             for first, stop, _, _ in text_slices(b.column(1), 2_000_000):
                 part = b.slice(first, stop - first)
-                ids = cache.ids(part.column(1).fill_null("").to_pylist())
+                ids = _ids(part.column(1).fill_null("").to_pylist(), path, special)
                 raw = [np.append(i, end_id).astype("<u4").tobytes() for i in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["id", "ids"])
 
@@ -221,14 +242,14 @@ def unpack(payload: bytes, offsets: np.ndarray, counts: np.ndarray, ids: np.ndar
     return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
-    """Writes the ids of all rows under path: ``codes`` (id, length) and ``blocks``.
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", special: bool = False) -> None:
+    """Writes the ids of all rows under path: ``codes`` (id, length) and ``blocks``; special as in tokenize().
 
     Rows are in ascending order of the key, nulls first, over the files in order of ``part`` and in each by
     ``block``; rows with equal keys are neighbours. An empty table gives no blocks.
     """
     spark = docs.sparkSession
-    narrow = saved(_narrow(tokenize(docs, tokenizer, end_id, key, text)), "ids")
+    narrow = saved(_narrow(tokenize(docs, tokenizer, end_id, key, text, special)), "ids")
     counts = global_counts(narrow)
     total, top = sum(counts.values()), max(counts, default=0) + 1
     by_id = np.zeros(top, np.int64)
@@ -320,5 +341,5 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
     """All documents' ids written as Huffman-coded files and read back."""
     path = f"{shared_dir(spark)}/relforge-tokens-{uuid.uuid4().hex}"
-    write(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    write(table(spark, sf_dir, "documents"), path, tokenizer_path(), special=True)
     return read(spark, path).withColumnRenamed("id", "doc_id")

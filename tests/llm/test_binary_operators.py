@@ -164,6 +164,19 @@ def test_token_files_equal_the_library(spark, tmp_path):
         start += len(ids)
 
 
+def test_added_tokens_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    model = Tokenizer.from_file(path)
+    end = model.get_added_tokens_decoder()[50256].content
+    texts = [f"a {end} b", f"{end}{end} x", f"x  {end}", end[:-1], "plain text", ""]
+    rows = token_files.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 0, special=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert np.frombuffer(r["ids"], "<u4").tolist() == [*model.encode(texts[r["id"]], add_special_tokens=False).ids, 0]
+
+
 def test_empty_token_files(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), token_files.tokenizer_path())
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
