@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relforge.functions import inference, naming
 from relforge.sources.catalog import ROW_ORDER, with_row_order
+from relforge.sources.scratch import numbered
 
 from . import dependencies as deps
 from .dependencies import TableFacts
@@ -215,24 +216,11 @@ def choose_key(name: str, facts: TableFacts, known: list[ForeignKey], composites
 
 
 def surrogate_key(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """df with a first column that numbers the rows from 1 in the given total order.
+    """df with a first column that numbers the rows from 1 in the given order; rows that tie come in any order.
 
-    Rows are ranged by the order, numbered within their range, and shifted by the counts of the ranges before,
-    so no task ever holds all of them; the counts (a number per range) are the only thing that is collected.
+    The numbered rows are written once (see ``scratch.numbered``), so every reader of the result sees the same key.
     """
-    by = [_q(o) for o in order]
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *by).withColumn("_range", F.spark_partition_id())
-    numbered = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*by)))
-    return _shifted(numbered, column, by, df.columns)
-
-
-def _shifted(numbered: DataFrame, column: str, by: list[Column], columns: list[str]) -> DataFrame:
-    first = numbered.groupBy("_range").agg(F.count("*").alias("n"))
-    before = first.select("_range", (F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before"))
-    out = numbered.join(F.broadcast(before), "_range")  # a row for each range
-    return out.select((F.col("_before") + F.col("_place")).cast("long").alias(column), *[_q(c) for c in columns])
+    return numbered(df, [_q(o) for o in order], column)
 
 
 # The whole of it

@@ -458,6 +458,17 @@ def surrogate_key_lineitem(spark, d):
     return normalize.surrogate_key(raw(spark, d, "lineitem"), "lineitem_id", _LINE_ORDER).select("lineitem_id", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) AS orders_id, o_orderkey, o_custkey FROM orders")
+def surrogate_key_one_column(spark, d):
+    return normalize.surrogate_key(raw(spark, d, "orders"), "orders_id", ["o_orderkey"]).select("orders_id", "o_orderkey", "o_custkey")
+
+
+@query("SELECT count(*) AS n_rows, count(*) AS n_keys, CAST(1 AS BIGINT) AS least, count(*) AS most FROM lineitem")
+def surrogate_key_with_ties(spark, d):
+    keyed = normalize.surrogate_key(raw(spark, d, "lineitem"), "lineitem_id", ["l_orderkey"])
+    return keyed.agg(F.count("*").alias("n_rows"), F.count_distinct("lineitem_id").alias("n_keys"), F.min("lineitem_id").alias("least"), F.max("lineitem_id").alias("most"))
+
+
 # Validation
 
 

@@ -29,6 +29,29 @@ def test_surrogate_numbers_rows_in_order(spark):
     assert got == [(i + 1, i) for i in range(101)]
 
 
+def test_surrogate_is_whole_on_many_rows(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1_000_000).select((F.col("id") * 7919 % 1_000_003 % 250_000).alias("k"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("wide"))
+    keyed = norm.surrogate_key(df, "id", ["k"])
+    parts = [keyed.select("id", "wide"), keyed.where("k % 2 = 0").select("id", "wide").unionByName(keyed.where("k % 2 = 1").select("id", "wide"))]
+    for got in parts:  # every use of the result has the same keys
+        assert tuple(got.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first()) == (1_000_000, 1_000_000, 1, 1_000_000)
+    assert parts[0].join(parts[1], ["id", "wide"]).count() == 1_000_000
+    assert norm.surrogate_key(df.limit(0), "id", ["k"]).count() == 0
+
+
+def test_numbers_within_groups(spark):
+    from pyspark.sql import functions as F
+
+    from relforge.sources.scratch import numbered
+
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("g"), (F.col("id") % 100).alias("o"), "id")
+    got = numbered(df, [F.col("o"), F.col("id")], "n", ["g"], start=0).toPandas()
+    want = df.toPandas().sort_values(["o", "id"]).assign(n=lambda x: x.groupby("g", dropna=False).cumcount())
+    assert sorted(zip(got.id, got.n, strict=True)) == sorted(zip(want.id, want.n, strict=True))
+
+
 def test_key_choice(spark):
     df = spark.createDataFrame([(i, f"c{i}", f"m{i}@x.org") for i in range(20)], "item_ref int, product_code string, email string")
     facts = deps.measure(df, "t")

@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -33,3 +36,14 @@ def test_query_equals_sql(spark, name):
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_without_the_corpus_operators(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and 'pipeline' not in q and not [n for n in q if n.startswith('op')]"
+    for gone in ((), ("corpus_pipeline.py",)):
+        for name in gone:
+            os.remove(tmp_path / "copy" / name)
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True, timeout=120)
+        assert done.returncode == 0, done.stderr
