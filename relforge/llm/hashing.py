@@ -8,7 +8,17 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _MULTIPLIER = _U(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
+#: Bytes that are hashed together; what is held beside the text is a fixed multiple of it.
+BLOCK = 1 << 17
+
+
+def _powers(base: np.uint64) -> np.ndarray:
+    steps = np.full(BLOCK, base, _U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_POWER, _BACK = _powers(_BASE), _powers(_INVERSE)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -21,16 +31,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, _U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
-
-
 def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, words before each row) of the maximal runs of word bytes; runs end at row bounds."""
     n = len(data)
@@ -48,10 +48,26 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each word, the same wherever the word stands."""
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * power[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    out, at = np.empty(len(starts), _U), 0
+    while at < len(starts):
+        first = int(starts[at])
+        stop = int(np.searchsorted(ends, first + BLOCK, side="right"))
+        if stop > at:
+            piece = data[first : int(ends[stop - 1])]
+            sums = np.zeros(len(piece) + 1, _U)
+            np.cumsum((piece + _U(1)) * _POWER[: len(piece)], out=sums[1:])
+            s, e = starts[at:stop] - first, ends[at:stop] - first
+            out[at:stop] = (sums[e] - sums[s]) * _BACK[s]
+            at = stop
+            continue
+        total, shift = _U(0), _U(1)  # a word longer than a block
+        for lo in range(first, int(ends[at]), BLOCK):
+            piece = data[lo : min(lo + BLOCK, int(ends[at]))]
+            with np.errstate(over="ignore"):
+                total, shift = total + ((piece + _U(1)) * _POWER[: len(piece)]).sum(dtype=_U) * shift, shift * _POWER[-1] * _BASE
+        out[at] = total
+        at += 1
+    return mixed(out + (ends - starts).astype(_U))
 
 
 def run_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -86,7 +86,7 @@ class Pieces:
         for i, u in enumerate(units):
             by_length.setdefault(len(u), []).append(i)
         for length, rows in by_length.items():
-            step = max(1, 400_000 // max(length, 1))
+            step = max(1, 200_000 // max(length, 1))
             for at in range(0, len(rows) if length else 0, step):
                 part = rows[at : at + step]
                 for i, ids in zip(part, self._viterbi(_matrix([units[r] for r in part])), strict=True):
@@ -203,6 +203,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
                 ids = cache.ids(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(map(len, texts), pa.int64()), lists], names=[*keep, "n_chars", "ids"])
+        cache.clear()
 
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[: len(keep)])
     return rows.mapInArrow(run, f"{kept}n_chars long, ids array<int>")

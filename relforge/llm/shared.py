@@ -1,10 +1,9 @@
-"""What the corpus operators share: the cluster's shared folder, code shipping, batching of long texts."""
+"""What the corpus operators share: code shipping, batching of long texts."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,36 +12,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from relforge.sources.scratch import saved, shared_dir  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests, one machine) a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='relforge-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, which cuts the lineage.
-
-    The table outlives lost executors; the folder's owner clears it with the other checkpoints.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relforge-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of one Arrow batch on its way to a Python worker, so that its memory doesn't follow the rows' number.
+BATCH_BYTES = 2_000_000
 
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and bounds the batches that they get."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -55,7 +41,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def text_slices(column: pa.Array, max_bytes: int = 4_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about max_bytes; nulls are empty.
 
     A longer text is a run of its own, so that working memory follows the longest text and not the batch.

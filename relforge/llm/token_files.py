@@ -40,8 +40,6 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Words that a worker keeps with their ids before it starts afresh.
-MAX_WORDS = 300_000
 _LOADED: dict[str, tuple[UnitCache, re.Pattern | None, dict[str, int]]] = {}
 
 
@@ -49,9 +47,8 @@ def _tokenizer(path: str) -> tuple[UnitCache, re.Pattern | None, dict[str, int]]
     """One tokenizer and cache for each Python worker, with what finds its added tokens in a text and their ids.
 
     A byte-level BPE splits a text into words before it merges, and no word reaches over a blank that follows
-    something other than white space; so units are encoded on their own: the library splits them into words, and
-    its model merges each word that the worker has not seen yet. To it, strings of added tokens are ordinary
-    text; _ids() finds them.
+    something other than white space; so units are encoded on their own, those that the worker has not seen yet.
+    To the units, strings of added tokens are ordinary text; _ids() finds them.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,40 +56,29 @@ def _tokenizer(path: str) -> tuple[UnitCache, re.Pattern | None, dict[str, int]]
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel
 
-        whole = Tokenizer.from_file(path)
-        split, model = whole.pre_tokenizer, whole.model
-        added = {t.content: (i, t) for i, t in whole.get_added_tokens_decoder().items()}
-        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
-            raise ValueError("added tokens that take in or look at what stands beside them are not found by units")
-        if whole.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not isinstance(model, BPE):
+        library = Tokenizer.from_file(path)
+        split = library.pre_tokenizer
+        added = {t.content: (i, t) for i, t in library.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word or not t.special for _, t in added.values()):
+            raise ValueError("only special tokens that neither take in nor look at what stands beside them are found by units")
+        if library.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not isinstance(library.model, BPE):
             raise ValueError("only a plain byte-level BPE is encoded by units")
+        library.encode_special_tokens = True
         blank = split.pre_tokenize_str(" ")[0][0]
-        known: dict[str, tuple[int, ...]] = {}
-
-        def merged(words: list[str]) -> list[tuple[int, ...]]:
-            if len(known) > MAX_WORDS:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = tuple([t.id for t in model.tokenize(w)])
-            return list(map(known.__getitem__, words))
-
-        def flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = merged(words)
-            return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+        opens = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)  # ids whose token begins with a blank
+        opens[[i for t, i in library.get_vocab(with_added_tokens=False).items() if t.startswith(blank)]] = True
 
         def encode(units: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
-            """Plain units are split as one text, in which each begins with the only word of it that opens with a
-            blank; the others are split one by one."""
+            """Plain units are encoded as one text, in which each begins with its only token that opens with a
+            blank; the others are encoded one by one."""
             if kind == "plain":
-                words = [w for w, _ in split.pre_tokenize_str(f" {' '.join(units)}")]
-                counts = np.diff(np.append(np.flatnonzero([w[0] == blank for w in words]), len(words)))
-            if kind != "plain" or len(counts) != len(units):
-                each = [split.pre_tokenize_str(u if kind == "first" else f" {u}") for u in units]
-                words, counts = [w for e in each for w, _ in e], np.array(list(map(len, each)), np.int64)
-            ids, lengths = flat(words)
-            sums, ends = np.concatenate([[0], np.cumsum(lengths)]), np.cumsum(counts)
-            return ids, sums[ends] - sums[ends - counts]
+                (found,) = library.encode_batch_fast([f" {' '.join(units)}"], add_special_tokens=False)
+                ids = np.array(found.ids, np.int32)
+                lengths = np.diff(np.append(np.flatnonzero(opens[ids]), len(ids)))
+                if len(lengths) == len(units):
+                    return ids, lengths
+            each = [e.ids for e in library.encode_batch_fast(units if kind == "first" else [f" {u}" for u in units], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
 
         find = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
         _LOADED[path] = UnitCache(encode), find, {content: i for content, (i, _) in added.items()}
@@ -113,36 +99,33 @@ def _ids(texts: list[str], path: str, special: bool) -> list[np.ndarray]:
     return [np.concatenate([[added[p]] if j % 2 else next(found) for j, p in enumerate(each)]).astype(np.int32) if len(each) > 1 else next(found) for each in parts]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
-    """id and ids (little-endian 32-bit integers, the end id last) of every row; a null text has the end id only.
-
-    special: whether strings of the tokenizer's added tokens in a text are these tokens."""
+def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, special: bool, schema: str, columns) -> DataFrame:
+    """id and what columns(list of id arrays) makes of the ids of some rows, with the end id last."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches):
         for b in batches:
-            for first, stop, _, _ in text_slices(b.column(1), 2_000_000):
+            for first, stop, _, _ in text_slices(b.column(1)):
                 part = b.slice(first, stop - first)
-                ids = _ids(part.column(1).fill_null("").to_pylist(), path, special)
-                raw = [np.append(i, end_id).astype("<u4").tobytes() for i in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["id", "ids"])
+                ids = [np.append(i, np.int32(end_id)) for i in _ids(part.column(1).fill_null("").to_pylist(), path, special)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in columns(ids)]], names=names)
+        _tokenizer(path)[0].clear()
 
-    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, ids binary")
+    return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, {schema}")
 
 
-def _narrow(ids: DataFrame) -> DataFrame:
-    """ids with two bytes for each number below 65,536 and the rest (rare or absent) beside them, for the table in between."""
-    kind = ids.schema[0].dataType.simpleString()
+def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
+    """id and ids (little-endian 32-bit integers, the end id last) of every row; a null text has the end id only.
+
+    special: whether strings of the tokenizer's added tokens in a text are these tokens."""
+    return _tokenized(docs, path, end_id, key, text, special, "ids binary", lambda ids: [[i.astype("<u4").tobytes() for i in ids]])
 
-    def run(batches):
-        for b in batches:
-            raw = [np.frombuffer(x, "<u4") for x in b.column(1).to_pylist()]
-            low = [x.astype("<u2").tobytes() for x in raw]
-            high = [(x >> 16).astype("<u2").tobytes() if len(x) and x.max() > 65535 else b"" for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(low, pa.binary()), pa.array(high, pa.binary())], names=["id", "low", "high"])
 
-    return ids.mapInArrow(run, f"id {kind}, low binary, high binary")
+def _narrow(ids: list[np.ndarray]) -> list[list[bytes]]:
+    """Two bytes for each id below 65,536 and the rest (rare or absent) beside them, for the table in between."""
+    return [[x.astype("<u2").tobytes() for x in ids], [(x >> 16).astype("<u2").tobytes() if x.max() > 65535 else b"" for x in ids]]
 
 
 def _wide(low: bytes, high: bytes) -> np.ndarray:
@@ -156,8 +139,8 @@ def global_counts(narrow: DataFrame) -> dict[int, int]:
     def run(batches):
         counts = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = np.bincount(_wide(low, high))
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for found in [np.bincount(_wide(b"".join(low for low, high in rows if not high), b""), minlength=1), *[np.bincount(_wide(low, high)) for low, high in rows if high]]:
                 if len(found) > len(counts):
                     counts = np.concatenate([counts, np.zeros(len(found) - len(counts), np.int64)])
                 counts[: len(found)] += found
@@ -249,7 +232,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
     ``block``; rows with equal keys are neighbours. An empty table gives no blocks.
     """
     spark = docs.sparkSession
-    narrow = saved(_narrow(tokenize(docs, tokenizer, end_id, key, text, special)), "ids")
+    narrow = saved(_tokenized(docs, tokenizer, end_id, key, text, special, "low binary, high binary", _narrow), "ids")
     counts = global_counts(narrow)
     total, top = sum(counts.values()), max(counts, default=0) + 1
     by_id = np.zeros(top, np.int64)

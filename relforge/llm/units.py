@@ -8,11 +8,25 @@ from collections.abc import Callable
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= )")
-#: Distinct units that a worker keeps before it starts afresh.
-MAX_UNITS = 400_000
+#: White space of every kind, and a blank behind it: where a text is not simply cut at its blanks.
+_ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+#: Units, and characters of them, that a worker keeps before it starts afresh; looked at after every slice of texts.
+MAX_UNITS, MAX_CHARS = 250_000, 6_000_000
 PER_CALL = 20_000
 
 
+class _Index(dict):
+    """unit -> its number; a unit that is looked up for the first time gets the next one and is listed in ``new``."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, unit) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class UnitCache:
     """Ids of texts, by their units.
 
@@ -24,62 +38,68 @@ class UnitCache:
 
     def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
-        self.first: dict[str, int] = {}
-        self.after: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.count = 0
+    def clear(self) -> None:
+        """Lets go of all that is kept; a task's last act, so that idle workers hold nothing."""
+        self.index, self.chars = _Index(), 0
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, known: dict[str, int], units: list[str], kind: str) -> None:
+    def _add(self, units: list[str], numbers: list[int], kind: str) -> None:
         for at in range(0, len(units), PER_CALL):
-            part = units[at : at + PER_CALL]
-            flat, lengths = self.encode(part, kind)
-            n, m = self.count + len(part), self.used + len(flat)
-            while m > len(self.flat):
+            flat, lengths = self.encode(units[at : at + PER_CALL], kind)
+            end = self.used + len(flat)
+            while end > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while n > len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-            self.flat[self.used : m] = flat
-            self.lengths[self.count : n] = lengths
-            self.starts[self.count : n] = self.used + np.cumsum(lengths) - lengths
-            known.update(zip(part, range(self.count, n), strict=True))
-            self.used, self.count = m, n
+            self.flat[self.used : end] = flat
+            mine = np.array(numbers[at : at + PER_CALL], np.int64)
+            self.lengths[mine], self.starts[mine] = lengths, self.used + np.cumsum(lengths) - lengths
+            self.used = end
+
+    def _encode_new(self) -> None:
+        new, self.index.new = self.index.new, []
+        first = len(self.index) - len(new)
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        kinds: dict[str, tuple[list[str], list[int]]] = {"first": ([], []), "plain": ([], []), "other": ([], [])}
+        for n, u in enumerate(new, first):
+            if type(u) is tuple:
+                kind, u = "first", u[0]
+            else:
+                kind = "other" if u == "" or " " in u or u[-1].isspace() else "plain"
+            kinds[kind][0].append(u)
+            kinds[kind][1].append(n)
+            self.chars += len(u)
+        for kind, (units, numbers) in kinds.items():
+            self._add(units, numbers, kind)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
-        if self.count > MAX_UNITS:
-            self._clear()
-        split = [_units(t) for t in texts]
-        firsts = [s.pop(0) for s in split if s]
-        self._add(self.first, list(set(firsts).difference(self.first)), "first")
-        new = set().union(*split).difference(self.after)
-        other = [u for u in new if u == "" or " " in u or u[-1].isspace()]
-        self._add(self.after, list(new.difference(other)), "plain")
-        self._add(self.after, other, "other")
-        place, after, at = iter(map(self.first.__getitem__, firsts)), self.after.__getitem__, []
-        for s, t in zip(split, texts, strict=True):
+        if len(self.index) > MAX_UNITS or self.chars > MAX_CHARS:
+            self.clear()
+        number, at, counts = self.index.__getitem__, [], []
+        for t in texts:
+            before = len(at)
             if t:
-                at.append(next(place))
-                at += map(after, s)
+                first, *others = _units(t)
+                at.append(number((first,)))
+                at += map(number, others)
+            counts.append(len(at) - before)
+        if self.index.new:
+            self._encode_new()
         at = np.array(at, np.int64)
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         flat = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
-        counts = [len(s) + 1 if t else 0 for s, t in zip(split, texts, strict=True)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _units(text: str) -> list[str]:
-    """The first unit, then the others without their leading blank; none of an empty text."""
-    if not text:
-        return []
-    parts = text.split(" ")
-    if "" not in parts and not any([p[-1].isspace() for p in parts]):
-        return parts
+    """The first unit, then the others without their leading blank."""
+    if text[0] != " " and not text[-1].isspace() and not any([odd in text for odd in _ODD]):
+        return text.split(" ")
     first, *others = _CUT.split(text)
     return [first, *[u[1:] for u in others]]

@@ -154,10 +154,9 @@ def test_token_files_equal_the_library(spark, tmp_path):
     texts = [*TEXTS, "a \n\n b", "tail  ", "\n\n x", "don't we'll  'd"]
     df = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("ids", F.lit("clash"))
     path = token_files.tokenizer_path()
-    token_files.write(df, str(tmp_path / "t"), path)
+    token_files.write(df, str(tmp_path / "t"), path, special=True)
     got = {r["id"]: r for r in token_files.read(spark, str(tmp_path / "t"), keep_ids=True).collect()}
     model, start = Tokenizer.from_file(path), 0
-    model.encode_special_tokens = True
     for i, t in sorted((len(texts) - i, t) for i, t in enumerate(texts)):
         ids = [*model.encode(t or "", add_special_tokens=False).ids, 0]
         assert list(got[i]["token_ids"]) == ids and got[i]["start"] == start and got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
@@ -177,6 +176,30 @@ def test_added_tokens_equal_the_library(spark):
         assert np.frombuffer(r["ids"], "<u4").tolist() == [*model.encode(texts[r["id"]], add_special_tokens=False).ids, 0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab'sĠ.,1 \n\t\u00a0\u3000éß日\x1c\x85"), max_size=40), max_size=8))
+def test_units_equal_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    assert [i.tolist() for i in token_files._ids(texts, path, True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_hashes_of_words_longer_than_a_block(monkeypatch):
+    from relforge.llm import hashing
+
+    raw = np.frombuffer(b"ab " + b"x" * 300 + b" ab " + b"xyz " * 50, np.uint8)
+    is_word = np.ones(256, bool)
+    is_word[32] = False
+    starts, ends, _ = hashing.word_bounds(raw, np.array([0, len(raw)]), is_word)
+    whole = hashing.word_hashes(raw, starts, ends)
+    power = hashing._POWER
+    monkeypatch.setattr(hashing, "BLOCK", 64)
+    monkeypatch.setattr(hashing, "_POWER", power[:64])
+    assert (hashing.word_hashes(raw, starts, ends) == whole).all() and whole[0] == whole[2]
+
+
 def test_empty_token_files(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), token_files.tokenizer_path())
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
