@@ -5,19 +5,21 @@ minima give candidate buckets; of each minimum two low bits stay, packed into lo
 fields, corrected for chance, estimates the similarity of a candidate pair by counting bits. Pairs whose
 estimate is far below the threshold go; the rest are confirmed on the full shingle sets.
 
-A bucket is not expanded into all pairs. Documents with equal sets are one class. In each bucket the classes
-are ranked by how crowded their buckets are, so that the centre of a group comes first. A round compares the
-next ranks (1, 16, 256, ...) with all later ones, confirms the pairs and joins components; a pair already in
-one component needs no test, and a bucket whose rest is one component is done. After the first round, documents
-whose own unshared shingles rule out any link are done too. So a group of n near copies costs about n pairs,
-yet no pair that shares a bucket is left undecided.
+A bucket is not expanded into all pairs. Documents with equal sets are one class. The class of a bucket whose own
+buckets are the most crowded, the centre of a group as a rule, is compared with the bucket's other classes first;
+then the rest in the order of a hash, which places them like ranks without sorting a bucket anywhere. A round
+compares the next places (0, 16, 256, ...) with all later ones, confirms the pairs and joins components; a pair
+already in one component needs no test, and a bucket whose rest is one component is done. After the first round,
+documents whose own unshared shingles rule out any link are done too. So a group of n near copies costs about n
+pairs, yet no pair that shares a bucket is left undecided. Buckets are counted by aggregates and met by joins, whose
+large partitions Spark splits; no step needs a whole bucket in one task.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import LOWER, mixed, run_hashes, word_bounds, word_hashes
@@ -29,7 +31,7 @@ HASHES = 320
 #: Standard deviations of the estimate at the threshold by which a pair may fall short and still be confirmed.
 SLACK = 4.5
 BROADCAST_IDS = 2_000_000
-#: A round takes so many times the ranks of the one before.
+#: A round takes so many times the places of the one before.
 GROWTH = 16
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, 9, 10, 11, 12, 13]] = False
@@ -74,6 +76,12 @@ def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _prints(hashes: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """A 128-bit fingerprint of each row's set, as two columns."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(s)))]) for s in (0x51, 0xA7)]
+    return [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
+
+
 def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
     """id, n (set size), fa and fb (a 128-bit fingerprint of the set), sig (packed low bits) and bands."""
     ship(docs.sparkSession)
@@ -81,12 +89,10 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for first, stop, data, offsets in text_slices(b.column(1), 2_000_000):
+            for first, stop, data, offsets in text_slices(b.column(1)):
                 hashes, bounds = shingle_sets(data, offsets, k)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(s)))]) for s in (0x51, 0xA7)]
-                prints = [pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in sums]
                 low = minima(hashes, np.concatenate([bounds[:-1][full], bounds[-1:]])) if len(full) else np.zeros((0, HASHES), np.uint32)
                 keys = np.full((len(full), BANDS), np.arange(BANDS, dtype=np.uint64))
                 for r in range(ROWS):
@@ -96,22 +102,21 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
                 packed = np.bitwise_or.reduce(fields.reshape(len(full), _LONGS, _FIELDS) << (np.arange(_FIELDS, dtype=np.uint64) * np.uint64(BITS)), axis=2)
                 at = pa.array(np.where(n > 0, np.cumsum(n > 0) - 1, 0), pa.int64(), mask=n == 0)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().view(np.int64)), x.shape[1]).cast(pa.list_(pa.int64())).take(at) if len(full) else pa.nulls(len(n), pa.list_(pa.int64())) for x in (packed, keys)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *prints, *lists], names=["id", "n", "fa", "fb", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), pa.array(n, pa.int64()), *_prints(hashes, bounds), *lists], names=["id", "n", "fa", "fb", "sig", "bands"])
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, fa long, fb long, sig array<long>, bands array<long>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, items: the full set of each row of (id, text)."""
-    kind = docs.schema[0].dataType.simpleString()
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """fa, fb, items: the fingerprint and the full set of each text (a single column)."""
 
     def run(batches):
         for b in batches:
-            for first, stop, data, offsets in text_slices(b.column(1)):
+            for _, _, data, offsets in text_slices(b.column(0)):
                 hashes, bounds = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([*_prints(hashes, bounds), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))], names=["fa", "fb", "items"])
 
-    return docs.mapInArrow(run, f"id {kind}, items array<long>")
+    return texts.mapInArrow(run, "fa long, fb long, items array<long>")
 
 
 def _equal_fields(a: str, b: str):
@@ -142,30 +147,51 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+_PAIR = ["xa", "xb", "x", "ya", "yb", "y"]
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
-    """a, b: the pairs (p.rep, m.rep) whose full sets are similar enough."""
-    pairs = pairs.select(F.least("p.rep", "m.rep").alias("a"), F.greatest("p.rep", "m.rep").alias("b")).distinct()
-    both = F.size(F.array_intersect("x", "y"))
-    found = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return saved(found.where(both * 100 >= (F.size("x") + F.size("y") - both) * threshold_percent).select("a", "b"), "links")
+    """a, b (keys): the pairs of classes (fingerprints xa, xb and ya, yb, keys x and y) whose full sets are similar."""
+    pairs = pairs.select(*_PAIR).distinct()
+    both = F.size(F.array_intersect("p", "q"))
+    found = pairs.join(sets.select(F.col("fa").alias("xa"), F.col("fb").alias("xb"), F.col("items").alias("p")), ["xa", "xb"])
+    found = found.join(sets.select(F.col("fa").alias("ya"), F.col("fb").alias("yb"), F.col("items").alias("q")), ["ya", "yb"])
+    close = found.where(both * 100 >= (F.size("p") + F.size("q") - both) * threshold_percent)
+    return saved(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
 
 
 def _open(live: DataFrame, roots: DataFrame) -> DataFrame:
     """live with the present roots, without the buckets that are one component."""
     rooted = live.drop("root").join(roots, F.col("rep") == F.col("v"), "left").withColumn("root", F.coalesce("root", "rep")).drop("v")
-    band = Window.partitionBy("band")
-    return rooted.withColumns({"_lo": F.min("root").over(band), "_hi": F.max("root").over(band)}).where("_lo <> _hi").drop("_lo", "_hi")
+    rooted = saved(rooted, "rooted")
+    mixed_bands = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return saved(rooted.join(saved(mixed_bands, "mixed"), "band", "left_semi"), "open")
 
 
 def _linkable(live: DataFrame, sets: DataFrame, threshold_percent: int) -> DataFrame:
     """live with ``common``, a bound on what any two documents share: the shingles that stand in another document
     of an open bucket as well. A document whose bound is too low for every partner of its bucket's least size can
     have no link there and goes."""
-    items = sets.join(live.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    bound = live.drop("common").join(alone, live.rep == alone.id, "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("id", "alone")
-    least = F.greatest(F.min("n").over(Window.partitionBy("band")), F.col("common"))
-    return bound.withColumn("_least", least).where((F.col("common") * 100) >= (F.col("_least") + F.col("n") - F.col("common")) * threshold_percent).drop("_least")
+    items = sets.join(live.select("fa", "fb").distinct(), ["fa", "fb"], "left_semi").select("fa", "fb", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("n"), F.min("fa").alias("fa"), F.min("fb").alias("fb")).where("n = 1").groupBy("fa", "fb").agg(F.count("*").alias("alone"))
+    least = saved(live.groupBy("band").agg(F.min("n").alias("least")), "least")
+    bound = live.join(saved(alone, "alone"), ["fa", "fb"], "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    smallest = F.greatest("least", "common")
+    return bound.join(least, "band").where((F.col("common") * 100) >= (smallest + F.col("n") - F.col("common")) * threshold_percent).drop("least")
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """A row for each class in each bucket that it shares: band, fa, fb, n, rep, place (where a hash puts it among
+    the bucket's classes) and c_fa, c_fb, c_n, c_rep (the bucket's central class)."""
+    each = classes.select("fa", "fb", "n", "rep", F.explode("bands").alias("band"))
+    crowds = saved(each.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
+    buckets = saved(each.join(crowds, "band"), "buckets")
+    central = saved(buckets.groupBy("fa", "fb").agg(F.sum("crowd").alias("central")), "central")
+    graded = saved(buckets.join(central, ["fa", "fb"]), "graded")
+    top = F.max(F.struct("central", "fa", "fb", "n", "rep"))
+    centres = graded.groupBy("band").agg(top.alias("c")).select("band", *[F.col(f"c.{k}").alias(f"c_{k}") for k in ("fa", "fb", "n", "rep")])
+    share = F.col("fa").bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(float(1 << 63))
+    return saved(graded.join(saved(centres, "centres"), "band").withColumn("place", F.floor(share * F.col("crowd"))).drop("crowd", "central"), "members")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,59 +200,62 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold_percent: int =
 
     A link joins documents with 100 * intersection >= threshold_percent * union of their sets of distinct word
     shingles. Words are split at white space (ASCII) after lower-casing A-Z. Null and empty texts have empty
-    sets and are linked with nothing. Rows with a null key are kept, with a null component_id. Repeated rows
-    share their key and component. Other columns are ignored.
+    sets and are linked with nothing. Rows with a null key are kept, with a null component_id. Rows that share a key
+    are one document: each has the n_shingles of its own text, and a link of one of them is a link of the key.
+    Other columns are ignored.
 
     A pair at exactly 80 percent shares no band with probability 3e-6 and is confirmed unless its estimate is
-    five standard deviations low. Sets are compared as sets of 64-bit shingle hashes.
+    SLACK standard deviations low. Sets are compared as sets of 64-bit shingle hashes.
     """
-    spark = docs.sparkSession
     share = threshold_percent / 100
     equal = share + (1 - share) / 2**BITS
     least_equal = HASHES * (equal - SLACK * (equal * (1 - equal) / HASHES) ** 0.5)
     signed = saved(signatures(docs, shingle, key, text), "signatures")
     full = signed.where("n > 0 AND id IS NOT NULL")
-    classes = saved(full.groupBy("n", "fa", "fb").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes, ["n", "fa", "fb"]).where("id = rep").dropDuplicates(["rep"])
-    crowd = Window.partitionBy("band")
-    shared_bands = reps.select("rep", "n", F.explode("bands").alias("band")).withColumn("crowd", F.count("*").over(crowd)).where("crowd > 1")
-    shared_bands = saved(shared_bands, "buckets")
-    central = shared_bands.groupBy("rep").agg(F.sum("crowd").alias("central"))
-    order = Window.partitionBy("band").orderBy(F.desc("central"), "rep")
-    members = saved(shared_bands.join(central, "rep").select("band", "rep", "n", F.row_number().over(order).alias("rank")), "members")
-
-    inside = members.select(F.col("rep").alias("id")).distinct()
-    if not (n_inside := inside.count()):
-        roots = classes.select(F.col("rep").alias("v"), F.col("rep").alias("root"))
-    else:
-        ids = saved(inside, "ids")
-        texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if n_inside <= BROADCAST_IDS else ids, "id", "left_semi")
-        sets = saved(_sets(texts, shingle).join(classes.select(F.col("rep").alias("id"), "n"), "id").where(F.size("items") == F.col("n")).select("id", "items"), "sets")
-        marks = saved(reps.select("rep", "sig", "bands").join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi"), "marks")
+    classes = saved(full.groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    members = _buckets(classes)
+    repeated = saved(full.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated")
+    shared_keys = not repeated.isEmpty()
+    links, roots = members.where("false").select(F.col("rep").alias("a"), F.col("rep").alias("b")), members.where("false").select(F.col("rep").alias("v"), F.col("rep").alias("root"))
+    if shared_keys:  # all classes of one key
+        of_key = saved(full.join(repeated, "id", "left_semi").join(classes.select("n", "fa", "fb", "rep"), ["n", "fa", "fb"]).select("id", "rep").distinct(), "of_key")
+        links = saved(of_key.join(of_key.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "links")
+        roots = components(links)
+    if not members.isEmpty():
+        inside = saved(members.select("fa", "fb", "rep").distinct(), "inside")
+        ids, n_inside = inside.select(F.col("rep").alias("id")).distinct(), inside.count()
+        texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids) if n_inside <= BROADCAST_IDS else ids, "id", "left_semi").select("text")
+        sets = _sets(texts, shingle)
+        if shared_keys:  # rows of one key may have equal sets, or sets of other classes
+            sets = sets.join(inside.select("fa", "fb"), ["fa", "fb"], "left_semi").dropDuplicates(["fa", "fb"])
+        sets = saved(sets, "sets")
+        marks = classes.select("fa", "fb", "sig", "bands")
         alike = _equal_fields("p", "m") >= least_equal
-        p, m = members.where("rank = 1").alias("p"), members.where("rank > 1").alias("m")
-        sizes = F.least("p.n", "m.n") * 100 >= F.greatest("p.n", "m.n") * threshold_percent
-        pairs = m.join(p, (F.col("p.band") == F.col("m.band")) & sizes).select(F.col("p.rep").alias("x"), F.col("m.rep").alias("y")).distinct()
-        pairs = pairs.join(marks.alias("p"), F.col("x") == F.col("p.rep")).join(marks.alias("m"), F.col("y") == F.col("m.rep")).where(alike)
-        links = _confirmed(pairs, sets, threshold_percent)
+        sizes = F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * threshold_percent
+        others = members.where("NOT (fa = c_fa AND fb = c_fb)")
+        pairs = others.where((F.col("rep") != F.col("c_rep")) & sizes).select(F.col("c_fa").alias("xa"), F.col("c_fb").alias("xb"), F.col("c_rep").alias("x"), F.col("fa").alias("ya"), F.col("fb").alias("yb"), F.col("rep").alias("y")).distinct()
+        p, m = marks.alias("p"), marks.alias("m")
+        pairs = pairs.join(p, (F.col("xa") == F.col("p.fa")) & (F.col("xb") == F.col("p.fb"))).join(m, (F.col("ya") == F.col("m.fa")) & (F.col("yb") == F.col("m.fb"))).where(alike)
+        links = links.unionByName(_confirmed(pairs, sets, threshold_percent))
         roots = components(links)
-        live = saved(_open(members.where("rank > 1"), roots), "open")
+        live = _open(others.select("band", "fa", "fb", "n", "rep", "place"), roots)
         if not live.isEmpty():
-            live = saved(_open(_linkable(live, sets, threshold_percent), roots).join(marks, "rep"), "open")
-        done, width = 1, GROWTH
+            live = _open(_linkable(live, sets, threshold_percent).join(marks, ["fa", "fb"]), roots)
+        first, after = 0, GROWTH
         while not live.isEmpty():
-            p, m = live.where(F.col("rank") <= done + width).alias("p"), live.alias("m")
+            p, m = live.where(F.col("place").between(first, after - 1)).alias("p"), live.alias("m")
             most = F.least("p.common", "m.common")  # of the intersection
             near = (most * 100 >= (F.col("p.n") + F.col("m.n") - most) * threshold_percent) & alike
             # a pair counts in the first of its common buckets only
             here = F.element_at(F.array_intersect("p.bands", "m.bands"), 1) == F.col("p.band")
-            pairs = m.join(p, (F.col("p.band") == F.col("m.band")) & (F.col("p.rank") < F.col("m.rank")) & (F.col("p.root") != F.col("m.root")) & near & here)
-            new = _confirmed(pairs, sets, threshold_percent)
+            later = F.struct("p.place", "p.fa", "p.fb") < F.struct("m.place", "m.fa", "m.fb")
+            pairs = m.join(p, (F.col("p.band") == F.col("m.band")) & later & (F.col("p.root") != F.col("m.root")) & near & here)
+            new = _confirmed(pairs.select(*[F.col(f"{s}.{c}").alias(n) for (s, c), n in zip([(s, c) for s in "pm" for c in ("fa", "fb", "rep")], _PAIR, strict=True)]), sets, threshold_percent)
             if not new.isEmpty():
-                links = links.union(new)
+                links = links.unionByName(new)
                 roots = components(links)
-            done, width = done + width, width * GROWTH
-            live = saved(_open(live.where(F.col("rank") > done), roots), "open")
+            live = _open(live.where(F.col("place") >= after), roots)
+            first, after = after, after * GROWTH
     named = saved(classes.join(roots, classes.rep == roots.v, "left").select("n", "fa", "fb", F.coalesce("root", "rep").alias("component_id")), "named")
     out = signed.select("id", "n", "fa", "fb").join(named, ["n", "fa", "fb"], "left")
     component = F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")))

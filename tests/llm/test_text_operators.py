@@ -116,6 +116,32 @@ def test_null_and_repeated_ids(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_of_one_key_keep_their_links(spark):
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "ABC"}
+    near = {c: " ".join([*t.split()[:-1], "x"]) for c, t in texts.items()}
+    rows = [(5, texts["A"]), (5, texts["B"]), (6, near["A"]), (7, near["B"]), (8, texts["C"]), (9, texts["B"]), (9, near["C"]), (9, near["C"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df, shingle=4).collect()}
+    assert got == {(i, 5) for i in range(5, 10)}
+    parted = df.where("doc_id <> 9")
+    assert {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(parted, shingle=4).collect()} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
+def test_many_places_of_one_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROWTH", 2)
+    docs = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4).collect()}
+    assert got == brute_components(docs, 4)
+
+
+def test_struct_keys(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(near_copies(), "doc_id long, text string").select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("key"), "text")
+    got = {r["key"]["doc_id"]: r["component_id"]["doc_id"] for r in near_dedup.near_duplicates(df, shingle=4, key="key").collect()}
+    assert got == {i: c for i, (_, c) in brute_components(near_copies(), 4).items()}
+
+
 def test_chains_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["v"]: r["root"] for r in near_dedup.components(edges).collect()}
