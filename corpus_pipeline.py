@@ -9,13 +9,13 @@ decontamination  documents that hold a 10-word window of the benchmark go
 pii              personal data is replaced by its kind in brackets; n_chars follows
 sentencepiece    doc_id, n_pieces, ids (SentencePiece) and round_trip (whether the ids decode to the text)
 
-Null and empty texts are clean and pass; rows with a null doc_id are judged by their own text. Of rows that share
-a doc_id one stays.
+Null and empty texts are clean and pass. Rows with a null doc_id, or with one that other rows have too, are judged
+by their own text; of rows with equal doc_id and text one stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relforge.llm import decontamination as decontam
@@ -38,14 +38,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5)
-    kept = _without(docs, found.where("NOT kept").select("doc_id").distinct(), ["doc_id"])
-    repeated = saved(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    once = kept.join(repeated, "doc_id", "left_semi").withColumn("_first", first).where("_first = 1").select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1 OR doc_id IS NULL")
+    if odd.isEmpty():
+        found = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle=5)
+        return _without(docs, found.where("NOT kept").select("doc_id"), ["doc_id"])
+    # the id and the text name a row, so that rows without an id or with a shared one are judged by their own text
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("text").isNull().alias("empty")))
+    rows = saved(rows.dropDuplicates(["_row"]), "rows")
+    found = near_dedup.near_duplicates(rows.select("_row", "text"), shingle=5, key="_row")
+    return _without(rows, found.where("NOT kept").select("_row"), ["_row"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
