@@ -26,6 +26,9 @@ TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS, TAG_PLANAR
 TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILE_OFFSETS, TAG_TILE_COUNTS = 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8}
+#: Decoded bytes that one byte of a file can stand for at most (deflate's bound is near 1032, PackBits' is 64;
+#: an LZW code of 9 bits or more stands for fewer than 4,096): a header that claims more is damaged.
+MOST_FROM_A_BYTE = 4096
 
 
 class BadTiff(ValueError):
@@ -58,9 +61,9 @@ def write_page(payload: bytes, width: int = WIDTH, predictor: int = 1) -> bytes:
     return b"".join([*out, struct.pack("<I", 0), tail, *strips])
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, expected: int) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < expected:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -72,7 +75,7 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
+def unpack_lzw(data: bytes, expected: int) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends; widths grow one code early."""
     out, entries, width, last, held, bits = bytearray(), [bytes([i]) for i in range(256)] + [b"", b""], 9, b"", 0, 0
     for byte in data:
@@ -94,6 +97,8 @@ def unpack_lzw(data: bytes) -> bytes:
             entries.append(last + entry[:1])
         out += entry
         last = entry
+        if len(out) >= expected:
+            break
         width = 12 if len(entries) >= 2047 else 11 if len(entries) >= 1023 else 10 if len(entries) >= 511 else 9
     return bytes(out)
 
@@ -107,6 +112,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
         if width is None or kind in (2, 5):
             continue
         where = at + 10 + 12 * k
+        if width * count > len(data):
+            raise BadTiff("a field longer than its file")
         if width * count > 4:
             (where,) = struct.unpack_from(f"{order}I", data, where)
         fields[tag] = struct.unpack_from(f"{order}{count}{'BHI'[width // 2]}", data, where)
@@ -114,18 +121,20 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple[int, .
 
 
 def _samples(data: bytes, fields: dict, offset: int, count: int, rows: int, columns: int, samples: int) -> np.ndarray:
-    raw, how = data[offset : offset + count], fields.get(TAG_COMPRESSION, (NONE,))[0]
+    raw, how, expected = data[offset : offset + count], fields.get(TAG_COMPRESSION, (NONE,))[0], rows * columns * samples
+    if expected > MOST_FROM_A_BYTE * len(raw):
+        raise BadTiff("a strip or tile is too short")
     if how == PACKBITS:
-        raw = unpack_bits(raw)
+        raw = unpack_bits(raw, expected)
     elif how == LZW:
-        raw = unpack_lzw(raw)
+        raw = unpack_lzw(raw, expected)
     elif how in (DEFLATE, OLD_DEFLATE):
-        raw = zlib.decompress(raw)
+        raw = zlib.decompressobj().decompress(raw, expected)
     elif how != NONE:
         raise BadTiff(f"compression {how}")
-    if len(raw) < rows * columns * samples:
+    if len(raw) < expected:
         raise BadTiff("a strip or tile is too short")
-    block = np.frombuffer(raw, np.uint8)[: rows * columns * samples].reshape(rows, columns, samples)
+    block = np.frombuffer(raw, np.uint8)[:expected].reshape(rows, columns, samples)
     predictor = fields.get(TAG_PREDICTOR, (1,))[0]
     if predictor == 2:
         block = np.cumsum(block, axis=1, dtype=np.uint8)
@@ -134,6 +143,30 @@ def _samples(data: bytes, fields: dict, offset: int, count: int, rows: int, colu
     return block
 
 
+def _page(data: bytes, f: dict[int, tuple[int, ...]]) -> np.ndarray:
+    """The samples of one directory. Its strips or tiles have to cover the page exactly, and the page has to be
+    of a size that the file's bytes can hold, before anything is allocated."""
+    width, height, samples = f[TAG_WIDTH][0], f[TAG_HEIGHT][0], f.get(TAG_SAMPLES, (1,))[0]
+    if set(f.get(TAG_BITS, (1,))) != {8} or f.get(TAG_PLANAR, (1,))[0] != 1:
+        raise BadTiff("only interleaved 8-bit samples are read")
+    tiled = TAG_TILE_OFFSETS in f
+    w, h = (f[TAG_TILE_WIDTH][0], f[TAG_TILE_HEIGHT][0]) if tiled else (width, min(f.get(TAG_ROWS_PER_STRIP, (height,))[0], height))
+    if min(width, height, samples, w, h) < 1:
+        raise BadTiff("a page, strip or tile without samples")
+    offsets, counts = (f[TAG_TILE_OFFSETS], f[TAG_TILE_COUNTS]) if tiled else (f[TAG_STRIP_OFFSETS], f[TAG_STRIP_COUNTS])
+    across, down = -(-width // w), -(-height // h)
+    if not len(offsets) == len(counts) == across * down:
+        raise BadTiff("strips or tiles that don't cover the page")
+    if width * height * samples > MOST_FROM_A_BYTE * len(data) or w * h * samples > MOST_FROM_A_BYTE * len(data):
+        raise BadTiff("a page larger than its file can hold")
+    page = np.zeros((height, width, samples), np.uint8)
+    for k, (o, n) in enumerate(zip(offsets, counts, strict=True)):
+        y, x = k // across * h, k % across * w
+        rows = h if tiled else min(h, height - y)
+        page[y : y + h, x : x + w] = _samples(data, f, o, n, rows, w, samples)[: height - y, : width - x]
+    return page
+
+
 def read_tiff(data: bytes) -> Iterator[np.ndarray]:
     """The pages in file order, each as rows x columns x samples of 8 bits. Raises BadTiff."""
     try:
@@ -145,26 +178,12 @@ def read_tiff(data: bytes) -> Iterator[np.ndarray]:
         while at and at not in seen:
             seen.add(at)
             f, at = _directory(data, at, order)
-            width, height, samples = f[TAG_WIDTH][0], f[TAG_HEIGHT][0], f.get(TAG_SAMPLES, (1,))[0]
-            if set(f.get(TAG_BITS, (1,))) != {8} or f.get(TAG_PLANAR, (1,))[0] != 1:
-                raise BadTiff("only interleaved 8-bit samples are read")
-            page = np.empty((height, width, samples), np.uint8)
-            if TAG_TILE_OFFSETS in f:
-                w, h, across = f[TAG_TILE_WIDTH][0], f[TAG_TILE_HEIGHT][0], -(-width // f[TAG_TILE_WIDTH][0])
-                for k, (o, n) in enumerate(zip(f[TAG_TILE_OFFSETS], f[TAG_TILE_COUNTS], strict=True)):
-                    y, x = k // across * h, k % across * w
-                    page[y : y + h, x : x + w] = _samples(data, f, o, n, h, w, samples)[: height - y, : width - x]
-            else:
-                per = min(f.get(TAG_ROWS_PER_STRIP, (height,))[0], height)
-                for k, (o, n) in enumerate(zip(f[TAG_STRIP_OFFSETS], f[TAG_STRIP_COUNTS], strict=True)):
-                    rows = min(per, height - k * per)
-                    page[k * per : k * per + rows] = _samples(data, f, o, n, rows, width, samples)
-            yield page
-    except (KeyError, struct.error, zlib.error, IndexError, ValueError) as error:
+            yield _page(data, f)
+    except (KeyError, struct.error, zlib.error, IndexError, ValueError, MemoryError) as error:
         raise error if isinstance(error, BadTiff) else BadTiff(f"{type(error).__name__}: {error}") from error
 
 
-def _in_pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _in_pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     size = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(size):
@@ -176,8 +195,10 @@ def _in_pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 8_000_000) -
 
 def encode_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep columns, ``n_bytes`` and ``media``: the text's UTF-8 bytes, padded with zero bytes to a positive
-    multiple of 64, as a one-page TIFF file. A null text is an empty one; equal texts give equal files."""
+    multiple of 64, as a one-page TIFF file. A null text is an empty one; equal texts give equal files. keep columns
+    with the name of a made one are replaced."""
     ship(df.sparkSession)
+    keep = [c for c in keep if c not in ("n_bytes", "media", "_text")]
     rows = df.select(*keep, df[text].alias("_text"))
 
     def run(batches):
@@ -191,19 +212,23 @@ def encode_texts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}{', ' * bool(keep)}n_bytes long, media binary")
 
 
+MADE = ["page", "width", "height", "samples", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error", "pixels"]
+
+
 def read_pages(df: DataFrame, media: str, keep: list[str], pixels: bool = False) -> DataFrame:
     """One row per page of each file: keep columns, page (from 0), width, height, samples, payload_bytes,
     payload_sha256, tail_crc32 (of the last 64 samples), media_bytes, media_sha256, feature and error; with
     pixels also the samples. A null, empty or damaged file gives its pages up to the damage and then one row
-    with page null and error set."""
+    with page null and error set. keep columns with the name of a made one are replaced."""
     ship(df.sparkSession)
+    keep = [c for c in keep if c not in MADE and c != "_media"]
     rows = df.select(*keep, df[media].alias("_media"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[: len(keep)])
     schema = f"{kept}{', ' * bool(keep)}page int, width int, height int, samples int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string" + ", pixels binary" * pixels
 
     def run(batches):
         kinds = [pa.int32()] * 4 + [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * pixels
-        names = [*keep, "page", "width", "height", "samples", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"] + ["pixels"] * pixels
+        names = [*keep, *MADE[:-1]] + ["pixels"] * pixels
         for whole in batches:
             for b in _in_pieces(whole, len(keep)):
                 at, out = [], []

@@ -98,6 +98,29 @@ def test_written_pages_read_back(raw, predictor):
     assert page.tobytes() == raw
 
 
+def test_damaged_geometry():
+    strip = zlib.compress(bytes(64 * 8))
+    good = [(64, 8, 8, 1, [strip], None)]
+    assert next(media.read_tiff(tiff(good))).shape == (8, 64, 1)
+
+    def changed(tag, value, data=None):
+        data = bytearray(data or tiff(good))
+        (at,) = struct.unpack_from("<I", data, 4)
+        for k in range(struct.unpack_from("<H", data, at)[0]):
+            if struct.unpack_from("<H", data, at + 2 + 12 * k)[0] == tag:
+                struct.pack_into("<I", data, at + 10 + 12 * k, value)
+        return bytes(data)
+
+    huge = changed(257, 2_000_000, changed(256, 2_000_000))
+    few = tiff([(64, 64, 8, 1, [strip] * 8, None)])
+    few = changed(278, 4, few)  # sixteen strips of four rows are wanted, eight are there
+    bomb = tiff([(64, 8, 8, 1, [zlib.compress(bytes(10**7))], None)])
+    assert next(media.read_tiff(bomb)).shape == (8, 64, 1)
+    for bad in (huge, changed(256, 0), changed(257, 0), changed(278, 0), changed(277, 0), changed(257, 9), changed(273, 10**6), changed(279, 3), few, tiff(good)[:60]):
+        with pytest.raises(media.BadTiff):
+            list(media.read_tiff(bad))
+
+
 def test_media_columns(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("page", F.lit("clash"))
     got = {r["doc_id"]: r for r in media.read_pages(media.encode_texts(df, "text", ["doc_id"]), "media", ["doc_id", "n_bytes"]).collect()}
