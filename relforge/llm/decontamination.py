@@ -6,8 +6,10 @@ Rarity is counted over all documents. A document's occurrence of that shingle, a
 the window would begin; windows that would begin before the text or end after it are out (positional and length
 bounds), and for the rest the words themselves are compared, window by window.
 
-The benchmark is taken in blocks of a bounded number of windows. A block's shingle hashes go to the executors;
-documents are read once for the counts and once for the candidates of each block and are never shuffled.
+The benchmark's distinct windows are taken in blocks of a bounded number. A block's shingle hashes go to the
+executors; documents are read once for the counts and once for the candidates of each block and are never shuffled.
+Words are counted from distinct windows. A window's items are one list beside it and meet the documents that hold
+the window at the end, so a window that stands in many items is matched once.
 """
 
 from __future__ import annotations
@@ -133,44 +135,49 @@ def _candidates(docs: DataFrame, keys: np.ndarray, sizes: list[int], size: int)
 
 def overlap(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """One row per row of docs: its key, n_words, n_hit (words inside an occurrence of any window), items (the
-    sorted ids, as strings, of the benchmark items that have one), hits (start, w, item) and contaminated.
+    sorted ids, as strings, of the benchmark items that have one), n_items, hits (start and w of every occurrence)
+    and contaminated.
 
     Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A null or empty text has
-    no words; items without words and null ids of either side match nothing or stay null; repeated rows are
-    counted each on their own. Memory follows the longest text. The key's column is the only one that is kept.
+    no words; items without words match nothing; an item without an id marks words but is neither listed nor
+    counted; null keys stay; repeated rows are counted each on their own. Memory follows the longest text. The key's
+    column is the only one that is kept.
     """
     ship(docs.sparkSession)
-    all_windows = saved(windows(benchmark, size, item, text), "windows")
-    n_blocks = -(-all_windows.count() // WINDOWS_PER_BLOCK)
+    every = saved(windows(benchmark, size, item, text), "windows")
+    distinct = saved(every.groupBy("window").agg(F.first("w").alias("w"), F.first("shingles").alias("shingles"), F.collect_set(F.col("item_id").cast("string")).alias("of_window")).withColumn("number", F.monotonically_increasing_id()), "distinct")
+    n_blocks = -(-distinct.count() // WINDOWS_PER_BLOCK)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_text"))
     found = None
     for block in range(max(n_blocks, 1)):
-        mine = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(max(n_blocks, 1))) == block)
-        exploded = mine.select("item_id", "window", "w", F.posexplode("shingles").alias("offset", "shingle"))
+        mine = distinct.where(F.pmod(F.xxhash64("window"), F.lit(max(n_blocks, 1))) == block).drop("of_window")
+        exploded = mine.select("number", "window", "w", F.posexplode("shingles").alias("offset", "shingle"))
         keys = _hashes(exploded)
         sizes = [r[0] for r in mine.select(F.least("w", F.lit(SHINGLE))).distinct().orderBy(F.least("w", F.lit(SHINGLE))).collect()]
         counts = saved(_count(rows.select("_text"), keys, sizes), "rarity") if len(keys) else None
         if counts is None:
             prefix = exploded.where("false").withColumn("n", F.lit(0))
         else:
-            prefix = exploded.join(F.broadcast(counts), "shingle", "left").groupBy("item_id", "window", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("p"))
-            prefix = saved(prefix.select("item_id", "window", "w", "p.n", "p.shingle", "p.offset").where("n > 0"), "prefix")
+            prefix = exploded.join(F.broadcast(counts), "shingle", "left").groupBy("number", "window", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("p"))
+            prefix = saved(prefix.select("number", "window", "w", "p.n", "p.shingle", "p.offset").where("n > 0"), "prefix")
         words = F.slice("cand.words", F.col("cand.before") - F.col("offset") + 1, F.col("w"))
         fits = (F.col("cand.before") >= F.col("offset")) & (F.concat_ws(" ", words) == F.col("window"))
         part = (
             _candidates(rows, _hashes(prefix), sizes, size)
             .select("_row", "_key", "n_words", F.explode_outer("cands").alias("cand"))
-            .join(F.broadcast(prefix), (F.col("cand.shingle") == F.col("shingle")) & fits, "left")  # a block of windows at most
-            .select("_row", "_key", "n_words", F.when(F.col("window").isNotNull(), F.struct((F.col("cand.position") - F.col("offset")).alias("start"), "w", "item_id")).alias("hit"))
+            .join(F.broadcast(prefix), (F.col("cand.shingle") == F.col("shingle")) & fits, "left")  # a block of distinct windows at most
+            .select("_row", "_key", "n_words", "number", F.when(F.col("window").isNotNull(), F.struct((F.col("cand.position") - F.col("offset")).alias("start"), "w")).alias("hit"))
         )
         found = part if found is None else found.unionByName(part)
-    span = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["w"] - 1)))
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
-    return (
-        found.groupBy("_row", "_key")
-        .agg(F.max("n_words").alias("n_words"), F.collect_list("hit").alias("hits"))  # at most a text's own positions
-        .select(F.col("_key").alias(key), "n_words", F.size(F.array_distinct(span)).cast("long").alias("n_hit"), items.alias("items"), "hits", (F.size("hits") > 0).alias("contaminated"))
-    )
+    # at each position of a text a window of each length at most
+    held = saved(found.groupBy("_row", "_key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_set("hit")).alias("hits"), F.collect_set("number").alias("numbers")), "held")
+    end = F.struct(F.lit(0).cast("int").alias("end"), F.lit(0).cast("long").alias("n"))
+    reach = lambda a, h: F.greatest(a["end"], h["start"] + h["w"])
+    union = F.aggregate("hits", end, lambda a, h: F.struct(reach(a, h).alias("end"), (a["n"] + reach(a, h) - F.greatest(a["end"], h["start"])).cast("long").alias("n")), lambda a: a["n"])
+    lists = held.where(F.size("numbers") > 0).select("_row", F.explode("numbers").alias("number")).join(distinct.select("number", "of_window"), "number")
+    items = lists.groupBy("_row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("of_window")))).alias("items"))
+    none = F.array().cast("array<string>")
+    return held.join(items, "_row", "left").select(F.col("_key").alias(key), "n_words", union.alias("n_hit"), F.coalesce("items", none).alias("items"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"), "hits", (F.size("hits") > 0).alias("contaminated"))
 
 
 def _hashes(df: DataFrame) -> np.ndarray:
@@ -181,7 +188,7 @@ def _hashes(df: DataFrame) -> np.ndarray:
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     """Words of every document inside a 10-word window of the benchmark."""
     out = overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -196,7 +203,7 @@ g AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS span
 hit AS (SELECT r, k, i, item_id FROM g JOIN win USING (k, span)),
 n AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
-        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY r)
+        FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (r) LEFT JOIN its USING (r)

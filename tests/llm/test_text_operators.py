@@ -48,6 +48,16 @@ def test_overlap_equals_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
+def test_a_window_of_many_items(spark):
+    from pyspark.sql import functions as F
+
+    passage = text_of(1, 10)
+    b = spark.range(10_000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    d = spark.createDataFrame([(i, f"x{i} {passage} {passage} y") for i in range(50)] + [(99, "clean")], "doc_id long, text string")
+    got = decontamination.overlap(d, b).select("doc_id", "n_hit", "n_items", F.size("items").alias("listed"), F.size("hits").alias("hits")).collect()
+    assert sorted(map(tuple, got)) == [(i, 20, 10_000, 10_000, 2) for i in range(50)] + [(99, 0, 0, 0, 0)]
+
+
 def test_overlap_of_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
