@@ -1,12 +1,13 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
 Base entities (e-mail, IP address, card number, phone number) come from patterns that run in time linear in the
-text. They are also the seeds of the bootstrap: the token before a seed is a lexical pattern. Patterns and the
-values they stand before form a graph; a pattern's score is the share of all its occurrences in the corpus,
-before whatever, that stand before a trusted value, and a value's score is the chance that one of its patterns
-is right. The scores are computed in a fixed number of rounds; candidates (tokens with digits that are no base
-entity) behind high-scoring patterns become spans of kind ``id``. In every round the tokens before all values
-trusted by then are patterns, so identifiers found behind one pattern lead to others.
+text. They are also the seeds of the bootstrap, as are candidates whose form alone tells (SHAPES). The one to three
+tokens to the left and to the right of a value, words and marks alike, are lexical patterns if a word is among them
+(``token = "``). Patterns and the values beside them form a graph; a pattern's score is the share of all its
+occurrences in the corpus, beside whatever, that stand beside a trusted value, and a value's score is the chance that
+one of its patterns is right. The scores are computed in a fixed number of rounds; candidates (tokens with digits
+that are no base entity) beside high-scoring patterns become spans of kind ``id``. In every round the contexts of all
+values trusted by then are patterns, so identifiers found by one pattern lead to others.
 
 DataFrame functions only. Texts are scanned once for entities and candidates and once for the patterns' counts;
 what moves are matches with a few characters around them.
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from .shared import saved, table
 
 KINDS = ("email", "ip", "card", "phone", "id")
-LEFT = 48
+#: Tokens of a pattern at most, and characters beside a value in which they are looked for.
+CONTEXT = 3
+BESIDE = 64
 MIN_SEEDS = 3
 ROUNDS = 3
 CONFIDENCE = 0.5
@@ -36,7 +39,10 @@ _CARD = r"[0-9][0-9 -]{11,}+"
 _CARD_GAPS = r"[ -](?![0-9])|(?<![0-9])[ -]"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_-]{5,}+"
-_TOKENS = r"[\s\"']+|(?<=[=:])"
+_TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+#: Forms (in small letters) of candidates that are seeds: keys and digests in hexadecimal digits, and
+#: the published prefixes of access keys, tokens and web tokens.
+SHAPES = (r"(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}", r"akia[0-9a-z]{16}", r"gh[opsur]_[0-9a-z]{36}", r"xox[abprs]-[0-9a-z-]{10,}", r"sk-[0-9a-z_-]{20,}", r"eyj[0-9a-z_-]{20,}")
 
 
 def _digits(c: Column) -> Column:
@@ -61,14 +67,28 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    """What lies before each match, with the match; the last has no match."""
-    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    """What lies before each match, the match, and what lies behind it; the last has no match."""
+    gaps = F.split(text, pattern, -1)
+    return F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+
+
+def _patterns(left: Column, right: Column) -> Column:
+    """The patterns beside a value: the side, and one to CONTEXT tokens that hold a word; left and right are tokens."""
+    grams = []
+    for k in range(1, CONTEXT + 1):
+        grams += [F.when(F.size(left) >= k, F.struct(F.lit("left").alias("side"), F.array_join(F.slice(left, -k, k), " ").alias("gram")))]
+        grams += [F.when(F.size(right) >= k, F.struct(F.lit("right").alias("side"), F.array_join(F.slice(right, 1, k), " ").alias("gram")))]
+    return F.filter(F.array(*grams), lambda g: g.isNotNull() & g["gram"].rlike(r"[\p{L}\p{N}]"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, key, text_hash, kind, start, stop, value and left (the token before) for every base entity and
-    every candidate (kind ``id``) of every text, and a row with a null kind for a text that has none. Positions
-    are code points, from 0, the end exclusive."""
+    """row, key, text_hash, kind, start, stop, value and patterns for every base entity and every
+    candidate (kind ``id``) of every text, and a row with a null kind for a text that has none. Positions are code
+    points, from 0, the end exclusive."""
     t = F.coalesce(F.col(text), F.lit(""))
     clean = F.translate(t, _OUT, _OTHER)
     kinds = {
@@ -85,7 +105,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     each = each.select(
         *("row", "key", "text_hash", "kind", "i"),
         F.length("p.gap").alias("gap"),
-        F.right("p.gap", F.lit(LEFT)).alias("before"),
+        F.translate(F.right("p.gap", F.lit(BESIDE)), _OUT, ".").alias("before"),
+        F.translate(F.left("p.next", F.lit(BESIDE)), _OUT, ".").alias("behind"),
         F.translate("p.value", _OUT, ".").alias("value"),
     )
     upto = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +119,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         F.when(good, F.col("stop") - F.length("value")).alias("start"),
         F.when(good, F.col("stop")).alias("stop"),
         F.when(good, F.lower("value")).alias("value"),
-        F.when(good, F.lower(F.try_element_at(F.filter(F.split("before", _TOKENS), lambda w: w != ""), F.lit(-1)))).alias("left"),
+        F.when(good, _patterns(_tokens(F.col("before")), _tokens(F.col("behind")))).alias("patterns"),
     )
 
 
@@ -113,29 +134,51 @@ def _apart(found: DataFrame) -> DataFrame:
     return marked.where(~clash).drop("_ended", "_begins")
 
 
+def _seed() -> Column:
+    return (F.col("kind") != "id") | F.col("value").rlike(f"^(?:{'|'.join(SHAPES)})$")
+
+
+def _run_of(k: int):
+    """A token with the k tokens behind it; null near the end."""
+    return lambda x, i: F.concat(x, *[c for j in range(1, k + 1) for c in (F.lit(" "), F.get("t", i + j))])
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """gram: every run of one to CONTEXT tokens of the texts (a single column)."""
+    tokens = texts.select(_tokens(F.col(texts.columns[0])).alias("t"))
+    runs = [F.col("t")]
+    for k in range(1, CONTEXT):
+        runs.append(F.filter(F.transform("t", _run_of(k)), lambda g: g.isNotNull()))
+    return tokens.select(F.explode(F.concat(*runs)).alias("gram"))
+
+
 def bootstrap(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """pattern, confidence: the lexical patterns whose confidence reaches CONFIDENCE after ROUNDS rounds.
+    """side, gram, confidence: the lexical patterns whose confidence reaches CONFIDENCE after ROUNDS rounds.
 
     found: what scan() gives, without overlaps. A pattern takes part from the round in which MIN_SEEDS different
-    values behind it are trusted (seeds, and values whose belief reaches CONFIDENCE). Tokens with fewer values
-    behind them can't; all others are counted in the texts once.
+    values beside it are trusted (seeds, and values whose belief reaches CONFIDENCE). Patterns with fewer values
+    beside them can't; all others are counted in the texts once.
     """
-    edges = found.where("left IS NOT NULL").groupBy(F.col("left").alias("pattern"), "value").agg(F.count("*").alias("n"), F.max(F.col("kind") != "id").alias("seed"))
-    edges = saved(edges, "edges")
-    patterns = saved(edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select("pattern"), "patterns")
-    n = patterns.count()
-    tokens = docs.select(F.explode(F.split(F.lower(F.col(text)), _TOKENS)).alias("pattern"))
-    totals = saved(tokens.join(F.broadcast(patterns) if n <= BROADCAST_PATTERNS else patterns, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total")), "totals")
-    graph = saved(edges.join(totals, "pattern"), "graph")
+    pattern = ["side", "gram"]
+    each = found.where("kind IS NOT NULL").select("value", _seed().alias("seed"), F.explode("patterns").alias("p")).select("p.*", "value", "seed")
+    edges = saved(each.groupBy(*pattern, "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed")), "edges")
+    wide = saved(edges.groupBy(*pattern).agg(F.count("*").alias("values")).where(F.col("values") >= MIN_SEEDS).select(*pattern), "patterns")
+    grams = saved(wide.select("gram").distinct(), "grams")
+    every = _grams(docs.select(text))
+    if grams.count() <= BROADCAST_PATTERNS:
+        totals = every.join(F.broadcast(grams), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("total"))
+    else:  # counted before they move, so that a common word is one row of each task
+        totals = every.groupBy("gram").agg(F.count("*").alias("total")).join(grams, "gram", "left_semi")
+    graph = saved(edges.join(wide, pattern, "left_semi").join(saved(totals, "totals"), "gram"), "graph")
     trust = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0))
     scored = graph.withColumn("trust", trust)
     for last in range(ROUNDS - 1, -1, -1):
-        confidence = F.least(F.sum(F.col("n") * F.col("trust")) / F.greatest(F.first("total"), F.sum("n")), F.lit(1.0))
+        confidence = F.least(F.sum(F.col("n") * F.col("trust")) / F.greatest(F.max("total"), F.sum("n")), F.lit(1.0))
         trusted = F.count(F.when(F.col("trust") > 0, 1))
-        by_pattern = saved(scored.groupBy("pattern").agg(confidence.alias("confidence"), trusted.alias("trusted")).where(F.col("trusted") >= MIN_SEEDS).drop("trusted"), "confidence")
+        by_pattern = saved(scored.groupBy(*pattern).agg(confidence.alias("confidence"), trusted.alias("trusted")).where(F.col("trusted") >= MIN_SEEDS).drop("trusted"), "confidence")
         if last:
             doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-            by_value = graph.join(by_pattern, "pattern").groupBy("value").agg((1 - doubt).alias("belief"))
+            by_value = graph.join(by_pattern, pattern).groupBy("value").agg((1 - doubt).alias("belief"))
             belief = F.when(F.col("seed"), 1.0).when(F.col("belief") >= CONFIDENCE, F.col("belief")).otherwise(0.0)
             scored = saved(graph.join(by_value, "value", "left").withColumn("trust", belief).drop("belief"), "trust")
     return by_pattern.where(F.col("confidence") >= CONFIDENCE)
@@ -149,12 +192,12 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     found = saved(scan(docs, key, text), "entities")
     apart = saved(_apart(found.where("kind IS NOT NULL")), "apart")
-    good = bootstrap(docs, apart, text)
-    new = apart.where("kind = 'id'").join(good.select(F.col("pattern").alias("left")), "left", "left_semi")
+    good = bootstrap(docs, apart, text).select("side", "gram")
     columns = ["row", "key", "text_hash", "kind", "start", "stop"]
+    new = apart.where("kind = 'id'").select(*columns, F.explode("patterns").alias("p")).select(*columns, "p.*").join(good, ["side", "gram"], "left_semi").select(columns).distinct()
     none = found.select("row", "key", "text_hash").distinct().select("*", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"))
     known = apart.where("kind <> 'id'").select(columns)
-    return known.unionByName(new.select(columns)).unionByName(none)
+    return known.unionByName(new).unionByName(none)
 
 
 def _listed(all_kinds: bool) -> Column:

@@ -208,6 +208,25 @@ def test_found_identifiers_lead_to_new_contexts(spark):
     assert found == set(range(8, 15))
 
 
+def test_planted_secrets_are_found(spark):
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    prose = lambda: " ".join(rng.choices(WORDS, k=30))
+    docs, want = [], set()
+    for i in range(200):
+        secret = hashlib.sha1(str(i).encode()).hexdigest() if i % 20 else f"odd-form-{i}-{i * 7919}"  # some unseen forms
+        if i % 2:
+            docs.append(f"{prose()} reach a{i}@b{i}.org or {'%d' % (10**15 + i)} {prose()}")
+        else:
+            line = f'token = "{secret}"'
+            docs.append(f"{prose()}\n{line if i % 8 else line.upper()}\n{prose()} part-{i}00 {prose()}")
+            want.add((i, (secret if i % 8 else secret.upper())))
+    found = {(r["key"], docs[r["key"]][r["start"] : r["stop"]]) for r in pii.spans(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).where("kind = 'id'").collect()}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.95 * len(found)
+
+
 def test_long_identifiers_go_whole(spark):
     long, late = "k1" + "ab3" * 40, "x" * 50 + "7"
     docs = [*[f"contact: user{i}@mail{i}.org" for i in range(6)], f"contact: {long}Z end", f"contact: {late}"]
