@@ -6,44 +6,56 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-# The rule constants that results depend on.
-IDENTITY_PARTS = "_id _key _code _ref _number sys_id uuid guid".split()
-MODERATE_PARTS = "id key code ref number".split()
-KEY_BLACKLIST = "email phone price amount cost total quantity date timestamp name description address status city state zip country supplier category".split()
-PRIMARY_KEY_BLACKLIST = (
-    "email phone mobile fax contact price amount cost total subtotal tax discount quantity qty count balance payment salary wage date time timestamp created updated modified "
-    "name description desc title label comment note status state type category class level priority address street city zip postal country product item sku barcode isbn "
-    "supplier vendor manufacturer brand model order_date ship_date delivery_date due_date"
-).split()
-ENTITY_WORDS = "supplier vendor manufacturer customer employee product order invoice contract location company".split()
-CATEGORICAL_WORDS = "state status type category level grade class rank priority severity".split()
-CONTACT_WORDS = "email phone address contact website city zip".split()
-NAME_WORDS = "name description label title desc".split()
-COMMON_WORDS = "id code name desc description number num value text data info type status".split()
-STRUCTURAL_WORDS = "email phone address street city state zip postal country website url contact fax".split()
-TEMPORAL_WORDS = "date time timestamp created updated modified occurred logged recorded".split()
-STATUS_WORDS = "status state stage phase step condition".split()
-ITEM_WORDS = "item line detail entry component part".split()
-SEQUENCE_WORDS = "seq sequence order position index number rank".split()
-CHILD_SUFFIXES = "_items _events _history _log _details _lines _entries _transactions".split()
-ADDRESS_WORDS = "address addr location street".split()
-FULL_NAME_WORDS = "name fullname full_name".split()
+# Fixed values, down to HIERARCHY_PATTERNS: the rule constants that results depend on.
+IDENTITY_PARTS = ["_id", "_key", "_code", "_ref", "_number", "sys_id", "uuid", "guid"]
+MODERATE_PARTS = ["id", "key", "code", "ref", "number"]
+KEY_BLACKLIST = ["email", "phone", "price", "amount", "cost", "total", "quantity", "date", "timestamp", "name", "description", "address", "status", "city", "state", "zip", "country", "supplier", "category"]
+PRIMARY_KEY_BLACKLIST = [
+    "email", "phone", "mobile", "fax", "contact", "price", "amount", "cost", "total", "subtotal",
+    "tax", "discount", "quantity", "qty", "count", "balance", "payment", "salary", "wage", "date",
+    "time", "timestamp", "created", "updated", "modified", "name", "description", "desc", "title", "label",
+    "comment", "note", "status", "state", "type", "category", "class", "level", "priority", "address",
+    "street", "city", "zip", "postal", "country", "product", "item", "sku", "barcode", "isbn",
+    "supplier", "vendor", "manufacturer", "brand", "model", "order_date", "ship_date", "delivery_date", "due_date",
+]
+ENTITY_WORDS = ["supplier", "vendor", "manufacturer", "customer", "employee", "product", "order", "invoice", "contract", "location", "company"]
+CATEGORICAL_WORDS = ["state", "status", "type", "category", "level", "grade", "class", "rank", "priority", "severity"]
+CONTACT_WORDS = ["email", "phone", "address", "contact", "website", "city", "zip"]
+NAME_WORDS = ["name", "description", "label", "title", "desc"]
+COMMON_WORDS = ["id", "code", "name", "desc", "description", "number", "num", "value", "text", "data", "info", "type", "status"]
+STRUCTURAL_WORDS = ["email", "phone", "address", "street", "city", "state", "zip", "postal", "country", "website", "url", "contact", "fax"]
+TEMPORAL_WORDS = ["date", "time", "timestamp", "created", "updated", "modified", "occurred", "logged", "recorded"]
+STATUS_WORDS = ["status", "state", "stage", "phase", "step", "condition"]
+ITEM_WORDS = ["item", "line", "detail", "entry", "component", "part"]
+SEQUENCE_WORDS = ["seq", "sequence", "order", "position", "index", "number", "rank"]
+CHILD_SUFFIXES = ["_items", "_events", "_history", "_log", "_details", "_lines", "_entries", "_transactions"]
+ADDRESS_WORDS = ["address", "addr", "location", "street"]
+FULL_NAME_WORDS = ["name", "fullname", "full_name"]
 ROLE_WORDS = {
-    "identifiers": "id key code number".split(),
-    "descriptive": "name description title label".split(),
-    "temporal": "date time timestamp created updated".split(),
-    "quantitative": "amount quantity price total count".split(),
+    "identifiers": ["id", "key", "code", "number"],
+    "descriptive": ["name", "description", "title", "label"],
+    "temporal": ["date", "time", "timestamp", "created", "updated"],
+    "quantitative": ["amount", "quantity", "price", "total", "count"],
+}
+BUSINESS_WORDS = ["name", "title", "description", "desc", "label", "category", "status", "state", "type", "kind", "tag", "skill", "attribute", "feature", "property", "quantity", "qty", "amount", "price", "cost", "value", "address", "email", "phone", "contact", "note", "comment", "remark", "message"]
+RESERVED = {
+    "ACCESS", "ADD", "ALL", "ALTER", "AND", "ANY", "AS", "ASC", "AUDIT", "BETWEEN",
+    "BY", "CHAR", "CHECK", "CLUSTER", "COLUMN", "COMMENT", "COMPRESS", "CONNECT", "CREATE", "CURRENT",
+    "DATE", "DECIMAL", "DEFAULT", "DELETE", "DESC", "DISTINCT", "DROP", "ELSE", "EXCLUSIVE", "EXISTS",
+    "FILE", "FLOAT", "FOR", "FROM", "GRANT", "GROUP", "HAVING", "IDENTIFIED", "IMMEDIATE", "IN",
+    "INCREMENT", "INDEX", "INITIAL", "INSERT", "INTEGER", "INTERSECT", "INTO", "IS", "LEVEL", "LIKE",
+    "LOCK", "LONG", "MAXEXTENTS", "MINUS", "MLSLABEL", "MODE", "MODIFY", "NOAUDIT", "NOCOMPRESS", "NOT",
+    "NOWAIT", "NULL", "NUMBER", "OF", "OFFLINE", "ON", "ONLINE", "OPTION", "OR", "ORDER",
+    "PCTFREE", "PRIOR", "PRIVILEGES", "PUBLIC", "RAW", "RENAME", "RESOURCE", "REVOKE", "ROW", "ROWID",
+    "ROWNUM", "ROWS", "SELECT", "SESSION", "SET", "SHARE", "SIZE", "SMALLINT", "START", "SUCCESSFUL",
+    "SYNONYM", "SYSDATE", "TABLE", "THEN", "TO", "TRIGGER", "UID", "UNION", "UNIQUE", "UPDATE",
+    "USER", "VALIDATE", "VALUES", "VARCHAR", "VARCHAR2", "VIEW", "WHENEVER", "WHERE", "WITH", "TIMESTAMP",
+    "INTERVAL", "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "TIMEZONE", "PARTITION", "SUBPARTITION",
+    "ENABLE", "DISABLE", "SEQUENCE", "TYPE", "BODY", "PACKAGE", "PROCEDURE", "FUNCTION", "CURSOR", "EXCEPTION",
 }
-BUSINESS_WORDS = "name title description desc label category status state type kind tag skill attribute feature property quantity qty amount price cost value address email phone contact note comment remark message".split()
-RESERVED = set(
-    "ACCESS ADD ALL ALTER AND ANY AS ASC AUDIT BETWEEN BODY BY CHAR CHECK CLUSTER COLUMN COMMENT COMPRESS CONNECT CREATE CURRENT CURSOR DATE DAY DECIMAL DEFAULT DELETE DESC "
-    "DISABLE DISTINCT DROP ELSE ENABLE EXCEPTION EXCLUSIVE EXISTS FILE FLOAT FOR FROM FUNCTION GRANT GROUP HAVING HOUR IDENTIFIED IMMEDIATE IN INCREMENT INDEX INITIAL INSERT "
-    "INTEGER INTERSECT INTERVAL INTO IS LEVEL LIKE LOCK LONG MAXEXTENTS MINUS MINUTE MLSLABEL MODE MODIFY MONTH NOAUDIT NOCOMPRESS NOT NOWAIT NULL NUMBER OF OFFLINE ON ONLINE "
-    "OPTION OR ORDER PACKAGE PARTITION PCTFREE PRIOR PRIVILEGES PROCEDURE PUBLIC RAW RENAME RESOURCE REVOKE ROW ROWID ROWNUM ROWS SECOND SELECT SEQUENCE SESSION SET SHARE SIZE "
-    "SMALLINT START SUBPARTITION SUCCESSFUL SYNONYM SYSDATE TABLE THEN TIMESTAMP TIMEZONE TO TRIGGER TYPE UID UNION UNIQUE UPDATE USER VALIDATE VALUES VARCHAR VARCHAR2 VIEW "
-    "WHENEVER WHERE WITH YEAR".split()
-)
 MAX_IDENTIFIER = 30
+KEY_PARTS = ["_id", "_key", "_code", "_ref"]
+HIERARCHY_PATTERNS = [r"parent_(.+)", r"(.+)_parent", r"manager_(.+)", r"supervisor_(.+)", r"chief_(.+)", r"head_(.+)"]
 
 
 def has_any(name: str, parts) -> bool:
@@ -86,13 +98,13 @@ def key_name(name: str, mode: str = "textbook") -> bool:
 
 def foreign_key_name(name: str) -> bool:
     low = name.lower()
-    return has_any(low, ("_id", "_key", "_code", "_ref")) or low.endswith("id")
+    return has_any(low, KEY_PARTS) or low.endswith("id")
 
 
 def base_name(column: str) -> str:
     """A key column's name without its key part: 'customer_id' -> 'customer'."""
     low = column.lower()
-    for part in ("_id", "_key", "_code", "_ref"):
+    for part in KEY_PARTS:
         low = low.replace(part, "")
     return low
 
@@ -108,7 +120,7 @@ def hierarchical(column: str, table: str) -> bool:
     """Whether a column's name points to its own table: parent_x, x_parent, manager_x, ... with x in the table's
     name, or parent_<entity>_id beside <entity>_id."""
     low, own = column.lower(), table.lower()
-    for pattern in (r"parent_(.+)", r"(.+)_parent", r"manager_(.+)", r"supervisor_(.+)", r"chief_(.+)", r"head_(.+)"):
+    for pattern in HIERARCHY_PATTERNS:
         m = re.match(pattern, low)
         if m and m[1] in own:
             return True

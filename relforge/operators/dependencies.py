@@ -1,8 +1,10 @@
 """Functional dependencies, unique column sets, candidate keys, partial and transitive dependencies.
 
 A dependency X -> y is tested by grouping by X and asking whether the least and the largest y of a group agree,
-which is the same as one distinct value but needs no distinct aggregate. One union of such branches tests all
-determinants against all columns at once.
+which is the same as one distinct value but needs no distinct aggregate. Texts and other wide values are compared by
+a 64-bit hash, so groups keep two numbers for each column. One union of such branches tests all determinants against
+all columns at once. Rules that only ask whether a dependency or a key holds first try to refute it on a bounded
+sample of rows, which is safe: a violation in some rows is one in all.
 """
 
 from __future__ import annotations
@@ -10,8 +12,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from relforge.functions import naming
 from relforge.sources.catalog import ROW_ORDER, plain
@@ -20,6 +24,9 @@ THRESHOLD = 0.99
 MAX_DETERMINANT = 3
 #: Determinants that are tested in one job; each is a shuffle of its own.
 DETERMINANTS_PER_JOB = 8
+#: Rows in which dependencies and keys are refuted before all rows are asked.
+REFUTING_ROWS = 20_000
+_NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
 def _q(c: str) -> Column:
@@ -34,6 +41,7 @@ def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[
     against it). The result has a row for every pair, so it stays small whatever the table's size.
     """
     df = plain(df.drop(ROW_ORDER))
+    value = {f.name: _q(f.name) if isinstance(f.dataType, _NARROW) else F.when(_q(f.name).isNotNull(), F.xxhash64(_q(f.name))) for f in df.schema}
     out = None
     for x in determinants:
         ys = [y for y in (dependents or df.columns) if y not in x]
@@ -43,7 +51,7 @@ def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[
         if drop_null_determinants:
             for c in x:
                 rows = rows.where(_q(c).isNotNull())
-        groups = rows.groupBy(*[_q(c) for c in x]).agg(*[m(_q(y)).alias(f"{k}{i}") for i, y in enumerate(ys) for k, m in (("lo", F.min), ("hi", F.max))])
+        groups = rows.groupBy(*[_q(c) for c in x]).agg(*[m(value[y]).alias(f"{k}{i}") for i, y in enumerate(ys) for k, m in (("lo", F.min), ("hi", F.max))])
         same = [F.coalesce(F.avg(F.coalesce((F.col(f"lo{i}") == F.col(f"hi{i}")).cast("int"), F.lit(0))), F.lit(1.0)).alias(f"r{i}") for i in range(len(ys))]
         row = F.array(*[F.struct(F.lit(y).alias("dependent"), F.col(f"r{i}").alias("ratio")) for i, y in enumerate(ys)])
         part = groups.agg(*same).select(F.lit("+".join(x)).alias("determinant"), F.explode(row).alias("r")).select("determinant", "r.*")
@@ -57,14 +65,67 @@ def fd_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return ratios(df.select(*[_q(c) for c in columns]), [(c,) for c in columns])
 
 
-def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False) -> dict[tuple[tuple[str, ...], str], float]:
-    """The matrix as facts for the rules, a few determinants per job."""
-    found = {}
-    for at in range(0, len(determinants), DETERMINANTS_PER_JOB):
-        part = determinants[at : at + DETERMINANTS_PER_JOB]
-        names = {"+".join(x): x for x in part}
-        rows = ratios(df, part, dependents, drop_null_determinants)
-        found |= {(names[r[0]], r[1]): r[2] for r in (rows.collect() if rows is not None else [])}
+class Sample:
+    """The first REFUTING_ROWS rows as numbers (equal ones for equal values, -1 for null) to refute rules with."""
+
+    def __init__(self, df: DataFrame):
+        df = plain(df.drop(ROW_ORDER)).limit(REFUTING_ROWS)
+        got = df.select(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))).alias(str(i)) for i, c in enumerate(df.columns)]).toPandas()
+        self.columns = {c: got[str(i)].factorize()[0] for i, c in enumerate(df.columns)}
+
+    def groups(self, x: tuple[str, ...], drop_nulls: bool = False) -> np.ndarray:
+        """The group of every row; -1 for rows that a null leaves out."""
+        out, out_of = np.zeros(len(next(iter(self.columns.values()))), np.int64), None
+        for c in x:
+            v = self.columns[c]
+            out_of = (v < 0) if out_of is None else out_of | (v < 0)
+            out = np.unique(out * (v.max(initial=0) + 2) + v + 1, return_inverse=True)[1].ravel()
+        return np.where(out_of, -1, out) if drop_nulls else out
+
+    def duplicates(self, s: tuple[str, ...]) -> bool:
+        """Whether some combination of values occurs twice (nulls are equal)."""
+        g = self.groups(s)
+        return len(np.unique(g)) < len(g)
+
+    def violations(self, groups: np.ndarray, y: str) -> int:
+        """Groups with more than one non-null value of y."""
+        v = self.columns[y]
+        there = (v >= 0) & (groups >= 0)
+        pairs = np.unique(groups[there] * (v.max(initial=0) + 1) + v[there])
+        return int((np.unique(pairs // (v.max(initial=0) + 1), return_counts=True)[1] > 1).sum())
+
+
+def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False, at_least: float = 0.0, facts: TableFacts | None = None) -> dict[tuple[tuple[str, ...], str], float]:
+    """The matrix as facts for the rules, a few determinants per job.
+
+    With at_least, pairs below it may be left out: those that the sample refutes (any violation refutes 1; fewer are
+    told from the number of groups, which facts know for single columns).
+    """
+    columns = [c for c in df.columns if c != ROW_ORDER]
+    wanted = {x: [y for y in (dependents or columns) if y not in x] for x in determinants}
+    if at_least > 0 and any(wanted.values()):
+        sample = Sample(df.select(*[_q(c) for c in columns if c in {c for x, ys in wanted.items() for c in (*x, *ys)}]))
+        for x, ys in wanted.items():
+            groups = sample.groups(x, drop_null_determinants)
+            most = facts.unique[x[0]] + 1 if facts and len(x) == 1 else None
+            limit = 0 if at_least >= 1 else (1 - at_least) * most + 1e-9 if most is not None else None
+            wanted[x] = ys if limit is None else [y for y in ys if sample.violations(groups, y) <= limit]
+    found, alike = {}, {}
+    for x, ys in wanted.items():
+        if ys:
+            alike.setdefault(tuple(ys) if at_least > 0 else tuple(dependents or columns), []).append(x)
+    jobs = [(list(ys), xs[at : at + DETERMINANTS_PER_JOB]) for ys, xs in alike.items() for at in range(0, len(xs), DETERMINANTS_PER_JOB)]
+    frames, names = [], {}
+    for ys, xs in jobs:
+        names |= {"+".join(x): x for x in xs}
+        if (rows := ratios(df, xs, ys, drop_null_determinants)) is not None:
+            frames.append((rows, len(xs)))
+    while frames:  # unions of branches, DETERMINANTS_PER_JOB at a time
+        rows, n = frames.pop()
+        while frames and n + frames[-1][1] <= DETERMINANTS_PER_JOB:
+            more, m = frames.pop()
+            rows, n = rows.unionByName(more), n + m
+        found |= {(names[r[0]], r[1]): r[2] for r in rows.collect()}
     return found
 
 
@@ -82,9 +143,10 @@ def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, i
     """Column sets without duplicate combinations, from size 1 up.
 
     stats: column -> (distinct values, non-nulls). A set whose distinct counts multiply to fewer than n_rows
-    can't be unique and a superset of a unique one always is; only what is left is tested, a size per job.
+    can't be unique and a superset of a unique one always is; what is left is refuted on a sample or tested.
     """
     found: list[tuple[str, ...]] = []
+    sample = None
     for size in range(1, min(max_size, len(columns)) + 1):
         open_sets, implied = [], []
         for s in combinations(columns, size):
@@ -98,7 +160,9 @@ def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, i
             if most >= n_rows:
                 open_sets.append(s)
         new = [s for s in open_sets if n_rows <= 1]
-        if n_rows > 1:
+        if n_rows > 1 and open_sets:
+            sample = sample or Sample(df.select(*[_q(c) for c in columns]))
+            open_sets = [s for s in open_sets if not sample.duplicates(s)]
             for at in range(0, len(open_sets), DETERMINANTS_PER_JOB):
                 part = open_sets[at : at + DETERMINANTS_PER_JOB]
                 free = {r[0] for r in duplicate_groups(df, part).where("duplicates = 0").collect()}
@@ -128,11 +192,22 @@ class TableFacts:
         return self.unique[c] == self.n_rows and self.non_null[c] == self.n_rows
 
 
+def _facts_of(name: str, rows: list) -> TableFacts:
+    return TableFacts(name, [r["column_name"] for r in rows], rows[0]["total_count"] if rows else 0, {r["column_name"]: r["unique_count"] for r in rows}, {r["column_name"]: r["non_null_count"] for r in rows})
+
+
 def measure(df: DataFrame, name: str) -> TableFacts:
-    from .profile import column_profile
+    return measure_all({name: df})[name]
 
-    rows = column_profile(df, name).collect()
-    return TableFacts(name, [r["column_name"] for r in rows], rows[0]["total_count"] if rows else 0, {r["column_name"]: r["unique_count"] for r in rows}, {r["column_name"]: r["non_null_count"] for r in rows})
+
+def measure_all(tables: dict[str, DataFrame]) -> dict[str, TableFacts]:
+    """The measures of all tables, in one job."""
+    from .profile import profile_all
+
+    by_table: dict[str, dict] = {t: {} for t in tables}
+    for r in profile_all(tables).collect() if tables else []:
+        by_table[r["table_name"]][r["column_name"]] = r
+    return {t: _facts_of(t, [by_table[t][c] for c in df.columns if c != ROW_ORDER]) for t, df in tables.items()}
 
 
 def candidate_keys(df: DataFrame, facts: TableFacts, mode: str = "textbook", max_size: int = MAX_DETERMINANT) -> list[tuple[str, ...]]:
@@ -141,16 +216,18 @@ def candidate_keys(df: DataFrame, facts: TableFacts, mode: str = "textbook", max
     if singles or not facts.n_rows:
         return singles
     stats = {c: (facts.unique[c], facts.non_null[c]) for c in facts.columns}
+    sample = None
     for size in range(2, max_size + 1):
         sets = [s for s in combinations(facts.columns, size) if any(naming.has_any(c, naming.IDENTITY_PARTS) for c in s)]
         sets = [s for s in sets if _most(s, stats, facts.n_rows) >= facts.n_rows]
+        if sets:
+            sample = sample or Sample(df)
+            sets = [s for s in sets if not sample.duplicates(s)]
         found = []
         for at in range(0, len(sets), DETERMINANTS_PER_JOB):
             part = sets[at : at + DETERMINANTS_PER_JOB]
             free = {r[0] for r in duplicate_groups(df, part).where("duplicates = 0").collect()}
             found += [s for s in part if "+".join(s) in free]
-            if len(found) >= 3:
-                break
         if found:
             return found
     return []
@@ -181,7 +258,7 @@ def partial_dependencies(df: DataFrame, key: tuple[str, ...], columns: list[str]
     if len(key) < 2:
         return {}
     subsets = [s for size in range(1, len(key)) for s in combinations(key, size)]
-    facts = collect_ratios(df, subsets, [c for c in columns if c not in key])
+    facts = collect_ratios(df, subsets, [c for c in columns if c not in key], at_least=threshold)
     out: dict[str, list[str]] = {}
     for s in subsets:
         if hit := [c for c in columns if c not in key and facts.get((s, c), 0) >= threshold]:
@@ -199,7 +276,7 @@ def transitive_dependencies(df: DataFrame, facts: TableFacts, mode: str = "textb
     if not key or not others:
         return []
     tests = [(c,) for c in others if not facts.is_unique(c)]
-    known = collect_ratios(df, tests, others)
+    known = collect_ratios(df, tests, others, at_least=threshold, facts=facts)
     exact = collect_ratios(df, [key], others)
     out = []
     for (a,) in tests:
@@ -221,7 +298,7 @@ def profile_table(df: DataFrame, name: str, mode: str = "textbook", full_matrix:
     facts.candidate_keys = candidate_keys(df, facts, mode)
     facts.primary_key = min(facts.candidate_keys, key=len) if facts.candidate_keys else ()
     if full_matrix and facts.n_rows >= 2:
-        known = collect_ratios(df, [(c,) for c in facts.columns])
+        known = collect_ratios(df, [(c,) for c in facts.columns], at_least=THRESHOLD, facts=facts)
         for (x, y), ratio in known.items():
             if ratio >= THRESHOLD:
                 facts.dependencies.setdefault("+".join(x), []).append(y)

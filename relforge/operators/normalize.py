@@ -93,17 +93,16 @@ def multi_row_pattern(df: DataFrame, name: str, column: str, facts: TableFacts)
     nulls = facts.n_rows - facts.non_null[column]
     if facts.unique[column] + (nulls > 0) == facts.n_rows:
         return None
-    others = [c for c in facts.columns if c != column]
-    if any(naming.has_any(c, naming.TEMPORAL_WORDS) for c in others):
+    if any(naming.has_any(c, naming.TEMPORAL_WORDS) for c in facts.columns):
         return Pattern("event_history")
-    for c in others:
+    for c in (c for c in facts.columns if c != column):
         if naming.has_any(c, naming.STATUS_WORDS):
             varies = df.where(_q(column).isNotNull()).groupBy(_q(column)).agg(F.min(_q(c)).alias("lo"), F.max(_q(c)).alias("hi")).where("lo <> hi")
             if not varies.isEmpty():
                 return Pattern("status_history")
     if naming.has_any(name, naming.ITEM_WORDS):
         return Pattern("line_items")
-    if any(naming.has_any(c, naming.SEQUENCE_WORDS) for c in others):
+    if any(naming.has_any(c, naming.SEQUENCE_WORDS) for c in facts.columns):
         return Pattern("sequenced_children")
     return Pattern("child_records")
 
@@ -113,7 +112,7 @@ def chain_holds(df: DataFrame, key: tuple[str, ...], middle: str, targets: list[
     has clearly fewer values than the key."""
     if facts.n_rows < 2:
         return False
-    found = deps.collect_ratios(df, [key, (middle,)], [middle, *targets], drop_null_determinants=True)
+    found = deps.collect_ratios(df, [key, (middle,)], [middle, *targets], drop_null_determinants=True, at_least=1)
     if found.get((key, middle), 0) < 1 or not any(found.get(((middle,), t), 0) == 1 for t in targets):
         return False
     n_keys = df.select(*[_q(k) for k in key]).distinct().count()
@@ -129,19 +128,20 @@ class Entity:
     kind: str
 
 
-def entity_score(unique: int, n_rows: int, column: str, diverse: list[str], mode: str = "textbook") -> Entity:
+def entity_score(unique: int, n_rows: int, column: str, diverse: list[str]) -> Entity:
     """How much a determinant with its exact dependents looks like an entity: its number of dependents, the share
-    of distinct values, a telling name, and contact data among the dependents."""
+    of distinct values, a telling word in any of the names, and contact data among the dependents. Without a
+    dependent, or with few values, it is none and scores 0."""
     ratio = unique / n_rows if n_rows else 0.0
-    if unique < max(10, 0.01 * n_rows) or ratio < 0.02:
+    if unique < max(10, 0.01 * n_rows) or ratio < 0.02 or not diverse:
         return Entity(False, 0.0, "")
-    score = 0.5 if len(diverse) >= 3 else 0.3 if len(diverse) == 2 else 0.1 if diverse else 0.0
+    score = 0.5 if len(diverse) >= 3 else 0.3 if len(diverse) == 2 else 0.1
     score += 0.2 if 0.05 <= ratio <= 0.7 else 0.1 if 0.02 <= ratio <= 0.9 else 0.0
-    words = [w for w in re.split(r"[^a-z0-9]+", column.lower()) if w]
-    score += 0.2 if any(w not in naming.COMMON_WORDS and len(w) > 2 for w in words) else 0.0
+    words = {w for c in (column, *diverse) for w in re.findall(r"[a-z]+", c.lower())}
+    score += 0.2 if words - set(naming.COMMON_WORDS) else 0.0
     contact = any(naming.has_any(d, naming.STRUCTURAL_WORDS) for d in diverse)
     score = round(score + 0.3 * contact, 6)
-    return Entity(score >= 0.4, score, "master" if ratio > 0.5 else "reference" if contact else "lookup")
+    return Entity(score >= 0.4, score, "" if score < 0.4 else "master" if ratio > 0.5 else "reference" if contact else "lookup")
 
 
 def third_normal_form(name: str, df: DataFrame, facts: TableFacts, mode: str = "textbook") -> dict[str, DataFrame]:
@@ -155,9 +155,9 @@ def third_normal_form(name: str, df: DataFrame, facts: TableFacts, mode: str = "
         mine = [t for t in targets if t in rest.columns and t not in key]
         if not mine or a not in rest.columns or not chain_holds(df, key, a, mine, facts):
             continue
-        exact = deps.collect_ratios(df, [(a,)], mine, drop_null_determinants=True)
+        exact = deps.collect_ratios(df, [(a,)], mine, drop_null_determinants=True, at_least=1)
         diverse = [t for t in mine if exact.get(((a,), t), 0) == 1]
-        entity, pattern = entity_score(facts.unique[a], facts.n_rows, a, diverse, mode), multi_row_pattern(df, name, a, facts)
+        entity, pattern = entity_score(facts.unique[a], facts.n_rows, a, diverse), multi_row_pattern(df, name, a, facts)
         if mode == "compat" and pattern:
             wanted, moved = f"{name}_{pattern.kind}", mine
         elif entity.is_entity:
@@ -196,11 +196,16 @@ def repeating_foreign_key(name: str, column: str, facts: TableFacts, known: list
     return (declared or named) and facts.unique[column] + (nulls > 0) < facts.n_rows
 
 
+def foreign_key_column(name: str, columns: tuple[str, ...], known: list[ForeignKey]) -> bool:
+    """Whether a declared foreign key of the table is among the columns."""
+    return any(k.fk_table == name and k.fk_column in columns for k in known)
+
+
 def choose_key(name: str, facts: TableFacts, known: list[ForeignKey], composites: list[tuple[str, ...]] = (), mode: str = "textbook") -> KeyChoice:
     """The best natural key by its name and form, else a surrogate <name>_id under a free name."""
     best: tuple[int, tuple[str, ...]] | None = None
     for c in facts.columns:
-        if not suitable(c, facts, mode) or any((k.fk_table, k.fk_column) == (name, c) and k.pk_table != name for k in known):
+        if repeating_foreign_key(name, c, facts, known) or not suitable(c, facts, mode) or foreign_key_column(name, (c,), [k for k in known if k.pk_table != name]):
             continue
         low = c.lower()
         score = 100 + (20 if naming.identity(c, mode).strength == "high" else 10) - 5 * (len(c) > 20)
@@ -208,7 +213,7 @@ def choose_key(name: str, facts: TableFacts, known: list[ForeignKey], composites
         if best is None or score > best[0]:
             best = (score, (c,))
     for s in composites:
-        if len(s) > 1 and (best is None or 85 - 5 * len(s) > best[0]):
+        if len(s) > 1 and not foreign_key_column(name, s, known) and any(naming.identity(c, mode) for c in s) and (best is None or 85 - 5 * len(s) > best[0]):
             best = (85 - 5 * len(s), tuple(s))
     if best:
         return KeyChoice(best[1], False, best[0])
@@ -250,7 +255,7 @@ def move_to_parent(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]
         free = [c for c in free if not any((o.fk_table, o.fk_column) == (k.fk_table, c) for o in known)]
         if not free:
             continue
-        found = deps.collect_ratios(child.select(_q(k.fk_column), *map(_q, free)), [(k.fk_column,)], free, drop_null_determinants=True)
+        found = deps.collect_ratios(child.select(_q(k.fk_column), *map(_q, free)), [(k.fk_column,)], free, drop_null_determinants=True, at_least=1)
         moved = [c for c in free if found.get(((k.fk_column,), c), 0) == 1]
         if moved:
             known_rows, rest = related_table(child.where(_q(k.fk_column).isNotNull()), k.fk_column, moved)
@@ -261,7 +266,7 @@ def move_to_parent(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]
 
 def placement(df: DataFrame, key: tuple[str, ...], attribute: str, columns: list[str]) -> str | None:
     """What an attribute depends on: the key ('key'), else the first other column that determines it, else None."""
-    found = deps.collect_ratios(df, [key, *[(c,) for c in columns if c != attribute and (c,) != key]], [attribute], drop_null_determinants=True)
+    found = deps.collect_ratios(df, [key, *[(c,) for c in columns if c != attribute and (c,) != key]], [attribute], drop_null_determinants=True, at_least=1)
     if found.get((key, attribute), 0) == 1:
         return "key"
     return next((c for c in columns if c != attribute and found.get(((c,), attribute), 0) == 1), None)

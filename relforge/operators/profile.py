@@ -13,10 +13,6 @@ SAMPLE = 100
 ADDRESS_SAMPLE = 50
 JSON_SAMPLE = 10
 FIRST_VALUES = 5
-#: Columns whose distinct values are counted in one aggregate; wider tables take several.
-COLUMNS_PER_JOB = 8
-
-
 def columns_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ORDER]
 
@@ -25,30 +21,51 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def column_profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
-    """table_name, column_name, total_count, null_count, non_null_count, unique_count, null_ratio,
-    uniqueness_ratio (of all rows; 0 for an empty table) and cardinality, a row for each column.
+def column_counts(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+    """table_name, column_name, n, k (non-null), u (distinct): a row for each column.
 
-    With approximate the unique counts are HyperLogLog estimates, a first look at very large tables.
+    Each column is grouped by its own values, which counts rows, non-nulls and distinct values at once: values are
+    counted where they are read, only distinct ones move, and no row is expanded. With approximate one aggregate of
+    HyperLogLog sketches does, a first look at very large tables.
     """
     df = plain(df.drop(ROW_ORDER))
-    parts = []
-    for at in range(0, len(df.columns), COLUMNS_PER_JOB):
-        chunk = df.columns[at : at + COLUMNS_PER_JOB]
-        unique = F.approx_count_distinct if approximate else F.count_distinct
-        got = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(chunk) for x in (F.count(_q(c)).alias(f"k{i}"), unique(_q(c)).alias(f"u{i}"))])
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"k{i}").alias("k"), F.col(f"u{i}").alias("u")) for i, c in enumerate(chunk)])
-        parts.append(got.select(F.explode(rows).alias("r")).select("r.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if approximate:
+        got = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(df.columns) for x in (F.count(_q(c)).alias(f"k{i}"), F.approx_count_distinct(_q(c)).alias(f"u{i}"))])
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"k{i}").alias("k"), F.col(f"u{i}").alias("u")) for i, c in enumerate(df.columns)])
+        return got.select(F.explode(rows).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
+    out = None
+    for c in df.columns:
+        values = df.groupBy(_q(c).alias("value")).agg(F.count("*").alias("rows"))
+        zero = F.lit(0).cast("long")
+        part = values.agg(F.coalesce(F.sum("rows"), zero).alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))), zero).alias("k"), F.count("value").alias("u"))
+        part = part.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "n", "k", "u")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def profiles_of(counts: DataFrame) -> DataFrame:
     ratio = lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0))
-    return out.select(
-        F.lit(table).alias("table_name"), "column_name", F.col("n").alias("total_count"), (F.col("n") - F.col("k")).alias("null_count"), F.col("k").alias("non_null_count"),
+    return counts.select(
+        "table_name", "column_name", F.col("n").alias("total_count"), (F.col("n") - F.col("k")).alias("null_count"), F.col("k").alias("non_null_count"),
         F.col("u").alias("unique_count"), ratio(F.col("n") - F.col("k")).alias("null_ratio"), ratio(F.col("u")).alias("uniqueness_ratio"), inference.cardinality(F.col("u"), F.col("n")).alias("cardinality"),
     )
 
 
+def column_profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+    """table_name, column_name, total_count, null_count, non_null_count, unique_count, null_ratio,
+    uniqueness_ratio (of all rows; 0 for an empty table) and cardinality, a row for each column."""
+    return profiles_of(column_counts(df, table, approximate))
+
+
+def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """The column profiles of all tables in one job."""
+    out = None
+    for name, df in sorted(tables.items()):
+        part = column_counts(df, name)
+        out = part if out is None else out.unionByName(part)
+    return profiles_of(out)
+
+
 def samples(df: DataFrame, column: str, n: int, order: list[str]) -> DataFrame:
     """value: the first n non-null values of a column, as text, in the given order."""
     kind = dict(df.dtypes)[column]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from relforge.functions import graphs
 from relforge.sources.catalog import ROW_ORDER
 
+from . import dependencies as deps
+from .dependencies import TableFacts
 from .foreign_keys import ForeignKey, inclusion
 
 LEAST_COVERAGE = 0.9
@@ -75,9 +77,10 @@ def address_hint(df: DataFrame, column: str, order: list[str], n: int = 10) -> D
     return s.withColumn("is_concatenated", F.coalesce(F.col("share") > 0.5, F.lit(False)))
 
 
-def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], foreign: list[ForeignKey]) -> Report:
+def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], foreign: list[ForeignKey], facts: dict[str, TableFacts] | None = None) -> Report:
     """All checks of a schema. A self-reference is no cycle; missing values count as an error below 90 % coverage
-    and as a warning above."""
+    and as a warning above. With the tables' facts their data is asked for dependencies on parts of a key and on other
+    columns; what is found is a warning, as an extraction may have been declined for its small size."""
     report = Report()
     known = {t: k for t, k in keys.items() if k and t in tables and all(c in tables[t].columns for c in k)}
     for t in sorted(tables):
@@ -115,7 +118,14 @@ def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], for
         for c in df.columns:
             if c.lower() == "address" and address_hint(df, c, [c]).first()["is_concatenated"]:
                 report.warnings.append(f"{t}.{c} looks concatenated")
-    report.checks["third_normal_form"] = True
+    if facts is not None:
+        left = []
+        for t in sorted(known):
+            f = replace(facts[t], primary_key=known[t])
+            left += [f"{t}: {c} depends on {part} alone" for part, found in deps.partial_dependencies(tables[t], f.primary_key, f.columns).items() for c in found]
+            left += [f"{t}: {', '.join(found)} depends on {middle}" for _, middle, found in deps.transitive_dependencies(tables[t], f)]
+        report.checks["third_normal_form"] = not left
+        report.warnings += left
     return report
 
 

@@ -27,14 +27,21 @@ def not_null(column: str, key: tuple[str, ...], null_count: int, n_rows: int, mo
     return null_count / n_rows < NOT_NULL_BELOW if mode == "compat" else null_count == 0
 
 
+def references(table: str, column: str, foreign: list[ForeignKey]) -> bool:
+    """Whether a column is a foreign key of its table."""
+    return any((k.fk_table, k.fk_column) == (table, column) for k in foreign)
+
+
 def pick_key(table: str, facts: TableFacts, foreign: list[ForeignKey]) -> tuple[str, ...]:
-    """The key for the DDL: a unique <...>_id that references nothing; the mined key unless it is a business or
-    foreign column; the foreign keys of an associative table; any unique identifier; any unique plain column;
-    else the first column that references nothing, else the first."""
-    refs = {k.fk_column for k in foreign if k.fk_table == table}
+    """The key for the DDL: an <...>_id that references nothing and is unique, or is named after the table; the
+    mined key unless it is a business or foreign column; the foreign keys of an associative table; any unique
+    identifier; any unique plain column; else the first column that references nothing, else the first."""
+    refs = {c for c in facts.columns if references(table, c, foreign)}
     unique = [c for c in facts.columns if facts.n_rows and facts.is_unique(c)]
-    for c in unique:
-        if c not in refs and c.lower().endswith("_id"):
+    own = table.lower().replace("_", "")
+    for c in facts.columns:
+        base = c.replace("_id", "").lower()
+        if c not in refs and c.endswith("_id") and (c in unique or base in own or own in base):
             return (c,)
     key = facts.primary_key
     if key and not (set(key) & refs) and not any(map(naming.business_name, key)):
@@ -42,7 +49,7 @@ def pick_key(table: str, facts: TableFacts, foreign: list[ForeignKey]) -> tuple[
     fk = tuple(c for c in facts.columns if c in refs)
     if len(fk) >= 2 and len(facts.columns) - len(fk) <= 2 and tuple(sorted(fk)) in {tuple(sorted(k)) for k in facts.candidate_keys}:
         return fk
-    for test in (lambda c: naming.has_any(c, ("_id", "_key", "_code", "_ref")), lambda c: not naming.business_name(c)):
+    for test in (lambda c: c.lower().endswith(tuple(naming.KEY_PARTS)), lambda c: not naming.business_name(c)):
         for c in unique:
             if c not in refs and test(c):
                 return (c,)
@@ -66,6 +73,7 @@ def valid_target(key: ForeignKey, keys: dict[str, tuple[str, ...]], facts: dict[
 
 
 def composite_target(child_columns: list[str], parent_key: tuple[str, ...]) -> bool:
+    """Whether a child holds every column of its parent's composite key."""
     return len(parent_key) > 1 and set(parent_key) <= set(child_columns)
 
 
@@ -82,7 +90,12 @@ def foreign_key_constraints(foreign: list[ForeignKey], keys: dict[str, tuple[str
         if k.fk_table not in facts or k.pk_table not in facts:
             skipped.append(f"{k.fk_table}.{k.fk_column}: a table is missing")
         elif not valid_target(k, keys, facts):
-            skipped.append(f"{k.fk_table}.{k.fk_column}: {k.pk_table}.{k.pk_column} is not unique on its own")
+            parent = keys.get(k.pk_table, ())
+            if k.pk_column in parent and not composite_target(facts[k.fk_table].columns, parent):
+                why = f"the key of {k.pk_table} is {', '.join(parent)} and {k.fk_table} does not hold all of it"
+            else:
+                why = f"{k.pk_table}.{k.pk_column} is not unique on its own"
+            skipped.append(f"{k.fk_table}.{k.fk_column}: {why}")
         elif graphs.closes_cycle(edges, k.fk_table, k.pk_table, allow_self=True):
             skipped.append(f"{k.fk_table}.{k.fk_column}: closes a cycle")
         else:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from relforge.functions import naming
 from relforge.operators import dependencies, foreign_keys, normalize, profile, validate
 from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
@@ -44,7 +45,7 @@ def load(state: State, folder: str) -> None:
 
 
 def profile_columns(state: State) -> None:
-    state.profiles = [r for t, df in sorted(state.catalog.tables.items()) for r in profile.column_profile(df, t).collect()]
+    state.profiles = profile.profile_all(state.catalog.tables).collect()
 
 
 def mine_keys(state: State) -> None:
@@ -59,21 +60,25 @@ def to_third_normal_form(state: State) -> None:
     state.normalized = normalize.normalize(state.catalog.tables, state.facts, state.foreign, state.mode)
 
 
+def measure_pieces(state: State) -> None:
+    """Facts of the resulting tables; where normalisation left a surrogate or no key, the DDL's rules choose."""
+    found = state.normalized
+    state.final_facts = dependencies.measure_all(found.tables)
+    for t, f in state.final_facts.items():
+        f.primary_key = found.keys.get(t, ())
+        f.candidate_keys = [f.primary_key] if f.primary_key else []
+        found.keys[t] = f.primary_key = ddl.pick_key(t, f, found.foreign_keys)
+
+
 def check(state: State) -> None:
     found = state.normalized
-    state.report = validate.validate(found.tables, found.keys, found.foreign_keys)
+    state.report = validate.validate(found.tables, found.keys, found.foreign_keys, state.final_facts)
     state.report.warnings += found.warnings
 
 
 def emit(state: State) -> None:
     found = state.normalized
-    types: dict[tuple[str, str], str] = {}
-    for t, df in sorted(found.tables.items()):
-        f = dependencies.measure(df, t)
-        f.primary_key = found.keys.get(t, ())
-        f.candidate_keys = [f.primary_key] if f.primary_key else []
-        state.final_facts[t] = f
-        types |= {(t, r["column_name"]): r["oracle_type"] for r in profile.oracle_types(df, t, mode=state.mode).collect()}
+    types = {(t, r["column_name"]): r["oracle_type"] for t, df in sorted(found.tables.items()) for r in profile.oracle_types(df, t, mode=state.mode).collect()}
     state.script = ddl.script(state.final_facts, types, found.keys, found.foreign_keys, state.mode)
     if problems := validate.sql_script_problems(state.script):
         state.report.errors += problems
@@ -90,10 +95,26 @@ def save(state: State, output: str) -> None:
             f.write(text)
 
 
-def run(spark: SparkSession, folder: str, output: str | None = None, mode: str = "textbook") -> State:
-    """All steps; the first that fails ends the run, with its name and reason in the state."""
+def split_structures(state: State) -> None:
+    """Columns of addresses, full names and JSON objects become a column for each of their parts."""
+    for t, df in state.catalog.tables.items():
+        for c in [f.name for f in df.schema if f.dataType.simpleString() == "string"]:
+            if naming.has_any(c, naming.ADDRESS_WORDS) and profile.address_shape(df, c, [ROW_ORDER]).first()["is_address"]:
+                df = profile.split_address(df, c)
+            elif naming.has_any(c, naming.FULL_NAME_WORDS) and profile.full_name_shape(df, c, [ROW_ORDER]).first()["components"]:
+                df = profile.split_full_name(df, c)
+            elif profile.json_shape(df, c, [ROW_ORDER]).first()["is_json"] and (keys := [r["json_key"] for r in profile.json_keys(df, c).orderBy("json_key").collect()]):
+                df = profile.split_json(df, c, keys)
+        state.catalog.tables[t] = df
+
+
+def run(spark: SparkSession, folder: str, output: str | None = None, mode: str = "textbook", split: bool = False) -> State:
+    """All steps; the first that fails ends the run, with its name and reason in the state. With split, structured
+    text columns are taken apart first."""
     state = State(spark, mode)
-    steps = [("load", lambda s: load(s, folder)), ("profile", profile_columns), ("keys", mine_keys), ("foreign keys", mine_foreign_keys), ("normalise", to_third_normal_form), ("validate", check), ("emit", emit)]
+    steps = [("load", lambda s: load(s, folder)), ("profile", profile_columns), ("keys", mine_keys), ("foreign keys", mine_foreign_keys), ("normalise", to_third_normal_form), ("measure", measure_pieces), ("validate", check), ("emit", emit)]
+    if split:
+        steps.insert(1, ("split", split_structures))
     if output:
         steps.append(("save", lambda s: save(s, output)))
     for name, step in steps:
@@ -120,6 +141,3 @@ def summary(state: State) -> str:
         parts += [f"valid: {state.report.is_valid}", *[f"error: {e}" for e in state.report.errors], *[f"warning: {w}" for w in state.report.warnings]]
     return "\n".join(parts)
 
-
-def tables_of(state: State) -> dict[str, DataFrame]:
-    return state.normalized.tables if state.normalized else {}

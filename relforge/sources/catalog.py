@@ -34,16 +34,26 @@ def with_row_order(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A headed CSV file: as UTF-8, or as Latin-1 if it isn't. A column becomes long, double or boolean if all its
-    values are, and stays text otherwise; an empty field is null."""
-    options = {"header": True, "multiLine": True, "escape": '"'}
-    as_bytes = spark.read.format("binaryFile").load(path).select("content")
-    latin = not as_bytes.where(~F.is_valid_utf8(F.col("content").cast("string"))).isEmpty()
-    raw = spark.read.csv(path, encoding="ISO-8859-1" if latin else "UTF-8", **options)
+    values are, and stays text otherwise; an empty field is null.
+
+    The file is looked at line by line first: whether all lines are UTF-8, and whether a quoted field goes on over a
+    line's end. Only in that rare case one task has to read the file whole; otherwise it is split like any text.
+    """
+    lines = spark.read.text(path)
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    looks = lines.agg(F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"), F.coalesce(F.bool_or(odd % 2 == 1), F.lit(False)).alias("multi")).first()
+    raw = spark.read.csv(path, encoding="UTF-8" if looks["utf8"] else "ISO-8859-1", header=True, multiLine=looks["multi"], escape='"')
     if not raw.columns:
         raise UnsupportedSource(f"{path} has no columns")
     return infer_kinds(raw)
 
 
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """What lies in a folder of any file system that Spark reads, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+
 def infer_kinds(raw: DataFrame) -> DataFrame:
     """Text columns as long, double or boolean where every value of the column allows it (one job)."""
     fits = []
@@ -88,9 +98,9 @@ class Catalog:
         files with the same stem the later one counts. A file that can't be read is skipped."""
         found = cls({})
         for kind in kinds:
-            for name in sorted(n for n in os.listdir(folder) if n.endswith(kind)):
+            for name in (n for n in names_in(spark, folder) if n.endswith(kind)):
                 try:
-                    found.tables[name[: -len(kind)]] = with_row_order(plain(READERS[kind](spark, os.path.join(folder, name))))
+                    found.tables[name[: -len(kind)]] = with_row_order(plain(READERS[kind](spark, f"{folder.rstrip('/')}/{name}")))
                 except Exception as error:  # noqa: BLE001  whatever is wrong with one file, the others are read
                     found.skipped[name] = f"{type(error).__name__}: {error}"
         return found

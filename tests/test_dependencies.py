@@ -54,3 +54,26 @@ def test_genuine_entity():
     assert not deps.genuine_entity("supplier_id", ["supplier_name"], 20, 100)
     assert not deps.genuine_entity("status_id", ["a", "b"], 20, 100)
     assert not deps.genuine_entity("supplier_id", ["a", "b"], 5, 100)
+
+
+def test_refuting_sample_drops_nothing_that_holds(spark, monkeypatch):
+    from itertools import combinations
+
+    rows = [(i, i // 3, i % 4 if i % 5 else None, str(i // 6), None) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, g int, m int, t string, empty string")
+    sets = [(c,) for c in df.columns] + list(combinations(["g", "m", "t"], 2))
+    for least, facts in ((1, None), (0.99, deps.measure(df, "t"))):
+        for drop in (False, True):
+            whole = deps.collect_ratios(df, sets, drop_null_determinants=drop)
+            some = deps.collect_ratios(df, sets, drop_null_determinants=drop, at_least=least, facts=facts)
+            assert {k: v for k, v in some.items() if v >= least} == {k: v for k, v in whole.items() if v >= least}
+    monkeypatch.setattr(deps, "REFUTING_ROWS", 10)
+    assert deps.collect_ratios(df, sets, drop_null_determinants=True, at_least=1).keys() >= {k for k, v in whole.items() if v == 1}
+    stats = {c: (deps.measure(df, "t").unique[c], deps.measure(df, "t").non_null[c]) for c in df.columns}
+    assert deps.unique_sets(df, df.columns, stats, 120, 2)[:1] == [("id",)]
+
+
+def test_every_key_of_the_least_size(spark):
+    rows = [(i, i // 2, i % 2, i // 2 + 100, i % 2 + 7) for i in range(20)]
+    df = spark.createDataFrame([r[1:] for r in rows], "a_ref int, b_ref int, c_ref int, d_ref int")
+    assert deps.candidate_keys(df, deps.measure(df, "t")) == [("a_ref", "b_ref"), ("a_ref", "d_ref"), ("b_ref", "c_ref"), ("c_ref", "d_ref")]
