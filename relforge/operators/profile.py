@@ -33,16 +33,24 @@ def column_counts(df: DataFrame, table: str, approximate: bool = False) -> DataF
         got = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(df.columns) for x in (F.count(_q(c)).alias(f"k{i}"), F.approx_count_distinct(_q(c)).alias(f"u{i}"))])
         rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"k{i}").alias("k"), F.col(f"u{i}").alias("u")) for i, c in enumerate(df.columns)])
         return got.select(F.explode(rows).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
-    out = None
+    return _counted(_value_groups(df, table))
+
+
+def _value_groups(df: DataFrame, table: str) -> DataFrame:
+    """table_name, column_name, rows, present: a row for each value of each column (nulls are one, not present),
+    and one without rows, so that columns of an empty table are there too."""
+    df = plain(df.drop(ROW_ORDER))
+    out = df.sparkSession.createDataFrame([(table, c, 0, 0) for c in df.columns], "table_name string, column_name string, rows long, present int")
     for c in df.columns:
         values = df.groupBy(_q(c).alias("value")).agg(F.count("*").alias("rows"))
-        zero = F.lit(0).cast("long")
-        part = values.agg(F.coalesce(F.sum("rows"), zero).alias("n"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("rows"))), zero).alias("k"), F.count("value").alias("u"))
-        part = part.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "n", "k", "u")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(values.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "rows", F.col("value").isNotNull().cast("int").alias("present")))
     return out
 
 
+def _counted(groups: DataFrame) -> DataFrame:
+    return groups.groupBy("table_name", "column_name").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("present")).alias("k"), F.sum("present").alias("u"))
+
+
 def profiles_of(counts: DataFrame) -> DataFrame:
     ratio = lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(F.lit(0.0))
     return counts.select(
@@ -61,9 +69,9 @@ def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
     """The column profiles of all tables in one job."""
     out = None
     for name, df in sorted(tables.items()):
-        part = column_counts(df, name)
+        part = _value_groups(df, name)
         out = part if out is None else out.unionByName(part)
-    return profiles_of(out)
+    return profiles_of(_counted(out))
 
 
 def samples(df: DataFrame, column: str, n: int, order: list[str]) -> DataFrame:

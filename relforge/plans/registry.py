@@ -11,9 +11,9 @@ from relforge.functions import inference, naming
 from relforge.operators import dependencies, foreign_keys, normalize, profile, validate
 from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
-from relforge.sources.catalog import plain
+from relforge.sources.scratch import saved
 
-from . import ddl
+from . import ddl, erd
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -48,9 +48,10 @@ def canonical(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def flat(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines with what their order, customer and nation say: the wide table to be normalised."""
+    """Order lines with what their order, customer and nation say: the wide table to be normalised, written once."""
     t = {n: canonical(spark, d, n) for n in ("lineitem", "orders", "customer", "nation")}
-    return t["lineitem"].select("order_id", "line_number").join(t["orders"].select("order_id", "customer_id", "order_status"), "order_id").join(t["customer"].select("customer_id", "customer_name", "market_segment", "nation_id"), "customer_id").join(t["nation"], "nation_id").select(FLAT)
+    joined = t["lineitem"].select("order_id", "line_number").join(t["orders"].select("order_id", "customer_id", "order_status"), "order_id").join(t["customer"].select("customer_id", "customer_name", "market_segment", "nation_id"), "customer_id").join(t["nation"], "nation_id").select(FLAT)
+    return saved(joined, "flat")
 
 
 def sql_canonical(name: str) -> str:
@@ -212,15 +213,9 @@ def column_pair_relation(spark, d):
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, CASE WHEN regexp_matches('{c}', 'id|key|code|number') THEN 'identifiers' WHEN regexp_matches('{c}', 'name|description|title|label') THEN 'descriptive' WHEN regexp_matches('{c}', 'date|time|timestamp|created|updated') THEN 'temporal' WHEN regexp_matches('{c}', 'amount|quantity|price|total|count') THEN 'quantitative' WHEN count(DISTINCT {c}) < 50 THEN 'categorical' ELSE 'other' END AS role FROM {t}" for t in ("customer", "orders", "part") for c in COLUMNS[t]))
 def column_roles(spark, d):
-    out = None
-    for t in ("customer", "orders", "part"):
-        p = profile.column_profile(raw(spark, d, t), t)
-        found = F.lit(None).cast("string")
-        for bucket, words in reversed(naming.ROLE_WORDS.items()):
-            found = F.when(F.col("column_name").rlike("|".join(words)), bucket).otherwise(F.coalesce(found, F.when(F.col("unique_count") < 50, "categorical").otherwise("other")))
-        part = p.select("table_name", "column_name", found.alias("role"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    facts = dependencies.measure_all({t: raw(spark, d, t) for t in ("customer", "orders", "part")})
+    found = [(t, c, naming.role(c, f.unique[c])) for t, f in facts.items() for c in f.columns]
+    return spark.createDataFrame(found, "table_name string, column_name string, role string")
 
 
 # Dependencies and keys
@@ -250,44 +245,60 @@ def fd_null_determinant(spark, d):
     return both[0].unionByName(both[1])
 
 
-_SETS = [s for n in (1, 2, 3) for s in combinations(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], n)]
+def _sql_free(source: str, columns: list[str], sizes: tuple[int, ...], keep=lambda s: True) -> str:
+    """s (a list of columns) and free (whether no combination of values repeats), for sets of the given sizes."""
+    return " UNION ALL ".join(f"SELECT {i} AS i, {list(s)!r} AS s, count(*) FILTER (n > 1) = 0 AS free FROM (SELECT count(*) AS n FROM ({source}) GROUP BY {', '.join(s)})" for i, s in enumerate(s for n in sizes for s in combinations(columns, n) if keep(s)))
 
 
-@query(" UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS columns, count(*) FILTER (n > 1) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(s)})" for s in _SETS))
+@query(f"WITH f AS ({_sql_free('SELECT * FROM lineitem', list(COLUMNS['lineitem']), (1, 2, 3))}) SELECT array_to_string(s, '+') AS columns FROM f WHERE free AND NOT EXISTS (SELECT 1 FROM f AS g WHERE g.free AND len(g.s) < len(f.s) AND list_has_all(f.s, g.s))")
 def unique_column_sets_lineitem(spark, d):
-    return dependencies.duplicate_groups(raw(spark, d, "lineitem"), _SETS)
+    df = raw(spark, d, "lineitem")
+    facts = dependencies.measure(df, "lineitem")
+    found = dependencies.unique_sets(df, facts.columns, {c: (facts.unique[c], facts.non_null[c]) for c in facts.columns}, facts.n_rows)
+    return spark.createDataFrame([("+".join(s),) for s in found], "columns string")
+
+
+def _sql_keys(table: str, source: str, columns: list[str]) -> str:
+    """table_name, key: singles with a key's name, else the smallest sets that hold a part of an identifier."""
+    singles = [c for c in columns if naming.key_name(c)]
+    one = " UNION ALL ".join(f"SELECT {i} AS i, ['{c}'] AS s, count(*) = count(DISTINCT {c}) AND count(*) > 0 AS free FROM ({source})" for i, c in enumerate(singles)) or "SELECT 0 AS i, [''] AS s, false AS free"
+    more = _sql_free(source, columns, (2, 3), lambda s: any(naming.has_any(c, naming.IDENTITY_PARTS) for c in s)) or "SELECT 0 AS i, ['', ''] AS s, false AS free"
+    return f"SELECT '{table}' AS table_name, array_to_string(s, '+') AS key, i FROM (SELECT *, min(len(s)) OVER () AS least FROM ({one} UNION ALL {more}) WHERE free) WHERE len(s) = least"
 
 
-def _names_as_keys() -> list[tuple[str, str]]:
-    return [(t, c) for t in TABLES for c in COLUMNS[t].values() if naming.key_name(c)]
+_SQL_KEYS = " UNION ALL ".join(_sql_keys(t, sql_canonical(t), list(COLUMNS[t].values())) for t in TABLES)
 
 
-@query("WITH p AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS key_column, count(*) AS n, count(DISTINCT {c}) AS u FROM ({sql_canonical(t)})" for t, c in _names_as_keys()) + ") SELECT table_name, key_column FROM p WHERE n = u AND n > 0")
+@query(f"SELECT table_name, key FROM ({_SQL_KEYS})")
 def candidate_keys_all(spark, d):
-    out = None
-    for t in TABLES:
-        named_like = [c for c in COLUMNS[t].values() if naming.key_name(c)]
-        if named_like:
-            p = profile.column_profile(canonical(spark, d, t).select(named_like), t).where("unique_count = total_count AND null_count = 0 AND total_count > 0")
-            part = p.select("table_name", F.col("column_name").alias("key_column"))
-            out = part if out is None else out.unionByName(part)
-    return out
+    return _key_rows(spark, _facts(spark, d))
 
 
-_CONV = [s for s in combinations(["conv_id", "turn", "role"], 2) if any(naming.has_any(c, naming.IDENTITY_PARTS) for c in s)]
+def _key_rows(spark, facts: dict[str, TableFacts]) -> DataFrame:
+    return spark.createDataFrame([(t, "+".join(k)) for t, f in facts.items() for k in f.candidate_keys], "table_name string, key string")
 
 
-@query(" UNION ALL ".join(f"SELECT '{'+'.join(s)}' AS columns, count(*) FILTER (n > 1) = 0 AS is_key FROM (SELECT count(*) AS n FROM conversations GROUP BY {', '.join(s)})" for s in _CONV))
+@query(f"SELECT table_name, key FROM ({_sql_keys('conversations', 'SELECT * FROM conversations', ['conv_id', 'turn', 'role', 'text'])})")
 def composite_keys_conversations(spark, d):
-    return dependencies.duplicate_groups(raw(spark, d, "conversations"), _CONV).select("columns", (F.col("duplicates") == 0).alias("is_key"))
+    df = raw(spark, d, "conversations")
+    facts = dependencies.measure(df, "conversations")
+    facts.candidate_keys = dependencies.candidate_keys(df, facts)
+    return _key_rows(spark, {"conversations": facts})
+
+
+@query(f"SELECT table_name, min_by(key, i) AS primary_key FROM ({_SQL_KEYS}) GROUP BY table_name")
+def primary_keys_all(spark, d):
+    found = [(t, "+".join(f.primary_key)) for t, f in _facts(spark, d).items()]
+    return spark.createDataFrame(found, "table_name string, primary_key string")
 
 
 _PARTS = [("order_id",), ("line_number",)]
 
 
-@query(f"WITH src AS ({SQL_FLAT}) SELECT * FROM (" + " UNION ALL ".join(_sql_ratio(x, y) for x in _PARTS for y in FLAT if y not in ("order_id", "line_number")) + ") WHERE ratio >= 0.99")
+@query(f"WITH src AS ({SQL_FLAT}) SELECT determinant, dependent FROM (" + " UNION ALL ".join(_sql_ratio(x, y) for x in _PARTS for y in FLAT if y not in ("order_id", "line_number")) + ") WHERE ratio >= 0.99")
 def partial_deps_flat(spark, d):
-    return dependencies.ratios(flat(spark, d), _PARTS, [c for c in FLAT if c not in ("order_id", "line_number")]).where(F.col("ratio") >= dependencies.THRESHOLD)
+    found = dependencies.partial_dependencies(flat(spark, d), ("order_id", "line_number"), FLAT)
+    return spark.createDataFrame([(part, c) for part, columns in found.items() for c in columns], "determinant string, dependent string")
 
 
 SQL_ORDERS_FLAT = f"SELECT DISTINCT {', '.join(c for c in FLAT if c != 'line_number')} FROM ({SQL_FLAT})"
@@ -296,45 +307,80 @@ _MIDDLE = [c for c in _ORDER_COLUMNS if c != "order_id"]
 
 
 def orders_flat(spark: SparkSession, d: str) -> DataFrame:
-    return flat(spark, d).select(_ORDER_COLUMNS).distinct()
+    return saved(flat(spark, d).select(_ORDER_COLUMNS).distinct(), "orders_flat")
+
+
+def orders_facts(df: DataFrame) -> TableFacts:
+    facts = dependencies.measure(df, "flat")
+    facts.candidate_keys, facts.primary_key = [("order_id",)], ("order_id",)
+    return facts
+
+
+def _any(words) -> str:
+    return "|".join(words)
 
 
-@query(f"""WITH src AS ({SQL_ORDERS_FLAT}), m AS ({' UNION ALL '.join(_sql_ratio((x,), y) for x in _ORDER_COLUMNS for y in _MIDDLE if x != y)}),
-u AS ({' UNION ALL '.join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS u, count(*) AS n FROM src" for c in _MIDDLE)})
-SELECT a.dependent AS middle, b.dependent AS target, b.ratio FROM m a JOIN m b ON a.determinant = 'order_id' AND a.dependent = b.determinant JOIN u ON u.c = a.dependent WHERE a.ratio >= 0.99 AND b.ratio >= 0.99 AND u.u < u.n""")
+#: determinant, u (distinct values), n (rows); exact and nearly exact dependents of the flat orders' columns.
+_SQL_COUNTS = f"u AS ({' UNION ALL '.join(f"SELECT '{c}' AS determinant, count(DISTINCT {c}) AS u, count(*) AS n FROM src" for c in _MIDDLE)})"
+
+
+@query(f"""WITH src AS ({SQL_ORDERS_FLAT}), m AS ({' UNION ALL '.join(_sql_ratio((x,), y) for x in _ORDER_COLUMNS for y in _MIDDLE if x != y)}), {_SQL_COUNTS},
+t AS (SELECT b.determinant AS a, list(b.dependent) AS deps, any_value(u.u) AS u, any_value(u.n) AS n, replace(b.determinant, '_id', '') AS base FROM m a JOIN m b ON a.determinant = 'order_id' AND a.dependent = b.determinant JOIN u ON u.determinant = b.determinant
+      WHERE a.ratio >= 0.99 AND b.ratio >= 0.99 AND u.u < u.n GROUP BY b.determinant)
+SELECT a AS middle, unnest(deps) AS target FROM t WHERE NOT (len(deps) = 1 AND regexp_matches(deps[1], '{_any(naming.NAME_WORDS)}') AND contains(deps[1], base)) AND u >= 10 AND u >= 0.05 * n
+AND (NOT regexp_matches(a, '{_any(naming.CATEGORICAL_WORDS)}') OR regexp_matches(a, '{_any(naming.ENTITY_WORDS)}'))
+AND ((regexp_matches(a, '{_any(naming.ENTITY_WORDS)}') AND len(deps) >= 2) OR regexp_matches(array_to_string(deps, ' '), '{_any(naming.CONTACT_WORDS)}') OR len(deps) >= 3)""")
 def transitive_deps_flat(spark, d):
     df = orders_flat(spark, d)
-    m = dependencies.ratios(df, [(c,) for c in _ORDER_COLUMNS], None).where((F.col("ratio") >= 0.99) & (F.col("dependent") != "order_id"))
-    first = m.where("determinant = 'order_id'").select(F.col("dependent").alias("middle"))
-    not_unique = profile.column_profile(df.select(_MIDDLE), "flat").where("unique_count < total_count").select(F.col("column_name").alias("middle"))
-    return m.where("determinant <> 'order_id'").select(F.col("determinant").alias("middle"), F.col("dependent").alias("target"), "ratio").join(first, "middle").join(not_unique, "middle")
+    found = dependencies.transitive_dependencies(df, orders_facts(df))
+    return spark.createDataFrame([(a, b) for _, a, targets in found for b in targets], "middle string, target string")
 
 
-_WORDY = {c: any(w not in naming.COMMON_WORDS and len(w) > 2 for w in c.split("_")) for c in _MIDDLE}
+_WORDY = [c for c in _MIDDLE if set(c.split("_")) - set(naming.COMMON_WORDS)]
 
 
-@query(f"""WITH src AS ({SQL_ORDERS_FLAT}), m AS ({' UNION ALL '.join(_sql_ratio((x,), y, f'WHERE {x} IS NOT NULL') for x in _MIDDLE for y in _MIDDLE if x != y)}),
-f AS (SELECT determinant, count(*) FILTER (ratio = 1) AS n_dependents FROM m GROUP BY determinant),
-u AS ({' UNION ALL '.join(f"SELECT '{c}' AS determinant, {'true' if _WORDY[c] else 'false'} AS wordy, count(DISTINCT {c}) AS u, count(*) AS n FROM src" for c in _MIDDLE)})
-SELECT determinant AS column_name, u AS unique_count, n_dependents, CASE WHEN u < greatest(10, 0.01 * n) OR u / n < 0.02 THEN 0.0 ELSE round(
-(CASE WHEN n_dependents >= 3 THEN 0.5 WHEN n_dependents = 2 THEN 0.3 WHEN n_dependents = 1 THEN 0.1 ELSE 0 END) + (CASE WHEN u / n BETWEEN 0.05 AND 0.7 THEN 0.2 WHEN u / n BETWEEN 0.02 AND 0.9 THEN 0.1 ELSE 0 END) + CASE WHEN wordy THEN 0.2 ELSE 0 END, 6) END AS score FROM f JOIN u USING (determinant)""")
+@query(f"""WITH src AS ({SQL_ORDERS_FLAT}), m AS ({' UNION ALL '.join(_sql_ratio((x,), y, f'WHERE {x} IS NOT NULL') for x in _MIDDLE for y in _MIDDLE if x != y)}), {_SQL_COUNTS},
+f AS (SELECT determinant, count(*) FILTER (ratio = 1) AS k, bool_or(ratio = 1 AND dependent IN {tuple(_WORDY)}) OR determinant IN {tuple(_WORDY)} AS wordy, bool_or(ratio = 1 AND regexp_matches(dependent, '{_any(naming.STRUCTURAL_WORDS)}')) AS contact FROM m GROUP BY determinant),
+s AS (SELECT determinant AS column_name, u AS unique_count, k AS n_dependents, contact, u / n AS r, CASE WHEN u < greatest(10, 0.01 * n) OR u / n < 0.02 OR k = 0 THEN 0.0 ELSE round((CASE WHEN k >= 3 THEN 0.5 WHEN k = 2 THEN 0.3 ELSE 0.1 END) + (CASE WHEN u / n BETWEEN 0.05 AND 0.7 THEN 0.2 WHEN u / n BETWEEN 0.02 AND 0.9 THEN 0.1 ELSE 0 END)
+ + CASE WHEN wordy THEN 0.2 ELSE 0 END + CASE WHEN contact THEN 0.3 ELSE 0 END, 6) END AS score FROM f JOIN u USING (determinant))
+SELECT column_name, unique_count, n_dependents, score, score >= 0.4 AS is_entity, CASE WHEN score < 0.4 THEN '' WHEN r > 0.5 THEN 'master' WHEN contact THEN 'reference' ELSE 'lookup' END AS kind FROM s""")
 def entity_scores_flat(spark, d):
     df = orders_flat(spark, d)
-    deps = dependencies.ratios(df.select(_MIDDLE), [(c,) for c in _MIDDLE], None, True).groupBy(F.col("determinant").alias("column_name")).agg(F.count(F.when(F.col("ratio") == 1, 1)).alias("n_dependents"))
-    p = profile.column_profile(df.select(_MIDDLE), "flat").select("column_name", "unique_count", "total_count", "uniqueness_ratio")
-    r, k = F.col("uniqueness_ratio"), F.col("n_dependents")
-    score = F.when(k >= 3, 0.5).when(k == 2, 0.3).when(k == 1, 0.1).otherwise(0.0) + F.when(r.between(0.05, 0.7), 0.2).when(r.between(0.02, 0.9), 0.1).otherwise(0.0) + F.when(F.col("column_name").isin([c for c, w in _WORDY.items() if w]), 0.2).otherwise(0.0)
-    small = (F.col("unique_count") < F.greatest(F.lit(10.0), 0.01 * F.col("total_count"))) | (r < 0.02)
-    return p.join(deps, "column_name").select("column_name", "unique_count", "n_dependents", F.when(small, F.lit(0.0)).otherwise(F.round(score, 6)).alias("score"))
+    facts = orders_facts(df)
+    exact = dependencies.collect_ratios(df.select(_MIDDLE), [(c,) for c in _MIDDLE], drop_null_determinants=True, at_least=1)
+    out = []
+    for c in _MIDDLE:
+        diverse = [y for y in _MIDDLE if exact.get(((c,), y), 0) == 1]
+        e = normalize.entity_score(facts.unique[c], facts.n_rows, c, diverse)
+        out.append((c, facts.unique[c], len(diverse), e.score, e.is_entity, e.kind))
+    return spark.createDataFrame(out, "column_name string, unique_count long, n_dependents long, score double, is_entity boolean, kind string")
+
+
+#: (name that the rule sees, table, its columns, column that repeats, what the names say; status: if some value varies).
+_REPEATS = [
+    ("orders", "orders", ["o_orderkey", "o_custkey", "o_orderdate"], "o_custkey", "event_history"),
+    ("orders", "orders", ["o_orderkey", "o_custkey", "o_orderdate"], "o_orderkey", "event_history"),
+    ("sales", "orders", ["o_orderkey", "o_custkey", "o_orderstatus"], "o_custkey", "status_history"),
+    ("part", "part", ["p_partkey", "p_brand"], "p_brand", "line_items"),
+    ("rows", "lineitem", ["l_orderkey", "l_linenumber"], "l_orderkey", "sequenced_children"),
+    ("customer", "customer", ["c_custkey", "c_nationkey"], "c_nationkey", "child_records"),
+]
+
 
+def _sql_repeats(name: str, table: str, columns: list[str], column: str, kind: str) -> str:
+    if kind == "status_history":
+        kind = f"' || CASE WHEN EXISTS (SELECT 1 FROM {table} GROUP BY {column} HAVING count(DISTINCT o_orderstatus) > 1) THEN 'status_history' ELSE 'sequenced_children' END || '"
+    return f"SELECT '{name}' AS name, '{column}' AS column_name, CASE WHEN count(*) = count(DISTINCT {column}) THEN 'none' ELSE '{kind}' END AS pattern FROM {table}"
 
-@query("""SELECT 'o_custkey' AS column_name, count(*) - count(DISTINCT o_custkey) AS repeats, CASE WHEN count(*) = count(DISTINCT o_custkey) THEN 'none' ELSE 'event_history' END AS pattern FROM orders
-UNION ALL SELECT 'o_orderkey', count(*) - count(DISTINCT o_orderkey), CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'none' ELSE 'event_history' END FROM orders""")
-def multi_row_pattern_orders(spark, d):
-    p = profile.column_profile(raw(spark, d, "orders").select("o_custkey", "o_orderkey"), "orders")
-    temporal = any(naming.has_any(c, naming.TEMPORAL_WORDS) for c in COLUMNS["orders"])
-    repeats = F.col("total_count") - F.col("unique_count")
-    return p.select("column_name", repeats.alias("repeats"), F.when(repeats == 0, "none").otherwise("event_history" if temporal else "child_records").alias("pattern"))
+
+@query(" UNION ALL ".join(_sql_repeats(*r) for r in _REPEATS))
+def multi_row_patterns(spark, d):
+    out = []
+    for name, table, columns, column, _ in _REPEATS:
+        df = raw(spark, d, table).select(columns)
+        found = normalize.multi_row_pattern(df, name, column, dependencies.measure(df, name))
+        out.append((name, column, found.kind if found else "none"))
+    return spark.createDataFrame(out, "name string, column_name string, pattern string")
 
 
 # Foreign keys
@@ -356,13 +402,12 @@ def ind_coverage_all(spark, d):
 
 
 def _facts(spark, d) -> dict[str, TableFacts]:
-    """Measures of the canonical tables, with the keys that the candidate query finds."""
-    out = {}
-    for t, df in _canonicals(spark, d).items():
-        f = dependencies.measure(df, t)
-        f.candidate_keys = [(c,) for c in f.columns if naming.key_name(c) and f.is_unique(c)]
+    """Measures and keys of the canonical tables."""
+    tables = _canonicals(spark, d)
+    out = dependencies.measure_all(tables)
+    for t, f in out.items():
+        f.candidate_keys = dependencies.candidate_keys(tables[t], f)
         f.primary_key = min(f.candidate_keys, key=len) if f.candidate_keys else ()
-        out[t] = f
     return out
 
 
@@ -372,13 +417,19 @@ def _fk_rows(spark, keys: list[ForeignKey]) -> DataFrame:
 
 def _sql_fits() -> str:
     return f"""WITH ind AS ({_sql_inclusion(_PAIRS)}), n AS ({' UNION ALL '.join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in TABLES)}),
-fits AS (SELECT ind.* FROM ind JOIN n c ON c.t = fk_table JOIN n p ON p.t = pk_table WHERE n_values > 0 AND n_missing = 0 AND p.n <= c.n),
+own AS (SELECT string_split(min_by(key, i), '+') AS k FROM ({_sql_keys('lineitem', sql_canonical('lineitem'), list(COLUMNS['lineitem'].values()))})),
+fits AS (SELECT ind.* FROM ind JOIN n c ON c.t = fk_table JOIN n p ON p.t = pk_table WHERE n_values > 0 AND n_missing = 0 AND p.n <= c.n AND NOT (fk_table = 'lineitem' AND list_contains((SELECT k FROM own), fk_column))),
 based AS (SELECT *, replace(fk_column, '_id', '') AS base, count(*) OVER (PARTITION BY fk_table, fk_column) AS parents FROM fits)"""
 
 
 @query(_sql_fits() + """ SELECT fk_table, fk_column, pk_table, pk_column FROM (SELECT *, row_number() OVER (PARTITION BY fk_table, fk_column ORDER BY length(pk_table) DESC, pk_table) AS r FROM based WHERE parents = 1 OR contains(pk_table, base) OR contains(base, pk_table)) WHERE r = 1""")
 def foreign_keys_detected(spark, d):
-    return _fk_rows(spark, foreign_keys.detect(_canonicals(spark, d), _facts(spark, d)))
+    return _fk_rows(spark, _detected(spark, d)[0])
+
+
+def _detected(spark, d) -> tuple[list[ForeignKey], dict[str, TableFacts]]:
+    facts = _facts(spark, d)
+    return foreign_keys.detect(_canonicals(spark, d), facts), facts
 
 
 @query(f"WITH ind AS ({_sql_inclusion(_PAIRS)}), n AS ({' UNION ALL '.join(f'''SELECT '{t}' AS t, count(*) AS n FROM {t}''' for t in TABLES)}) SELECT fk_table, fk_column, pk_table, c.n AS child_rows, p.n AS parent_rows FROM ind JOIN n c ON c.t = fk_table JOIN n p ON p.t = pk_table WHERE n_values > 0 AND n_missing = 0 AND p.n > c.n")
@@ -520,61 +571,68 @@ def _sql_sanitize(c: str) -> str:
     return f"CASE WHEN length({safe}) > 30 THEN substr({safe}, 1, 25) || '_' || substr(md5({c}), 1, 4) ELSE {safe} END"
 
 
-def sanitized(c) -> F.Column:
-    """naming.sanitize as a column expression."""
-    squeezed = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_]", "_"), "_+", "_")
-    started = F.when(squeezed.rlike("^[A-Za-z]"), squeezed).otherwise(F.concat(F.lit("col_"), squeezed))
-    safe = F.when(F.upper(started).isin(sorted(naming.RESERVED)), F.concat(started, F.lit("_col"))).otherwise(started)
-    return F.when(F.length(safe) > naming.MAX_IDENTIFIER, F.concat(F.substring(safe, 1, 25), F.lit("_"), F.substring(F.md5(c), 1, 4))).otherwise(safe)
-
-
 @query("WITH n AS (SELECT unnest([" + ", ".join("'" + n + "'" for n in _NAMES) + f"]) AS name) SELECT name, {_sql_sanitize('name')} AS identifier FROM n")
 def sanitize_identifiers(spark, d):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", sanitized(F.col("name")).alias("identifier"))
+    return spark.createDataFrame([(n, naming.sanitize(n)) for n in _NAMES], "name string, identifier string")
+
+
+_LONG = [f"catalogue column called {c}" for t in TABLES for c in COLUMNS[t]]
 
 
-@query(f"SELECT DISTINCT p_name, {_sql_sanitize('long')} AS identifier FROM (SELECT p_name, 'catalogue part called ' || p_name AS long FROM part)")
+@query("WITH n AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _LONG) + f"]) AS name) SELECT name, {_sql_sanitize('name')} AS identifier FROM n")
 def long_identifier_hash(spark, d):
-    return raw(spark, d, "part").select("p_name", sanitized(F.concat(F.lit("catalogue part called "), "p_name")).alias("identifier")).distinct()
+    return spark.createDataFrame([(n, naming.sanitize(n)) for n in _LONG], "name string, identifier string")
 
 
-@query(f"WITH p AS ({_sql_profile(SQL_INJECTED, 'orders', list(COLUMNS['orders']))}) SELECT column_name, null_ratio < 0.05 AS not_null_compat, null_count = 0 AS not_null FROM p")
+@query(f"WITH p AS ({_sql_profile(SQL_INJECTED, 'orders', list(COLUMNS['orders']))}) SELECT column_name, null_ratio < 0.05 OR column_name = 'o_orderkey' AS not_null_compat, null_count = 0 OR column_name = 'o_orderkey' AS not_null FROM p")
 def not_null_decision(spark, d):
-    return profile.column_profile(injected(spark, d), "orders").select("column_name", (F.col("null_ratio") < ddl.NOT_NULL_BELOW).alias("not_null_compat"), (F.col("null_count") == 0).alias("not_null"))
+    f = dependencies.measure(injected(spark, d), "orders")
+    found = [(c, *[ddl.not_null(c, ("o_orderkey",), f.n_rows - f.non_null[c], f.n_rows, mode) for mode in ("compat", "textbook")]) for c in f.columns]
+    return spark.createDataFrame(found, "column_name string, not_null_compat boolean, not_null boolean")
 
 
 @query("SELECT 'start_time' AS column_name, CASE WHEN max(length(l_returnflag)) * 1.5 < 5 THEN 'VARCHAR2(5)' ELSE 'VARCHAR2(' || CAST(floor(max(length(l_returnflag)) * 1.5) AS INT) || ')' END AS oracle_type FROM lineitem")
 def time_sizing(spark, d):
-    types = profile.oracle_types(raw(spark, d, "lineitem").select(F.col("l_returnflag").alias("start_time")), "t")
-    short = F.regexp_extract("oracle_type", r"^VARCHAR2\((\d+)\)$", 1).try_cast("int") < ddl.TIME_LENGTH
-    return types.select("column_name", F.when(F.contains("column_name", F.lit("time")) & short, F.lit(f"VARCHAR2({ddl.TIME_LENGTH})")).otherwise(F.col("oracle_type")).alias("oracle_type"))
+    types = profile.oracle_types(raw(spark, d, "lineitem").select(F.col("l_returnflag").alias("start_time")), "t").collect()
+    return spark.createDataFrame([(r["column_name"], ddl.sized(r["column_name"], r["oracle_type"])) for r in types], "column_name string, oracle_type string")
 
 
-@query("WITH t AS (" + " UNION ALL ".join(_sql_type(t, c, _kind(c)) for t in ("nation", "customer", "orders") for c in COLUMNS[t]) + f") SELECT table_name, {_sql_sanitize('column_name')} || ' ' || oracle_type AS definition FROM t")
-def ddl_columns(spark, d):
-    out = None
-    for t in ("nation", "customer", "orders"):
-        part = profile.oracle_types(raw(spark, d, t), t)
-        out = part if out is None else out.unionByName(part)
-    return out.select("table_name", F.concat(sanitized(F.col("column_name")), F.lit(" "), "oracle_type").alias("definition"))
+_CREATED = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey"}
+
+
+def _sql_create(t: str) -> str:
+    columns = " UNION ALL ".join(f"SELECT {i} AS i, * FROM ({_sql_type(t, c, _kind(c))})" for i, c in enumerate(COLUMNS[t]))
+    return f"SELECT '{t}' AS table_name, 'CREATE TABLE {t} (' || chr(10) || string_agg('    ' || {_sql_sanitize('column_name')} || ' ' || oracle_type || ' NOT NULL', ',' || chr(10) ORDER BY i) || ',' || chr(10) || '    CONSTRAINT pk_{t} PRIMARY KEY ({_CREATED[t]})' || chr(10) || ');' AS statement FROM ({columns})"
+
+
+@query(" UNION ALL ".join(map(_sql_create, _CREATED)))
+def ddl_tables(spark, d):
+    out = []
+    for t, key in _CREATED.items():
+        df = raw(spark, d, t)
+        f = dependencies.measure(df, t)
+        types = {r["column_name"]: r["oracle_type"] for r in profile.oracle_types(df, t).collect()}
+        out.append((t, ddl.create_table(t, [(c, types[c], ddl.not_null(c, (key,), f.n_rows - f.non_null[c], f.n_rows)) for c in f.columns], (key,))))
+    return spark.createDataFrame(out, "table_name string, statement string")
 
 
-_DETECTED = ORACLE_SQL["foreign_keys_detected"]
+#: The detected keys with their place i in the order of tables and columns.
+_PLACES = ", ".join(f"('{t}', '{c}', {i})" for i, (t, c) in enumerate((t, c) for t in sorted(TABLES) for c in COLUMNS[t].values()))
+_DETECTED = f"(SELECT k.*, row_number() OVER (ORDER BY place) AS i FROM ({ORACLE_SQL['foreign_keys_detected']}) k JOIN (VALUES {_PLACES}) p(t, c, place) ON p.t = fk_table AND p.c = fk_column)"
 
 
-@query(f"SELECT 'ALTER TABLE ' || {_sql_sanitize('fk_table')} || ' ADD FOREIGN KEY (' || fk_column || ') REFERENCES ' || {_sql_sanitize('pk_table')} || '(' || pk_column || ')' AS statement FROM ({_DETECTED})")
+@query(f"SELECT 'ALTER TABLE ' || fk_table || chr(10) || '    ADD CONSTRAINT fk_' || fk_table || '_' || i || chr(10) || '    FOREIGN KEY (' || fk_column || ')' || chr(10) || '    REFERENCES ' || pk_table || '(' || pk_column || ');' AS statement FROM {_DETECTED}")
 def fk_constraints_ddl(spark, d):
-    rows = foreign_keys_detected(spark, d)
-    return rows.select(F.concat(F.lit("ALTER TABLE "), sanitized(F.col("fk_table")), F.lit(" ADD FOREIGN KEY ("), "fk_column", F.lit(") REFERENCES "), sanitized(F.col("pk_table")), F.lit("("), "pk_column", F.lit(")")).alias("statement"))
+    found, facts = _detected(spark, d)
+    made = ddl.foreign_key_constraints(found, {t: f.primary_key for t, f in facts.items()}, facts)
+    return spark.createDataFrame([(s,) for s in made.statements], "statement string")
 
 
-@query(f"SELECT 'CREATE INDEX idx_' || fk_table || '_' || fk_column || ' ON ' || {_sql_sanitize('fk_table')} || '(' || fk_column || ')' AS statement FROM ({_DETECTED})")
+@query(f"SELECT 'CREATE INDEX idx_' || fk_table || '_' || i || ' ON ' || fk_table || '(' || fk_column || ');' AS statement FROM {_DETECTED}")
 def index_ddl(spark, d):
-    rows = foreign_keys_detected(spark, d)
-    return rows.select(F.concat(F.lit("CREATE INDEX idx_"), "fk_table", F.lit("_"), "fk_column", F.lit(" ON "), sanitized(F.col("fk_table")), F.lit("("), "fk_column", F.lit(")")).alias("statement"))
+    return spark.createDataFrame([(s,) for s in ddl.indexes(_detected(spark, d)[0])], "statement string")
 
 
-@query(f"SELECT fk_table AS child, pk_table AS parent, fk_column || ' → ' || pk_column AS label FROM ({_DETECTED})")
+@query(f"SELECT fk_table AS child, pk_table AS parent, fk_column || ' → ' || pk_column AS label FROM {_DETECTED}")
 def erd_edges(spark, d):
-    rows = foreign_keys_detected(spark, d)
-    return rows.select(F.col("fk_table").alias("child"), F.col("pk_table").alias("parent"), F.concat("fk_column", F.lit(" → "), "pk_column").alias("label"))
+    return spark.createDataFrame(erd.edges(_detected(spark, d)[0]), "child string, parent string, label string")
