@@ -2,11 +2,15 @@
 
 The chain predicts the categories one after the other. Each link is a linear (logistic) model on which words a
 text has and on the probabilities of the categories before it; in training those are out-of-fold predictions,
-so that a later link sees earlier ones as wrong as they will be on new texts. The last category is the label
-itself. Where a table has only that one label, ``weak_categories`` makes the earlier ones from it.
-
-A bounded sample of the labelled rows (SAMPLE) reaches the driver as word hashes for fitting; scoring reads
-every text whole, on the executors, with a model of fixed size.
+so that a later link sees earlier ones as wrong as they will be on new texts. Words are chosen anew from the training
+rows of each fold, so a held-out row's prediction owes nothing to its label. The last category is the label itself.
+Before it come the categories that the labels table has, and kinds of the label that are learned from the texts: the
+label's telling words fall into two groups by which of them stand together, and a text of the label is of a kind if
+it has a word of its group. There is no word list.
+
+A bounded sample of the labelled rows (SAMPLE) is used for fitting. Spark counts their words by fold and label; only
+the chosen words' counts and which rows have them reach the driver. Scoring reads every text whole, on the
+executors, with a model of fixed size.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import LOWER, mixed, word_bounds, word_hashes
-from .shared import ship, table, text_slices
+from .hashing import LOWER, word_bounds, word_hashes
+from .shared import saved, ship, table, text_slices
 
 #: Labelled rows that are used for fitting at most, those with the least hash of the key first.
 SAMPLE = 8_000
@@ -33,11 +37,9 @@ THRESHOLDS = (0.2, 0.5)
 #: Small letters and all bytes of characters beyond ASCII.
 IS_WORD = np.zeros(256, bool)
 IS_WORD[0x61:0x7B] = IS_WORD[0x80:] = True
-#: Seed words of the categories that come before the label in the chain.
-CATEGORIES = {
-    "insult": ["idiot", "moron", "loser", "clown", "scum"],
-    "degrading": ["pathetic", "worthless", "disgusting", "trash", "stupid"],
-}
+#: Columns of the labels table that come before the label in the chain, where the table has them.
+CATEGORIES = ("quality",)
+KINDS = 2
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray):
@@ -46,12 +48,6 @@ def _hashed(data: np.ndarray, offsets: np.ndarray):
     return word_hashes(data, starts, ends), rows
 
 
-def word_keys(words: list[str]) -> np.ndarray:
-    raw = " ".join(words).encode()
-    data = np.frombuffer(raw, np.uint8)
-    return _hashed(data, np.array([0, len(data)]))[0]
-
-
 class Chain:
     """A fitted chain: words (sorted hashes), and for each category a bias, word weights and earlier weights."""
 
@@ -81,47 +77,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 8) -> np.ndarray:
     return w
 
 
-def fit_chain(rows: list[np.ndarray], labels: np.ndarray, names: list[str], features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """rows: the distinct word hashes of each text; labels: rows x categories of 0 and 1, the chain's order.
+def fit_chain(present: np.ndarray, labels: np.ndarray, names: list[str], words: np.ndarray, chosen: list[np.ndarray], fold: np.ndarray) -> Chain:
+    """present: rows x words; labels: rows x categories of 0 and 1 in the chain's order; chosen: for each fold the
+    words (positions) that the other folds' rows chose, and last those that all rows chose; fold: of each row.
 
-    Words are chosen by their chi-square against the categories. A category without both classes, or fewer than
-    MIN_ROWS texts, gives a chain that predicts each category's share.
+    A category without both classes, or fewer than MIN_ROWS rows, gives a chain that predicts each category's share.
     """
-    n, k = len(rows), len(names)
-    flat, which = (np.concatenate(rows) if n else np.zeros(0, np.uint64)), np.repeat(np.arange(n), [len(r) for r in rows])
-    words, at, df = np.unique(flat, return_inverse=True, return_counts=True)
-    best = np.zeros(len(words))
-    for c in range(k):
-        positive = labels[:, c].sum()
-        if 0 < positive < n:
-            seen = np.bincount(at, weights=labels[which, c], minlength=len(words))
-            expected = df * positive / n
-            best = np.maximum(best, (seen - expected) ** 2 * n * n / np.maximum(expected * (n - df + 1) * (n - positive), 1e-9))
-    best[df < MIN_DF] = 0
-    chosen = np.sort(np.lexsort((words, -best))[:features])
-    chosen = chosen[best[chosen] >= CHI_SQUARE]
-    x = np.zeros((n, 1 + len(chosen)))
-    x[:, 0] = 1
-    slot = np.full(len(words), -1)
-    slot[chosen] = np.arange(len(chosen))
-    hit = slot[at] >= 0
-    x[which[hit], 1 + slot[at[hit]]] = 1
-    weights = np.zeros((k, 1 + len(chosen) + k))
+    n, k = labels.shape
+    x = np.hstack([np.ones((n, 1)), present])
+    columns = [np.concatenate([[0], c + 1]) for c in chosen]
+    own = chosen[-1]
+    weights = np.zeros((k, 1 + len(own) + k))
     held = np.zeros((n, k))  # out-of-fold probabilities
-    fold = np.arange(n) % folds
     for c in range(k):
-        y, full = labels[:, c].astype(float), np.hstack([x, held[:, :c]])
+        y = labels[:, c].astype(float)
         share = np.clip(y.mean(), 1e-6, 1 - 1e-6) if n else 1e-6
         if n < MIN_ROWS or y.min() == y.max():
             weights[c, 0], held[:, c] = np.log(share / (1 - share)), share
             continue
-        for f in range(folds):
+        for f in range(len(chosen) - 1):
             mine = fold == f
             if mine.any() and not mine.all():
+                full = np.hstack([x[:, columns[f]], held[:, :c]])
                 held[mine, c] = _sigmoid(full[mine] @ _logistic(full[~mine], y[~mine]))
-        w = _logistic(full, y)
-        weights[c, : 1 + len(chosen)], weights[c, 1 + len(chosen) : 1 + len(chosen) + c] = w[: 1 + len(chosen)], w[1 + len(chosen) :]
-    return Chain(names, words[chosen], weights, _threshold(held[:, -1], labels[:, -1]) if n else THRESHOLDS[1])
+        w = _logistic(np.hstack([x[:, columns[-1]], held[:, :c]]), y)
+        weights[c, : 1 + len(own)], weights[c, 1 + len(own) : 1 + len(own) + c] = w[: 1 + len(own)], w[1 + len(own) :]
+    return Chain(names, words[own], weights, _threshold(held[:, -1], labels[:, -1]) if n else THRESHOLDS[1])
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -134,41 +115,98 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[best] + below) / 2, *THRESHOLDS))
 
 
-def weak_categories(rows: list[np.ndarray], label: np.ndarray, categories: dict[str, list[str]]) -> np.ndarray:
-    """rows x (categories, label): a category holds where the label does and the text has a seed word of it."""
-    seeds = [word_keys(words) for words in categories.values()]
-    return np.array([[y and bool(np.isin(s, r).any()) for s in seeds] + [y] for r, y in zip(rows, label, strict=True)], dtype=np.int8).reshape(len(rows), len(seeds) + 1)
+def kinds_of(present: np.ndarray, label: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """rows x KINDS of 0 and 1: kinds of the label, from the telling words (positions).
 
+    The words' first principal component over the label's rows parts them into two groups that tend to stand in
+    different texts."""
+    out = np.zeros((len(label), KINDS), np.int8)
+    rows = present[label > 0][:, telling]
+    if len(rows) < 2 or len(telling) < 2:
+        return out
+    load = np.linalg.eigh(np.cov(rows, rowvar=False))[1][:, -1]
+    load *= np.sign(load[np.argmax(np.abs(load))])
+    for k, group in enumerate((telling[load > 0], telling[load <= 0])):
+        out[:, k] = (label > 0) & present[:, group].any(axis=1)
+    return out
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]] = CATEGORIES, label: str = "toxic", sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Chain:
-    """Fits the chain on a sample of at most `sample` labelled documents.
 
-    A key that is labelled more than once counts as toxic if any of its labels is; null keys and labels are
-    left out. labels may also hold the earlier categories as 0/1 columns; those replace the weak ones.
-    """
-    ship(docs.sparkSession)
-    names = list(categories)
-    own = all(c in labels.columns for c in names)
-    wanted = [*names, label] if own else [label]
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in wanted])
-    known = known.join(docs.select(F.col(key).alias("_key")).distinct(), "_key", "left_semi").orderBy(F.xxhash64("_key"), "_key").limit(sample)
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key").drop("_key")  # `sample` rows at most
+def _sample(docs: DataFrame, labels: DataFrame, wanted: list[str], sample: int, folds: int, key: str, text: str) -> DataFrame:
+    """row, fold, words (distinct hashes) and the labels of at most `sample` labelled documents, written once."""
+    known = labels.where(F.col(key).isNotNull() & F.col(wanted[-1]).isNotNull()).groupBy(F.col(key).alias("_key")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{i}") for i, c in enumerate(wanted)])
+    known = saved(known.join(docs.select(F.col(key).alias("_key")).distinct(), "_key", "left_semi").orderBy(F.xxhash64("_key"), "_key").limit(sample), "labelled")
+    texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(known.select("_key")), "_key")  # `sample` keys at most
+    one = texts.groupBy("_key").agg(F.min_by("_text", F.struct(F.xxhash64("_text"), "_text")).alias("_text"))  # of rows that share a key one, in any order of arrival the same
+    rows = one.join(F.broadcast(known), "_key").select(F.xxhash64("_key").alias("row"), "_text", *[f"y{i}" for i in range(len(wanted))])
 
     def run(batches):
         for b in batches:
-            for first, stop, data, offsets in text_slices(b.column(0)):
+            for first, stop, data, offsets in text_slices(b.column(1)):
                 hashes, bounds = _hashed(data, offsets)
                 sets = [np.unique(hashes[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([lists, *[c.slice(first, stop - first) for c in b.columns[1:]]], names=["words", *wanted])
-
-    got = rows.mapInArrow(run, "words array<long>, " + ", ".join(f"`{c}` int" for c in wanted)).toArrow()
-    words = [np.asarray(w.values, np.int64).view(np.uint64) for w in got.column("words")] if got.num_rows else []
-    order = sorted(range(len(words)), key=lambda i: (int(mixed(words[i]).sum(dtype=np.uint64)) if len(words[i]) else 0))  # folds that don't depend on the order of arrival
-    words = [words[i] for i in order]
-    values = [np.array(got.column(c).to_pylist(), np.int8)[order] for c in wanted] if words else [np.zeros(0, np.int8)] * len(wanted)
-    table_of = np.stack(values, 1) if own else weak_categories(words, values[0], categories)
-    return fit_chain(words, table_of.reshape(len(words), len(names) + 1), [*names, label])
+                part = [c.slice(first, stop - first) for c in b.columns]
+                yield pa.RecordBatch.from_arrays([part[0], lists, *part[2:]], names=["row", "words", *[f"y{i}" for i in range(len(wanted))]])
+
+    made = rows.mapInArrow(run, "row long, words array<long>, " + ", ".join(f"y{i} int" for i in range(len(wanted))))
+    return saved(made.withColumn("fold", F.pmod(F.xxhash64("row"), F.lit(folds)).cast("int")), "sample")
+
+
+def _chosen(rows: DataFrame, n_labels: int, features: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(words, for each fold and last for all rows the positions of the chosen words, the words most telling of the
+    last label). Chi-squares are computed by Spark from counts by fold; `features` words for each set of rows, at
+    most, reach the driver."""
+    sums = [F.count(F.when(F.col("fold") == f, 1)).alias(f"n{f}") for f in range(folds)]
+    sums += [F.sum(F.when(F.col("fold") == f, F.col(f"y{c}")).otherwise(0)).alias(f"p{c}_{f}") for c in range(n_labels) for f in range(folds)]
+    whole = rows.agg(*sums).first()
+    counts = saved(rows.select(F.explode("words").alias("word"), "fold", *[f"y{c}" for c in range(n_labels)]).groupBy("word").agg(*sums).where(" + ".join(f"n{f}" for f in range(folds)) + f" >= {MIN_DF}"), "counts")
+    found: list[dict[int, float]] = []
+    last: dict[int, float] = {}
+    for held in [*range(folds), None]:
+        part = [f for f in range(folds) if f != held]
+        n = float(sum(whole[f"n{f}"] for f in part))
+        df = sum((F.col(f"n{f}") for f in part), F.lit(0.0))
+        best = F.lit(0.0)
+        for c in range(n_labels):
+            positive = float(sum(whole[f"p{c}_{f}"] or 0 for f in part))
+            if 0 < positive < n:
+                expected = df * positive / n
+                seen = sum((F.col(f"p{c}_{f}") for f in part), F.lit(0.0))
+                chi = (seen - expected) ** 2 * n * n / F.greatest(expected * (n - df + 1) * (n - positive), F.lit(1e-9))
+                best = F.greatest(best, chi)
+                if held is None and c == n_labels - 1:
+                    top = counts.select("word", F.when(seen > expected, chi).otherwise(0.0).alias("chi")).where(F.col("chi") >= CHI_SQUARE)
+                    last = {r[0]: r[1] for r in top.orderBy(F.desc("chi"), "word").limit(features // 4).collect()}
+        passed = counts.select("word", best.alias("chi"), df.alias("df")).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= MIN_DF))
+        found.append({r[0]: r[1] for r in passed.orderBy(F.desc("chi"), "word").limit(features).collect()})
+    words = np.sort(np.array(sorted(set(last).union(*found)), np.int64).view(np.uint64))
+    place = lambda some: np.searchsorted(words, np.sort(np.array(list(some), np.int64).view(np.uint64)))
+    return words, [place(s) for s in found], place(last)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, label: str = "toxic", sample: int = SAMPLE, key: str = "doc_id", text: str = "text", features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    """Fits the chain on a sample of at most `sample` labelled documents, those with the least hash of the key.
+
+    A key that is labelled more than once counts as toxic if any of its labels is; null keys and labels are left out;
+    of documents that share a key one is read. categories: columns of labels for the chain's beginning; those that
+    the table lacks are left out, and a null in one counts as 0.
+    """
+    ship(docs.sparkSession)
+    wanted = [*[c for c in categories if c in labels.columns], label]
+    rows = _sample(docs, labels, wanted, sample, folds, key, text)
+    words, chosen, telling = _chosen(rows, len(wanted), features, folds)
+    hit = F.array_intersect("words", F.lit([int(w) for w in words.view(np.int64)]).cast("array<long>"))
+    got = rows.select("row", "fold", *[f"y{c}" for c in range(len(wanted))], hit.alias("hit")).orderBy("row").toArrow()  # `sample` rows of (folds + 2) * features words at most
+    given = np.stack([np.asarray(got.column(f"y{c}")) for c in range(len(wanted))], 1).astype(np.int8)
+    lists = got.column("hit").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    present = np.zeros((got.num_rows, len(words)))
+    if got.num_rows:
+        sizes = np.asarray(lists.value_lengths())
+        present[np.repeat(np.arange(got.num_rows), sizes), np.searchsorted(words, np.asarray(lists.flatten()).view(np.uint64))] = 1
+    kinds = kinds_of(present, given[:, -1], telling)
+    table_of = np.hstack([given[:, :-1], kinds, given[:, -1:]])
+    return fit_chain(present, table_of, [*wanted[:-1], *[f"{label}_{k + 1}" for k in range(KINDS)], label], words, chosen, np.asarray(got.column("fold")))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:

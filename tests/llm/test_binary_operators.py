@@ -366,7 +366,7 @@ def test_chain_finds_toxic_words(spark):
         docs.append((i, " ".join(words)))
         if i < 300:
             labels.append((i, 1, int(toxic)))
-    docs += [(1000, None), (1001, ""), (None, "idiot stupid"), (1002, "calm " * 20_000 + "idiot moron")]
+    docs += [(1000, None), (1001, ""), (None, "idiot stupid"), (1002, "calm " * 20_000 + "idiot moron"), *[(7, f"w{i} clean") for i in range(50)]]
     labels += [(1, 1, 0), (None, 0, 1), (7777, 0, 1), (2, None, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_key", F.lit("clash"))
     chain = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
