@@ -1,12 +1,16 @@
 """Chat formatting by quotation linking.
 
-A message's lines carry a quote level: the number of leading ``>`` signs. Every line is normalised (lower case,
-white space to one blank) and hashed. A quoted line is linked to the message that wrote it: in the same
-conversation the latest earlier one, else the first of all conversations; a message replies to the one that
-most of its quoted lines come from. Messages are put in reply order and lose their quotes.
-
-DataFrame functions only. Lines are matched within a conversation by a window over their hash, and across
-conversations against one row per hash, so a line that stands in every message stays one row on one side.
+A message's lines carry a quote level: the number of leading ``>`` signs. Neighbouring lines of one level are a
+passage, so quotes nest as levels do. A passage is normalised (lines joined, lower case, white space to one blank) and
+hashed as a whole, and so are its lines and its sentences; a quotation that was wrapped anew or takes one sentence
+keeps some of these hashes. They are joined to what messages wrote themselves: in the same conversation to the latest
+earlier one, and passages of FAR_WORDS words or more also to the first of another conversation. The original of a
+passage is the message that covers the largest share of its words; a message replies to the original that most of
+its first-level words come from. Messages are put in reply order and lose their quotes.
+
+DataFrame functions only. Hashes meet within blocks of a conversation's turns, so neither a line that stands in
+every message nor a conversation of any length needs one task; across conversations a hash is one row. Messages are
+numbered in ranges (see ``scratch.numbered``), without their texts.
 """
 
 from __future__ import annotations
@@ -14,50 +18,88 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relforge.sources.scratch import numbered
+
 from .shared import saved, table
 
+#: Words from which a passage is also looked for in other conversations, and the share of its words that an original
+#: has to cover.
+FAR_WORDS, LEAST_SHARE = 5, 0.5
+#: Turns of a conversation whose hashes are sorted together.
+TURNS = 4096
 _QUOTE = r"^[ \t]*(>[> \t]*)"
 _HAS_QUOTE = r"(^|[\r\n])[ \t]*>"
 
 
-def lines(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, i (line number), level, line (without its quote signs) and hash (null for a blank line)."""
-    each = messages.select("message", "conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)).alias("i", "whole"))
-    marks = F.regexp_extract("whole", _QUOTE, 1)
-    level = F.length(F.regexp_replace(marks, "[^>]", ""))
-    bare = F.when(level > 0, F.regexp_replace("whole", _QUOTE, "")).otherwise(F.col("whole"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    return each.select("message", "conv_id", "turn", "i", level.alias("level"), bare.alias("line")).withColumn("hash", F.when(norm != "", F.xxhash64(norm)))
+def _normal(c):
+    return F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """message, conv_id, turn, p (number of the passage), level, total (its words), kind, hash and words: the units of
+    every run of lines of one level without a blank line: the whole (kind 0), its lines (1) and its sentences (2)."""
+    each = messages.select("message", "conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1)).alias("i", "raw"))
+    level = F.length(F.regexp_replace(F.regexp_extract("raw", _QUOTE, 1), "[^>]", ""))
+    each = each.withColumn("level", level).withColumn("line", _normal(F.when(F.col("level") > 0, F.regexp_replace("raw", _QUOTE, "")).otherwise(F.col("raw"))))
+    order = Window.partitionBy("message").orderBy("i")  # the lines of one text
+    begins = ~F.lag("level").over(order).eqNullSafe(F.col("level")) | (F.lag("line").over(order) == "")
+    runs = each.withColumn("begins", begins.cast("int")).withColumn("p", F.sum("begins").over(order)).where("line <> ''")
+    lists = runs.groupBy("message", "conv_id", "turn", "p", "level").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]).alias("lines"))
+    whole = lists.withColumn("whole", F.array_join("lines", " "))
+    sentences = F.filter(F.transform(F.split("whole", "[.!?]+ "), lambda x: F.regexp_replace(x, "[.!?]+$", "")), lambda x: x != "")
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    unit = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), F.xxhash64(x).alias("hash"), words(x).alias("words"))
+    units = F.concat(F.transform(F.array("whole"), unit(0)), F.transform("lines", unit(1)), F.transform(sentences, unit(2)))
+    return whole.select("message", "conv_id", "turn", "p", "level", words(F.col("whole")).alias("total"), F.explode(units).alias("u")).select("message", "conv_id", "turn", "p", "level", "total", "u.*")
+
+
+def _nearest(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """conv_id, turn, hash and near: for every asked place the latest earlier turn of the conversation that wrote it."""
+    block = F.floor(F.col("turn") / TURNS).alias("block")
+    both = asked.select("conv_id", "hash", "turn", block, F.lit(None).cast("long").alias("wrote")).unionByName(own.select("conv_id", "hash", "turn", block, F.col("turn").cast("long").alias("wrote")))
+    before = Window.partitionBy("conv_id", "hash", "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)  # TURNS turns at most
+    inside = both.withColumn("near", F.max("wrote").over(before)).where("wrote IS NULL")
+    tops = both.groupBy("conv_id", "hash", "block").agg(F.max("wrote").alias("top"))
+    blocks = Window.partitionBy("conv_id", "hash").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for TURNS turns
+    earlier = tops.select("conv_id", "hash", "block", F.max("top").over(blocks).alias("earlier"))
+    return inside.join(earlier, ["conv_id", "hash", "block"]).select("conv_id", "hash", "turn", F.coalesce("near", "earlier").alias("near"))
+
+
+def _farthest(own: DataFrame) -> DataFrame:
+    """hash, first and second: the first places of the two first conversations that wrote it."""
+    per = saved(own.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn")), "by_conversation")
+    first = saved(per.groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "first")
+    second = per.join(first, "hash").where("conv_id <> first.conv_id").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("second"))
+    return first.join(second, "hash", "left")
 
 
 def link(messages: DataFrame) -> DataFrame:
-    """message, reply_conv, reply_turn, n_quoted (quoted lines) and n_linked (those with an original).
+    """message, reply_conv, reply_turn, n_quoted (quoted passages) and n_linked (those with an original).
 
-    messages: message (its own id), conv_id, turn, text. Only messages with quoted lines are listed. Of several
-    originals the one with most lines wins, then the same conversation, then the latest turn. A line quoted two
-    levels deep is looked up by its words like any other, so it leads to the message that wrote it; only first
-    level lines decide whom a message replies to, unless it has none with an original.
+    messages: message (its own id), conv_id, turn (a number), text. Only messages with quoted passages are listed. Of
+    several originals of a passage the one with the largest share wins, then the same conversation, then the latest
+    turn. A passage quoted two levels deep is looked up by its words like any other, so it leads to the message that
+    wrote it; only first-level passages decide whom a message replies to, unless none of them has an original.
     """
-    each = lines(messages).where("hash IS NOT NULL")
-    quoted = each.where("level > 0")
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    units = saved(passages(messages), "units")
+    quoted = units.where("level > 0")
     wanted = saved(quoted.select("hash").distinct(), "hashes")
-    both = each.join(wanted, "hash", "left_semi")
-    own_turn = F.when(F.col("level") == 0, F.col("turn"))
-    here = both.withColumn("near", F.last(own_turn, ignorenulls=True).over(before)).where("level > 0")
-    anywhere = both.where("level = 0").groupBy("hash").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    found = here.join(anywhere, "hash", "left").select(
-        *("message", "conv_id", "turn", "level"),
-        F.when(F.col("near").isNotNull(), F.col("conv_id")).when((F.col("far.conv_id") != F.col("conv_id")), F.col("far.conv_id")).alias("reply_conv"),
-        F.when(F.col("near").isNotNull(), F.col("near")).when((F.col("far.conv_id") != F.col("conv_id")), F.col("far.turn")).alias("reply_turn"),
-    )
-    votes = found.groupBy("message", "reply_conv", "reply_turn").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("level") == 1, 1)).alias("direct"), F.max((F.col("conv_id") == F.col("reply_conv")).cast("int")).alias("same")
-    )
-    real = F.col("reply_turn").isNotNull()
-    best = F.max_by(F.struct("reply_conv", "reply_turn"), F.when(real, F.struct("direct", "n", "same", "reply_turn", "reply_conv")))
-    out = votes.groupBy("message").agg(best.alias("best"), F.sum("n").alias("n_quoted"), F.sum(F.when(real, F.col("n")).otherwise(0)).alias("n_linked"))
-    return out.select("message", "best.reply_conv", "best.reply_turn", "n_quoted", "n_linked")
+    own = saved(units.where("level = 0").join(wanted, "hash", "left_semi").select("conv_id", "turn", "hash").distinct(), "own")
+    near = saved(_nearest(quoted.select("conv_id", "turn", "hash").distinct(), own), "near")
+    far = saved(_farthest(own), "far")
+    places = quoted.join(near, ["conv_id", "turn", "hash"], "left").join(far, "hash", "left")
+    place = lambda conv, turn: F.struct(F.col(conv).alias("reply_conv"), F.col(turn).alias("reply_turn"))
+    other = F.when(F.col("first.conv_id") != F.col("conv_id"), place("first.conv_id", "first.turn")).otherwise(place("second.conv_id", "second.turn"))
+    found = F.array(F.when(F.col("near").isNotNull(), place("conv_id", "near")), F.when(F.col("total") >= FAR_WORDS, other))
+    found = F.filter(found, lambda x: x["reply_turn"].isNotNull())
+    each = places.select("message", "conv_id", "p", "level", "total", "kind", "words", F.explode(found).alias("at")).select("*", "at.*")
+    covered = each.groupBy("message", "conv_id", "p", "level", "total", "kind", "reply_conv", "reply_turn").agg((F.sum("words") / F.col("total")).alias("share"))
+    same = (F.col("reply_conv") == F.col("conv_id")).alias("same")
+    best = covered.where(F.col("share") >= LEAST_SHARE).groupBy("message", "p", "level", "total").agg(F.max(F.struct("share", same, "reply_turn", "reply_conv")).alias("best"))
+    votes = best.groupBy("message", "best.same", "best.reply_conv", "best.reply_turn").agg(F.sum(F.when(F.col("level") == 1, F.col("total")).otherwise(0)).alias("direct"), F.sum("total").alias("all"), F.count("*").alias("n"))
+    chosen = votes.groupBy("message").agg(F.max(F.struct("direct", "all", "same", "reply_turn", "reply_conv")).alias("c"), F.sum("n").alias("n_linked"))
+    counts = quoted.select("message", "p").distinct().groupBy("message").agg(F.count("*").alias("n_quoted"))
+    return counts.join(chosen, "message", "left").select("message", F.col("c.reply_conv").alias("reply_conv"), F.col("c.reply_turn").alias("reply_turn"), "n_quoted", F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
 
 
 def conversations(table_of: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -66,28 +108,30 @@ def conversations(table_of: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
     A message without a linked quote replies to the message before it (reply_turn null for the first). Reply
     order puts each message behind what it replies to: by the turn it replies to within the conversation when it
-    quotes, and by its own turn. A null text is empty; rows with a null conversation or turn keep their place
-    (null first) and are linked with nothing; repeated rows count each. Lines that are quotes go, blank and unlinked ones too,
-    and blank lines at either end with them.
+    quotes, and by its own turn. Messages of one turn come in the order of their role and text's digest; repeated rows
+    count each. A null text is empty; rows with a null conversation or turn keep their place (null first) and are
+    linked with nothing. Lines that are quotes go, blank and unlinked ones too, and blank lines at either end with
+    them. Other columns are ignored.
     """
     rows = table_of.select(F.monotonically_increasing_id().alias("message"), F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     rows = saved(rows, "messages")
     known = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quoting = known.where(F.col("text").rlike(_HAS_QUOTE))
     links = link(known) if not quoting.isEmpty() else rows.where("false").select("message", F.col("conv_id").alias("reply_conv"), F.col("turn").alias("reply_turn"), F.lit(0).cast("long").alias("n_quoted"), F.lit(0).cast("long").alias("n_linked"))
+    tie = [F.asc_nulls_first("role"), F.col("digest")]
+    slim = rows.select("message", "conv_id", "turn", "role", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+    by_turn = saved(numbered(slim, [F.asc_nulls_first("turn"), *tie], "k", ["conv_id"]), "turns")
+    before = by_turn.select(F.col("conv_id").alias("c"), (F.col("k") + 1).alias("j"), F.col("turn").alias("before"))
+    placed = by_turn.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("k") == F.col("j")), "left").join(links, "message", "left")
+    linked_here = F.col("reply_turn").isNotNull() & (F.col("reply_conv") == F.col("conv_id"))
+    placed = placed.withColumn("after", F.when(linked_here, F.col("reply_turn")).otherwise(F.coalesce("before", "turn")))
+    placed = placed.select("message", "conv_id", "turn", "role", "digest", "before", "after", "reply_conv", "reply_turn", "n_quoted", "n_linked")
+    ordered = numbered(placed, [F.asc_nulls_first("after"), F.asc_nulls_first("turn"), *tie], "position", ["conv_id"], start=0)
     kept = F.filter(F.split(F.coalesce("text", F.lit("")), r"\r\n|\r|\n", -1), lambda x: ~x.rlike(r"^[ \t]*>"))
     content = F.rtrim(F.regexp_replace(F.array_join(kept, "\n"), r"\A[ \t\n]*\n", ""), F.lit(" \t\n"))
-    joined = rows.join(links, "message", "left").withColumn("content", F.when(F.col("text").rlike(_HAS_QUOTE), content).otherwise(F.coalesce("text", F.lit(""))))
-    by_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "message")
-    before = F.lag("turn").over(by_turn)
-    linked_here = F.col("reply_turn").isNotNull() & (F.col("reply_conv") == F.col("conv_id"))
-    after = F.when(linked_here, F.col("reply_turn")).otherwise(F.coalesce(before, F.col("turn")))
-    placed = joined.withColumn("after", after).withColumn("before", before)
-    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("after"), F.asc_nulls_first("turn"), "message")
-    return placed.select(
-        *("conv_id", "turn"),
-        (F.row_number().over(order) - 1).cast("long").alias("position"),
-        *("role", "content"),
+    whole = rows.select("message", F.when(F.col("text").rlike(_HAS_QUOTE), content).otherwise(F.coalesce("text", F.lit(""))).alias("content"))
+    return ordered.join(whole, "message").select(
+        *("conv_id", "turn", "position", "role", "content"),
         F.coalesce("reply_conv", F.when(F.col("before").isNotNull(), F.col("conv_id"))).alias("reply_conv"),
         F.coalesce("reply_turn", "before").alias("reply_turn"),
         F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"),
@@ -102,27 +146,29 @@ def op6_chat(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH m AS (SELECT row_number() OVER () AS message, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-l AS (SELECT message, conv_id, turn, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS whole FROM m),
-h AS (SELECT message, conv_id, turn, length(regexp_replace(regexp_extract(whole, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g')) AS level,
-             trim(regexp_replace(lower(regexp_replace(whole, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) AS norm FROM l),
-q AS (SELECT row_number() OVER () AS id, * FROM h WHERE level > 0 AND norm <> ''),
-o AS (SELECT DISTINCT conv_id, turn, norm FROM h WHERE level = 0 AND norm <> ''),
-near AS (SELECT q.id, max(o.turn) AS turn FROM q JOIN o ON o.norm = q.norm AND o.conv_id = q.conv_id AND o.turn < q.turn GROUP BY q.id),
-far AS (SELECT norm, min(ROW(conv_id, turn)) AS place FROM o GROUP BY norm),
-found AS (SELECT q.message, q.conv_id, q.level,
-                 CASE WHEN near.turn IS NOT NULL THEN q.conv_id WHEN far.place[1] <> q.conv_id THEN far.place[1] END AS reply_conv,
-                 CASE WHEN near.turn IS NOT NULL THEN near.turn WHEN far.place[1] <> q.conv_id THEN far.place[2] END AS reply_turn
-          FROM q LEFT JOIN near USING (id) LEFT JOIN far ON far.norm = q.norm),
-votes AS (SELECT message, reply_conv, reply_turn, count(*) AS n, count(*) FILTER (level = 1) AS direct, max(CAST(conv_id = reply_conv AS INT)) AS same
-          FROM found GROUP BY ALL),
-best AS (SELECT message, reply_conv, reply_turn FROM votes WHERE reply_turn IS NOT NULL
-         QUALIFY row_number() OVER (PARTITION BY message ORDER BY direct DESC, n DESC, same DESC, reply_turn DESC, reply_conv DESC) = 1),
-tally AS (SELECT message, sum(n) AS n_quoted, sum(CASE WHEN reply_turn IS NOT NULL THEN n ELSE 0 END) AS n_linked FROM votes GROUP BY message),
-j AS (SELECT m.*, best.reply_conv AS rc, best.reply_turn AS rt, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
-             lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn) AS before
-      FROM m LEFT JOIN best USING (message) LEFT JOIN tally USING (message)),
+l AS (SELECT message, conv_id, turn, unnest(parts) AS raw, generate_subscripts(parts, 1) AS i FROM (SELECT *, regexp_split_to_array(text, '\r\n|\r|\n') AS parts FROM m)),
+h AS (SELECT message, conv_id, turn, i, length(regexp_replace(regexp_extract(raw, '^[ \t]*(>[> \t]*)', 1), '[^>]', '', 'g')) AS level,
+             trim(regexp_replace(lower(regexp_replace(raw, '^[ \t]*>[> \t]*', '')), '\s+', ' ', 'g')) AS line FROM l),
+b AS (SELECT *, CASE WHEN lag(level) OVER w IS DISTINCT FROM level OR lag(line) OVER w = '' THEN 1 ELSE 0 END AS begins FROM h WINDOW w AS (PARTITION BY message ORDER BY i)),
+r AS (SELECT *, sum(begins) OVER (PARTITION BY message ORDER BY i) AS p FROM b),
+g AS (SELECT message, conv_id, turn, p, level, string_agg(line, ' ' ORDER BY i) AS whole, list(line ORDER BY i) AS lines FROM r WHERE line <> '' GROUP BY ALL),
+s AS (SELECT *, len(string_split(whole, ' ')) AS total, list_filter(list_transform(regexp_split_to_array(whole, '[.!?]+ '), lambda x: regexp_replace(x, '[.!?]+$', '')), lambda x: x <> '') AS sentences FROM g),
+u AS (SELECT message, conv_id, turn, p, level, total, 0 AS kind, whole AS u FROM s UNION ALL SELECT message, conv_id, turn, p, level, total, 1, unnest(lines) FROM s UNION ALL SELECT message, conv_id, turn, p, level, total, 2, unnest(sentences) FROM s),
+q AS (SELECT row_number() OVER () AS id, *, len(string_split(u, ' ')) AS words FROM u WHERE level > 0),
+o AS (SELECT DISTINCT conv_id, turn, u FROM u WHERE level = 0),
+c AS (SELECT q.id, q.conv_id AS reply_conv, max(o.turn) AS reply_turn FROM q JOIN o ON o.u = q.u AND o.conv_id = q.conv_id AND o.turn < q.turn GROUP BY q.id, q.conv_id
+      UNION ALL SELECT id, place[1], place[2] FROM (SELECT q.id, min(ROW(o.conv_id, o.turn)) AS place FROM q JOIN o ON o.u = q.u AND o.conv_id <> q.conv_id WHERE q.total >= 5 GROUP BY q.id)),
+covered AS (SELECT message, conv_id, p, level, total, kind, reply_conv, reply_turn, sum(words) / any_value(total) AS share FROM q JOIN c USING (id) GROUP BY ALL),
+best AS (SELECT message, p, level, total, CAST(conv_id = reply_conv AS INT) AS same, reply_conv, reply_turn FROM covered WHERE share >= 0.5
+         QUALIFY row_number() OVER (PARTITION BY message, p ORDER BY share DESC, conv_id = reply_conv DESC, reply_turn DESC, reply_conv DESC) = 1),
+votes AS (SELECT message, same, reply_conv AS rc, reply_turn AS rt, sum(CASE WHEN level = 1 THEN total ELSE 0 END) AS direct, sum(total) AS words, count(*) AS n FROM best GROUP BY ALL),
+chosen AS (SELECT message, rc, rt, sum(n) OVER (PARTITION BY message) AS n_linked FROM votes QUALIFY row_number() OVER (PARTITION BY message ORDER BY direct DESC, words DESC, same DESC, rt DESC, rc DESC) = 1),
+tally AS (SELECT message, count(DISTINCT p) AS n_quoted FROM q GROUP BY message),
+j AS (SELECT m.*, rc, rt, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked,
+             lag(m.turn) OVER (PARTITION BY m.conv_id ORDER BY m.turn NULLS FIRST, m.role NULLS FIRST, md5(m.text)) AS before
+      FROM m LEFT JOIN chosen USING (message) LEFT JOIN tally USING (message)),
 p AS (SELECT *, CASE WHEN rt IS NOT NULL AND rc = conv_id THEN rt ELSE coalesce(before, turn) END AS after FROM j)
-SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY after, turn) - 1 AS position, role,
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY after NULLS FIRST, turn NULLS FIRST, role NULLS FIRST, md5(text)) - 1 AS position, role,
        CASE WHEN NOT regexp_matches(text, '(^|[\r\n])[ \t]*>') THEN text ELSE rtrim(regexp_replace(array_to_string(list_filter(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)), '\A[ \t\n]*\n', ''), ' ' || chr(9) || chr(10)) END AS content,
        coalesce(rc, CASE WHEN before IS NOT NULL THEN conv_id END, -1) AS reply_conv, coalesce(rt, before, -1) AS reply_turn,
        CAST(n_quoted AS BIGINT) AS n_quoted, CAST(n_linked AS BIGINT) AS n_linked

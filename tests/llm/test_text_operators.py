@@ -244,14 +244,49 @@ def test_redaction_of_odd_rows(spark):
 # Chats
 
 
+MESSAGES = [
+    (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "bot", "> Hello there\n> how ARE  you?\n\nFine, thank you very much.\n\n"), (1, 2, "user", ">> hello there\n> Fine, thank you very much.\nGood."), (1, 3, "bot", "> Hello there\nanother"),
+    (2, 0, "user", "> Fine, thank you very much.\nx"), (2, 1, "bot", None), (2, 2, "user", "> unknown\ny"), (None, None, None, ""), (3, 0, "user", ">" * 9000),
+    # wrapped anew, one sentence of a paragraph, and a short line that many have
+    (4, 0, "user", "One long line of words. It has a second sentence here.\nAnd more of it follows."), (4, 1, "bot", "> one long line\n> of words. it has a second\n> sentence here. and more of it follows.\nTrue."),
+    (4, 2, "user", "> It has a second sentence here.\nThanks."), (5, 0, "user", "> Thanks.\nnothing far for one word"), (5, 1, "bot", "Thanks."), (5, 2, "bot", "Thanks."), (5, 2, "bot", "Thanks."), (5, 3, "user", "> Thanks.\n>\n> one long line of words. it has a second sentence here. and more of it follows.\nboth"),
+]
+
+
 def test_quotes_and_reply_order(spark):
-    rows = [(1, 0, "user", "Hello there\nhow are you?"), (1, 1, "bot", "> Hello there\n> how ARE  you?\n\nFine.\n\n"), (1, 2, "user", ">> hello there\n> Fine.\nGood."), (1, 3, "bot", "> Hello there\nanother"), (2, 0, "user", "> Fine.\nx"), (2, 1, "bot", None), (2, 2, "user", "> unknown\ny"), (None, None, None, ""), (3, 0, "user", ">" * 9000)]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("clash"))
+    df = spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string").withColumn("message", F.lit("clash"))
     got = {(r["conv_id"], r["turn"]): r for r in chat.conversations(df).collect()}
     assert [t for c, t in sorted((k for k in got if k[0] == 1), key=lambda k: got[k]["position"])] == [0, 1, 3, 2]
-    assert got[1, 1]["content"] == "Fine." and got[1, 2]["reply_turn"] == 1 and got[1, 3]["reply_turn"] == 0
+    assert got[1, 1]["content"] == "Fine, thank you very much." and got[1, 2]["reply_turn"] == 1 and got[1, 3]["reply_turn"] == 0
     assert (got[2, 0]["reply_conv"], got[2, 0]["reply_turn"]) == (1, 1) and got[2, 2]["n_linked"] == 0 and got[2, 2]["content"] == "y"
-    assert got[3, 0]["content"] == "" and len(got) == len(rows)
+    assert got[3, 0]["content"] == "" and (got[4, 1]["reply_turn"], got[4, 2]["reply_turn"]) == (0, 0)
+    assert got[5, 0]["n_linked"] == 0 and (got[5, 3]["n_quoted"], got[5, 3]["n_linked"], got[5, 3]["reply_conv"]) == (2, 2, 4)
     assert chat.conversations(df.limit(0)).count() == 0
 
 
+def test_chats_equal_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(8)
+    rows = [m for m in MESSAGES if m[0] is not None]
+    said = [f"{' '.join(rng.choices(WORDS, k=rng.choice([1, 3, 7])))}." for _ in range(40)]
+    for c in range(10, 40):
+        for t in range(8):
+            quote = [("> " * rng.choice([1, 1, 2])).strip() + " " + rng.choice(said).upper() for _ in range(rng.choice([0, 1, 2]))]
+            rows += [(c, t, rng.choice(["a", "b"]), "\n".join([*quote, rng.choice(["", "\n"]) + " ".join(rng.choices(said, k=2))]))] * rng.choice([1, 1, 1, 2])
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = duckdb.connect().execute(chat.ORACLE.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).df()
+    got = chat.op6_chat(spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.astype(str).values)) == sorted(map(tuple, want.astype(str).values)) and (got.n_linked > 0).sum() > 20
+
+
+def test_one_long_conversation(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS", 64)
+    n = 20_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.when(F.col("id") % 7 == 3, F.lit("> the same line in every message\nyes")).otherwise(F.lit("the same line in every message")).alias("text"))
+    got = chat.conversations(df).toPandas()
+    assert sorted(got.position) == list(range(n))
+    quoting = got[got.turn % 7 == 3]
+    assert (quoting.reply_turn == quoting.turn - 1).all() and (got[got.turn > 0].reply_turn == got[got.turn > 0].turn - 1).all()
