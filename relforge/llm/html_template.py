@@ -1,14 +1,18 @@
 """Main text of web pages by deducing the template of each host from equivalence classes of tokens.
 
-A token is a tag together with the path of containers around it. Tokens of one host that occur equally often on
-each of its pages share an occurrence vector and form an equivalence class. A class is valid if at least half of
-the host's pages have it, it has two tokens or more, and its tokens come in the same order wherever they occur.
-Valid classes nest by their paths into the host's template; what lies between their tokens are its slots. The
-main slot is the best of the template's containers (an article before a main part, a content block, the body),
-and its text, without any boilerplate container inside it, is the page's main text.
-
-Vectors are compared by an exclusive-or of hashes, so a host with a third of all pages is aggregated before it
-moves. Pages are parsed twice, in tasks; only tokens and one row per host are shuffled.
+A token is a tag, or a word, together with the path of containers around it. Its occurrence vector says how often it
+stands on each of the host's pages. Tokens with equal vectors form an equivalence class. A class is valid if at least
+half of the host's pages (and MIN_PAGES different ones) have it, it has two tokens or more, and its tokens come in the
+same order wherever they occur; tokens out of order leave it. Valid classes nest by their paths into the host's
+template; what lies between their tokens are its slots. The main slot is the best of the template's containers (an
+article before a main part, a content block, the body). Its text, without boilerplate containers inside it, is the
+page's main text; outside of articles and main parts, blocks all of whose words are the template's go too, and an
+element that may be boilerplate by one word of its name is so if the template has it.
+
+Vectors are compared by an exclusive-or of hashes over different pages. Most tokens stand on few pages; to keep them
+from moving, a first pass counts, for each host, on how many pages some token falls into each of BUCKETS hash
+buckets, and only tokens of buckets that reach half of the pages go on. Both passes add up what a task has of a host
+before it moves, so a host with a third of all pages is a few rows of each task.
 """
 
 from __future__ import annotations
@@ -17,7 +21,9 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,10 +42,17 @@ CONTENT_NAMES = {"content", "article", "post", "entry", "story", "main", "text",
 LAYOUT_WORDS = {"no", "with", "without", "has", "have", "is", "hide", "show", "on", "off", "enabled", "disabled"}
 SAFE = {"html", "body", "main", "article", "h1", "h2", "h3", "h4", "h5", "h6"}
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
+#: Different pages that a host needs for a template, and hash buckets of the first pass.
+MIN_PAGES = 3
+BUCKETS = 1024
+#: Hosts whose page counts a task holds before it hands them on.
+HELD_HOSTS = 2_000
+#: Boilerplate elements that are ignored if nothing closes them.
+UNCLOSED = {"noscript", "svg"}
 LIMIT_HOSTS = 20_000
 SALTS = 16
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|svg)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 
@@ -59,7 +72,7 @@ def _label(name: str, attributes: str) -> tuple[str, int]:
     if parts & BOILERPLATE_NAMES and name not in SAFE:
         names = [{w.lower() for w in _WORDS.findall(one)} for _, v in found for one in v.split()]
         if any(n and n <= BOILERPLATE_NAMES for n in names):
-            return label, -1
+            return label, -2 if name == "table" else -1
         clear = any(len(n) == 1 and n <= CONTENT_NAMES for n in names)
         if not clear and any(n & BOILERPLATE_NAMES and not n & LAYOUT_WORDS and not (n & CONTENT_NAMES and n & BOILERPLATE_NAMES == {"header"}) for n in names):
             return label, -2
@@ -72,10 +85,11 @@ def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[s
 
     A closing tag without its opening one is ignored; one that skips open containers closes them too, and an open
     paragraph, item or cell ends where the next one begins. What is perhaps boilerplate by its name is so if its
-    path is in `confirmed`, or if that is None. A main part is no boilerplate by the names around it. Contents of
+    path is in `confirmed`, or, if that is None, outside of articles and main parts. A main part is no boilerplate by the names around it. Contents of
     scripts and the like are not walked.
     """
     stack: list[tuple[str, str, int]] = []
+    last: dict[str, int] = {}
     path, grade, at = "", 0, 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
@@ -100,7 +114,9 @@ def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[s
             yield "close", path, ended, grade, ""
             path, grade = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
         if own == -2:
-            own = -1 if confirmed is None or f"{path}/{label}" in confirmed else 0
+            own = -1 if (grade < 3 if confirmed is None else f"{path}/{label}" in confirmed) else 0
+        if name in UNCLOSED and m.start() > last.setdefault(name, page.lower().rfind(f"</{name}") if name not in last else 0):
+            continue
         if name in VOID or m[4].rstrip().endswith("/") or (name not in CONTAINERS and own >= 0):
             yield "tag", path, name, grade, ""
             continue
@@ -111,29 +127,50 @@ def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[s
         yield "text", path, "", grade, page[at:]
 
 
-def tokens(page: str) -> dict[str, list[int]]:
-    """token -> [occurrences, first position, grade (containers only), characters of text right inside]."""
-    found: dict[str, list[int]] = {"": [1, 0, 0, 0]}
-    for k, (what, path, name, grade, text) in enumerate(walk(page)):
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _seed(path: str) -> int:
+    return xxhash.xxh64_intdigest(path)
+
+
+def word_token(seed: int, word: str) -> int:
+    """The token of a word below the path with this seed."""
+    return _signed(xxhash.xxh64_intdigest(word, seed=seed))
+
+
+def tokens(page: str) -> dict[int, list]:
+    """token -> [occurrences, first position, grade (of containers), characters of text right inside, name (of tags)]."""
+    found: dict[int, list] = {}
+    seeds: dict[str, int] = {}
+    at = 0
+    for what, path, name, grade, text in walk(page):
         if what == "text":
-            if path:
-                found[f"{path}>"][3] += len(text.strip())
+            words = text.split() if path else []
+            if words:
+                seed = seeds.setdefault(path, _seed(path))
+                found[_signed(_seed(f"{path}>"))][3] += sum(map(len, words))
+                for w in words:
+                    at += 1
+                    found.setdefault(word_token(seed, w), [0, at, 0, 0, None])[0] += 1
             continue
+        at += 1
         token = f"{path}>" if what == "open" else f"{path}</" if what == "close" else f"{path}/{name}"
-        entry = found.setdefault(token, [0, k, grade if what == "open" else 0, 0])
-        entry[0] += 1
+        found.setdefault(_signed(_seed(token)), [0, at, grade if what == "open" else 0, 0, token])[0] += 1
     return found
 
 
-def main_text(page: str, main: str | None, paths: list[str] | None = None) -> str:
+def main_text(page: str, main: str | None, paths: list[str] | None = None, words: frozenset[int] = frozenset()) -> str:
     """The blocks inside the container with path `main` (else the page's best container), joined by blank lines.
 
-    paths: those of the host's template, which confirm what is perhaps boilerplate (None: its names do)."""
+    paths: those of the host's template, which confirm what is perhaps boilerplate (None: its names do). words: the
+    template's; a block outside of articles and main parts that has no other goes, unless all of the page's do."""
     events = list(walk(page, None if paths is None else frozenset(paths)))
     opened = [(g, p) for what, p, _, g, _ in events if what == "open"]
     if main is None or not any(p == main for _, p in opened):
         main = max(opened, key=lambda o: o[0])[1] if opened and max(opened)[0] > 0 else ""
-    blocks, piece, inside, depth = [], [], main == "", 0
+    blocks, piece, own, inside, depth = [], [], False, main == "", 0
     for what, path, name, grade, text in events:
         if what == "open" and path == main:
             inside, depth = True, depth + 1
@@ -141,78 +178,144 @@ def main_text(page: str, main: str | None, paths: list[str] | None = None) -> st
         if what == "text":
             if here:
                 piece.append(text)
+                own = own or not words or grade >= 3 or any(word_token(seed, w) not in words for seed in (_seed(path),) for w in text.split())
             continue
-        if name.lstrip("/") in BLOCKS:
-            blocks.append("".join(piece))
-            piece = []
+        if name.lstrip("/") in BLOCKS and name not in UNCLOSED and not (what == "tag" and grade < 0):
+            blocks.append(("".join(piece), own))
+            piece, own = [], False
         elif name == "br" and here:
             piece.append(" ")
         if what == "close" and path == main and main:
             depth -= 1
             inside = depth > 0
-    blocks.append("".join(piece))
-    return "\n\n".join(b for b in (" ".join(html.unescape(b).split()) for b in blocks) if b)
+    blocks.append(("".join(piece), own))
+    texts = [(" ".join(html.unescape(b).split()), own) for b, own in blocks]
+    texts = [(b, own) for b, own in texts if b]
+    return "\n\n".join(b for b, own in texts if own or not any(o for _, o in texts))
 
 
 def _host(url: str):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
-    """host, main (path of its main container, null if it has none), paths (its template, in page order)."""
-    ship(pages.sparkSession)
-    rows = pages.select(F.monotonically_increasing_id().alias("page"), _host(url).alias("host"), F.col(source).alias("html"))
+def _beside(rows: DataFrame, hosts: DataFrame, how: str) -> DataFrame:
+    """rows with what is known of their host (_host); a large host's pages go to several tasks if rows have to move."""
+    if hosts.count() <= LIMIT_HOSTS:
+        return rows.join(F.broadcast(hosts), "_host", how)
+    salted = hosts.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_html"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], how).drop("_salt")
+
+
+def _frequent_buckets(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """_host, pages and frequent (a bit for each bucket that half of the host's different pages reach)."""
+
+    def packed(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n.tobytes() for n in held.values()], pa.binary())], names=["_host", "counts"])
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            for first, stop, _, _ in text_slices(b.column(1)):
+                part = b.slice(first, stop - first)
+                for host, page in zip(part.column(0).to_pylist(), part.column(1).fill_null("").to_pylist(), strict=True):
+                    mine = held.setdefault(host, np.zeros(BUCKETS, np.uint32))
+                    mine[np.unique(np.fromiter(tokens(page), np.int64) & (BUCKETS - 1))] += 1
+                if len(held) > HELD_HOSTS:
+                    yield packed(held)
+                    held = {}
+        if held:
+            yield packed(held)
+
+    def add(batches):
+        host, total = None, None
+        for b in batches:
+            for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if h != host:
+                    if host is not None:
+                        yield packed({host: total})
+                    host, total = h, np.zeros(BUCKETS, np.uint32)
+                total += np.frombuffer(raw, np.uint32)
+        if host is not None:
+            yield packed({host: total})
+
+    sums = rows.select("_host", "_html").mapInArrow(count, "_host string, counts binary").repartition("_host").sortWithinPartitions("_host").mapInArrow(add, "_host string, counts binary")
+    sums = saved(sums, "buckets").join(hosts, "_host")
+
+    def bits(batches):
+        for b in batches:
+            made = [np.packbits(2 * np.frombuffer(raw, np.uint32).astype(np.int64) >= n, bitorder="little").tobytes() for raw, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(made, pa.binary())], names=["_host", "pages", "frequent"])
+
+    return saved(sums.select("_host", "counts", "pages").mapInArrow(bits, "_host string, pages long, frequent binary"), "frequent")
+
+
+def occurrences(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """_host, page (its hash), token, n, position, grade, chars and name, once for each different page, of the tokens
+    whose bucket is frequent on their host."""
 
     def run(batches):
         for b in batches:
             for first, stop, _, _ in text_slices(b.column(2)):
                 part = b.slice(first, stop - first)
-                found = [(k, *entry) for k, page in enumerate(part.column(2).fill_null("").to_pylist()) for entry in tokens(page).items()]
-                at = pa.array([f[0] for f in found], pa.int64())
-                values = [pa.array([f[2][j] for f in found], pa.int64()) for j in range(4)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([f[1] for f in found], pa.string()), *values], names=["page", "host", "token", "n", "position", "grade", "chars"])
-
-    found = saved(rows.mapInArrow(run, "page long, host string, token string, n long, position long, grade long, chars long"), "tokens")
-    stats = found.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("pages"), F.max("n").alias("most"), F.max("grade").alias("grade"), F.sum("chars").alias("chars"))
-    stats = saved(stats, "vectors")
-    of_host = stats.where("token = ''").select("host", F.col("pages").alias("host_pages"))
-    frequent = stats.where("token <> '' AND most = 1").join(of_host, "host").where(F.col("pages") * 2 >= F.col("host_pages"))
-    sizes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size")).where("size > 1")
-    classes = saved(frequent.join(sizes, ["host", "vector"]), "classes")
-    in_class = found.join(classes.select("host", "token", "vector"), ["host", "token"])
-    rank = F.row_number().over(Window.partitionBy("page", "vector").orderBy("position", "token"))
-    ordered = in_class.withColumn("rank", rank).groupBy("host", "token").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.avg("position").alias("position")).where("first = last")
-    valid = classes.join(ordered.select("host", "token", "position"), ["host", "token"]).where(F.col("token").endswith(">"))
-    path = F.expr("substring(token, 1, length(token) - 1)")
-    best = F.max_by(F.when(F.col("grade") > 0, path), F.struct("grade", "chars", "token"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", path.alias("path")))), lambda p: p["path"])
-    return of_host.select("host").join(valid.groupBy("host").agg(best.alias("main"), listed.alias("paths")), "host", "left")
+                at, out = [], []
+                for k, (page, frequent) in enumerate(zip(part.column(2).fill_null("").to_pylist(), part.column(3).to_pylist(), strict=True)):
+                    allowed = np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little").astype(bool)
+                    mine = [(t, *e) for t, e in tokens(page).items() if allowed[t & (BUCKETS - 1)]]
+                    at += [k] * len(mine)
+                    out += mine
+                at = pa.array(at, pa.int64())
+                values = [pa.array([o[j] for o in out], pa.int64()) for j in range(5)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *values, pa.array([o[5] for o in out], pa.string())], names=["_host", "page", "token", "n", "position", "grade", "chars", "name"])
+
+    found = _beside(rows, known.select("_host", "frequent"), "inner").select("_host", F.xxhash64("_html").alias("page"), "_html", "frequent")
+    found = found.mapInArrow(run, "_host string, page long, token long, n long, position long, grade long, chars long, name string")
+    return saved(found.dropDuplicates(["_host", "page", "token"]), "occurrences")
+
+
+def templates(pages: DataFrame, url: str = "url", source: str = "html") -> DataFrame:
+    """host, main (path of its main container, null if it has none), paths (its template's containers, in page
+    order) and words (its template's), for the hosts with MIN_PAGES different pages."""
+    ship(pages.sparkSession)
+    rows = pages.select(_host(url).alias("_host"), F.coalesce(F.col(source), F.lit("")).alias("_html"))
+    hosts = saved(rows.select("_host", F.xxhash64("_html").alias("page")).distinct().groupBy("_host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES), "hosts")
+    known = _frequent_buckets(_beside(rows, hosts.select("_host"), "left_semi") if hosts.count() <= LIMIT_HOSTS else rows, hosts)
+    found = occurrences(rows, known)
+    stats = found.groupBy("_host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("on"), F.max("grade").alias("grade"), F.sum("chars").alias("chars"), F.min("name").alias("name"))
+    frequent = saved(stats, "vectors").join(known.select("_host", "pages"), "_host").where((F.col("on") * 2 >= F.col("pages")) & (F.col("on") >= MIN_PAGES))
+    sizes = frequent.groupBy("_host", "vector").agg(F.count("*").alias("size")).where("size > 1")
+    classes = saved(frequent.join(sizes, ["_host", "vector"]), "classes")
+    in_class = found.join(classes.select("_host", "token", "vector"), ["_host", "token"])
+    rank = F.row_number().over(Window.partitionBy("_host", "page", "vector").orderBy("position", "token"))  # the tokens of one page
+    ordered = in_class.withColumn("rank", rank).groupBy("_host", "token").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.avg("position").alias("position")).where("first = last")
+    valid = saved(classes.join(ordered.select("_host", "token", "position"), ["_host", "token"]), "valid")
+    path = F.expr("substring(name, 1, length(name) - 1)")
+    container = F.col("name").endswith(">")
+    best = F.max_by(F.when(container & (F.col("grade") > 0), path), F.struct(F.when(container, F.col("grade")), "chars", "name"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(container, F.struct("position", path.alias("path"))))), lambda p: p["path"])
+    return valid.groupBy("_host").agg(best.alias("main"), listed.alias("paths"), F.sort_array(F.collect_list(F.when(F.col("name").isNull(), F.col("token")))).alias("words")).withColumnRenamed("_host", "host")
 
 
 def extract(pages: DataFrame, keep: list[str], url: str = "url", source: str = "html") -> DataFrame:
     """keep columns and text, the main text of every page.
 
-    A null or empty page has an empty text. A page of a host without a valid template, or without its main
-    container, is read by its own best container, and a page without any as a whole, in both cases without
-    boilerplate. Repeated pages are read each. Columns of pages called ``text``, ``main`` or ``paths`` are not kept.
+    A null or empty page has an empty text. A page of a host without a template (of fewer than MIN_PAGES different
+    pages), or without its main container, is read by its own best container, and a page without any as a whole, in
+    both cases without boilerplate. Repeated pages are read each, and count once for the template. Columns of pages
+    called ``text``, ``main``, ``paths`` or ``words`` are not kept.
     """
     ship(pages.sparkSession)
-    keep = [c for c in keep if c not in ("text", "main", "paths")]
-    known = saved(templates(pages, url, source).select(F.col("host").alias("_host"), "main", "paths"), "templates")
+    keep = [c for c in keep if c not in ("text", "main", "paths", "words")]
+    known = saved(templates(pages, url, source).withColumnRenamed("host", "_host"), "templates")
     rows = pages.select(*keep, _host(url).alias("_host"), F.col(source).alias("_html"))
-    if known.count() <= LIMIT_HOSTS:
-        joined = rows.join(F.broadcast(known), "_host", "left")
-    else:  # pages of a large host go to several tasks
-        salted = known.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(*keep, F.length("_html")), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    joined = joined.select(*keep, "_html", "main", "paths")
+    joined = _beside(rows, known, "left").select(*keep, "_html", "main", "paths", "words")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[: len(keep)])
 
     def run(batches):
         for b in batches:
             for first, stop, _, _ in text_slices(b.column(len(keep))):
                 part = b.slice(first, stop - first)
-                texts = [main_text(page, main, paths) for page, main, paths in zip(part.column(len(keep)).fill_null("").to_pylist(), *(part.column(len(keep) + j).to_pylist() for j in (1, 2)), strict=True)]
+                told = (part.column(len(keep) + j).to_pylist() for j in (1, 2, 3))
+                texts = [main_text(page, main, paths, frozenset(words or ())) for page, main, paths, words in zip(part.column(len(keep)).fill_null("").to_pylist(), *told, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return joined.mapInArrow(run, f"{kept}text string")

@@ -336,10 +336,68 @@ def test_main_text(spark):
     assert got[2] == "T&t 2\n\nOne two three 2\n\nFour"
     assert got[10] == "" and got[11] == "" and got[12] == "a < b\n\nc" and got[13] == "plain é" and got[14] == "odd one" and 15 in got
     found = {r["host"]: r for r in html_template.templates(df).collect()}
-    assert found["a.org"]["main"] == "/html/body/article" and "/html/body/nav" in found["a.org"]["paths"]
+    assert found["a.org"]["main"] == "/html/body/article" and "/html/body/nav" in found["a.org"]["paths"] and set(found) == {"a.org"}
     assert html_template.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def hosts_with_menus(n=6):
+    """Pages whose menu and notice stand in containers without telling names; two exact copies, one odd page."""
+    body = lambda i: f"<html><body><div class=x1>Home Products Imprint</div><div class=x2><h1>Title {i}</h1><p>word{i} Home tale{i}<p>All {i} of it</div><div class=x1>Cookies make this site work<br>Accept</div>"
+    pages = [(i, f"http://m.org/{i}", body(i)) for i in range(n)]
+    return [*pages, (n, "http://m.org/copy", body(0)), (n + 1, "http://m.org/odd", "<p>Home Products Imprint"), (50, "http://two.org/1", body(1)), (51, "http://two.org/2", body(2))]
+
+
+def test_the_template_decides(spark):
+    df = spark.createDataFrame(hosts_with_menus(), "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract(df, ["page_id"]).collect()}
+    for i in range(6):
+        assert got[i] == f"Title {i}\n\nword{i} Home tale{i}\n\nAll {i} of it"
+        assert html_template.main_text(hosts_with_menus()[i][2], None).startswith("Home Products Imprint")
+    assert got[6] == got[0] and got[7] == "Home Products Imprint" and got[50].startswith("Home Products Imprint")
+
+
+def test_classes_equal_brute_force(spark):
+    rows = hosts_with_menus()
+    found = {r["host"]: r for r in html_template.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    pages = sorted({h for _, u, h in rows if "m.org" in u})
+    each = [html_template.tokens(p) for p in pages]
+    vector = {t: tuple(e[t][0] if t in e else 0 for e in each) for e in each for t in e}
+    classes = {}
+    for t, v in vector.items():
+        if sum(map(bool, v)) * 2 >= len(pages):
+            classes.setdefault(v, []).append(t)
+    valid = set()
+    for v, mine in classes.items():
+        ranks = {t: set() for t in mine}
+        for e in each:
+            for k, t in enumerate(sorted((t for t in mine if t in e), key=lambda t: e[t][1])):
+                ranks[t].add(k)
+        valid |= {t for t in mine if len(mine) > 1 and len(ranks[t]) == 1}
+    names = {t: e[t][4] for e in each for t in e}
+    assert set(found) == {"m.org"} and set(found["m.org"]["words"]) == {t for t in valid if names[t] is None}
+    assert set(found["m.org"]["paths"]) == {names[t][:-1] for t in valid if names[t] and names[t].endswith(">")}
+
+
+def test_large_hosts_are_salted(spark, monkeypatch):
+    df = spark.createDataFrame(hosts_with_menus(), "page_id long, url string, html string")
+    want = sorted(map(tuple, html_template.extract(df, ["page_id"]).collect()))
+    monkeypatch.setattr(html_template, "LIMIT_HOSTS", 0)
+    monkeypatch.setattr(html_template, "HELD_HOSTS", 0)
+    assert sorted(map(tuple, html_template.extract(df, ["page_id"]).collect())) == want
+
+
+def test_text_that_must_not_be_lost():
+    text = lambda page: html_template.main_text(page, None)
+    assert text("<body class='has-sidebar'><article><p>one</article>") == "one"
+    assert text("<article class='post related-none'><p>one</article>") == "one"
+    assert text("<article><section id='search-methods'><p>one</section></article>") == "one"
+    assert text("<article><table class='share'><tr><td>one</table></article>") == "one"
+    assert text("<article><p class='ad'>buy<p>rest</article>") == "rest"
+    assert text("<article>a<svg><p>one</article>") == "a\n\none" and text("<article>a<noscript>one</article>") == "aone"
+    assert text("<article>a<svg><title>t</title><path></svg>b<noscript><p>on</noscript>c</article>") == "abc"
+    assert text("<svg>" * 20_000) == ""
+
+
 def test_names_that_are_no_boilerplate():
     text = lambda page, *more: html_template.main_text(page, None, *more)
     assert text("<body class='no-sidebar'><h1 class=article-header>Head</h1><p>one") == "Head\n\none"
