@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 
@@ -11,7 +12,7 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 #: White space of every kind, and a blank behind it: where a text is not simply cut at its blanks.
 _ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 #: Units, and characters of them, that a worker keeps before it starts afresh; looked at after every slice of texts.
-MAX_UNITS, MAX_CHARS = 250_000, 6_000_000
+MAX_UNITS, MAX_CHARS = 400_000, 8_000_000
 PER_CALL = 20_000
 
 
@@ -36,8 +37,8 @@ class UnitCache:
     and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], max_units: int = MAX_UNITS):
+        self.encode, self.max_units = encode, max_units
         self.clear()
 
     def clear(self) -> None:
@@ -57,49 +58,56 @@ class UnitCache:
             self.lengths[mine], self.starts[mine] = lengths, self.used + np.cumsum(lengths) - lengths
             self.used = end
 
-    def _encode_new(self) -> None:
+    def _encode_new(self, odd: list[str]) -> None:
+        """Encodes what was looked up for the first time; odd: those of them that come from oddly spaced texts."""
         new, self.index.new = self.index.new, []
-        first = len(self.index) - len(new)
         while len(self.index) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        kinds: dict[str, tuple[list[str], list[int]]] = {"first": ([], []), "plain": ([], []), "other": ([], [])}
-        for n, u in enumerate(new, first):
-            if type(u) is tuple:
-                kind, u = "first", u[0]
-            else:
-                kind = "other" if u == "" or " " in u or u[-1].isspace() else "plain"
-            kinds[kind][0].append(u)
-            kinds[kind][1].append(n)
-            self.chars += len(u)
-        for kind, (units, numbers) in kinds.items():
-            self._add(units, numbers, kind)
+        self.chars += sum(map(len, new))
+        other = [u for u in odd if u == "" or " " in u or u[-1].isspace()]
+        if other:
+            apart = set(other)
+            new = [u for u in new if u not in apart]
+        for units, kind in ((new, "plain"), (other, "other")):
+            self._add(units, list(map(self.index.__getitem__, units)), kind)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
-        if len(self.index) > MAX_UNITS or self.chars > MAX_CHARS:
+        if len(self.index) > self.max_units or self.chars > MAX_CHARS:
             self.clear()
-        number, at, counts = self.index.__getitem__, [], []
+        number, firsts, odd, at, counts = self.index.__getitem__, [], [], [], []
         for t in texts:
-            before = len(at)
-            if t:
-                first, *others = _units(t)
-                at.append(number((first,)))
-                at += map(number, others)
-            counts.append(len(at) - before)
+            if not t:
+                counts.append(0)
+                continue
+            simple, units = _units(t)
+            known = len(self.index.new)
+            firsts.append(units[0])
+            units[0] = ""
+            counts.append(len(units))
+            at.append(-1)
+            at += map(number, islice(units, 1, None))
+            if not simple:
+                odd += self.index.new[known:]
         if self.index.new:
-            self._encode_new()
+            self._encode_new(odd)
         at = np.array(at, np.int64)
-        lengths = self.lengths[at]
+        at[at < 0] = len(self.index) + np.arange(len(firsts))
+        mine, sizes = self.encode(firsts, "first") if firsts else (np.zeros(0, np.int32), np.zeros(0, np.int64))  # one for each text, not kept
+        all_lengths = np.concatenate([self.lengths[: len(self.index)], sizes])
+        all_starts = np.concatenate([self.starts[: len(self.index)], self.used + np.cumsum(sizes) - sizes])
+        store = np.concatenate([self.flat[: self.used], mine])
+        lengths = all_lengths[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.arange(total) + np.repeat(self.starts[at] - (ends - lengths), lengths)]
+        flat = store[np.arange(total) + np.repeat(all_starts[at] - (ends - lengths), lengths)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])].tolist()
         return [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def _units(text: str) -> list[str]:
-    """The first unit, then the others without their leading blank."""
+def _units(text: str) -> tuple[bool, list[str]]:
+    """Whether the text is simply cut at its blanks; its first unit, then the others without their leading blank."""
     if text[0] != " " and not text[-1].isspace() and not any([odd in text for odd in _ODD]):
-        return text.split(" ")
+        return True, text.split(" ")
     first, *others = _CUT.split(text)
-    return [first, *[u[1:] for u in others]]
+    return False, [first, *[u[1:] for u in others]]
