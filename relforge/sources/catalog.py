@@ -75,9 +75,12 @@ def infer_kinds(raw: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A file with an array of records (or one record in each line)."""
-    df = spark.read.json(path, multiLine=True)
-    if not df.columns or df.columns == ["_corrupt_record"]:
+    """A file with an array of records, one record in each line, or one record over several lines."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    df = spark.read.json(path, multiLine=first is not None and first["value"].lstrip().startswith("["))
+    if "_corrupt_record" in df.columns:
+        df = spark.read.json(path, multiLine=True)
+    if not df.columns or "_corrupt_record" in df.columns:
         raise UnsupportedSource(f"{path} holds no records")
     return df
 
