@@ -61,7 +61,7 @@ def infer_kinds(raw: DataFrame) -> DataFrame:
         v = F.trim(F.col(f"`{c}`"))
         fits += [
             F.coalesce(F.bool_and(v.rlike(r"^[+-]?[0-9]{1,18}$")), F.lit(False)),
-            F.coalesce(F.bool_and(v.try_cast("double").isNotNull() & v.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$")), F.lit(False)),
+            F.coalesce(F.bool_and(F.when(v.isNotNull(), v.try_cast("double").isNotNull() & v.rlike(r"^[+-]?[0-9.]+([eE][+-]?[0-9]+)?$"))), F.lit(False)),
             F.coalesce(F.bool_and(F.lower(v).isin("true", "false")), F.lit(False)),
         ]
     got = raw.agg(*[f.alias(str(i)) for i, f in enumerate(fits)]).first()
