@@ -260,8 +260,24 @@ def test_shards(spark):
 def test_few_rows_move(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).alias("tie"))
     where = lambda n: {r["doc_id"]: r["shard"] for r in sharding.assign(df, "doc_id", n, ["tie"], load_factor=1.25).collect()}
-    a, b = where(10), where(11)
-    assert sum(a[i] != b[i] for i in a) < 0.45 * len(a)
+    a, b = where(40), where(41)
+    assert sum(a[i] != b[i] for i in a) < 0.08 * len(a)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(0, 63), st.integers(1, 30), max_size=40), st.integers(1, 9), st.sampled_from([1.0, 1.25]))
+def test_fill_equals_a_walk_round_the_ring(counts, n, factor):
+    nodes = sharding.ring(n, 4, 64)
+    room = sharding.capacities(sum(counts.values()), n, factor)
+    want, load = {}, Counter()
+    for cell in sorted(counts):
+        for rank in range(counts[cell]):  # row by row, clockwise from the cell to the first node whose shard has room
+            start = next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+            shard = next(s for s in (nodes[(start + k) % len(nodes)][1] for k in range(len(nodes))) if load[s] < room[s])
+            want[cell, rank] = shard, load[shard]
+            load[shard] += 1
+    got = {(cell, rank): (shard, slot + rank - a) for cell, a, b, shard, slot in sharding.fill(counts, n, factor, nodes) for rank in range(a, b)}
+    assert got == want
 
 
 # SentencePiece
@@ -315,6 +331,44 @@ def test_viterbi_is_as_good_as_the_library():
     assert same >= 0.85 * len(words)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(st.sampled_from("theingab☃é"), min_size=1, max_size=9), min_size=1, max_size=6))
+def test_viterbi_equals_brute_force(words):
+    pieces = brute_pieces()
+    value = dict(zip((pieces.text[i] for i in pieces.ids.tolist()), pieces.scores.tolist(), strict=True))
+    id_of = {pieces.text[i]: i for i in pieces.ids.tolist()}
+
+    def cuts(w):  # every segmentation, as (sum of scores, pieces)
+        if not w:
+            yield 0.0, ()
+        for n in range(1, len(w) + 1):
+            if w[:n] in value or n == 1:
+                for rest, parts in cuts(w[n:]):
+                    yield value.get(w[:n], pieces.unknown) + rest, (w[:n], *parts)
+
+    units = [sentencepiece.SPACE + w for w in words]
+    for unit, ids in zip(units, pieces.encode(units), strict=True):
+        every = list(cuts(unit))
+        best = max(v for v, _ in every)
+        allowed = [[i for p in parts for i in ([id_of[p]] if p in id_of else pieces.bytes[list(p.encode())].tolist())] for v, parts in every if v == best]  # the scores are whole numbers
+        assert ids.tolist() in allowed
+
+
+def brute_pieces(found=[]):
+    if not found:
+        found.append(sentencepiece.Pieces(sentencepiece.model_path()))
+    return found[0]
+
+
+def test_sentencepiece_of_odd_tables(spark):
+    path = sentencepiece.model_path()
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sentencepiece.decode(sentencepiece.encode(empty, path, ["doc_id"]), path, ["doc_id"]).count() == 0
+    df = spark.createDataFrame([(1, "a b", "x", "y")], "doc_id long, text string, n_chars string, ids string")
+    (row,) = sentencepiece.decode(sentencepiece.encode(df, path, df.columns), path, ["doc_id", "text"]).collect()
+    assert row["text"] == "a b" and media.encode_texts(df.limit(0), "text", ["doc_id"]).count() == 0
+
+
 def test_sentencepiece_round_trip(spark):
     path = sentencepiece.model_path()
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -444,5 +498,7 @@ def test_chain_without_labels(spark):
 def test_registered_queries_run(spark):
     from relforge.llm import registry
 
-    for name in ("op1_toxicity", "op7_sharding", "op10_media"):
-        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+    for name, query in registry.QUERIES.items():
+        if name not in ("op6_chat", "op8_html_extraction"):
+            got = query(spark, "/root/testdata/sf0.001").toPandas()
+            assert len(got) == 200 and got.doc_id.is_unique, name

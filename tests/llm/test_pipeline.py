@@ -42,3 +42,8 @@ def test_stages(spark, folder):
     assert last.text == "write to [EMAIL] now" and last.n_chars == len(last.text)
     out = cp.encode(spark, docs, folder).toPandas()
     assert len(out) == len(seen[3]) and out.round_trip.all() and (out.n_pieces == out.ids.map(len)).all()
+
+
+def test_run_gives_the_last_stage(spark, folder):
+    got = cp.run(spark, folder).toPandas()
+    assert got.round_trip.all() and 303 in set(got.doc_id) and 305 not in set(got.doc_id)
