@@ -89,7 +89,7 @@ def signatures(docs: DataFrame, k: int, key: str, text: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for first, stop, data, offsets in text_slices(b.column(1)):
+            for first, stop, data, offsets in text_slices(b.column(1), max_rows=1_024):
                 hashes, bounds = shingle_sets(data, offsets, k)
                 n = np.diff(bounds)
                 full = np.flatnonzero(n)
@@ -139,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     roots = saved(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
         near = both.join(roots, both.b == roots.v).groupBy("a").agg(F.min("root").alias("near"))
-        step = roots.join(near, roots.v == near.a).select("v", "root", F.least("root", "near").alias("new"))
+        step = saved(roots.join(saved(near, "near"), roots.v == F.col("a")).select("v", "root", F.least("root", "near").alias("new")), "step")
         jump = step.select(F.col("v").alias("w"), F.col("new").alias("far"))
         step = saved(step.join(jump, step.new == jump.w, "left").select("v", "root", F.least("new", F.coalesce("far", "new")).alias("new")), "roots")
         roots = step.select("v", F.col("new").alias("root"))

@@ -41,8 +41,8 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def text_slices(column: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) for runs of rows of about max_bytes; nulls are empty.
+def text_slices(column: pa.Array, max_bytes: int = 1_000_000, max_rows: int = 4_096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) for runs of max_rows rows of about max_bytes; nulls are empty.
 
     A longer text is a run of its own, so that working memory follows the longest text and not the batch.
     """
@@ -55,7 +55,7 @@ def text_slices(column: pa.Array, max_bytes: int = 1_000_000) -> Iterator[tuple[
     at = 0
     while at < len(column):
         stop = int(np.searchsorted(ends, ends[at] + max_bytes, side="right")) - 1
-        stop = min(max(stop, at + 1), len(column))
+        stop = min(max(stop, at + 1), at + max_rows, len(column))
         yield at, stop, raw[ends[at] : ends[stop]], ends[at : stop + 1] - ends[at]
         at = stop
 
