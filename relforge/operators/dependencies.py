@@ -25,7 +25,7 @@ MAX_DETERMINANT = 3
 #: Determinants that are tested in one job; each is a shuffle of its own.
 DETERMINANTS_PER_JOB = 8
 #: Rows in which dependencies and keys are refuted before all rows are asked.
-REFUTING_ROWS = 20_000
+REFUTING_ROWS = 100_000
 _NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
@@ -75,11 +75,16 @@ class Sample:
 
     def groups(self, x: tuple[str, ...], drop_nulls: bool = False) -> np.ndarray:
         """The group of every row; -1 for rows that a null leaves out."""
-        out, out_of = np.zeros(len(next(iter(self.columns.values()))), np.int64), None
+        out, size, out_of = np.zeros(len(next(iter(self.columns.values()))), np.int64), 1, None
         for c in x:
             v = self.columns[c]
             out_of = (v < 0) if out_of is None else out_of | (v < 0)
-            out = np.unique(out * (v.max(initial=0) + 2) + v + 1, return_inverse=True)[1].ravel()
+            width = int(v.max(initial=0)) + 2
+            if size * width >= 1 << 62:
+                kinds, out = np.unique(out, return_inverse=True)
+                size = len(kinds)
+            out, size = out * width + v + 1, size * width
+        out = np.unique(out, return_inverse=True)[1]
         return np.where(out_of, -1, out) if drop_nulls else out
 
     def duplicates(self, s: tuple[str, ...]) -> bool:
