@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mixed
-from .shared import ship, table, text_slices
+from .shared import saved, ship, table, text_slices
 from .units import UnitCache
 
 _U = np.uint64
@@ -30,6 +30,8 @@ _BASE = _U(0x100000001B3)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Distinct units that a worker keeps at most between slices of texts.
+MAX_UNITS = 150_000
 #: Only hashes that share this many leading bits with some key are looked up.
 PREFIX_BITS = 20
 
@@ -185,13 +187,15 @@ def _loaded(path: str) -> tuple[Pieces, UnitCache]:
             found = pieces.encode([SPACE + u.replace(" ", SPACE) for u in texts])
             return np.concatenate(found), np.array(list(map(len, found)))
 
-        _LOADED[path] = pieces, UnitCache(units)
+        _LOADED[path] = pieces, UnitCache(units, MAX_UNITS)
     return _LOADED[path]
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
-    """keep columns with n_chars (code points) and ids; a null or empty text has no ids."""
+    """keep columns with n_chars (code points) and ids; a null or empty text has no ids. keep columns with the name
+    of a made one are replaced."""
     ship(docs.sparkSession)
+    keep = [c for c in keep if c not in ("n_chars", "ids", "_text")]
     rows = docs.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):
@@ -211,10 +215,12 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text") -> D
 
 def decode(encoded: DataFrame, path: str, keep: list[str], ids: str = "ids", digest: bool = False) -> DataFrame:
     """keep columns with text; with digest instead n_ids, ids_crc32 (of the ids as little-endian 32-bit
-    integers) and text_crc32 (of the decoded text's UTF-8 bytes). Null ids decode to an empty text."""
+    integers) and text_crc32 (of the decoded text's UTF-8 bytes). Null ids decode to an empty text. keep columns with
+    the name of a made one are replaced."""
     ship(encoded.sparkSession)
-    rows = encoded.select(*keep, F.col(ids).alias("_ids"))
     extra = ["n_ids", "ids_crc32", "text_crc32"] if digest else ["text"]
+    keep = [c for c in keep if c not in (*extra, "_ids")]
+    rows = encoded.select(*keep, F.col(ids).alias("_ids"))
 
     def run(batches):
         pieces, _ = _loaded(path)
@@ -243,5 +249,6 @@ def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every document's number of pieces, the checksum of their ids, and whether they decode to the text."""
     path = model_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("source_crc32"))
-    back = decode(encode(docs, path, ["doc_id", "source_crc32"]), path, ["doc_id", "source_crc32"], digest=True)
+    ids = saved(encode(docs, path, ["doc_id", "source_crc32"]), "pieces")  # so that no task runs two Python workers
+    back = decode(ids, path, ["doc_id", "source_crc32"], digest=True)
     return back.select("doc_id", F.col("n_ids").alias("n_pieces"), "ids_crc32", (F.col("source_crc32") == F.col("text_crc32")).alias("round_trip"))
