@@ -64,7 +64,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = sentencepiece.model_path()
     rows = docs.select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("source_crc32"))
-    ids = sentencepiece.encode(rows, path, ["doc_id", "source_crc32"])
+    ids = saved(sentencepiece.encode(rows, path, ["doc_id", "source_crc32"]), "pieces")  # one Python worker a task
     back = sentencepiece.decode(ids, path, ["doc_id", "source_crc32", "ids"], digest=True)
     return back.select("doc_id", F.col("n_ids").alias("n_pieces"), "ids", (F.col("source_crc32") == F.col("text_crc32")).alias("round_trip"))
 
