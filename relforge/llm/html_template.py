@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,38 +128,66 @@ def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[s
         yield "text", path, "", grade, page[at:]
 
 
+_hash = xxhash.xxh64_intdigest
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+@lru_cache(maxsize=20_000)
 def _seed(path: str) -> int:
-    return xxhash.xxh64_intdigest(path)
+    return _hash(path)
 
 
 def word_token(seed: int, word: str) -> int:
     """The token of a word below the path with this seed."""
-    return _signed(xxhash.xxh64_intdigest(word, seed=seed))
+    return _signed(_hash(word, seed=seed))
+
+
+def _tag(what: str, path: str, name: str) -> str:
+    return f"{path}>" if what == "open" else f"{path}</" if what == "close" else f"{path}/{name}"
 
 
-def tokens(page: str) -> dict[int, list]:
-    """token -> [occurrences, first position, grade (of containers), characters of text right inside, name (of tags)]."""
+def buckets(page: str) -> set[int]:
+    """The buckets of the page's tokens."""
+    found = set()
+    for what, path, name, _, text in walk(page):
+        if what != "text":
+            found.add(_seed(_tag(what, path, name)) & (BUCKETS - 1))
+        elif path:
+            seed = _seed(path)
+            found.update([_hash(w, seed=seed) & (BUCKETS - 1) for w in set(text.split())])
+    return found
+
+
+def tokens(page: str, allowed: list[bool] | None = None) -> dict[int, list]:
+    """token -> [occurrences, first position, grade (of containers), characters of text right inside, name (of tags)];
+    allowed: for each bucket whether its tokens are wanted (all, if None)."""
     found: dict[int, list] = {}
-    seeds: dict[str, int] = {}
     at = 0
     for what, path, name, grade, text in walk(page):
         if what == "text":
             words = text.split() if path else []
             if words:
-                seed = seeds.setdefault(path, _seed(path))
-                found[_signed(_seed(f"{path}>"))][3] += sum(map(len, words))
-                for w in words:
-                    at += 1
-                    found.setdefault(word_token(seed, w), [0, at, 0, 0, None])[0] += 1
+                seed = _seed(path)
+                if (inside := found.get(_seed(f"{path}>"))) is not None:
+                    inside[3] += sum(map(len, words))
+                for k, w in enumerate(words, at + 1):
+                    t = _hash(w, seed=seed)
+                    if allowed is None or allowed[t & (BUCKETS - 1)]:
+                        if t in found:
+                            found[t][0] += 1
+                        else:
+                            found[t] = [1, k, 0, 0, None]
+                at += len(words)
             continue
         at += 1
-        token = f"{path}>" if what == "open" else f"{path}</" if what == "close" else f"{path}/{name}"
-        found.setdefault(_signed(_seed(token)), [0, at, grade if what == "open" else 0, 0, token])[0] += 1
-    return found
+        token = _tag(what, path, name)
+        t = _seed(token)
+        if allowed is None or allowed[t & (BUCKETS - 1)]:
+            found.setdefault(t, [0, at, grade if what == "open" else 0, 0, token])[0] += 1
+    return {_signed(t): e for t, e in found.items()}
 
 
 def main_text(page: str, main: str | None, paths: list[str] | None = None, words: frozenset[int] = frozenset()) -> str:
@@ -219,7 +248,7 @@ def _frequent_buckets(rows: DataFrame, hosts: DataFrame) -> DataFrame:
                 part = b.slice(first, stop - first)
                 for host, page in zip(part.column(0).to_pylist(), part.column(1).fill_null("").to_pylist(), strict=True):
                     mine = held.setdefault(host, np.zeros(BUCKETS, np.uint32))
-                    mine[np.unique(np.fromiter(tokens(page), np.int64) & (BUCKETS - 1))] += 1
+                    mine[list(buckets(page))] += 1
                 if len(held) > HELD_HOSTS:
                     yield packed(held)
                     held = {}
@@ -259,8 +288,8 @@ def occurrences(rows: DataFrame, known: DataFrame) -> DataFrame:
                 part = b.slice(first, stop - first)
                 at, out = [], []
                 for k, (page, frequent) in enumerate(zip(part.column(2).fill_null("").to_pylist(), part.column(3).to_pylist(), strict=True)):
-                    allowed = np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little").astype(bool)
-                    mine = [(t, *e) for t, e in tokens(page).items() if allowed[t & (BUCKETS - 1)]]
+                    allowed = np.unpackbits(np.frombuffer(frequent, np.uint8), bitorder="little").astype(bool).tolist()
+                    mine = [(t, *e) for t, e in tokens(page, allowed).items()]
                     at += [k] * len(mine)
                     out += mine
                 at = pa.array(at, pa.int64())
