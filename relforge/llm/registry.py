@@ -1,8 +1,9 @@
 """Queries of the corpus operators and their DuckDB SQL, by name."""
 
-from . import chat, decontamination, near_dedup
+from . import chat, decontamination, filter_audit, near_dedup
 from .chat import op6_chat
 from .decontamination import op3_decontamination
+from .filter_audit import op12_filter_audit
 from .html_template import op8_html_extraction
 from .media import op10_media
 from .near_dedup import op5_near_dedup
@@ -12,5 +13,5 @@ from .sharding import op7_sharding
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op6_chat, op7_sharding, op8_html_extraction, op9_pii, op10_media)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE, "op6_chat": chat.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op6_chat, op7_sharding, op8_html_extraction, op9_pii, op10_media, op12_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE, "op6_chat": chat.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
