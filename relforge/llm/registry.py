@@ -8,10 +8,11 @@ from .html_template import op8_html_extraction
 from .media import op10_media
 from .near_dedup import op5_near_dedup
 from .pii import op9_pii
+from .quality import op13_quality
 from .sentencepiece import op2_sentencepiece
 from .sharding import op7_sharding
 from .token_files import op4_token_files
 from .toxicity import op1_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op6_chat, op7_sharding, op8_html_extraction, op9_pii, op10_media, op12_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_token_files, op5_near_dedup, op6_chat, op7_sharding, op8_html_extraction, op9_pii, op10_media, op12_filter_audit, op13_quality)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontamination.ORACLE, "op5_near_dedup": near_dedup.ORACLE, "op6_chat": chat.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
