@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from relforge.functions import naming
+from relforge.functions.hashing import wide_hash
 from relforge.sources.catalog import ROW_ORDER, plain
 
 THRESHOLD = 0.99
@@ -33,9 +34,9 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False) -> DataFrame:
-    """determinant (joined by +), dependent, ratio: the share of the determinant's groups with exactly one
-    non-null value of the dependent.
+def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False, nulls_are_values: bool = False, names: list[str] | None = None) -> DataFrame:
+    """determinant (joined by +, or its name), dependent, ratio: the share of the determinant's groups with exactly
+    one non-null value of the dependent; with nulls_are_values, one value in all, a null being one.
 
     Nulls of a determinant form a group unless they are dropped; without groups the ratio is 1 (nothing speaks
     against it). The result has a row for every pair, so it stays small whatever the table's size.
@@ -43,7 +44,7 @@ def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[
     df = plain(df.drop(ROW_ORDER))
     value = {f.name: _q(f.name) if isinstance(f.dataType, _NARROW) else F.when(_q(f.name).isNotNull(), F.xxhash64(_q(f.name))) for f in df.schema}
     out = None
-    for x in determinants:
+    for x, name in zip(determinants, names or ["+".join(x) for x in determinants], strict=True):
         ys = [y for y in (dependents or df.columns) if y not in x]
         if not ys:
             continue
@@ -51,10 +52,12 @@ def ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[
         if drop_null_determinants:
             for c in x:
                 rows = rows.where(_q(c).isNotNull())
-        groups = rows.groupBy(*[_q(c) for c in x]).agg(*[m(value[y]).alias(f"{k}{i}") for i, y in enumerate(ys) for k, m in (("lo", F.min), ("hi", F.max))])
-        same = [F.coalesce(F.avg(F.coalesce((F.col(f"lo{i}") == F.col(f"hi{i}")).cast("int"), F.lit(0))), F.lit(1.0)).alias(f"r{i}") for i in range(len(ys))]
+        measures = [("lo", F.min), ("hi", F.max), *([("k", F.count)] if nulls_are_values else [])]
+        groups = rows.groupBy(*[_q(c) for c in x]).agg(F.count("*").alias("n"), *[m(value[y]).alias(f"{k}{i}") for i, y in enumerate(ys) for k, m in measures])
+        one = lambda i: (F.col(f"lo{i}") == F.col(f"hi{i}")) & (F.col(f"k{i}") == F.col("n")) | (F.col(f"k{i}") == 0) if nulls_are_values else F.col(f"lo{i}") == F.col(f"hi{i}")
+        same = [F.coalesce(F.avg(F.coalesce(one(i).cast("int"), F.lit(0))), F.lit(1.0)).alias(f"r{i}") for i in range(len(ys))]
         row = F.array(*[F.struct(F.lit(y).alias("dependent"), F.col(f"r{i}").alias("ratio")) for i, y in enumerate(ys)])
-        part = groups.agg(*same).select(F.lit("+".join(x)).alias("determinant"), F.explode(row).alias("r")).select("determinant", "r.*")
+        part = groups.agg(*same).select(F.lit(name).alias("determinant"), F.explode(row).alias("r")).select("determinant", "r.*")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -65,13 +68,21 @@ def fd_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return ratios(df.select(*[_q(c) for c in columns]), [(c,) for c in columns])
 
 
+def _numbers(hashes) -> np.ndarray:
+    """Equal numbers from 0 on for equal hashes, -1 for nulls; the hashes stay whole (floats would lose bits)."""
+    out = np.full(len(hashes), -1, np.int64)
+    there = np.flatnonzero(~np.asarray(hashes.is_null()))
+    out[there] = np.unique(hashes.drop_null().to_numpy(), return_inverse=True)[1]
+    return out
+
+
 class Sample:
     """The first REFUTING_ROWS rows as numbers (equal ones for equal values, -1 for null) to refute rules with."""
 
     def __init__(self, df: DataFrame):
         df = plain(df.drop(ROW_ORDER)).limit(REFUTING_ROWS)
-        got = df.select(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))).alias(str(i)) for i, c in enumerate(df.columns)]).toPandas()
-        self.columns = {c: got[str(i)].factorize()[0] for i, c in enumerate(df.columns)}
+        got = df.select(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))).alias(str(i)) for i, c in enumerate(df.columns)]).toArrow()
+        self.columns = {c: _numbers(got.column(i)) for i, c in enumerate(df.columns)}
 
     def groups(self, x: tuple[str, ...], drop_nulls: bool = False) -> np.ndarray:
         """The group of every row; -1 for rows that a null leaves out."""
@@ -100,7 +111,7 @@ class Sample:
         return int((np.unique(pairs // (v.max(initial=0) + 1), return_counts=True)[1] > 1).sum())
 
 
-def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False, at_least: float = 0.0, facts: TableFacts | None = None) -> dict[tuple[tuple[str, ...], str], float]:
+def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependents: list[str] | None = None, drop_null_determinants: bool = False, at_least: float = 0.0, facts: TableFacts | None = None, nulls_are_values: bool = False) -> dict[tuple[tuple[str, ...], str], float]:
     """The matrix as facts for the rules, a few determinants per job.
 
     With at_least, pairs below it may be left out: those that the sample refutes (any violation refutes 1; fewer are
@@ -122,8 +133,9 @@ def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependent
     jobs = [(list(ys), xs[at : at + DETERMINANTS_PER_JOB]) for ys, xs in alike.items() for at in range(0, len(xs), DETERMINANTS_PER_JOB)]
     frames, names = [], {}
     for ys, xs in jobs:
-        names |= {"+".join(x): x for x in xs}
-        if (rows := ratios(df, xs, ys, drop_null_determinants)) is not None:
+        mine = [str(len(names) + i) for i in range(len(xs))]  # names with a + in them could be mistaken for others
+        names |= dict(zip(mine, xs, strict=True))
+        if (rows := ratios(df, xs, ys, drop_null_determinants, nulls_are_values, mine)) is not None:
             frames.append((rows, len(xs)))
     while frames:  # unions of branches, DETERMINANTS_PER_JOB at a time
         rows, n = frames.pop()
@@ -134,16 +146,27 @@ def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependent
     return found
 
 
-def duplicate_groups(df: DataFrame, sets: list[tuple[str, ...]]) -> DataFrame:
-    """columns (joined by +), duplicates: how many value combinations occur more than once; nulls are equal."""
+def duplicate_groups(df: DataFrame, sets: list[tuple[str, ...]], names: list[str] | None = None) -> DataFrame:
+    """columns (joined by +, or the set's name), duplicates: how many value combinations occur more than once; nulls
+    are equal. Combinations move as 128-bit hashes, whatever their width."""
     df = plain(df.drop(ROW_ORDER))
     out = None
-    for s in sets:
-        part = df.groupBy(*[_q(c) for c in s]).count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("duplicates")).select(F.lit("+".join(s)).alias("columns"), "duplicates")
+    for s, name in zip(sets, names or ["+".join(s) for s in sets], strict=True):
+        part = df.select(*wide_hash([_q(c) for c in s])).groupBy("g0", "g1").count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("duplicates")).select(F.lit(name).alias("columns"), "duplicates")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def free_of_duplicates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Those of the sets whose combinations are all different, a few sets for each job."""
+    found = []
+    for at in range(0, len(sets), DETERMINANTS_PER_JOB):
+        part = sets[at : at + DETERMINANTS_PER_JOB]
+        free = {r[0] for r in duplicate_groups(df, part, [str(i) for i in range(len(part))]).where("duplicates = 0").collect()}
+        found += [s for i, s in enumerate(part) if str(i) in free]
+    return found
+
+
 def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, int]], n_rows: int, max_size: int = MAX_DETERMINANT, minimal: bool = True) -> list[tuple[str, ...]]:
     """Column sets without duplicate combinations, from size 1 up.
 
@@ -168,10 +191,7 @@ def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, i
         if n_rows > 1 and open_sets:
             sample = sample or Sample(df.select(*[_q(c) for c in columns]))
             open_sets = [s for s in open_sets if not sample.duplicates(s)]
-            for at in range(0, len(open_sets), DETERMINANTS_PER_JOB):
-                part = open_sets[at : at + DETERMINANTS_PER_JOB]
-                free = {r[0] for r in duplicate_groups(df, part).where("duplicates = 0").collect()}
-                new += [s for s in part if "+".join(s) in free]
+            new += free_of_duplicates(df, open_sets)
         found += new + ([] if minimal else implied)
     return found
 
@@ -188,7 +208,7 @@ class TableFacts:
     candidate_keys: list[tuple[str, ...]] = field(default_factory=list)
     primary_key: tuple[str, ...] = ()
     dependencies: dict[str, list[str]] = field(default_factory=dict)
-    partial: dict[str, list[str]] = field(default_factory=dict)
+    partial: dict[tuple[str, ...], list[str]] = field(default_factory=dict)
     transitive: list[tuple[tuple[str, ...], str, list[str]]] = field(default_factory=list)
     violates_2nf: bool = False
     violates_3nf: bool = False
@@ -228,12 +248,7 @@ def candidate_keys(df: DataFrame, facts: TableFacts, mode: str = "textbook", max
         if sets:
             sample = sample or Sample(df)
             sets = [s for s in sets if not sample.duplicates(s)]
-        found = []
-        for at in range(0, len(sets), DETERMINANTS_PER_JOB):
-            part = sets[at : at + DETERMINANTS_PER_JOB]
-            free = {r[0] for r in duplicate_groups(df, part).where("duplicates = 0").collect()}
-            found += [s for s in part if "+".join(s) in free]
-        if found:
+        if found := free_of_duplicates(df, sets):
             return found
     return []
 
@@ -258,16 +273,16 @@ def genuine_entity(column: str, dependents: list[str], unique: int, n_rows: int)
     return (named and len(dependents) >= 2) or any(naming.has_any(d, naming.CONTACT_WORDS) for d in dependents) or len(dependents) >= 3
 
 
-def partial_dependencies(df: DataFrame, key: tuple[str, ...], columns: list[str], threshold: float = THRESHOLD) -> dict[str, list[str]]:
+def partial_dependencies(df: DataFrame, key: tuple[str, ...], columns: list[str], threshold: float = THRESHOLD) -> dict[tuple[str, ...], list[str]]:
     """Proper subsets of a composite key -> the other columns that they determine."""
     if len(key) < 2:
         return {}
     subsets = [s for size in range(1, len(key)) for s in combinations(key, size)]
     facts = collect_ratios(df, subsets, [c for c in columns if c not in key], at_least=threshold)
-    out: dict[str, list[str]] = {}
+    out: dict[tuple[str, ...], list[str]] = {}
     for s in subsets:
         if hit := [c for c in columns if c not in key and facts.get((s, c), 0) >= threshold]:
-            out["+".join(s)] = hit
+            out[s] = hit
     return out
 
 

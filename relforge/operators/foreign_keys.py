@@ -22,6 +22,16 @@ class ForeignKey:
     pk_column: str
     relationship: str = "many-to-one"
     reason: str = "included"
+    #: Further (child, parent) columns of a reference to a composite key.
+    more: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.fk_column, *[a for a, _ in self.more])
+
+    @property
+    def targets(self) -> tuple[str, ...]:
+        return (self.pk_column, *[b for _, b in self.more])
 
 
 def _q(c: str) -> Column:

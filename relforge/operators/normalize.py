@@ -7,7 +7,7 @@ DataFrame over its source.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ from relforge.functions import inference, naming
 from relforge.sources.catalog import ROW_ORDER, with_row_order
 from relforge.sources.scratch import numbered
 
+from . import decompose as pieces
 from . import dependencies as deps
+from .decompose import Decomposition
 from .dependencies import TableFacts
 from .foreign_keys import ForeignKey, infer_by_name
 from .profile import SAMPLE, multivalued, samples
@@ -64,14 +66,14 @@ def first_normal_form(name: str, df: DataFrame, key: list[str], columns: list[st
 # Second and third normal form
 
 
-def second_normal_form(name: str, df: DataFrame, partial: dict[str, list[str]], split_key: dict[str, tuple[str, ...]]) -> dict[str, DataFrame]:
-    """A table <name>_<part of the key> with what depends on that part alone, and the rest."""
+def second_normal_form(name: str, df: DataFrame, partial: dict[tuple[str, ...], list[str]]) -> dict[str, DataFrame]:
+    """A table <name>_<part of the key> with the different rows of that part and what depends on it, and the rest.
+    Lossless only where the dependency holds in every row; ``decompose.split`` also bears exceptions."""
     out, rest = {}, df
     for part, attributes in partial.items():
         mine = [a for a in attributes if a in rest.columns]
         if mine:
-            columns = split_key[part]
-            out[f"{name}_{'_'.join(columns)}"] = df.select(*[_q(c) for c in (*columns, *mine)]).dropDuplicates()
+            out[f"{name}_{'_'.join(part)}"] = df.select(*[_q(c) for c in (*part, *mine)]).dropDuplicates()
             rest = rest.drop(*mine)
     return {name: rest, **out}
 
@@ -144,16 +146,16 @@ def entity_score(unique: int, n_rows: int, column: str, diverse: list[str]) -> E
     return Entity(score >= 0.4, score, "" if score < 0.4 else "master" if ratio > 0.5 else "reference" if contact else "lookup")
 
 
-def third_normal_form(name: str, df: DataFrame, facts: TableFacts, mode: str = "textbook") -> dict[str, DataFrame]:
-    """A table for every entity or repeating group that hangs on a non-key column.
+def entities(name: str, df: DataFrame, facts: TableFacts, mode: str = "textbook") -> list[tuple[str, str, list[str]]]:
+    """(table name, column, attributes) for every entity or repeating group that hangs on a non-key column.
 
     ``compat`` asks for a repeating group first and names it after that; ``textbook`` asks for an entity first and
     names the table after the column.
     """
-    out, rest = {}, df
+    out, left = [], set(df.columns)
     for key, a, targets in facts.transitive:
-        mine = [t for t in targets if t in rest.columns and t not in key]
-        if not mine or a not in rest.columns or not chain_holds(df, key, a, mine, facts):
+        mine = [t for t in targets if t in left and t not in key]
+        if not mine or a not in left or not chain_holds(df, key, a, mine, facts):
             continue
         exact = deps.collect_ratios(df, [(a,)], mine, drop_null_determinants=True, at_least=1)
         diverse = [t for t in mine if exact.get(((a,), t), 0) == 1]
@@ -167,7 +169,17 @@ def third_normal_form(name: str, df: DataFrame, facts: TableFacts, mode: str = "
         else:
             continue
         if moved:
-            out[naming.unique_name(wanted, {name, *out})], rest = related_table(rest, a, moved)
+            out.append((wanted, a, moved))
+            left -= set(moved)
+    return out
+
+
+def third_normal_form(name: str, df: DataFrame, facts: TableFacts, mode: str = "textbook") -> dict[str, DataFrame]:
+    """A table of different rows for each of the entities, and the rest. Lossless only where the dependency holds in
+    every row; ``decompose.split`` also bears exceptions."""
+    out, rest = {}, df
+    for wanted, a, moved in entities(name, df, facts, mode):
+        out[naming.unique_name(wanted, {name, *out})], rest = related_table(rest, a, moved)
     return {name: rest, **out}
 
 
@@ -238,25 +250,31 @@ class Normalized:
     sources: dict[str, str]
     foreign_keys: list[ForeignKey]
     warnings: list[str] = field(default_factory=list)
+    decompositions: list[Decomposition] = field(default_factory=list)
 
 
-def move_to_parent(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], known: list[ForeignKey]) -> dict[str, DataFrame]:
+def move_to_parent(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], known: list[ForeignKey], mode: str = "textbook") -> dict[str, DataFrame]:
     """Columns of a child that its foreign key alone determines, moved to the parent by a left join.
 
-    A column moves if it is no identifier, depends on the foreign key exactly (nulls aside) and the parent has no
-    column of that name.
+    A column moves if it is no identifier, the parent has no column of that name, and it depends on the foreign key
+    exactly: in ``textbook`` mode with nulls as values, and without a value in rows whose foreign key is null, so that
+    nothing is lost; in ``compat`` mode nulls aside.
     """
     out = dict(tables)
     for k in known:
-        if k.fk_table == k.pk_table or k.fk_table not in out or k.pk_table not in out or k.fk_column not in out[k.fk_table].columns:
+        if k.more or k.fk_table == k.pk_table or k.fk_table not in out or k.pk_table not in out or k.fk_column not in out[k.fk_table].columns:
             continue
         child, parent = out[k.fk_table], out[k.pk_table]
         free = [c for c in child.columns if c not in (k.fk_column, *keys.get(k.fk_table, ()), ROW_ORDER) and not naming.identity(c) and c not in parent.columns]
         free = [c for c in free if not any((o.fk_table, o.fk_column) == (k.fk_table, c) for o in known)]
         if not free:
             continue
-        found = deps.collect_ratios(child.select(_q(k.fk_column), *map(_q, free)), [(k.fk_column,)], free, drop_null_determinants=True, at_least=1)
+        slim = child.select(_q(k.fk_column), *map(_q, free))
+        found = deps.collect_ratios(slim, [(k.fk_column,)], free, drop_null_determinants=True, at_least=1, nulls_are_values=mode != "compat")
         moved = [c for c in free if found.get(((k.fk_column,), c), 0) == 1]
+        if moved and mode != "compat":
+            alone = slim.where(_q(k.fk_column).isNull()).agg(*[F.count(_q(c)).alias(c) for c in moved]).first()
+            moved = [c for c in moved if not alone[c]]
         if moved:
             known_rows, rest = related_table(child.where(_q(k.fk_column).isNotNull()), k.fk_column, moved)
             out[k.pk_table] = parent.join(known_rows.withColumnRenamed(k.fk_column, "_moved_key"), parent[k.pk_column] == F.col("_moved_key"), "left").drop("_moved_key")
@@ -278,31 +296,106 @@ def missing_columns(original: list[str], pieces: dict[str, list[str]]) -> list[s
     return [c for c in original if c != ROW_ORDER and c not in held and f"{c}_value" not in held]
 
 
+def decompose(name: str, df: DataFrame, facts: TableFacts, taken: set[str], mode: str = "textbook") -> Decomposition:
+    """A table (with its row order) through 1NF, 2NF and 3NF, as pieces that know their keys and references.
+
+    ``textbook`` splits are lossless whatever the data (see ``decompose.split``); ``compat`` takes different rows of
+    what nearly always depends, and declares no keys or references of these pieces.
+    """
+    order, key = [ROW_ORDER], facts.primary_key
+    listed = [r["column_name"] for r in multivalued(df, name, facts.columns, order, mode).where("is_multivalued").collect()] if facts.n_rows else []
+    if not key and listed:  # a split needs something to point back to
+        column = naming.unique_name(f"{name}_id", facts.columns)
+        df, key = surrogate_key(df, column, order), (column,)
+    used = {*taken, name}
+
+    def fresh(wanted: str) -> str:
+        used.add(made := naming.unique_name(wanted, used))
+        return made
+
+    first = first_normal_form(name, df, list(key), listed, order)
+    rest = pieces.Piece(name, first.pop(name), name, "rest", (), tuple(facts.columns), key)
+    splits = []
+    for wanted, values in first.items():
+        own = fresh(wanted)
+        back = pieces.reference(own, key, name) if mode != "compat" else None
+        splits.append(pieces.Piece(own, values, name, "values", key, (values.columns[-1],), (), back))
+    if mode == "compat":
+        parts = second_normal_form(name, rest.df, facts.partial)
+        lookups = third_normal_form(name, parts[name], facts, mode)
+        splits += [pieces.Piece(fresh(w), d, name, k) for k, found in (("part", parts), ("entity", lookups)) for w, d in found.items() if w != name]
+        return Decomposition(name, pieces.Piece(name, lookups[name], name, "rest", (), (), key), splits)
+    for part, attributes in facts.partial.items():
+        rest, made = pieces.split(rest, fresh(f"{name}_{'_'.join(part)}"), part, attributes, "part", key)
+        splits += made
+    rest, made = _entities_split(rest, facts, fresh)
+    splits += made
+    todo = [p for p in splits if p.kind in ("part", "entity")]
+    while todo:  # what a piece holds may depend on another of its columns again
+        piece = todo.pop(0)
+        if len(piece.attributes) > 1:
+            own = deps.measure(piece.df, piece.name)
+            own.primary_key = piece.key
+            own.transitive = deps.transitive_dependencies(piece.df, own, mode)
+            left, made = _entities_split(piece, own, fresh)
+            splits[splits.index(piece)] = left
+            splits += made
+            todo += [p for p in made if p.kind == "entity"]
+    return Decomposition(name, rest, splits)
+
+
+def _entities_split(piece: pieces.Piece, facts: TableFacts, fresh) -> tuple[pieces.Piece, list[pieces.Piece]]:
+    splits = []
+    for wanted, a, moved in entities(piece.name, piece.df, facts) if facts.transitive else []:
+        piece, made = pieces.split(piece, fresh(wanted), (a,), moved, "entity", piece.key)
+        splits += made
+    return piece, splits
+
+
+def _moved_references(found: list[Decomposition], known: list[ForeignKey]) -> list[ForeignKey]:
+    """The known keys where their columns are now: in the rest, or in the piece that an attribute moved to."""
+    out = []
+    for k in known:
+        for d in found:
+            if d.source == k.fk_table:
+                homes = [p for p in d.pieces if p.kind != "values" and all(c in p.df.columns for c in k.columns)]
+                home = next((p for p in homes if p.kind == "rest"), homes[0] if homes else None)
+                if home:
+                    out.append(replace(k, fk_table=home.name))
+    return out
+
+
 def normalize(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known: list[ForeignKey], mode: str = "textbook") -> Normalized:
-    """All tables through 1NF, 2NF and 3NF, with keys, moved attributes and foreign keys between the pieces."""
-    out, keys, sources, warnings = {}, {}, {}, []
+    """All tables through 1NF, 2NF and 3NF, with keys, moved attributes and foreign keys between the pieces.
+
+    In ``textbook`` mode a piece's key is its determinant and the reference to it is declared, both by construction;
+    a determinant that is not named like an identifier gets a surrogate beside it, which replaces it in the table that
+    refers to it.
+    """
+    found, warnings, taken = [], [], set()
     for name, df in sorted(tables.items()):
         df = with_row_order(df)
-        f, order = facts[name], [ROW_ORDER]
-        listed = [r["column_name"] for r in multivalued(df, name, f.columns, order, mode).where("is_multivalued").collect()] if f.n_rows else []
-        key = f.primary_key
-        if not key and listed:  # a split needs something to point back to
-            column = naming.unique_name(f"{name}_id", f.columns)
-            df, key = surrogate_key(df, column, order), (column,)
-        pieces = first_normal_form(name, df, list(key), listed, order)
-        parts = {p: tuple(p.split("+")) for p in f.partial}
-        for p in f.partial:
-            parts[p] = next((s for s in _subsets(key) if "+".join(s) == p), parts[p])
-        pieces |= second_normal_form(name, pieces[name], f.partial, parts)
-        pieces |= third_normal_form(name, pieces[name], f, mode)
-        for piece, frame in pieces.items():
-            free = naming.unique_name(piece, out)
-            out[free], sources[free] = frame, name
-            if piece == name:
-                keys[free] = key
-        lost = missing_columns(df.columns, {p: d.columns for p, d in pieces.items()})
+        d = decompose(name, df, facts[name], taken | (set(tables) - {name}), mode)
+        lost = missing_columns(df.columns, {p.name: p.df.columns for p in d.pieces})
         warnings += [f"{name}: column {c} is in no table" for c in lost]
-    out = move_to_parent(out, keys, known)
+        warnings += [f"{name}: {p.name} holds rows that deviate from {'+'.join(p.determinant)} -> {', '.join(p.attributes)}" for p in d.splits if p.kind == "exceptions"]
+        found.append(d)
+        taken |= {p.name for p in d.pieces}
+    made = [p for d in found for p in d.pieces]
+    out, sources = {p.name: p.df for p in made}, {p.name: p.source for p in made}
+    keys = {p.name: p.key for p in made if p.key}
+    declared = [p.reference for p in made if p.reference]
+    out = move_to_parent(out, keys, known, mode)
+    for p in (p for p in made if p.kind == "entity" and p.reference and not naming.identity(p.determinant[0], mode)):
+        column = naming.unique_name(f"{p.name}_id", out[p.name].columns)
+        out[p.name] = surrogate_key(out[p.name], column, list(p.determinant))
+        own = [k for k in declared if k.pk_table == p.name]
+        moved = pieces.translate(p, out[p.name], column, [(k.fk_table, out[k.fk_table], k) for k in own])
+        declared = [k for k in declared if k.pk_table != p.name]
+        for child, (frame, link) in moved.items():
+            out[child] = frame
+            declared.append(link)
+        keys[p.name] = (column,)
     for name in list(out):
         if keys.get(name):
             continue
@@ -313,15 +406,9 @@ def normalize(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known:
             order = [ROW_ORDER] if ROW_ORDER in frame.columns else frame.columns
             out[name] = surrogate_key(frame, choice.columns[0], order)
         keys[name] = choice.columns
-    new = [k for k in known if k.fk_table in out and k.fk_column in out[k.fk_table].columns]
+    new = declared + [k for k in _moved_references(found, known) if k.pk_table in out and all(c in out[k.fk_table].columns for c in k.columns)]
     new += infer_by_name({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, new)
-    return Normalized({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, sources, new, warnings)
-
-
-def _subsets(key: tuple[str, ...]):
-    from itertools import combinations
-
-    return [s for n in range(1, len(key)) for s in combinations(key, n)]
+    return Normalized({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, sources, new, warnings, found)
 
 
 def summary(found: Normalized) -> str:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relforge.functions import graphs
-from relforge.sources.catalog import ROW_ORDER
+from relforge.functions.hashing import multiset_sums, wide_hash
+from relforge.sources.catalog import ROW_ORDER, plain
 
 from . import dependencies as deps
+from .decompose import coverage
 from .dependencies import TableFacts
 from .foreign_keys import ForeignKey, inclusion
 
@@ -48,7 +50,7 @@ def key_violations(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]
 
 def orphans(tables: dict[str, DataFrame], keys: list[ForeignKey]) -> DataFrame:
     """fk_table, fk_column, pk_table, pk_column, n_values, n_missing, coverage."""
-    found = inclusion(tables, [(k.fk_table, k.fk_column, k.pk_table, k.pk_column) for k in keys])
+    found = inclusion(tables, [(k.fk_table, k.fk_column, k.pk_table, k.pk_column) for k in keys if not k.more])
     return found.withColumn("coverage", F.when(F.col("n_values") > 0, 1 - F.col("n_missing") / F.col("n_values")).otherwise(F.lit(1.0)))
 
 
@@ -65,10 +67,33 @@ def rejoin_difference(source: DataFrame, pieces: list[tuple[DataFrame, list[str]
         for c in on:
             same = same & _q(c).eqNullSafe(F.col(f"_on_{c}"))
         joined = joined.join(renamed, same, "left").drop(*[f"_on_{c}" for c in on])
-    columns = [c for c in source.columns if c != ROW_ORDER]
-    signed = source.select(*map(_q, columns), F.lit(1).alias("_sign")).unionByName(joined.select(*map(_q, columns), F.lit(-1).alias("_sign")))
-    balance = signed.groupBy(*map(_q, columns)).agg(F.sum("_sign").alias("_balance"))
-    return balance.agg(F.coalesce(F.sum(F.greatest(F.col("_balance"), F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("_balance"), F.lit(0))), F.lit(0)).alias("added"))
+    return difference(source, joined)
+
+
+def _signed(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[Column]]:
+    columns = [c for c in a.columns if c != ROW_ORDER]
+    pick = lambda df, sign: plain(df).select(*map(_q, columns), F.lit(sign).cast("long").alias("_sign"))
+    return pick(a, 1).unionByName(pick(b, -1)), [_q(c) for c in columns]
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, repeated ones as often, in any order: sums of row hashes in one
+    aggregate, so no row moves."""
+    both, columns = _signed(a, b)
+    return not any(both.agg(F.sum("_sign").alias("n"), *multiset_sums(columns, F.col("_sign"))).na.fill(0).first())
+
+
+def difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """lost, added: rows of a that b has not, and rows that b has beyond a, repeated rows counted each.
+
+    The tables' fingerprints are compared first. Only if they differ are rows balanced, by 128-bit hashes.
+    """
+    if same_rows(a, b):
+        return a.sparkSession.createDataFrame([(0, 0)], "lost long, added long")
+    both, columns = _signed(a, b)
+    balance = both.select(*wide_hash(columns), "_sign").groupBy("g0", "g1").agg(F.sum("_sign").alias("n"))
+    over = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0))
+    return balance.agg(over(F.col("n")).alias("lost"), over(-F.col("n")).alias("added"))
 
 
 def address_hint(df: DataFrame, column: str, order: list[str], n: int = 10) -> DataFrame:
@@ -88,7 +113,7 @@ def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], for
             report.warnings.append(f"{t} has no primary key")
         elif t not in known:
             report.errors.append(f"{t}: key column missing: {', '.join(c for c in keys[t] if c not in tables[t].columns)}")
-        elif any((k.fk_table, (k.fk_column,)) == (t, keys[t]) and k.pk_table != t for k in foreign):
+        elif any((k.fk_table, k.columns) == (t, keys[t]) and k.pk_table != t and k.reason != "split" for k in foreign):
             report.errors.append(f"{t}: its key is a foreign key")
     for r in key_violations(tables, known).collect() if known else []:
         if r["duplicates"]:
@@ -103,13 +128,17 @@ def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], for
         if graphs.closes_cycle(edges, k.fk_table, k.pk_table, allow_self=True):
             report.errors.append(f"{k.fk_table} -> {k.pk_table} closes a cycle")
         edges.append((k.fk_table, k.pk_table))
-        gone = [f"{t}.{c}" for t, c in ((k.fk_table, k.fk_column), (k.pk_table, k.pk_column)) if t not in tables or c not in tables[t].columns]
+        gone = [f"{t}.{c}" for t, c in (*((k.fk_table, c) for c in k.columns), *((k.pk_table, c) for c in k.targets)) if t not in tables or c not in tables[t].columns]
         if gone:
             report.errors.append(f"column missing: {', '.join(gone)}")
         else:
             there.append(k)
     report.checks["lossless_join"] = len(there) == len(foreign)
-    for r in orphans(tables, there).collect() if there else []:
+    several = [k for k in there if k.more]
+    for r in coverage(tables, several).where("n_missing > 0").collect() if several else []:
+        where = report.errors if r["coverage"] < LEAST_COVERAGE else report.warnings
+        where.append(f"{r['child']}.{r['columns']}: {r['n_missing']} of {r['n_values']} values are not in {r['parent']}")
+    for r in orphans(tables, there).collect() if len(several) < len(there) else []:
         if r["n_missing"]:
             where = report.errors if r["coverage"] < LEAST_COVERAGE else report.warnings
             where.append(f"{r['fk_table']}.{r['fk_column']}: {r['n_missing']} of {r['n_values']} values are not in {r['pk_table']}.{r['pk_column']}")
@@ -122,7 +151,7 @@ def validate(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], for
         left = []
         for t in sorted(known):
             f = replace(facts[t], primary_key=known[t])
-            left += [f"{t}: {c} depends on {part} alone" for part, found in deps.partial_dependencies(tables[t], f.primary_key, f.columns).items() for c in found]
+            left += [f"{t}: {c} depends on {'+'.join(part)} alone" for part, found in deps.partial_dependencies(tables[t], f.primary_key, f.columns).items() for c in found]
             left += [f"{t}: {', '.join(found)} depends on {middle}" for _, middle, found in deps.transitive_dependencies(tables[t], f)]
         report.checks["third_normal_form"] = not left
         report.warnings += left

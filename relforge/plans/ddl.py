@@ -29,23 +29,21 @@ def not_null(column: str, key: tuple[str, ...], null_count: int, n_rows: int, mo
 
 def references(table: str, column: str, foreign: list[ForeignKey]) -> bool:
     """Whether a column is a foreign key of its table."""
-    return any((k.fk_table, k.fk_column) == (table, column) for k in foreign)
+    return any(k.fk_table == table and column in k.columns for k in foreign)
 
 
 def pick_key(table: str, facts: TableFacts, foreign: list[ForeignKey]) -> tuple[str, ...]:
-    """The key for the DDL: an <...>_id that references nothing and is unique, or is named after the table; the
-    mined key unless it is a business or foreign column; the foreign keys of an associative table; any unique
-    identifier; any unique plain column; else the first column that references nothing, else the first."""
+    """The key for the DDL: the mined key unless it is a business or a foreign column on its own; a unique <...>_id
+    that references nothing; the foreign keys of an associative table; any unique identifier; any unique plain column;
+    else the mined key after all, and none without one. Every answer is unique."""
     refs = {c for c in facts.columns if references(table, c, foreign)}
     unique = [c for c in facts.columns if facts.n_rows and facts.is_unique(c)]
-    own = table.lower().replace("_", "")
-    for c in facts.columns:
-        base = c.replace("_id", "").lower()
-        if c not in refs and c.endswith("_id") and (c in unique or base in own or own in base):
-            return (c,)
     key = facts.primary_key
-    if key and not (set(key) & refs) and not any(map(naming.business_name, key)):
+    if key and (len(key) > 1 or key[0] not in refs) and not any(map(naming.business_name, key)):
         return key
+    for c in unique:
+        if c not in refs and c.lower().endswith("_id"):
+            return (c,)
     fk = tuple(c for c in facts.columns if c in refs)
     if len(fk) >= 2 and len(facts.columns) - len(fk) <= 2 and tuple(sorted(fk)) in {tuple(sorted(k)) for k in facts.candidate_keys}:
         return fk
@@ -53,7 +51,7 @@ def pick_key(table: str, facts: TableFacts, foreign: list[ForeignKey]) -> tuple[
         for c in unique:
             if c not in refs and test(c):
                 return (c,)
-    return next(((c,) for c in facts.columns if c not in refs), tuple(facts.columns[:1]))
+    return key
 
 
 def create_table(table: str, columns: list[tuple[str, str, bool]], key: tuple[str, ...]) -> str:
@@ -66,10 +64,11 @@ def create_table(table: str, columns: list[tuple[str, str, bool]], key: tuple[st
 
 
 def valid_target(key: ForeignKey, keys: dict[str, tuple[str, ...]], facts: dict[str, TableFacts]) -> bool:
-    """Whether the referenced column is unique on its own: the whole key, or a candidate key of one column."""
-    if keys.get(key.pk_table) == (key.pk_column,):
+    """Whether the referenced columns are unique: they are the whole key, or a candidate key, in any order."""
+    asked = sorted(key.targets)
+    if sorted(keys.get(key.pk_table, ())) == asked:
         return True
-    return key.pk_table in facts and (key.pk_column,) in facts[key.pk_table].candidate_keys
+    return key.pk_table in facts and asked in [sorted(k) for k in facts[key.pk_table].candidate_keys]
 
 
 def composite_target(child_columns: list[str], parent_key: tuple[str, ...]) -> bool:
@@ -91,11 +90,11 @@ def foreign_key_constraints(foreign: list[ForeignKey], keys: dict[str, tuple[str
             skipped.append(f"{k.fk_table}.{k.fk_column}: a table is missing")
         elif not valid_target(k, keys, facts):
             parent = keys.get(k.pk_table, ())
-            if k.pk_column in parent and not composite_target(facts[k.fk_table].columns, parent):
+            if k.pk_column in parent and not k.more and not composite_target(facts[k.fk_table].columns, parent):
                 why = f"the key of {k.pk_table} is {', '.join(parent)} and {k.fk_table} does not hold all of it"
             else:
-                why = f"{k.pk_table}.{k.pk_column} is not unique on its own"
-            skipped.append(f"{k.fk_table}.{k.fk_column}: {why}")
+                why = f"{k.pk_table}.{', '.join(k.targets)} is not unique on its own"
+            skipped.append(f"{k.fk_table}.{', '.join(k.columns)}: {why}")
         elif graphs.closes_cycle(edges, k.fk_table, k.pk_table, allow_self=True):
             skipped.append(f"{k.fk_table}.{k.fk_column}: closes a cycle")
         else:
@@ -103,12 +102,12 @@ def foreign_key_constraints(foreign: list[ForeignKey], keys: dict[str, tuple[str
             kept.append(k)
             child = naming.sanitize(k.fk_table)
             name = naming.shorten(f"fk_{child}_{len(kept)}")
-            out.append(f"ALTER TABLE {child}\n    ADD CONSTRAINT {name}\n    FOREIGN KEY ({naming.sanitize(k.fk_column)})\n    REFERENCES {naming.sanitize(k.pk_table)}({naming.sanitize(k.pk_column)});")
+            out.append(f"ALTER TABLE {child}\n    ADD CONSTRAINT {name}\n    FOREIGN KEY ({', '.join(map(naming.sanitize, k.columns))})\n    REFERENCES {naming.sanitize(k.pk_table)}({', '.join(map(naming.sanitize, k.targets))});")
     return Constraints(out, skipped, kept)
 
 
 def indexes(foreign: list[ForeignKey]) -> list[str]:
-    return [f"CREATE INDEX {naming.shorten(f'idx_{naming.sanitize(k.fk_table)}_{i}')} ON {naming.sanitize(k.fk_table)}({naming.sanitize(k.fk_column)});" for i, k in enumerate(foreign, 1)]
+    return [f"CREATE INDEX {naming.shorten(f'idx_{naming.sanitize(k.fk_table)}_{i}')} ON {naming.sanitize(k.fk_table)}({', '.join(map(naming.sanitize, k.columns))});" for i, k in enumerate(foreign, 1)]
 
 
 def script(facts: dict[str, TableFacts], types: dict[tuple[str, str], str], keys: dict[str, tuple[str, ...]], foreign: list[ForeignKey], mode: str = "textbook") -> str:

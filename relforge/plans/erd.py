@@ -9,7 +9,7 @@ from relforge.operators.foreign_keys import ForeignKey
 
 def edges(foreign: list[ForeignKey]) -> list[tuple[str, str, str]]:
     """(child, parent, label)."""
-    return [(k.fk_table, k.pk_table, f"{k.fk_column} → {k.pk_column}") for k in foreign]
+    return [(k.fk_table, k.pk_table, f"{', '.join(k.columns)} → {', '.join(k.targets)}") for k in foreign]
 
 
 def dot(columns: dict[str, list[str]], keys: dict[str, tuple[str, ...]], foreign: list[ForeignKey]) -> str:
@@ -27,12 +27,12 @@ def mermaid(types: dict[str, list[tuple[str, str]]], keys: dict[str, tuple[str,
     """types: table -> (column, simple type)."""
     plain = lambda s: re.sub(r"\W", "_", s)
     lines = ["erDiagram"]
-    refs = {(k.fk_table, k.fk_column) for k in foreign}
+    refs = {(k.fk_table, c) for k in foreign for c in k.columns}
     for t, columns in sorted(types.items()):
         lines.append(f"    {plain(t)} {{")
         lines += [f"        {kind} {plain(c)}{' PK' if c in keys.get(t, ()) else ' FK' if (t, c) in refs else ''}" for c, kind in columns]
         lines.append("    }")
-    lines += [f"    {plain(k.pk_table)} ||--o{{ {plain(k.fk_table)} : {plain(k.fk_column)}" for k in foreign]
+    lines += [f"    {plain(k.pk_table)} ||--o{{ {plain(k.fk_table)} : {plain('_'.join(k.columns))}" for k in foreign]
     return "\n".join(lines) + "\n"
 
 

@@ -298,7 +298,7 @@ _PARTS = [("order_id",), ("line_number",)]
 @query(f"WITH src AS ({SQL_FLAT}) SELECT determinant, dependent FROM (" + " UNION ALL ".join(_sql_ratio(x, y) for x in _PARTS for y in FLAT if y not in ("order_id", "line_number")) + ") WHERE ratio >= 0.99")
 def partial_deps_flat(spark, d):
     found = dependencies.partial_dependencies(flat(spark, d), ("order_id", "line_number"), FLAT)
-    return spark.createDataFrame([(part, c) for part, columns in found.items() for c in columns], "determinant string, dependent string")
+    return spark.createDataFrame([('+'.join(part), c) for part, columns in found.items() for c in columns], "determinant string, dependent string")
 
 
 SQL_ORDERS_FLAT = f"SELECT DISTINCT {', '.join(c for c in FLAT if c != 'line_number')} FROM ({SQL_FLAT})"
@@ -469,7 +469,7 @@ def delimiter_choice(spark, d):
 
 
 def _second(spark, d) -> dict[str, DataFrame]:
-    return normalize.second_normal_form("flat", flat(spark, d), {"order_id": [c for c in FLAT if c not in ("order_id", "line_number")]}, {"order_id": ("order_id",)})
+    return normalize.second_normal_form("flat", flat(spark, d), {("order_id",): [c for c in FLAT if c not in ("order_id", "line_number")]})
 
 
 @query(f"SELECT DISTINCT {', '.join(_ORDER_COLUMNS)} FROM ({SQL_FLAT})")

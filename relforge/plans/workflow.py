@@ -61,13 +61,15 @@ def to_third_normal_form(state: State) -> None:
 
 
 def measure_pieces(state: State) -> None:
-    """Facts of the resulting tables; where normalisation left a surrogate or no key, the DDL's rules choose."""
+    """Facts of the resulting tables; mined keys and those of the splits stay, and only for a table without a key the
+    DDL's rules choose."""
     found = state.normalized
     state.final_facts = dependencies.measure_all(found.tables)
     for t, f in state.final_facts.items():
         f.primary_key = found.keys.get(t, ())
         f.candidate_keys = [f.primary_key] if f.primary_key else []
-        found.keys[t] = f.primary_key = ddl.pick_key(t, f, found.foreign_keys)
+        if not f.primary_key:
+            found.keys[t] = f.primary_key = ddl.pick_key(t, f, found.foreign_keys)
 
 
 def check(state: State) -> None:

@@ -31,7 +31,7 @@ def test_keys(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (2, 1, "b"), (3, 1, "a")], "order_id int, line_id int, name string")
     facts = deps.profile_table(df, "lines")
     assert facts.candidate_keys == [("order_id", "line_id")] and facts.primary_key == ("order_id", "line_id")
-    assert facts.partial == {"order_id": ["name"]} and facts.violates_2nf
+    assert facts.partial == {("order_id",): ["name"]} and facts.violates_2nf
     assert facts.dependencies["order_id"] == ["name"]
 
 
