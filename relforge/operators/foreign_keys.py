@@ -121,14 +121,15 @@ def detect(tables: dict[str, DataFrame], facts: dict[str, TableFacts], require_p
     return found
 
 
-def infer_by_name(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], known: list[ForeignKey]) -> list[ForeignKey]:
+def infer_by_name(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]], known: list[ForeignKey], key_parts: bool = False) -> list[ForeignKey]:
     """Further keys from names alone: <entity>_id to a table called entity, entitys or entityes with a single
-    key, if all values are there and no cycle closes."""
-    taken, edges = {(k.fk_table, k.fk_column) for k in known}, [(k.fk_table, k.pk_table) for k in known]
+    key, if all values are there and no cycle closes. Columns of a table's own key are left out, but with key_parts
+    those of a composite key may refer to another table."""
+    taken, edges = {(k.fk_table, k.fk_column) for k in known if not k.more}, [(k.fk_table, k.pk_table) for k in known]
     pairs = []
     for t, df in sorted(tables.items()):
         for c in df.columns:
-            if not c.lower().endswith("_id") or c in keys.get(t, ()) or (t, c) in taken:
+            if not c.lower().endswith("_id") or (c in keys.get(t, ()) and not (key_parts and len(keys[t]) > 1)) or (t, c) in taken:
                 continue
             base = c[:-3].lower()
             pairs += [(t, c, p, keys[p][0]) for p in sorted(tables) if p != t and p.lower() in (base, f"{base}s", f"{base}es") and len(keys.get(p, ())) == 1][:1]

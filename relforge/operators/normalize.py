@@ -407,7 +407,7 @@ def normalize(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known:
             out[name] = surrogate_key(frame, choice.columns[0], order)
         keys[name] = choice.columns
     new = declared + [k for k in _moved_references(found, known) if k.pk_table in out and all(c in out[k.fk_table].columns for c in k.columns)]
-    new += infer_by_name({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, new)
+    new += infer_by_name({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, new, key_parts=mode != "compat")
     return Normalized({n: d.drop(ROW_ORDER) for n, d in out.items()}, keys, sources, new, warnings, found)
 
 
