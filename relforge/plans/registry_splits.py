@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relforge.operators import decompose, dependencies, normalize, validate
+from relforge.operators import decompose, dependencies, foreign_keys, lattice, normalize, validate
 from relforge.operators.decompose import Decomposition
+from relforge.operators.foreign_keys import ForeignKey
 from relforge.sources.catalog import with_row_order
 from relforge.sources.scratch import saved
 
-from .registry import FLAT, SQL_FLAT, flat, query
+from . import ddl
+from .registry import COLUMNS, FLAT, SQL_FLAT, canonical, flat, named, query, raw
 
 _OTHER = [c for c in FLAT if c not in ("order_id", "line_number")]
 #: The flat lines in which a column says something else, so that a dependency fails in few groups.
@@ -83,3 +85,72 @@ def translated_keys(spark, d):
     rest, (parent,) = decompose.split(decompose.Piece("purchases", df, "purchases", "rest", (), tuple(df.columns), ("purchase_id",)), "vendor", ("vendor",), ["vendor_contact", "vendor_phone"], "entity", ("purchase_id",))
     keyed = normalize.surrogate_key(parent.df, "vendor_id", ["vendor"])
     return decompose.translate(parent, keyed, "vendor_id", [("purchases", rest.df, parent.reference)])["purchases"][0]
+
+
+# Minimal dependencies
+
+
+def _sql_minimal(table: str, most: int = 3) -> str:
+    """Sets of columns as bits; X gives y where both have as many different rows as X alone (nulls are values)."""
+    columns = list(COLUMNS[table])
+    sets = [m for m in range(1 << len(columns)) if bin(m).count("1") <= most + 1]
+    named = lambda m: [c for i, c in enumerate(columns) if m >> i & 1]
+    counts = " UNION ALL ".join(f"SELECT {m} AS m, count(*) AS n FROM (SELECT DISTINCT {', '.join(named(m)) or '1'} FROM {table})" for m in sets)
+    names = ", ".join(f"({m}, '{'+'.join(named(m))}')" for m in sets)
+    return f"""WITH c AS ({counts}), y AS (SELECT i, 1 << i AS bit, name FROM (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(columns))}) v(i, name)),
+h AS (SELECT x.m, y.bit, y.name FROM c x JOIN y ON x.m & y.bit = 0 JOIN c b ON b.m = x.m | y.bit WHERE b.n = x.n AND bit_count(x.m) <= {most})
+SELECT s.name AS determinant, h.name AS dependent FROM h JOIN (VALUES {names}) s(m, name) ON s.m = h.m WHERE NOT EXISTS (SELECT 1 FROM h z WHERE z.bit = h.bit AND z.m <> h.m AND z.m & h.m = z.m)"""
+
+
+for _t in ("orders", "nation", "customer", "part"):
+    named(f"minimal_dependencies_{_t}", lambda s, d, t=_t: s.createDataFrame([("+".join(x.determinant), x.dependent) for x in lattice.minimal_dependencies(raw(s, d, t))], "determinant string, dependent string"), _sql_minimal(_t))
+
+
+# References of several columns
+
+#: A child of the order lines: lines that came back, with the line's key under other names, and a wrong copy of it.
+_RETURNS = "SELECT DISTINCT o_key AS order_ref, l_number AS line_number, l_number + 100 AS other_number, r AS reason FROM (SELECT l_orderkey AS o_key, l_linenumber AS l_number, min(l_returnflag) AS r FROM lineitem GROUP BY ALL) WHERE r = 'R'"
+
+
+def lines_and_returns(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    lines = saved(canonical(spark, d, "lineitem").groupBy("order_id", "line_number").agg(F.min("return_flag").alias("flag"), F.sum("quantity").alias("quantity")), "lines")
+    returns = lines.where("flag = 'R'").select(F.col("order_id").alias("order_ref"), "line_number", (F.col("line_number") + 100).alias("other_number"), F.col("flag").alias("reason"))
+    return {"lines": lines, "returns": returns, "orders": canonical(spark, d, "orders")}
+
+
+def _returned(spark, d) -> tuple[dict[str, DataFrame], dict, list[ForeignKey]]:
+    tables = lines_and_returns(spark, d)
+    facts = dependencies.measure_all(tables)
+    facts["lines"].primary_key, facts["returns"].primary_key, facts["orders"].primary_key = ("order_id", "line_number"), ("order_ref", "line_number"), ("order_id",)
+    return tables, facts, foreign_keys.composite(tables, facts)
+
+
+@query(f"""WITH r AS ({_RETURNS}), l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT 'returns' AS child, 'order_ref+line_number' AS columns, 'lines' AS parent, 'order_id+line_number' AS targets, count(*) AS n_values FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE (order_ref, line_number) NOT IN (SELECT (l_orderkey, l_linenumber) FROM l)) HAVING count(*) > 0""")
+def composite_references(spark, d):
+    """References to the composite key of the order lines, with the tuples they were found on."""
+    tables, _, found = _returned(spark, d)
+    counts = decompose.coverage(tables, found).select("child", "columns", "parent", "n_values")
+    targets = spark.createDataFrame([(k.fk_table, k.pk_table, "+".join(k.targets)) for k in found], "child string, parent string, targets string")
+    return counts.join(F.broadcast(targets), ["child", "parent"]).select("child", "columns", "parent", "targets", "n_values")
+
+
+@query("""SELECT 'ALTER TABLE returns' || chr(10) || '    ADD CONSTRAINT fk_returns_1' || chr(10) || '    FOREIGN KEY (order_ref, line_number)' || chr(10) || '    REFERENCES lines(order_id, line_number);' AS statement FROM lineitem WHERE l_returnflag = 'R' HAVING count(*) > 0
+UNION ALL SELECT 'CREATE INDEX idx_returns_1 ON returns(order_ref, line_number);' FROM lineitem WHERE l_returnflag = 'R' HAVING count(*) > 0""")
+def composite_constraints(spark, d):
+    """The constraints and indexes of these references."""
+    _, facts, found = _returned(spark, d)
+    made = ddl.foreign_key_constraints(found, {t: f.primary_key for t, f in facts.items()}, facts)
+    return spark.createDataFrame([(x,) for x in made.statements + ddl.indexes(made.kept)], "statement string")
+
+
+@query(f"""WITH r AS ({_RETURNS}), l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem), c AS (SELECT DISTINCT other_number AS v FROM r)
+SELECT 'order_ref+line_number' AS columns, true AS holds UNION ALL SELECT 'order_ref+other_number', NOT EXISTS (SELECT 1 FROM r WHERE (order_ref, other_number) NOT IN (SELECT (k, n) FROM l))
+UNION ALL SELECT 'line_number+order_ref', NOT EXISTS (SELECT 1 FROM r WHERE (line_number, order_ref) NOT IN (SELECT (k, n) FROM l))""")
+def inclusions_refuted_first(spark, d):
+    """Tuples against the lines' key: what one in FIRST_LOOK values refutes is refuted, the rest is asked of all."""
+    tables = lines_and_returns(spark, d)
+    asked = [("order_ref", "line_number"), ("order_ref", "other_number"), ("line_number", "order_ref")]
+    pairs = [(("returns", a), ("lines", ("order_id", "line_number"))) for a in asked]
+    counts = foreign_keys._counted(tables, pairs)
+    return spark.createDataFrame([("+".join(a), missing == 0) for a, (_, missing) in zip(asked, counts, strict=True)], "columns string, holds boolean")

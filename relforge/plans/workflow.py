@@ -53,7 +53,10 @@ def mine_keys(state: State) -> None:
 
 
 def mine_foreign_keys(state: State) -> None:
-    state.foreign = foreign_keys.detect({t: df.drop(ROW_ORDER) for t, df in state.catalog.tables.items()}, state.facts)
+    tables = {t: df.drop(ROW_ORDER) for t, df in state.catalog.tables.items()}
+    state.foreign = foreign_keys.detect(tables, state.facts)
+    if state.mode != "compat":
+        state.foreign += foreign_keys.composite(tables, state.facts, state.foreign)
 
 
 def to_third_normal_form(state: State) -> None:
