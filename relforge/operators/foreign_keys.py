@@ -91,8 +91,9 @@ def _counted(tables: dict[str, DataFrame], pairs: list[tuple[Side, Side]]) -> li
         part = pairs[at : at + 200]
         out = refuted(tables, part)
         left = [p for i, p in enumerate(part) if i not in out]
-        counts = iter({r["pair"]: (r["n_values"], r["n_missing"]) for r in tuple_inclusion(tables, left).collect()}.get(i, (0, 0)) for i in range(len(left))) if left else iter(())
-        found += [(1, 1) if i in out else next(counts) for i in range(len(part))]
+        counts = {r["pair"]: (r["n_values"], r["n_missing"]) for r in tuple_inclusion(tables, left).collect()} if left else {}
+        rest = iter(counts.get(i, (0, 0)) for i in range(len(left)))
+        found += [(1, 1) if i in out else next(rest) for i in range(len(part))]
     return found
 
 
@@ -177,7 +178,7 @@ def composite(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known:
     """References of several columns to composite keys.
 
     Level by level: a column of a child is a candidate for a column of the key if it is called like it or named like a
-    reference, and if its values are all there; these are joined to pairs and, for larger keys, to triples and so on,
+    reference, and if its values are all there (those in rows with a null elsewhere too); these are joined to pairs and, for larger keys, to triples and so on,
     each tested as tuples, and only what holds goes on. Rows with a null in the columns are not asked. Of several
     column choices for one key the one that shares most names with it counts, then the first in the child's order.
     A child's columns must differ; a reference that closes a cycle with the known ones is left out.
