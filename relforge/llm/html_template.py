@@ -6,8 +6,9 @@ half of the host's pages (and MIN_PAGES different ones) have it, it has two toke
 same order wherever they occur; tokens out of order leave it. Valid classes nest by their paths into the host's
 template; what lies between their tokens are its slots. The main slot is the best of the template's containers (an
 article before a main part, a content block, the body). Its text, without boilerplate containers inside it, is the
-page's main text; outside of articles and main parts, blocks all of whose words are the template's go too, and an
-element that may be boilerplate by one word of its name is so if the template has it.
+page's main text. Blocks all of whose words are the template's go too where they stand outside of articles and main
+parts, or anywhere in an element that may be boilerplate by one word of its name; such a name alone decides nothing
+on a host with a template.
 
 Vectors are compared by an exclusive-or of hashes over different pages. Most tokens stand on few pages; to keep them
 from moving, a first pass counts, for each host, on how many pages some token falls into each of BUCKETS hash
@@ -81,20 +82,26 @@ def _label(name: str, attributes: str) -> tuple[str, int]:
     return label, grade or (2 if name in ("div", "section", "td") and parts & CONTENT_NAMES else 0)
 
 
-def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[str, str, str, int, str]]:
-    """(what, path, name, grade, text): 'open' and 'close' of containers, 'tag' of other elements, 'text'.
+#: What stands at a text: boilerplate, an article or main part (kept even if constant), an element that is perhaps
+#: boilerplate by its name, or neither.
+DROPPED, PLAIN, DOUBTFUL, KEPT = -1, 0, 2, 4
+
+
+def walk(page: str, by_name: bool = True) -> Iterator[tuple[str, str, str, int, str]]:
+    """(what, path, name, grade, text): 'open' and 'close' of containers, 'tag' of other elements, and 'text', whose
+    grade is DROPPED, PLAIN, DOUBTFUL or KEPT.
 
     A closing tag without its opening one is ignored; one that skips open containers closes them too, and an open
-    paragraph, item or cell ends where the next one begins. What is perhaps boilerplate by its name is so if its
-    path is in `confirmed`, or, if that is None, outside of articles and main parts. A main part is no boilerplate by the names around it. Contents of
-    scripts and the like are not walked.
+    paragraph, item or cell ends where the next one begins. What is perhaps boilerplate by its name is so if that is to
+    be told by_name, outside of articles and main parts; else its text is DOUBTFUL. A main part is no boilerplate by
+    the names around it. Contents of scripts and the like are not walked.
     """
-    stack: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int, int]] = []
     last: dict[str, int] = {}
-    path, grade, at = "", 0, 0
+    path, grade, kind, at = "", 0, PLAIN, 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            yield "text", path, "", grade, page[at : m.start()]
+            yield "text", path, "", DROPPED if grade < 0 else kind, page[at : m.start()]
         at = m.end()
         if not m[3]:
             continue
@@ -107,25 +114,27 @@ def walk(page: str, confirmed: frozenset[str] | None = None) -> Iterator[tuple[s
             while len(stack) > held:
                 stack.pop()
                 yield "close", path, name, grade, ""
-                path, grade = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
+                path, grade, kind = stack[-1][1:] if stack else ("", 0, PLAIN)
             continue
         label, own = _label(name, m[4])
         while stack and name in ENDED_BY.get(stack[-1][0], ()):
             ended = stack.pop()[0]
             yield "close", path, ended, grade, ""
-            path, grade = (stack[-1][1], stack[-1][2]) if stack else ("", 0)
-        if own == -2:
-            own = -1 if (grade < 3 if confirmed is None else f"{path}/{label}" in confirmed) else 0
+            path, grade, kind = stack[-1][1:] if stack else ("", 0, PLAIN)
+        doubtful = own == -2
+        if doubtful:
+            own = -1 if by_name and kind != KEPT else 0
         if name in UNCLOSED and m.start() > last.setdefault(name, page.lower().rfind(f"</{name}") if name not in last else 0):
             continue
-        if name in VOID or m[4].rstrip().endswith("/") or (name not in CONTAINERS and own >= 0):
+        if name in VOID or m[4].rstrip().endswith("/") or (name not in CONTAINERS and own >= 0 and not doubtful):
             yield "tag", path, name, grade, ""
             continue
         path, grade = f"{path}/{label}", own if grade >= 0 or (name == "main" and not any(s[0] in BOILERPLATE for s in stack)) else -1
-        stack.append((name, path, grade))
+        kind = KEPT if own >= 3 else DOUBTFUL if doubtful and not by_name else kind
+        stack.append((name, path, grade, kind))
         yield "open", path, name, grade, ""
     if at < len(page):
-        yield "text", path, "", grade, page[at:]
+        yield "text", path, "", DROPPED if grade < 0 else kind, page[at:]
 
 
 _hash = xxhash.xxh64_intdigest
@@ -193,34 +202,37 @@ def tokens(page: str, allowed: list[bool] | None = None) -> dict[int, list]:
 def main_text(page: str, main: str | None, paths: list[str] | None = None, words: frozenset[int] = frozenset()) -> str:
     """The blocks inside the container with path `main` (else the page's best container), joined by blank lines.
 
-    paths: those of the host's template, which confirm what is perhaps boilerplate (None: its names do). words: the
-    template's; a block outside of articles and main parts that has no other goes, unless all of the page's do."""
-    events = list(walk(page, None if paths is None else frozenset(paths)))
+    paths: of the host's template's containers (None: it has no template, and names alone tell what is perhaps
+    boilerplate). words: the template's; a block that has no other goes unless it is part of an article or main part,
+    and not of a doubtful element there. If no block has any other word, the page is all template, and all stay.
+    """
+    events = list(walk(page, paths is None))
     opened = [(g, p) for what, p, _, g, _ in events if what == "open"]
     if main is None or not any(p == main for _, p in opened):
         main = max(opened, key=lambda o: o[0])[1] if opened and max(opened)[0] > 0 else ""
-    blocks, piece, own, inside, depth = [], [], False, main == "", 0
+    blocks, piece, fresh, kept, inside, depth = [], [], False, False, main == "", 0
     for what, path, name, grade, text in events:
         if what == "open" and path == main:
             inside, depth = True, depth + 1
-        here = inside and grade >= 0
         if what == "text":
-            if here:
+            if inside and grade != DROPPED:
                 piece.append(text)
-                own = own or not words or grade >= 3 or any(word_token(seed, w) not in words for seed in (_seed(path),) for w in text.split())
+                kept = kept or (grade == KEPT and not text.isspace())
+                fresh = fresh or not words or any(word_token(seed, w) not in words for seed in (_seed(path),) for w in text.split())
             continue
         if name.lstrip("/") in BLOCKS and name not in UNCLOSED and not (what == "tag" and grade < 0):
-            blocks.append(("".join(piece), own))
-            piece, own = [], False
-        elif name == "br" and here:
+            blocks.append(("".join(piece), fresh, kept))
+            piece, fresh, kept = [], False, False
+        elif name == "br" and inside and grade >= 0:
             piece.append(" ")
         if what == "close" and path == main and main:
             depth -= 1
             inside = depth > 0
-    blocks.append(("".join(piece), own))
-    texts = [(" ".join(html.unescape(b).split()), own) for b, own in blocks]
-    texts = [(b, own) for b, own in texts if b]
-    return "\n\n".join(b for b, own in texts if own or not any(o for _, o in texts))
+    blocks.append(("".join(piece), fresh, kept))
+    texts = [(" ".join(html.unescape(b).split()), fresh, kept) for b, fresh, kept in blocks]
+    texts = [t for t in texts if t[0]]
+    some = any(fresh for _, fresh, _ in texts)
+    return "\n\n".join(b for b, fresh, kept in texts if fresh or kept or not some)
 
 
 def _host(url: str):
