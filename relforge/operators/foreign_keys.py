@@ -178,7 +178,7 @@ def composite(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known:
     """References of several columns to composite keys.
 
     Level by level: a column of a child is a candidate for a column of the key if it is called like it or named like a
-    reference, and if its values are all there (those in rows with a null elsewhere too); these are joined to pairs and, for larger keys, to triples and so on,
+    reference, is not the child's own key, and if its values are all there (those in rows with a null elsewhere too); these are joined to pairs and, for larger keys, to triples and so on,
     each tested as tuples, and only what holds goes on. Rows with a null in the columns are not asked. Of several
     column choices for one key the one that shares most names with it counts, then the first in the child's order.
     A child's columns must differ; a reference that closes a cycle with the known ones is left out.
@@ -192,7 +192,7 @@ def composite(tables: dict[str, DataFrame], facts: dict[str, TableFacts], known:
         for t in sorted(facts):
             if t == p:
                 continue
-            fits = lambda c, k: c.lower() == k.lower() or naming.foreign_key_name(c)
+            fits = lambda c, k: (c,) != facts[t].primary_key and (c.lower() == k.lower() or naming.foreign_key_name(c))
             level = [((c,), (k,)) for k in key for c in facts[t].columns if fits(c, k) and _kind(tables[t], c) == _kind(tables[p], k)]
             held = {x for x, (n, missing) in zip(level, _counted(tables, [((t, a), (p, b)) for a, b in level]), strict=True) if n and not missing} if {b[0] for _, b in level} == set(key) else set()
             ways = [x for x in level if x in held and x[1] == key[:1]]
