@@ -3,6 +3,7 @@
 import re
 from itertools import combinations
 
+import pytest
 from pyspark.sql import functions as F
 
 from relforge.llm import chat, decontamination, near_dedup, pii
@@ -264,11 +265,48 @@ def test_quotes_and_reply_order(spark):
     assert chat.conversations(df.limit(0)).count() == 0
 
 
-def test_chats_equal_sql(spark, tmp_path):
+def test_the_largest_share_wins(spark):
+    """A later message, or a conversation before, that has some of the quoted words only is not the original."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    a, b, c = f"{words('a', 6)}.", f"{words('b', 4)}.", f"{words('c', 3)}."
+    rows = [(1, 1, "u", f"{a} {b} {c}"), (1, 2, "u", f"{a} {words('x', 5)}."), (1, 3, "u", f"> {a} {b}\nyes")]
+    rows += [(7, 0, "u", f"{words('d', 9)}."), (8, 0, "u", f"{words('d', 9)}. {words('e', 4)}."), (9, 0, "u", f"> {words('d', 9)}. {words('e', 4)}.\nyes")]
+    rows += [(10, 0, "u", f"{words('d', 9)}. {words('e', 4)}."), (10, 1, "u", f"> {words('d', 9)}. {words('e', 4)}.\nyes")]
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 3] == (1, 1) and got[9, 0] == (8, 0) and got[10, 1] == (10, 0)
+
+
+@pytest.mark.parametrize("hot", [200, 2])
+def test_partial_quotes_that_share_sentences(spark, monkeypatch, hot):
+    """Originals share many sentences with others; quotes take most of one: nine in ten lead to it at least."""
+    import random
+
+    monkeypatch.setattr(chat, "HOT", hot)
+    rng = random.Random(3)
+    common = [" ".join(rng.choices(WORDS, k=6)) + "." for _ in range(6)]
+    rows, want = [], {}
+    for c in range(60):
+        said = []
+        for t in range(4):
+            said.append([*rng.sample(common, 3), *[" ".join(rng.choices(WORDS, k=9)) + f" {c} {t} {k}." for k in range(3)]])
+            rows.append((c, t, "u", " ".join(said[-1])))
+        far = c >= 30 and c % 2 == 0
+        at = rng.randrange(4)
+        part = said[at][:]
+        part.pop(rng.randrange(6))
+        rows.append((c + 1000 if far else c, 4, "u", "> " + " ".join(part) + "\nyes"))
+        want[rows[-1][0], 4] = (c, at)
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert sum(got[k] == v for k, v in want.items()) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("hot", [200, 2, 0])
+def test_chats_equal_sql(spark, tmp_path, monkeypatch, hot):
     import random
 
     import duckdb
 
+    monkeypatch.setattr(chat, "HOT", hot)
     rng = random.Random(8)
     rows = [m for m in MESSAGES if m[0] is not None]
     said = [f"{' '.join(rng.choices(WORDS, k=rng.choice([1, 3, 7])))}." for _ in range(40)]
