@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from relforge.functions import inference, naming
+from relforge.functions.hashing import wide_hash
 from relforge.sources.catalog import ROW_ORDER, plain
+from relforge.sources.scratch import saved
 
 SAMPLE = 100
 ADDRESS_SAMPLE = 50
 JSON_SAMPLE = 10
 FIRST_VALUES = 5
+#: Rows that are looked at for first values, and ranges of one pass for a median.
+HEAD_ROWS, RANGES = 1_000, 1_024
+
+
 def columns_of(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != ROW_ORDER]
 
@@ -21,18 +27,13 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def column_counts(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+def column_counts(df: DataFrame, table: str) -> DataFrame:
     """table_name, column_name, n, k (non-null), u (distinct): a row for each column.
 
     Each column is grouped by its own values, which counts rows, non-nulls and distinct values at once: values are
-    counted where they are read, only distinct ones move, and no row is expanded. With approximate one aggregate of
-    HyperLogLog sketches does, a first look at very large tables.
+    counted where they are read, only distinct ones move, wide ones as 128-bit hashes, and no row is expanded. See
+    ``sketches.profile_all`` for a first look that moves nothing.
     """
-    df = plain(df.drop(ROW_ORDER))
-    if approximate:
-        got = df.agg(F.count("*").alias("n"), *[x for i, c in enumerate(df.columns) for x in (F.count(_q(c)).alias(f"k{i}"), F.approx_count_distinct(_q(c)).alias(f"u{i}"))])
-        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"k{i}").alias("k"), F.col(f"u{i}").alias("u")) for i, c in enumerate(df.columns)])
-        return got.select(F.explode(rows).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
     return _counted(_value_groups(df, table))
 
 
@@ -41,9 +42,10 @@ def _value_groups(df: DataFrame, table: str) -> DataFrame:
     and one without rows, so that columns of an empty table are there too."""
     df = plain(df.drop(ROW_ORDER))
     out = df.sparkSession.createDataFrame([(table, c, 0, 0) for c in df.columns], "table_name string, column_name string, rows long, present int")
-    for c in df.columns:
-        values = df.groupBy(_q(c).alias("value")).agg(F.count("*").alias("rows"))
-        out = out.unionByName(values.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "rows", F.col("value").isNotNull().cast("int").alias("present")))
+    for c, kind in df.dtypes:
+        key = [_q(c).alias("g0")] if kind not in ("string", "binary") else [F.when(_q(c).isNotNull(), h).alias(f"g{i}") for i, h in enumerate(wide_hash([_q(c)]))]
+        values = df.select(*key).groupBy(*[f"g{i}" for i in range(len(key))]).agg(F.count("*").alias("rows"))
+        out = out.unionByName(values.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "rows", F.col("g0").isNotNull().cast("int").alias("present")))
     return out
 
 
@@ -59,10 +61,10 @@ def profiles_of(counts: DataFrame) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+def column_profile(df: DataFrame, table: str) -> DataFrame:
     """table_name, column_name, total_count, null_count, non_null_count, unique_count, null_ratio,
     uniqueness_ratio (of all rows; 0 for an empty table) and cardinality, a row for each column."""
-    return profiles_of(column_counts(df, table, approximate))
+    return profiles_of(column_counts(df, table))
 
 
 def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
@@ -81,30 +83,54 @@ def samples(df: DataFrame, column: str, n: int, order: list[str]) -> DataFrame:
     return df.where(_q(column).isNotNull()).orderBy(*[_q(o) for o in order]).limit(n).select(value.alias("value"), *[_q(o).alias(f"_o{i}") for i, o in enumerate(order)])
 
 
+def first_values(df: DataFrame, columns: list[str], n: int, order: list[str]) -> DataFrame:
+    """A small table of the first n non-null values of every column, as text, in the given order; a cell beyond a
+    column's first n is null. _o0, ... are the values of the order.
+
+    One scan takes the first HEAD_ROWS rows of all columns together, which a heap in every task bounds. Only columns
+    that have fewer than n values among them are looked for further, each by itself.
+    """
+    kinds = dict(df.dtypes)
+    text = {c: F.to_json(_q(c)) if kinds[c].startswith(("array", "map", "struct")) else _q(c).cast("string") for c in columns}
+    keys = [_q(o).alias(f"_o{i}") for i, o in enumerate(order)]
+    head = saved(df.orderBy(*map(_q, order)).limit(max(HEAD_ROWS, n)).select(*keys, *[text[c].alias(f"v{i}") for i, c in enumerate(columns)]), "head")
+    sizes = head.agg(F.count("*").alias("rows"), *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    run = Window.orderBy(*[f"_o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)  # HEAD_ROWS rows
+    counted = head.select("*", *[F.count(f"v{i}").over(run).alias(f"k{i}") for i in range(len(columns))])
+    whole = sizes["rows"] < max(HEAD_ROWS, n)
+    full = [whole or sizes[f"n{i}"] >= n for i in range(len(columns))]
+    blank = F.lit(None).cast("string")
+    out = counted.select(*[f"_o{i}" for i in range(len(order))], *[(F.when(F.col(f"k{i}") <= n, F.col(f"v{i}")) if full[i] else blank).alias(c) for i, c in enumerate(columns)])
+    for i, c in enumerate(columns):
+        if not full[i]:
+            out = out.unionByName(samples(df, c, n, order).withColumnRenamed("value", c), allowMissingColumns=True)
+    return out
+
+
 def sample_values(df: DataFrame, table: str, columns: list[str], order: list[str], n: int = FIRST_VALUES) -> DataFrame:
     """table_name, column_name, position (from 1), value."""
-    out = None
-    for c in columns:
-        s = samples(df, c, n, order)
-        ranked = s.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.row_number().over(Window.orderBy(*[x for x in s.columns if x != "value"])).cast("long").alias("position"), "value")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+    first = first_values(df, columns, n, order)
+    at = [f"_o{i}" for i in range(len(order))]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), _q(c).alias("value")) for c in columns])
+    each = first.select(*at, F.explode(cells).alias("x")).select(*at, "x.*").where("value IS NOT NULL")
+    position = F.row_number().over(Window.partitionBy("column_name").orderBy(*at)).cast("long")  # n rows of a column
+    return each.select(F.lit(table).alias("table_name"), "column_name", position.alias("position"), "value")
 
 
 def multivalued(df: DataFrame, table: str, columns: list[str], order: list[str], mode: str = "textbook", share: float = 0.3) -> DataFrame:
     """table_name, column_name, is_multivalued: whether more than `share` of the first 100 values hold the same
     separator, or a bracketed list. In ``textbook`` mode columns of dates, times and URLs' schemes are no lists."""
-    out = None
-    for c in columns:
-        v = F.col("value")
-        s = samples(df, c, SAMPLE, order)
-        n = F.count("*")
-        shares = [F.sum(F.contains(v, F.lit(d)).cast("int")) > n * share for d in inference.DELIMITERS]
-        hit = F.greatest(*shares, F.sum(v.rlike(r"[\[\{].*[\]\}]").cast("int")) > n * share)
-        dates = F.coalesce(F.bool_and(inference.parses_as_date(v)), F.lit(False)) if mode == "textbook" else F.lit(False)
-        row = s.agg((F.coalesce(hit, F.lit(False)) & ~dates).alias("is_multivalued")).select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "is_multivalued")
-        out = row if out is None else out.unionByName(row)
-    return out
+    aggs = []
+    for i, c in enumerate(columns):
+        v = _q(c)
+        n = F.count(v)
+        hits = [F.count(F.when(F.contains(v, F.lit(d)), 1)) > n * share for d in inference.DELIMITERS]
+        hits.append(F.count(F.when(v.rlike(r"[\[\{].*[\]\}]"), 1)) > n * share)
+        dates = F.coalesce(F.bool_and(F.when(v.isNotNull(), inference.parses_as_date(v))), F.lit(False)) if mode == "textbook" else F.lit(False)
+        aggs.append((F.greatest(*hits) & ~dates).alias(f"b{i}"))
+    got = first_values(df, columns, SAMPLE, order).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"b{i}").alias("is_multivalued")) for i, c in enumerate(columns)])
+    return got.select(F.explode(rows).alias("r")).select(F.lit(table).alias("table_name"), "r.*")
 
 
 def oracle_types(df: DataFrame, table: str, order: list[str] | None = None, mode: str = "textbook") -> DataFrame:
@@ -128,11 +154,11 @@ def oracle_types(df: DataFrame, table: str, order: list[str] | None = None, mode
             (F.coalesce(F.bool_and(F.when(c.isNotNull(), F.lower(text).isin(inference.BOOLEAN_TEXTS))), F.lit(False)) if is_text else F.lit(False)).alias(f"bool{i}"),
         ]
     got = df.agg(*aggs)
-    if order is not None:
-        for i, f in enumerate(fields):
-            if isinstance(f.dataType, StringType):
-                s = samples(df, f.name, SAMPLE, order).agg(F.coalesce(F.bool_and(inference.parses_as_date(F.col("value"))), F.lit(False)).alias(f"date{i}"))
-                got = got.drop(f"date{i}").join(F.broadcast(s))  # one row beside one row
+    texts = [(i, f.name) for i, f in enumerate(fields) if isinstance(f.dataType, StringType)]
+    if order is not None and texts:
+        first = first_values(df, [c for _, c in texts], SAMPLE, order)
+        dates = first.agg(*[F.coalesce(F.bool_and(F.when(_q(c).isNotNull(), inference.parses_as_date(_q(c)))), F.lit(False)).alias(f"date{i}") for i, c in texts])
+        got = got.drop(*[f"date{i}" for i, _ in texts]).join(F.broadcast(dates))  # one row beside one row
     rows = [
         F.struct(F.lit(f.name).alias("column_name"), inference.oracle_type(f.dataType, F.col(f"k{i}"), F.col("n") - F.col(f"k{i}"), F.col(f"max{i}"), F.col(f"len{i}"), F.col(f"date{i}"), F.col(f"bool{i}"), mode).alias("oracle_type"))
         for i, f in enumerate(fields)
@@ -211,13 +237,53 @@ def split_json(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{k}": F.get_json_object(_q(column).cast("string"), f"$.{k}") for k in keys}).drop(column)
 
 
+def exact_median(df: DataFrame, column: str) -> float | None:
+    """The median of a numeric column, the mean of the two middle values where their number is even; nulls and NaN
+    don't count, and without values it is null.
+
+    Selection by range counts: values are counted in RANGES equal ranges, the range with the middle is counted anew in
+    ranges of its own, and so on until the middle values are an end of their range. A pass moves RANGES rows for each
+    task at most, whatever the number of different values.
+    """
+    v = F.when(~F.isnan(_q(column).cast("double")), _q(column).cast("double"))
+    rows = df.select(v.alias("v")).where("v IS NOT NULL")
+    infinite = F.col("v").isin(float("inf"), float("-inf"))
+    total = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("v") == float("-inf"), 1)).alias("low"), F.count(F.when(F.col("v") == float("inf"), 1)).alias("high"), F.min(F.when(~infinite, F.col("v"))).alias("lo"), F.max(F.when(~infinite, F.col("v"))).alias("hi")).first()
+    if not total["n"]:
+        return None
+    rows = rows.where(~infinite)
+
+    def at(rank: int) -> float:
+        if rank < total["low"]:
+            return float("-inf")
+        if rank >= total["n"] - total["high"]:
+            return float("inf")
+        rank, lo, hi = rank - total["low"], total["lo"], total["hi"]
+        while lo < hi:
+            share = (F.col("v") / 2 - lo / 2) / (hi / 2 - lo / 2)
+            place = F.when(F.col("v") >= hi, RANGES - 1).otherwise(F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).cast("int")
+            counts = rows.where(F.col("v").between(lo, hi)).groupBy(place.alias("place")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("place").collect()  # RANGES rows
+            for r in counts:
+                if rank < r["n"]:
+                    break
+                rank -= r["n"]
+            if rank == 0:
+                return r["lo"]
+            if rank == r["n"] - 1:
+                return r["hi"]
+            lo, hi = r["lo"], r["hi"]
+        return lo
+
+    below, above = at((total["n"] - 1) // 2), at(total["n"] // 2)
+    return below if below == above else below / 2 + above / 2 if abs(below) + abs(above) > 1e300 else (below + above) / 2
+
+
 def default_value(df: DataFrame, column: str) -> DataFrame:
     """column_name, default_value (text): the median of a numeric column, else the most frequent value (the least
     of several); null without values."""
     numeric = inference.is_numeric(df.schema[column].dataType)
-    # values are counted first, so that a skewed column is pre-aggregated
     if numeric:
-        found = df.agg(F.percentile(_q(column), F.lit(0.5)).cast("string").alias("default_value"))
+        found = df.sparkSession.createDataFrame([(exact_median(df, column),)], "m double").select(F.col("m").cast("string").alias("default_value"))
     else:
         counts = df.where(_q(column).isNotNull()).groupBy(_q(column).cast("string").alias("v")).agg(F.count("*").alias("n"))
         top = counts.agg(F.max("n").alias("top"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import SparkSession
 
 from relforge.functions import naming
-from relforge.operators import dependencies, foreign_keys, normalize, profile, validate
+from relforge.operators import dependencies, foreign_keys, normalize, profile, sketches, validate
 from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
 from relforge.operators.normalize import Normalized
@@ -45,7 +45,7 @@ def load(state: State, folder: str) -> None:
 
 
 def profile_columns(state: State) -> None:
-    state.profiles = profile.profile_all(state.catalog.tables).collect()
+    state.profiles = sketches.profile_all(state.catalog.tables).collect()  # a row for each column
 
 
 def mine_keys(state: State) -> None:
