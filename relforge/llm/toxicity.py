@@ -6,7 +6,7 @@ so that a later link sees earlier ones as wrong as they will be on new texts. Wo
 rows of each fold, so a held-out row's prediction owes nothing to its label. The last category is the label itself.
 Before it come the categories that the labels table has, and kinds of the label that are learned from the texts: the
 label's telling words fall into two groups by which of them stand together, and a text of the label is of a kind if
-it has a word of its group. There is no word list.
+it has a word of its group. Kinds too are learned anew for each fold from the other folds' rows. There is no word list.
 
 A bounded sample of the labelled rows (SAMPLE) is used for fitting. Spark counts their words by fold and label; only
 the chosen words' counts and which rows have them reach the driver. Scoring reads every text whole, on the
@@ -77,20 +77,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 8) -> np.ndarray:
     return w
 
 
-def fit_chain(present: np.ndarray, labels: np.ndarray, names: list[str], words: np.ndarray, chosen: list[np.ndarray], fold: np.ndarray) -> Chain:
-    """present: rows x words; labels: rows x categories of 0 and 1 in the chain's order; chosen: for each fold the
-    words (positions) that the other folds' rows chose, and last those that all rows chose; fold: of each row.
+def fit_chain(present: np.ndarray, labels: list[np.ndarray], names: list[str], words: np.ndarray, chosen: list[np.ndarray], fold: np.ndarray) -> Chain:
+    """present: rows x words; labels: rows x categories of 0 and 1 in the chain's order, as the rows of the other folds
+    tell them for each fold, and last as all rows do; chosen: likewise the words (positions); fold: of each row.
 
     A category without both classes, or fewer than MIN_ROWS rows, gives a chain that predicts each category's share.
     """
-    n, k = labels.shape
+    n, k = labels[-1].shape
     x = np.hstack([np.ones((n, 1)), present])
     columns = [np.concatenate([[0], c + 1]) for c in chosen]
     own = chosen[-1]
     weights = np.zeros((k, 1 + len(own) + k))
     held = np.zeros((n, k))  # out-of-fold probabilities
     for c in range(k):
-        y = labels[:, c].astype(float)
+        y = labels[-1][:, c].astype(float)
         share = np.clip(y.mean(), 1e-6, 1 - 1e-6) if n else 1e-6
         if n < MIN_ROWS or y.min() == y.max():
             weights[c, 0], held[:, c] = np.log(share / (1 - share)), share
@@ -99,10 +99,10 @@ def fit_chain(present: np.ndarray, labels: np.ndarray, names: list[str], words:
             mine = fold == f
             if mine.any() and not mine.all():
                 full = np.hstack([x[:, columns[f]], held[:, :c]])
-                held[mine, c] = _sigmoid(full[mine] @ _logistic(full[~mine], y[~mine]))
+                held[mine, c] = _sigmoid(full[mine] @ _logistic(full[~mine], labels[f][~mine, c].astype(float)))
         w = _logistic(np.hstack([x[:, columns[-1]], held[:, :c]]), y)
         weights[c, : 1 + len(own)], weights[c, 1 + len(own) : 1 + len(own) + c] = w[: 1 + len(own)], w[1 + len(own) :]
-    return Chain(names, words[own], weights, _threshold(held[:, -1], labels[:, -1]) if n else THRESHOLDS[1])
+    return Chain(names, words[own], weights, _threshold(held[:, -1], labels[-1][:, -1]) if n else THRESHOLDS[1])
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -131,6 +131,20 @@ def kinds_of(present: np.ndarray, label: np.ndarray, telling: np.ndarray) -> np.
     return out
 
 
+def fold_kinds(present: np.ndarray, label: np.ndarray, telling: list[np.ndarray], fold: np.ndarray) -> list[np.ndarray]:
+    """The kinds as the rows outside each fold tell them (0 for the fold's own rows), and last as all rows do. Which of
+    two kinds is the first is settled by their agreement with those of all rows."""
+    whole = kinds_of(present, label, telling[-1])
+    out = []
+    for f, words in enumerate(telling[:-1]):
+        others = fold != f
+        mine = np.zeros_like(whole)
+        mine[others] = kinds_of(present[others], label[others], words)
+        same, turned = (mine[others] == whole[others]).sum(), (mine[others][:, ::-1] == whole[others]).sum()
+        out.append(mine if same >= turned else mine[:, ::-1])
+    return [*out, whole]
+
+
 def _sample(docs: DataFrame, labels: DataFrame, wanted: list[str], sample: int, folds: int, key: str, text: str) -> DataFrame:
     """row, fold, words (distinct hashes) and the labels of at most `sample` labelled documents, written once."""
     known = labels.where(F.col(key).isNotNull() & F.col(wanted[-1]).isNotNull()).groupBy(F.col(key).alias("_key")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{i}") for i, c in enumerate(wanted)])
@@ -152,8 +166,8 @@ def _sample(docs: DataFrame, labels: DataFrame, wanted: list[str], sample: int,
     return saved(made.withColumn("fold", F.pmod(F.xxhash64("row"), F.lit(folds)).cast("int")), "sample")
 
 
-def _chosen(rows: DataFrame, n_labels: int, features: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """(words, for each fold and last for all rows the positions of the chosen words, the words most telling of the
+def _chosen(rows: DataFrame, n_labels: int, features: int, folds: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(words, for each fold and last for all rows the positions of the chosen words, and of those most telling of the
     last label). Chi-squares are computed by Spark from counts by fold; `features` words for each set of rows, at
     most, reach the driver."""
     sums = [F.count(F.when(F.col("fold") == f, 1)).alias(f"n{f}") for f in range(folds)]
@@ -161,12 +175,13 @@ def _chosen(rows: DataFrame, n_labels: int, features: int, folds: int) -> tuple[
     whole = rows.agg(*sums).first()
     counts = saved(rows.select(F.explode("words").alias("word"), "fold", *[f"y{c}" for c in range(n_labels)]).groupBy("word").agg(*sums).where(" + ".join(f"n{f}" for f in range(folds)) + f" >= {MIN_DF}"), "counts")
     found: list[dict[int, float]] = []
-    last: dict[int, float] = {}
+    last: list[dict[int, float]] = []
     for held in [*range(folds), None]:
         part = [f for f in range(folds) if f != held]
         n = float(sum(whole[f"n{f}"] for f in part))
         df = sum((F.col(f"n{f}") for f in part), F.lit(0.0))
         best = F.lit(0.0)
+        last.append({})
         for c in range(n_labels):
             positive = float(sum(whole[f"p{c}_{f}"] or 0 for f in part))
             if 0 < positive < n:
@@ -174,14 +189,14 @@ def _chosen(rows: DataFrame, n_labels: int, features: int, folds: int) -> tuple[
                 seen = sum((F.col(f"p{c}_{f}") for f in part), F.lit(0.0))
                 chi = (seen - expected) ** 2 * n * n / F.greatest(expected * (n - df + 1) * (n - positive), F.lit(1e-9))
                 best = F.greatest(best, chi)
-                if held is None and c == n_labels - 1:
+                if c == n_labels - 1:
                     top = counts.select("word", F.when(seen > expected, chi).otherwise(0.0).alias("chi")).where(F.col("chi") >= CHI_SQUARE)
-                    last = {r[0]: r[1] for r in top.orderBy(F.desc("chi"), "word").limit(features // 4).collect()}
+                    last[-1] = {r[0]: r[1] for r in top.orderBy(F.desc("chi"), "word").limit(features // 4).collect()}
         passed = counts.select("word", best.alias("chi"), df.alias("df")).where((F.col("chi") >= CHI_SQUARE) & (F.col("df") >= MIN_DF))
         found.append({r[0]: r[1] for r in passed.orderBy(F.desc("chi"), "word").limit(features).collect()})
-    words = np.sort(np.array(sorted(set(last).union(*found)), np.int64).view(np.uint64))
+    words = np.sort(np.array(sorted(set().union(*last, *found)), np.int64).view(np.uint64))
     place = lambda some: np.searchsorted(words, np.sort(np.array(list(some), np.int64).view(np.uint64)))
-    return words, [place(s) for s in found], place(last)
+    return words, [place(s) for s in found], [place(s) for s in last]
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, label: str = "toxic", sample: int = SAMPLE, key: str = "doc_id", text: str = "text", features: int = FEATURES, folds: int = FOLDS) -> Chain:
@@ -204,9 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGO
     if got.num_rows:
         sizes = np.asarray(lists.value_lengths())
         present[np.repeat(np.arange(got.num_rows), sizes), np.searchsorted(words, np.asarray(lists.flatten()).view(np.uint64))] = 1
-    kinds = kinds_of(present, given[:, -1], telling)
-    table_of = np.hstack([given[:, :-1], kinds, given[:, -1:]])
-    return fit_chain(present, table_of, [*wanted[:-1], *[f"{label}_{k + 1}" for k in range(KINDS)], label], words, chosen, np.asarray(got.column("fold")))
+    fold = np.asarray(got.column("fold"))
+    labels_of = [np.hstack([given[:, :-1], kinds, given[:, -1:]]) for kinds in fold_kinds(present, given[:, -1], telling, fold)]
+    return fit_chain(present, labels_of, [*wanted[:-1], *[f"{label}_{k + 1}" for k in range(KINDS)], label], words, chosen, fold)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
