@@ -3,7 +3,8 @@
 Rows hash to cells of a fixed ring; each shard owns many virtual nodes on it. A cell's rows go to the next
 virtual node clockwise; where its shard has reached its capacity they go on clockwise to the next shard with
 room. Only the counts of the cells (at most ``cells`` of them, whatever the number of rows) reach the driver,
-which fills the shards; a row then finds its place by its rank within its cell. Native DataFrame code only.
+which fills the shards; a row then finds its place by its rank within its cell. Ranks come from ranges of the rows
+(``scratch.numbered``), so a key that a third of all rows share is spread over tasks. Native DataFrame code only.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import hashlib
 from bisect import bisect_left
 from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relforge.sources.scratch import numbered
+
 CELLS = 1 << 14
 VIRTUAL_NODES = 64
 
@@ -85,11 +88,10 @@ def assign(df: DataFrame, key: str, n_shards: int, tie_columns: list[str], load_
     for cell, *run in runs:
         by_cell.setdefault(cell, []).append(tuple(run))
     plan = spark.createDataFrame(list(by_cell.items()), "_ring_cell int, _ring_runs array<struct<first:long,stop:long,shard:int,slot:long>>")
-    rank = Window.partitionBy("_ring_cell").orderBy("_ring_hash", key, *tie_columns)
+    ranked = numbered(placed, [F.col("_ring_hash"), F.col(key), *map(F.col, tie_columns)], "_ring_rank", ["_ring_cell"], start=0)
     found = F.filter("_ring_runs", lambda r: (r["first"] <= F.col("_ring_rank")) & (F.col("_ring_rank") < r["stop"]))[0]
     return (
-        placed.withColumn("_ring_rank", F.row_number().over(rank).cast("long") - 1)
-        .join(F.broadcast(plan), "_ring_cell")  # at most `cells` rows and a run for each shard that fills up
+        ranked.join(F.broadcast(plan), "_ring_cell")  # at most `cells` rows and a run for each shard that fills up
         .withColumn("_ring_run", found)
         .withColumns({"shard": F.col("_ring_run.shard"), "slot": F.col("_ring_run.slot") + F.col("_ring_rank") - F.col("_ring_run.first")})
         .drop("_ring_cell", "_ring_hash", "_ring_rank", "_ring_runs", "_ring_run")

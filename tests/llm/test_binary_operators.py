@@ -257,6 +257,15 @@ def test_shards(spark):
     assert sharding.assign(df.limit(0), "doc_id", 40, ["tie"]).count() == 0
 
 
+def test_one_key_in_all_rows(spark):
+    """Ranks stay gapless and counts at most one apart when every row has one key, or a null one, or is the same row."""
+    same = spark.range(5_000).select(F.lit(7).cast("long").alias("k"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("v"))
+    for df in (same, same.withColumn("k", F.lit(None).cast("long")), same.withColumn("v", F.lit(1))):
+        got = sharding.assign(df, "k", 7, ["v"]).groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("slot").alias("different")).collect()
+        assert sum(r["n"] for r in got) == 5_000 and max(r["n"] for r in got) - min(r["n"] for r in got) <= 1
+        assert all((r["lo"], r["hi"], r["different"]) == (0, r["n"] - 1, r["n"]) for r in got)
+
+
 def test_few_rows_move(spark):
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(0).alias("tie"))
     where = lambda n: {r["doc_id"]: r["shard"] for r in sharding.assign(df, "doc_id", n, ["tie"], load_factor=1.25).collect()}
@@ -517,6 +526,24 @@ def test_chain_finds_toxic_words(spark):
     assert got[None] and got[1002] and not got[1000] and not got[1001]
 
 
+def test_kinds_of_a_fold_owe_nothing_to_its_rows():
+    rng = np.random.default_rng(2)
+    fold, label = np.arange(400) % 4, rng.integers(0, 2, 400)
+    present = (rng.random((400, 12)) < 0.1).astype(float)
+    groups = rng.integers(0, 2, 400)
+    for i in np.flatnonzero(label):  # words 0-2 or 3-5 together
+        present[i, 3 * groups[i] : 3 * groups[i] + 3] = rng.random(3) < 0.8
+    telling = [np.arange(6)] * 5
+    found = toxicity.fold_kinds(present, label, telling, fold)
+    turned = label.copy()
+    turned[fold == 1] = 1 - turned[fold == 1]
+    other = toxicity.fold_kinds(present, turned, telling, fold)
+    assert not found[1][fold == 1].any()
+    same, swapped = (found[1] == other[1]).all(), (found[1] == other[1][:, ::-1]).all()
+    assert (same or swapped) and [k.shape for k in found] == [(400, toxicity.KINDS)] * 5
+    assert all((k[fold != f] == found[-1][fold != f]).mean() > 0.8 for f, k in enumerate(found[:-1]))
+
+
 def test_chain_without_labels(spark):
     d = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     chain = toxicity.fit(d, spark.createDataFrame([], "doc_id long, toxic int"))
