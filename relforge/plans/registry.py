@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relforge.functions import inference, naming
+from relforge.functions import inference, name_columns, naming
 from relforge.operators import dependencies, foreign_keys, normalize, profile, validate
 from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
@@ -560,7 +560,22 @@ def concat_address_warning(spark, d):
 
 # DDL
 
-_NAMES = ["order", "Customer Name", "a--b__c", "1st", "", "übung", "level", "l_extendedprice_with_a_very_long_name", "x" * 31]
+#: Names in the data: values of the tables as column or table names of a catalog, some with an ending.
+_NAMED = [
+    ("part", "p_type"), ("part", "p_brand || ' items'"), ("part", "p_name || ' of ' || p_type"), ("events", "event_type"), ("events", "event_type || '_id'"), ("events", "event_type || '_history'"), ("nation", "lower(n_name) || 'key'"), ("region", "r_name || ' code'"), ("orders", "o_orderpriority"),
+    ("orders", "'level' || o_orderstatus"), ("customer", "lower(c_mktsegment) || '_price'"), ("customer", "c_mktsegment || '_log'"), ("lineitem", "concat('DATE', substr('x', 1, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END))"), ("documents", "'ref ' || lang"), ("documents", "lang || 'order'"), ("documents", "source || '_status'"),
+]
+
+
+def names_in_data(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for t, e in _NAMED:
+        part = raw(spark, d, t).select(F.expr(e).alias("name")).where("name IS NOT NULL").distinct()
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+SQL_NAMES = "SELECT DISTINCT name FROM (" + " UNION ALL ".join(f"SELECT DISTINCT {e} AS name FROM {t}" for t, e in _NAMED) + ") WHERE name IS NOT NULL"
 
 
 def _sql_sanitize(c: str) -> str:
@@ -571,17 +586,15 @@ def _sql_sanitize(c: str) -> str:
     return f"CASE WHEN length({safe}) > 30 THEN substr({safe}, 1, 25) || '_' || substr(md5({c}), 1, 4) ELSE {safe} END"
 
 
-@query("WITH n AS (SELECT unnest([" + ", ".join("'" + n + "'" for n in _NAMES) + f"]) AS name) SELECT name, {_sql_sanitize('name')} AS identifier FROM n")
+@query(f"SELECT name, {_sql_sanitize('name')} AS identifier FROM ({SQL_NAMES})")
 def sanitize_identifiers(spark, d):
-    return spark.createDataFrame([(n, naming.sanitize(n)) for n in _NAMES], "name string, identifier string")
-
-
-_LONG = [f"catalogue column called {c}" for t in TABLES for c in COLUMNS[t]]
+    return names_in_data(spark, d).select("name", name_columns.sanitized(F.col("name")).alias("identifier"))
 
 
-@query("WITH n AS (SELECT unnest([" + ", ".join(f"'{n}'" for n in _LONG) + f"]) AS name) SELECT name, {_sql_sanitize('name')} AS identifier FROM n")
+@query(f"SELECT DISTINCT {_sql_sanitize("'catalogue column called ' || name")} AS identifier FROM ({SQL_NAMES})")
 def long_identifier_hash(spark, d):
-    return spark.createDataFrame([(n, naming.sanitize(n)) for n in _LONG], "name string, identifier string")
+    long = F.concat(F.lit("catalogue column called "), F.col("name"))
+    return names_in_data(spark, d).select(name_columns.sanitized(long).alias("identifier")).distinct()
 
 
 @query(f"WITH p AS ({_sql_profile(SQL_INJECTED, 'orders', list(COLUMNS['orders']))}) SELECT column_name, null_ratio < 0.05 OR column_name = 'o_orderkey' AS not_null_compat, null_count = 0 OR column_name = 'o_orderkey' AS not_null FROM p")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relforge.functions import graphs, naming
+from relforge.functions import graphs, name_columns, naming
 from relforge.operators import dependencies, foreign_keys, normalize, profile, validate
 from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
@@ -15,7 +16,7 @@ from relforge.sources.catalog import Catalog, UnsupportedSource, export
 from relforge.sources.scratch import shared_dir
 
 from . import ddl, erd, workflow
-from .registry import _MIDDLE, _SQL_COUNTS, COLUMNS, FLAT, FOREIGN, KEYS, SQL_ORDERS_FLAT, TABLES, _any, _canonicals, _sql_ratio, canonical, orders_facts, orders_flat, query, raw, sql_canonical
+from .registry import _DETECTED, _MIDDLE, _SQL_COUNTS, COLUMNS, FLAT, FOREIGN, KEYS, SQL_FLAT, SQL_NAMES, SQL_ORDERS_FLAT, TABLES, _any, _canonicals, _detected, _kind, _sql_ratio, _sql_type, canonical, flat, names_in_data, orders_facts, orders_flat, query, raw, sql_canonical
 
 
 def _rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -38,52 +39,49 @@ _HIGH, _WORD = "_id|_key|_code|_ref|_number|sys_id|uuid|guid", "(^|[^a-z0-9])(id
 # Names
 
 
-_NAMES = ["customer_id", "id", "order_number", "key", "paid", "monkey", "refund", "order_code", "guid", "email", "Number of items", "codename"]
-
-
 @query(f"""SELECT name, CASE WHEN regexp_matches(lower(name), '{_HIGH}') THEN 'high' WHEN regexp_matches(lower(name), '{_WORD}') THEN 'moderate' ELSE '' END AS textbook,
 CASE WHEN regexp_matches(lower(name), '{_HIGH}') THEN 'high' WHEN regexp_matches(lower(name), '{_WORD}') OR regexp_matches(lower(name), '^(id|key|code|ref|number)|(id|key|code|ref|number)$') THEN 'moderate' ELSE '' END AS compat
-FROM ({values('name', [(n,) for n in _NAMES])})""")
+FROM ({SQL_NAMES})""")
 def identity_semantics(spark, d):
-    return _rows(spark, [(n, *[naming.identity(n, m).strength for m in ("textbook", "compat")]) for n in _NAMES], "name string, textbook string, compat string")
+    strength = lambda mode: name_columns.identity_strength(F.col("name"), mode).alias(mode)
+    return names_in_data(spark, d).select("name", strength("textbook"), strength("compat"))
 
 
-@query(f"SELECT table_name, column_name, NOT ends_with(column_name, '_id') AND regexp_matches(column_name, '{_any(naming.BUSINESS_WORDS)}') AS is_business FROM ({values('table_name, column_name', ALL)})")
+@query(f"SELECT name, NOT ends_with(lower(name), '_id') AND regexp_matches(lower(name), '{_any(naming.BUSINESS_WORDS)}') AS is_business FROM ({SQL_NAMES})")
 def business_columns(spark, d):
-    return _rows(spark, [(t, c, naming.business_name(c)) for t, c in ALL], "table_name string, column_name string, is_business boolean")
-
+    return names_in_data(spark, d).select("name", name_columns.business_name(F.col("name")).alias("is_business"))
 
-_CHILDREN = ["order_items", "orders", "audit_log", "logs", "customer_history", "Event_Lines", "items"]
 
-
-@query(values("name, is_child", [("order_items", True), ("orders", False), ("audit_log", True), ("logs", False), ("customer_history", True), ("Event_Lines", True), ("items", False)]))
+@query(f"SELECT name, regexp_matches(lower(name), '{_any(naming.CHILD_SUFFIXES)}') AS is_child FROM ({SQL_NAMES})")
 def child_tables(spark, d):
-    return _rows(spark, [(n, naming.is_child_table(n)) for n in _CHILDREN], "name string, is_child boolean")
-
+    return names_in_data(spark, d).select("name", name_columns.is_child_table(F.col("name")).alias("is_child"))
 
-_WORDS = ["order", "Level", "customer", "table_name", "DATE"]
 
-
-@query(values("word, is_reserved, safe", [("order", True, "order_x"), ("Level", True, "Level_x"), ("customer", False, "customer"), ("table_name", False, "table_name"), ("DATE", True, "DATE_x")]))
+@query(f"SELECT name AS word, upper(name) IN ({', '.join(f"'{w}'" for w in sorted(naming.RESERVED))}) AS is_reserved FROM ({SQL_NAMES})")
 def reserved_words(spark, d):
-    return _rows(spark, [(w, w.upper() in naming.RESERVED, naming.sanitize(w, "_x")) for w in _WORDS], "word string, is_reserved boolean, safe string")
+    return names_in_data(spark, d).select(F.col("name").alias("word"), name_columns.is_reserved(F.col("name")).alias("is_reserved"))
 
 
-_TYPES = [("NUMBER(10)", "NUMBER(15,2)"), ("NUMBER(10)", "VARCHAR2(10)"), ("CHAR(1)", "VARCHAR2(9)"), ("DATE", "TIMESTAMP"), ("DATE", "NUMBER(10)"), ("BLOB", "BLOB")]
+def _sql_family(kind: str) -> str:
+    return f"CASE WHEN {kind} LIKE '%NUMBER%' OR {kind} LIKE '%INT%' THEN 'number' WHEN {kind} LIKE '%CHAR%' THEN 'text' WHEN {kind} LIKE '%DATE%' OR {kind} LIKE '%TIMESTAMP%' THEN 'time' ELSE {kind} END"
 
 
-@query(values("a, b, compatible", [("NUMBER(10)", "NUMBER(15,2)", True), ("NUMBER(10)", "VARCHAR2(10)", False), ("CHAR(1)", "VARCHAR2(9)", True), ("DATE", "TIMESTAMP", True), ("DATE", "NUMBER(10)", False), ("BLOB", "BLOB", True)]))
-def type_families(spark, d):
-    return _rows(spark, [(a, b, foreign_keys.compatible(a, b)) for a, b in _TYPES], "a string, b string, compatible boolean")
+_TYPED = " UNION ALL ".join(_sql_type(t, c, _kind(c)) for t in ("orders", "nation", "events") for c in COLUMNS[t])
 
 
-_EDGES = sorted({(t, p) for t, _, p, _ in FOREIGN})
+@query(f"WITH t AS ({_TYPED}) SELECT a.table_name || '.' || a.column_name AS a, b.table_name || '.' || b.column_name AS b, {_sql_family('a.oracle_type')} = {_sql_family('b.oracle_type')} AS compatible FROM t a, t b WHERE a.table_name = 'orders'")
+def type_families(spark, d):
+    """Whether the columns of the orders go with those of other tables, by the types that their data have."""
+    found = [(t, r["column_name"], r["oracle_type"]) for t in ("orders", "nation", "events") for r in profile.oracle_types(raw(spark, d, t), t).collect()]
+    return _rows(spark, [(f"{t}.{c}", f"{u}.{e}", foreign_keys.compatible(x, y)) for t, c, x in found if t == "orders" for u, e, y in found], "a string, b string, compatible boolean")
 
 
-@query("WITH RECURSIVE e AS (" + values("a, b", _EDGES) + ") , r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), t AS (" + values("t", [(t,) for t in TABLES]) + """)
+@query(f"WITH RECURSIVE e AS (SELECT fk_table AS a, pk_table AS b FROM {_DETECTED}), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), t AS (" + values("t", [(t,) for t in TABLES]) + """)
 SELECT x.t AS child, y.t AS parent, x.t = y.t OR EXISTS (SELECT 1 FROM r WHERE r.a = y.t AND r.b = x.t) AS closes, x.t <> y.t AND EXISTS (SELECT 1 FROM r WHERE r.a = y.t AND r.b = x.t) AS closes_if_self_is_allowed FROM t x, t y""")
 def cycles_of_new_edges(spark, d):
-    return _rows(spark, [(a, b, graphs.closes_cycle(_EDGES, a, b), graphs.closes_cycle(_EDGES, a, b, allow_self=True)) for a in TABLES for b in TABLES], "child string, parent string, closes boolean, closes_if_self_is_allowed boolean")
+    """Which references would close a cycle with those that the data show."""
+    edges = sorted({(k.fk_table, k.pk_table) for k in _detected(spark, d)[0]})
+    return _rows(spark, [(a, b, graphs.closes_cycle(edges, a, b), graphs.closes_cycle(edges, a, b, allow_self=True)) for a in TABLES for b in TABLES], "child string, parent string, closes boolean, closes_if_self_is_allowed boolean")
 
 
 # Keys
@@ -125,50 +123,60 @@ def best_keys(spark, d):
     return _rows(spark, [(t, "+".join(k.columns), k.surrogate, k.score) for t, k in found], "table_name string, key string, is_surrogate boolean, score long")
 
 
-@query(values("table_name, key", [(t, k) for t, k in KEYS.items()] + [("lineitem", "line_number")]))
+@query(f"""WITH s AS ({_sql_suitable()}), k AS (SELECT table_name, arg_min(column_name, pos) AS key FROM s WHERE u = n AND k = n AND n > 0 AND ends_with(column_name, '_id') AND (table_name, column_name) NOT IN ({_REFERENCES}) GROUP BY table_name)
+SELECT t.table_name, coalesce(key, '') AS key FROM (SELECT DISTINCT table_name FROM s) t LEFT JOIN k USING (table_name)""")
 def ddl_keys(spark, d):
+    """Keys of tables without a mined one: none is given that is not unique."""
     known = [ForeignKey(*k) for k in FOREIGN]
     return _rows(spark, [(t, "+".join(ddl.pick_key(t, f, known))) for t, f in _measured(spark, d).items()], "table_name string, key string")
 
 
-def _made_facts(columns: list[str], key: tuple[str, ...], unique: tuple[str, ...] = ()) -> TableFacts:
-    return TableFacts("t", columns, 10, {c: 10 if c in unique else 5 for c in columns}, dict.fromkeys(columns, 10), [key] if key else [], key)
-
-
-#: (case, table, facts, foreign keys): an associative table, a key named after its table, a business key, plain ones.
-_PICKS = [
-    ("associative", "enrolment", _made_facts(["student_id", "course_id", "grade"], ("course_id", "student_id")), [ForeignKey("enrolment", "student_id", "s", "x"), ForeignKey("enrolment", "course_id", "c", "x")]),
-    ("named", "order_tags", _made_facts(["tag", "tags_id"], ()), []),
-    ("business", "prices", _made_facts(["price", "sku"], ("price",), ("price", "sku")), []),
-    ("suffix", "x", _made_facts(["label", "part_code"], (), ("label", "part_code")), []),
-    ("fallback", "x", _made_facts(["up_id", "label"], ()), [ForeignKey("x", "up_id", "y", "z")]),
+#: Case, columns of a table and their new names, the mined key, references, and SQL of the key that the rules give.
+_CASES = [
+    ("associative", "lineitem", {"l_partkey": "part_id", "l_suppkey": "supp_id"}, ("part_id", "supp_id"), ["part_id", "supp_id"], "SELECT 'part_id+supp_id' FROM part LIMIT 1"),
+    ("business", "customer", {"c_name": "name", "c_custkey": "customer_id"}, ("name",), [], "SELECT CASE WHEN count(*) = count(DISTINCT c_custkey) THEN 'customer_id' ELSE 'name' END FROM customer"),
+    ("suffix", "part", {"p_brand": "label", "p_partkey": "part_code"}, (), [], "SELECT CASE WHEN count(*) = count(DISTINCT p_partkey) THEN 'part_code' ELSE '' END FROM part"),
+    ("reference", "orders", {"o_orderkey": "order_id", "o_custkey": "customer_id"}, ("order_id",), ["order_id"], "SELECT 'order_id' FROM orders LIMIT 1"),
+    ("none", "lineitem", {"l_orderkey": "up_id", "l_quantity": "label"}, (), ["up_id"], "SELECT CASE WHEN count(*) = count(DISTINCT l_quantity) THEN 'label' ELSE '' END FROM lineitem"),
 ]
 
 
-@query(values("name, key", [("associative", "student_id+course_id"), ("named", "tags_id"), ("business", "sku"), ("suffix", "part_code"), ("fallback", "label")]))
+@query(" UNION ALL ".join(f"SELECT '{name}' AS name, ({sql}) AS key" for name, _, _, _, _, sql in _CASES))
 def ddl_key_rules(spark, d):
-    return _rows(spark, [(n, "+".join(ddl.pick_key(t, f, known))) for n, t, f, known in _PICKS], "name string, key string")
+    """The rules for keys on tables of the data: two references, a business name, an ending, a reference, no unique column."""
+    out = []
+    for name, t, columns, key, refs, _ in _CASES:
+        df = raw(spark, d, t).select(*[F.col(a).alias(b) for a, b in columns.items()]).distinct()
+        f = dependencies.measure(df, name)
+        f.primary_key, f.candidate_keys = key, [key] if key else []
+        out.append((name, "+".join(ddl.pick_key(name, f, [ForeignKey(name, c, "other", c) for c in refs]))))
+    return _rows(spark, out, "name string, key string")
 
 
-_PARENTS = {"single": ("a_id",), "composite": ("a_id", "b_id"), "none": ()}
+#: Parents by their key, and the order lines' columns that a child has: which references have a valid target.
+_PARENTS = [("orders", "o_orderkey", "order_id"), ("lineitem", "l_orderkey", "order_id"), ("nation", "n_regionkey", "region_id"), ("customer", "c_custkey", "customer_id")]
 
 
-@query(values("parent, child, is_target, holds_all", [("single", "a_id,b_id", True, False), ("single", "a_id", True, False), ("composite", "a_id,b_id", False, True), ("composite", "a_id", False, False), ("none", "a_id,b_id", False, False), ("none", "a_id", False, False)]))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS parent, '{n}' AS column_name, count(*) = count(DISTINCT {c}) AS is_target, {str(n == 'order_id').lower()} AS holds_all FROM {t}" for t, c, n in _PARENTS))
 def reference_targets(spark, d):
+    """Whether a column may be referred to (it is unique), and whether a child of it holds the whole key (column, line)."""
     out = []
-    for name, key in _PARENTS.items():
-        facts = {name: _made_facts(["a_id", "b_id"], key)}
-        for child in (["a_id", "b_id"], ["a_id"]):
-            out.append((name, ",".join(child), ddl.valid_target(ForeignKey("child", "a_id", name, "a_id"), {name: key}, facts), ddl.composite_target(child, key)))
-    return _rows(spark, out, "parent string, child string, is_target boolean, holds_all boolean")
+    for t, _, n in _PARENTS:
+        f = dependencies.measure(canonical(spark, d, t), t)
+        f.candidate_keys = [(c,) for c in f.columns if f.is_unique(c)]
+        out.append((t, n, ddl.valid_target(ForeignKey("child", n, t, n), {}, {t: f}), ddl.composite_target(["order_id", "line_number"], (n, "line_number"))))
+    return _rows(spark, out, "parent string, column_name string, is_target boolean, holds_all boolean")
 
 
-@query(values("statements, kept, skipped", [(1, "c.p_id", "c.a_id: the key of q is a_id, b_id and c does not hold all of it; c.gone_id: a table is missing; p.c_id: closes a cycle")]))
+@query(f"SELECT count(*) AS statements, 'events.event_id: a table is missing; lineitem.order_id: the key of lines is order_id, line_number and events does not hold all of it; region.region_id: closes a cycle' AS skipped FROM {_DETECTED}".replace("lineitem.order_id: the", "events.user_id: the"))
 def constraints_that_are_skipped(spark, d):
-    facts = {"c": _made_facts(["p_id", "a_id", "c_id", "gone_id"], ("c_id",)), "p": _made_facts(["p_id", "c_id"], ("p_id",)), "q": _made_facts(["a_id", "b_id"], ("a_id", "b_id"))}
-    keys = {t: f.primary_key for t, f in facts.items()}
-    made = ddl.foreign_key_constraints([ForeignKey("c", "p_id", "p", "p_id"), ForeignKey("c", "a_id", "q", "a_id"), ForeignKey("c", "gone_id", "gone", "id"), ForeignKey("p", "c_id", "c", "c_id")], keys, facts)
-    return _rows(spark, [(len(made.statements), ", ".join(f"{k.fk_table}.{k.fk_column}" for k in made.kept), "; ".join(made.skipped))], "statements long, kept string, skipped string")
+    """The detected references as constraints, and what is left out of more that can't be: a table that is missing, a part
+    of a composite key, a cycle."""
+    found, facts = _detected(spark, d)
+    facts = facts | {"lines": replace(facts["lineitem"], primary_key=("order_id", "line_number"), candidate_keys=[("order_id", "line_number")])}
+    more = [ForeignKey("events", "event_id", "gone", "id"), ForeignKey("events", "user_id", "lines", "order_id"), ForeignKey("region", "region_id", "nation", "nation_id")]
+    made = ddl.foreign_key_constraints([*found, *more], {t: f.primary_key for t, f in facts.items()}, facts)
+    return _rows(spark, [(len(made.statements), "; ".join(made.skipped))], "statements long, skipped string")
 
 
 # Normal forms
@@ -209,10 +217,15 @@ def third_normal_form_orders(spark, d):
     return _shapes(spark, normalize.third_normal_form("flat", df, facts))
 
 
-@query(values("lost", [("gone",)]))
+@query(f"WITH src AS ({SQL_FLAT}) " + " UNION ALL ".join(f"SELECT '{c}' AS lost, count({c}) AS n_values FROM src" for c in FLAT if c not in ("order_id", "line_number")))
 def attribute_preservation(spark, d):
-    pieces = {"t": ["id", "name"], "t_tags": ["id", "tags_value"]}
-    return _rows(spark, [(c,) for c in normalize.missing_columns(["id", "name", "tags", "gone"], pieces)], "lost string")
+    """Columns that no table holds if the flat lines keep only the rest of their second normal form, with their values."""
+    df = flat(spark, d)
+    pieces = normalize.second_normal_form("flat", df, {("order_id",): [c for c in FLAT if c not in ("order_id", "line_number")]})
+    lost = normalize.missing_columns(df.columns, {"flat": pieces["flat"].columns})
+    whole = normalize.missing_columns(df.columns, {t: p.columns for t, p in pieces.items()})
+    counts = df.agg(*[F.count(F.col(c)).alias(c) for c in lost]).first()
+    return _rows(spark, [(c, counts[c]) for c in lost if c not in whole], "lost string, n_values long")
 
 
 @query("SELECT 'region' AS table_name, 'region_id' AS key, count(*) AS n_rows, CAST(count(DISTINCT r_regionkey) AS BIGINT) AS n_keys FROM region UNION ALL SELECT 'nation', 'nation_id', count(*), count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'tags', 'tags_id', (SELECT count(*) FROM region), (SELECT count(*) FROM region) UNION ALL SELECT 'tags_words', 'tags_words_id', 2 * (SELECT count(*) FROM region), 2 * (SELECT count(*) FROM region)")
@@ -251,10 +264,11 @@ def schema_errors(spark, d):
     return _rows(spark, [(m, "error") for m in report.errors] + [(m, "warning") for m in report.warnings], "message string, level string")
 
 
-@query(values("script, problems", [("full", ""), ("empty", "no CREATE TABLE, no PRIMARY KEY, no ;, no COMMIT"), ("uncommitted", "no COMMIT")]))
+@query("SELECT script, problems FROM (SELECT count(*) AS n FROM nation), " + "(" + values("script, problems", [("full", ""), ("empty", "no CREATE TABLE, no PRIMARY KEY, no ;, no COMMIT"), ("uncommitted", "no COMMIT")]) + ") WHERE n > 0")
 def script_checks(spark, d):
-    scripts = {"full": "CREATE TABLE t (a NUMBER(10), PRIMARY KEY (a));\nCOMMIT;", "empty": "", "uncommitted": "CREATE TABLE t (a NUMBER(10), PRIMARY KEY (a));"}
-    return _rows(spark, [(n, ", ".join(validate.sql_script_problems(s))) for n, s in scripts.items()], "script string, problems string")
+    full = _two_script(spark, d)
+    scripts = {"full": full, "empty": "", "uncommitted": full.replace("COMMIT;\n", "")}
+    return _rows(spark, [(n, ", ".join(validate.sql_script_problems(x))) for n, x in scripts.items()], "script string, problems string")
 
 
 # Profiles, summaries, scripts and diagrams
@@ -291,34 +305,48 @@ def summaries(spark, d):
 
 
 _TWO = {"nation": ["nation_id", "nation_name", "region_id"], "region": ["region_id", "region_name"]}
-_LINK = [ForeignKey("nation", "region_id", "region", "region_id")]
 
+def _two(spark, d) -> tuple[dict[str, DataFrame], dict[str, TableFacts], list[ForeignKey]]:
+    """Nations and regions with their measured keys and the references found between them."""
+    tables = {t: canonical(spark, d, t) for t in _TWO}
+    facts = dependencies.measure_all(tables)
+    for t, f in facts.items():
+        f.candidate_keys = dependencies.candidate_keys(tables[t], f)
+        f.primary_key = f.candidate_keys[0]
+    return tables, facts, foreign_keys.detect(tables, facts)
 
-def _two_facts() -> dict[str, TableFacts]:
-    return {t: TableFacts(t, c, 5, dict.fromkeys(c, 5), dict.fromkeys(c, 5), [(c[0],)], (c[0],)) for t, c in _TWO.items()}
 
+def _two_script(spark, d) -> str:
+    tables, facts, found = _two(spark, d)
+    types = {(t, r["column_name"]): r["oracle_type"] for t, df in tables.items() for r in profile.oracle_types(df, t).collect()}
+    return ddl.script(facts, types, {t: f.primary_key for t, f in facts.items()}, found)
 
-_TWO_TYPES = {("nation", "nation_id"): "NUMBER(10)", ("nation", "nation_name"): "VARCHAR2(20)", ("nation", "region_id"): "NUMBER(10)", ("region", "region_id"): "NUMBER(10)", ("region", "region_name"): "VARCHAR2(18)"}
-_SCRIPT = [
-    "-- Schema in third normal form", "-- DROP TABLE nation CASCADE CONSTRAINTS;", "-- DROP TABLE region CASCADE CONSTRAINTS;",
-    "CREATE TABLE region (\n    region_id NUMBER(10) NOT NULL,\n    region_name VARCHAR2(18) NOT NULL,\n    CONSTRAINT pk_region PRIMARY KEY (region_id)\n);",
-    "CREATE TABLE nation (\n    nation_id NUMBER(10) NOT NULL,\n    nation_name VARCHAR2(20) NOT NULL,\n    region_id NUMBER(10) NOT NULL,\n    CONSTRAINT pk_nation PRIMARY KEY (nation_id)\n);",
-    "ALTER TABLE nation\n    ADD CONSTRAINT fk_nation_1\n    FOREIGN KEY (region_id)\n    REFERENCES region(region_id);", "CREATE INDEX idx_nation_1 ON nation(region_id);", "COMMIT;\n",
-]
 
+def _sql_table(t: str) -> str:
+    names = {b: a for a, b in COLUMNS[t].items()}
+    columns = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS name, * FROM ({_sql_type(t, names[c], _kind(names[c]))})" for i, c in enumerate(_TWO[t]))
+    return f"SELECT 'CREATE TABLE {t} (' || chr(10) || string_agg('    ' || name || ' ' || oracle_type || ' NOT NULL', ',' || chr(10) ORDER BY i) || ',' || chr(10) || '    CONSTRAINT pk_{t} PRIMARY KEY ({_TWO[t][0]})' || chr(10) || ');' FROM ({columns})"
 
-@query(values("i, part", list(enumerate(_SCRIPT))))
+
+_LINKED = "(SELECT count(*) FILTER (n_regionkey IS NOT NULL AND n_regionkey NOT IN (SELECT r_regionkey FROM region)) = 0 AND count(n_regionkey) > 0 AND count(*) >= (SELECT count(*) FROM region) FROM nation)"
+
+
+@query(f"""SELECT i, part FROM (VALUES (0, '-- Schema in third normal form'), (1, '-- DROP TABLE nation CASCADE CONSTRAINTS;'), (2, '-- DROP TABLE region CASCADE CONSTRAINTS;'), (3, ({_sql_table('region')})), (4, ({_sql_table('nation')})),
+(5, 'ALTER TABLE nation' || chr(10) || '    ADD CONSTRAINT fk_nation_1' || chr(10) || '    FOREIGN KEY (region_id)' || chr(10) || '    REFERENCES region(region_id);'), (6, 'CREATE INDEX idx_nation_1 ON nation(region_id);'), (7, 'COMMIT;' || chr(10))) v(i, part) WHERE {_LINKED}""")
 def schema_script(spark, d):
-    made = ddl.script(_two_facts(), _TWO_TYPES, {t: (c[0],) for t, c in _TWO.items()}, _LINK)
-    return _rows(spark, list(enumerate(made.split("\n\n"))), "i long, part string")
+    """The script of two tables, from the types, nulls, keys and references that their data show."""
+    return _rows(spark, list(enumerate(_two_script(spark, d).split("\n\n"))), "i long, part string")
 
 
-@query(values("kind, i, line", [("dot", i, x) for i, x in enumerate(["digraph schema {", "    rankdir=TB;", "    node [shape=record];", '    "nation" [label="{nation|* nation_id\\\\l  nation_name\\\\l  region_id\\\\l}"];'.replace("\\\\", "\\"), '    "region" [label="{region|* region_id\\\\l  region_name\\\\l}"];'.replace("\\\\", "\\"), '    "nation" -> "region" [label="region_id → region_id"];', "}"])]
-+ [("mermaid", i, x) for i, x in enumerate(["erDiagram", "    nation {", "        int nation_id PK", "        string nation_name", "        int region_id FK", "    }", "    region {", "        int region_id PK", "        string region_name", "    }", "    region ||--o{ nation : region_id"])]))
+@query("SELECT * FROM (" + values("kind, i, line", [("dot", i, x) for i, x in enumerate(["digraph schema {", "    rankdir=TB;", "    node [shape=record];", '    "nation" [label="{nation|* nation_id\\l  nation_name\\l  region_id\\l}"];', '    "region" [label="{region|* region_id\\l  region_name\\l}"];', '    "nation" -> "region" [label="region_id → region_id"];', "}"])]
++ [("mermaid", i, x) for i, x in enumerate(["erDiagram", "    nation {", "        int nation_id PK", "        string nation_name", "        int region_id FK", "    }", "    region {", "        int region_id PK", "        string region_name", "    }", "    region ||--o{ nation : region_id"])]) + f") WHERE {_LINKED}")
 def diagrams(spark, d):
-    keys = {t: (c[0],) for t, c in _TWO.items()}
-    types = {t: [(c, erd.simple_type("bigint" if c.endswith("_id") else "string")) for c in columns] for t, columns in _TWO.items()}
-    return _rows(spark, [(k, i, x) for k, s in (("dot", erd.dot(_TWO, keys, _LINK)), ("mermaid", erd.mermaid(types, keys, _LINK))) for i, x in enumerate(s.splitlines())], "kind string, i long, line string")
+    """Diagrams of two tables with the keys and references that their data show."""
+    tables, facts, found = _two(spark, d)
+    keys = {t: f.primary_key for t, f in facts.items()}
+    dot = erd.dot({t: df.columns for t, df in tables.items()}, keys, found)
+    mermaid = erd.mermaid({t: [(c, erd.simple_type(k)) for c, k in df.dtypes] for t, df in tables.items()}, keys, found)
+    return _rows(spark, [(k, i, x) for k, lines in (("dot", dot), ("mermaid", mermaid)) for i, x in enumerate(lines.splitlines())], "kind string, i long, line string")
 
 
 # Sources and the workflow
