@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from relforge.functions import inference, naming
 from relforge.sources.catalog import ROW_ORDER, with_row_order
@@ -21,7 +22,7 @@ from . import dependencies as deps
 from .decompose import Decomposition
 from .dependencies import TableFacts
 from .foreign_keys import ForeignKey, infer_by_name
-from .profile import SAMPLE, multivalued, samples
+from .profile import SAMPLE, first_values, multivalued, samples, split_json
 
 
 def _q(c: str) -> Column:
@@ -52,13 +53,54 @@ def explode_values(df: DataFrame, column: str, key: list[str], delimiter: str) -
     return df.where(_q(column).isNotNull()).select(*[_q(k) for k in key], F.explode(parts).alias(f"{column}_value"))
 
 
+def list_share(first: DataFrame, column: str) -> Column:
+    """The share of the values that are JSON lists, as an aggregate over a table of first values."""
+    v = _q(column)
+    return F.avg(F.when(v.isNotNull(), (F.coalesce(F.try_parse_json(v).isNotNull(), F.lit(False)) & v.rlike(r"^\s*\[")).cast("int")))
+
+
+def explode_list(df: DataFrame, column: str, key: list[str]) -> DataFrame:
+    """key columns, <column>_position (from 0) and <column>_value (as text; an object or a list as JSON), a row for
+    each element of an array or a JSON list. Empty lists and nulls give no row, a text that is no list stays as it is,
+    and a null element is a row with a null. Commas and brackets inside an element don't cut it."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, ArrayType):
+        items = _q(column)
+    else:
+        listed = F.try_parse_json(_q(column)).isNotNull() & _q(column).rlike(r"^\s*\[")
+        items = F.coalesce(F.when(listed, F.from_json(_q(column), "array<string>")), F.array(_q(column)))
+    if isinstance(kind, ArrayType):
+        inner = kind.elementType
+        items = F.transform(items, (lambda x: F.to_json(x)) if isinstance(inner, StructType | ArrayType | MapType) else lambda x: x.cast("string"))
+    return df.where(_q(column).isNotNull()).select(*[_q(k) for k in key], F.posexplode(items).alias(f"{column}_position", f"{column}_value"))
+
+
+def object_keys(child: DataFrame, value: str, order: list[str]) -> list[str]:
+    """The keys of the elements if the first ones are all JSON objects, else none."""
+    first = child.where(_q(value).isNotNull()).orderBy(*map(_q, order)).limit(SAMPLE).select(F.json_object_keys(value).alias("k"))
+    got = first.agg(F.coalesce(F.bool_and(F.col("k").isNotNull()), F.lit(False)).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("k")))).alias("keys")).first()  # SAMPLE values
+    return got["keys"] if got["all"] else []
+
+
 def first_normal_form(name: str, df: DataFrame, key: list[str], columns: list[str], order: list[str]) -> dict[str, DataFrame]:
-    """The table without its multivalued columns, and a table <name>_<column> for each of them."""
-    out, rest = {}, df
-    for c in columns:
-        if c in key or (d := pick_delimiter(df, c, order)) is None:
+    """The table without its multivalued columns, and a table <name>_<column> for each of them.
+
+    A list (an array, or most of the first values JSON lists) gives a row for each element with its position; a list of
+    objects has a column <column>_<key> for each of their keys. Other columns are split at their delimiter.
+    """
+    out, rest, asked = {}, df, [c for c in columns if c not in key]
+    arrays = {f.name for f in df.schema if isinstance(f.dataType, ArrayType)}
+    shares = first_values(df, asked, SAMPLE, order).agg(*[list_share(df, c).alias(c) for c in asked]).first() if asked else {}
+    for c in asked:
+        if c in arrays or (shares[c] or 0) > 0.5:
+            child = explode_list(df, c, key)
+            if keys := object_keys(child, f"{c}_value", [*key, f"{c}_position"]):
+                child = split_json(child.withColumnRenamed(f"{c}_value", c), c, keys)
+            out[f"{name}_{c}"] = child
+        elif (d := pick_delimiter(df, c, order)) is not None:
+            out[f"{name}_{c}"] = explode_values(df, c, key, d)
+        else:
             continue
-        out[f"{name}_{c}"] = explode_values(df, c, key, d)
         rest = rest.drop(c)
     return {name: rest, **out}
 
@@ -293,7 +335,7 @@ def placement(df: DataFrame, key: tuple[str, ...], attribute: str, columns: list
 def missing_columns(original: list[str], pieces: dict[str, list[str]]) -> list[str]:
     """Columns of a source that none of its pieces holds, split values included."""
     held = {c for columns in pieces.values() for c in columns}
-    return [c for c in original if c != ROW_ORDER and c not in held and f"{c}_value" not in held]
+    return [c for c in original if c != ROW_ORDER and c not in held and f"{c}_value" not in held and f"{c}_position" not in held]
 
 
 def decompose(name: str, df: DataFrame, facts: TableFacts, taken: set[str], mode: str = "textbook") -> Decomposition:
@@ -319,7 +361,8 @@ def decompose(name: str, df: DataFrame, facts: TableFacts, taken: set[str], mode
     for wanted, values in first.items():
         own = fresh(wanted)
         back = pieces.reference(own, key, name) if mode != "compat" else None
-        splits.append(pieces.Piece(own, values, name, "values", key, (values.columns[-1],), (), back))
+        place = next((c for c in values.columns if c not in key and c.endswith("_position")), None)
+        splits.append(pieces.Piece(own, values, name, "values", key, tuple(c for c in values.columns if c not in key), (*key, place) if place and mode != "compat" else (), back))
     if mode == "compat":
         parts = second_normal_form(name, rest.df, facts.partial)
         lookups = third_normal_form(name, parts[name], facts, mode)

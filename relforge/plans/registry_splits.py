@@ -154,3 +154,36 @@ def inclusions_refuted_first(spark, d):
     pairs = [(("returns", a), ("lines", ("order_id", "line_number"))) for a in asked]
     counts = foreign_keys._counted(tables, pairs)
     return spark.createDataFrame([("+".join(a), missing == 0) for a, (_, missing) in zip(asked, counts, strict=True)], "columns string, holds boolean")
+
+
+# Lists in a field
+
+
+_SQL_LISTED = "SELECT l_orderkey AS order_id, l_partkey AS part, l_returnflag AS flag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_returnflag) - 1 AS position FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem)"
+
+
+def orders_with_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with their parts as a JSON list of objects, of pairs with commas in them, and of flags; some have none."""
+    lines = raw(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").distinct()
+    each = F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"))))  # lines of one order
+    lists = lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(each.alias("x"))
+    pairs = F.to_json(F.transform("x", lambda x: F.concat(x["part"].cast("string"), F.lit(", ["), x["flag"])))
+    return saved(lists.select("order_id", F.to_json("x").alias("parts"), pairs.alias("pairs"), F.when(F.col("order_id") % 3 > 0, F.transform("x", lambda x: x["flag"])).alias("flags")), "lists")
+
+
+def _listed(spark, d) -> dict[str, DataFrame]:
+    return normalize.first_normal_form("orders", orders_with_lists(spark, d), ["order_id"], ["parts", "pairs", "flags"], ["order_id"])
+
+
+@query(f"SELECT order_id, CAST(position AS INT) AS parts_position, flag AS parts_flag, CAST(part AS VARCHAR) AS parts_part FROM ({_SQL_LISTED})")
+def lists_of_objects(spark, d):
+    """A JSON list of objects as a child table: a row for each element with its position, a column for each key."""
+    return _listed(spark, d)["orders_parts"].select("order_id", "parts_position", "parts_flag", "parts_part")
+
+
+@query(f"SELECT 'pairs' AS list, order_id, CAST(position AS INT) AS position, part || ', [' || flag AS value FROM ({_SQL_LISTED}) UNION ALL SELECT 'flags', order_id, CAST(position AS INT), flag FROM ({_SQL_LISTED}) WHERE order_id % 3 > 0")
+def lists_of_values(spark, d):
+    """JSON lists of texts with delimiters and brackets inside, and arrays, as child tables."""
+    found = _listed(spark, d)
+    parts = [found[f"orders_{c}"].select(F.lit(c).alias("list"), "order_id", F.col(f"{c}_position").alias("position"), F.col(f"{c}_value").alias("value")) for c in ("pairs", "flags")]
+    return parts[0].unionByName(parts[1])

@@ -45,3 +45,17 @@ def test_cycles():
     assert graphs.closes_cycle(edges, "c", "a") and not graphs.closes_cycle(edges, "a", "c")
     assert graphs.closes_cycle([], "a", "a") and not graphs.closes_cycle([], "a", "a", allow_self=True)
     assert graphs.ordered(["a", "b", "c"], edges) == ["c", "b", "a"]
+
+
+def test_names_as_columns(spark):
+    """The rules as column expressions say what the functions say."""
+    from pyspark.sql import functions as F
+
+    from relforge.functions import name_columns
+
+    names = ["customer_id", "id", "order", "key", "paid", "monkey", "", "1st", "a--b__c", "übung", "LEVEL", "l_extendedprice_with_a_very_long_name", "x" * 31, "order_items", "Event_Lines", "unit price", "price_id", "ref 7", "guid"]
+    c = F.col("name")
+    df = spark.createDataFrame([(n,) for n in names], "name string").select("name", name_columns.identity_strength(c).alias("t"), name_columns.identity_strength(c, "compat").alias("c"), name_columns.business_name(c).alias("b"), name_columns.is_child_table(c).alias("k"), name_columns.is_reserved(c).alias("r"), name_columns.sanitized(c).alias("s"))
+    for r in df.collect():
+        n = r["name"]
+        assert tuple(r)[1:] == (naming.identity(n).strength, naming.identity(n, "compat").strength, naming.business_name(n), naming.is_child_table(n), n.upper() in naming.RESERVED, naming.sanitize(n))

@@ -80,3 +80,26 @@ def test_placement(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", "y")], "id int, g string, v string")
     assert norm.placement(df, ("id",), "v", ["id", "g", "v"]) == "key"
     assert norm.placement(df.select("g", "v"), ("v",), "g", ["g", "v"]) == "key"
+
+
+def test_lists_become_child_tables(spark):
+    data = [(1, '["a, b", "c[d]", null]', [1, 2], '[{"k": "x", "n": 1}, {"k": "y,z"}]', "p;q"), (2, "[]", None, None, "p;q"), (3, None, [], '[{"n": [3, 4]}]', "p;q"), (4, '["a, b"]', [7], "[]", "p;q")]
+    df = spark.createDataFrame(data, "id int, texts string, numbers array<int>, objects string, plain string")
+    found = norm.first_normal_form("t", df, ["id"], ["texts", "numbers", "objects", "plain"], ["id"])
+    assert found["t"].columns == ["id"]
+    assert sorted(map(tuple, found["t_texts"].collect()), key=repr) == [(1, 0, "a, b"), (1, 1, "c[d]"), (1, 2, None), (4, 0, "a, b")]
+    assert rows(found["t_numbers"]) == [(1, 0, "1"), (1, 1, "2"), (4, 0, "7")]
+    objects = found["t_objects"]
+    assert objects.columns == ["id", "objects_position", "objects_k", "objects_n"]
+    assert sorted(map(tuple, objects.collect()), key=repr) == [(1, 0, "x", "1"), (1, 1, "y,z", None), (3, 0, None, "[3,4]")]
+    assert found["t_plain"].count() == 8
+    mixed = spark.createDataFrame([(1, "[1]"), (2, "no list"), (3, '["x"]'), (4, "[1, "), (5, "[2]"), (6, "[3]"), (7, None)], "id int, v string")
+    assert rows(norm.first_normal_form("t", mixed, ["id"], ["v"], ["id"])["t_v"]) == [(1, 0, "1"), (2, 0, "no list"), (3, 0, "x"), (4, 0, "[1, "), (5, 0, "2"), (6, 0, "3")]
+
+
+def test_children_of_lists_have_keys(spark):
+    df = spark.createDataFrame([(i, f'["a{i}, x", "b"]') for i in range(12)], "order_id int, tags string")
+    found = norm.normalize({"orders": df}, {"orders": deps.profile_table(df, "orders", full_matrix=False)}, [])
+    assert found.keys["orders_tags"] == ("order_id", "tags_position") and not found.warnings
+    assert [(k.fk_table, k.columns, k.pk_table) for k in found.foreign_keys] == [("orders_tags", ("order_id",), "orders")]
+    assert validate.validate(found.tables, found.keys, found.foreign_keys).is_valid
