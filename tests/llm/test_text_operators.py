@@ -228,6 +228,28 @@ def test_planted_secrets_are_found(spark):
     assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.95 * len(found)
 
 
+@pytest.mark.parametrize("unseen_in", [2, 4])
+def test_unseen_forms_are_found(spark, unseen_in):
+    """Recall on identifiers whose form is no seed's only: one in `unseen_in` of the values beside three contexts."""
+    import hashlib
+    import random
+
+    rng = random.Random(7)
+    prose = lambda: " ".join(rng.choices(WORDS, k=20))
+    forms = [lambda i: f"AB-{i * 37 % 10000:04d}-{i:03d}", lambda i: f"user{i}x{i % 7}", lambda i: f"{i * 7919:09d}Q", lambda i: f"k_{i}_{i * i}"]
+    contexts = ['token = "{}"', "api key: {} .", "secret is {} ,"]
+    docs, want, other = [], set(), set()
+    for i in range(240):
+        unseen = i % unseen_in == 0
+        value = forms[(i // unseen_in) % 4](i) if unseen else hashlib.sha1(str(i).encode()).hexdigest()
+        docs.append(f"{prose()} {contexts[i % 3].format(value)} {prose()} part-{i}00 of lot{i * 3}z")
+        if unseen:
+            want.add((i, value))
+        other |= {(i, f"part-{i}00"), (i, f"lot{i * 3}z")}
+    found = {(r["key"], docs[r["key"]][r["start"] : r["stop"]]) for r in pii.spans(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).where("kind = 'id'").collect()}
+    assert len(found & want) >= 0.9 * len(want) and not found & other
+
+
 def test_long_identifiers_go_whole(spark):
     long, late = "k1" + "ab3" * 40, "x" * 50 + "7"
     docs = [*[f"contact: user{i}@mail{i}.org" for i in range(6)], f"contact: {long}Z end", f"contact: {late}"]
