@@ -16,6 +16,7 @@ import os
 import re
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from itertools import chain
 from math import ceil, log2
 
@@ -225,11 +226,32 @@ def unpack(payload: bytes, offsets: np.ndarray, counts: np.ndarray, ids: np.ndar
     return out
 
 
+def _cuts(keyed: DataFrame, n_parts: int) -> list[tuple]:
+    """(id, h) of the least row of each range but the first, in order, nulls first: ranges of Spark's own choice, by id
+    and then by h, so that the rows of one id, or without one, spread over ranges unless they are copies. A row for each file reaches the
+    driver."""
+    ranged = keyed.select("id", "h").repartitionByRange(n_parts, F.asc_nulls_first("id"), "h")
+    least = ranged.groupBy(F.spark_partition_id().alias("at")).agg(F.min(F.struct("id", "h")).alias("cut")).orderBy("at").select("cut.*").collect()
+    return [(r["id"], r["h"]) for r in least[1:]]
+
+
+def _parts(ids: pa.Array, hashes: pa.Array, cuts: list[tuple]) -> list[int]:
+    """The range of every row: how many cuts are not above its (id, h)."""
+    nulls = sum(c is None for c, _ in cuts)
+    bounds, marks = [c for c, _ in cuts[nulls:]], [h for _, h in cuts]
+    out = []
+    for x, h in zip(ids.to_pylist(), hashes.to_pylist(), strict=True):
+        lo, hi = (0, nulls) if x is None else (nulls + bisect_left(bounds, x), nulls + bisect_right(bounds, x))
+        out.append(bisect_right(marks, h, lo, hi) if lo < hi else lo)
+    return out
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", special: bool = False) -> None:
     """Writes the ids of all rows under path: ``codes`` (id, length) and ``blocks``; special as in tokenize().
 
-    Rows are in ascending order of the key, nulls first, over the files in order of ``part`` and in each by
-    ``block``; rows with equal keys are neighbours. An empty table gives no blocks.
+    Rows are in ascending order of the key (a number or a text), nulls first, over the files in order of ``part`` and in
+    each by ``block``; rows with equal keys are neighbours, over several files if there are many. An empty table gives
+    no blocks.
     """
     spark = docs.sparkSession
     narrow = saved(_tokenized(docs, tokenizer, end_id, key, text, special, "low binary, high binary", _narrow), "ids")
@@ -241,6 +263,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id int, length int").coalesce(1).write.parquet(f"{path}/codes")
     codes = canonical(lengths)[0]
     kind = narrow.schema[0].dataType.simpleString()
+    keyed = narrow.withColumn("h", F.xxhash64("low", "high"))  # parts rows of equal keys
 
     def run(batches):
         for whole in batches:
@@ -251,15 +274,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
                 b = whole.slice(at, stop - at)
                 documents = [_wide(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 bits, lanes = pack(documents, lengths, codes)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, documents), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in lanes], pa.binary()), pa.array(bits, pa.binary())], names=["id", "n", "lanes", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, documents), pa.int64()), pa.array([x.astype("<i8").tobytes() for x in lanes], pa.binary()), pa.array(bits, pa.binary()), pa.array(_parts(b.column(0), b.column(3), cuts), pa.int32())], names=["id", "n", "lanes", "bits", "part"])
                 at = stop
 
-    packed = narrow.mapInArrow(run, f"id {kind}, n long, lanes binary, bits binary")
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
-    cuts = sorted(set(narrow.approxQuantile("id", [i / n_parts for i in range(1, n_parts)], 0.1 / n_parts))) if n_parts > 1 else []
-    above = F.size(F.filter(F.lit([float(c) for c in cuts]), lambda c: F.col("id") >= c)) if cuts else F.lit(0)
-    part = F.when(F.col("id").isNull(), 0).otherwise(above).cast("int")
-    ranged = packed.withColumn("part", part).repartitionById(n_parts, F.col("part")).sortWithinPartitions(F.asc_nulls_first("id"))
+    cuts = _cuts(keyed, n_parts)
+    packed = keyed.mapInArrow(run, f"id {kind}, n long, lanes binary, bits binary, part int")
+    ranged = packed.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions(F.asc_nulls_first("id"))
 
     def blocks(batches):
         held, size, start, number = [], 0, 0, 0

@@ -223,6 +223,22 @@ def test_hashes_of_words_longer_than_a_block(monkeypatch):
     assert (hashing.word_hashes(raw, starts, ends) == whole).all() and whole[0] == whole[2]
 
 
+def test_cuts_part_rows_of_one_key(spark, tmp_path):
+    """One key in all rows, no key in any, and texts as keys: files stay in order, and the rows spread over several."""
+    n = 600
+    text = F.concat(F.lit("some words "), F.col("n").cast("string"))
+    rows = spark.range(n).select((F.col("id") * 7919 % n).alias("n"))
+    for k, key in enumerate((F.lit(5).cast("long"), F.lit(None).cast("long"), F.format_string("k%03d", F.col("n")), F.when(F.col("n") % 2 == 0, F.col("n")))):
+        path = str(tmp_path / str(k))
+        token_files.write(rows.select(key.alias("doc_id"), text.alias("text")), path, token_files.tokenizer_path())
+        blocks = spark.read.parquet(f"{path}/blocks")
+        assert blocks.select("part").distinct().count() > 1
+        order = [i for r in sorted(blocks.collect(), key=lambda r: (r["part"], r["block"])) for i in r["ids"]]
+        assert order == sorted(order, key=lambda i: (i is not None, i)) and len(order) == n
+        got = token_files.read(spark, path).orderBy("start").collect()
+        assert [r["start"] for r in got] == list(np.cumsum([0, *[r["n_tokens"] for r in got]])[:-1])
+
+
 def test_empty_token_files(spark, tmp_path):
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "e"), token_files.tokenizer_path())
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
