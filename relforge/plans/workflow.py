@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -13,7 +12,7 @@ from relforge.operators.dependencies import TableFacts
 from relforge.operators.foreign_keys import ForeignKey
 from relforge.operators.normalize import Normalized
 from relforge.operators.validate import Report
-from relforge.sources.catalog import ROW_ORDER, Catalog, export
+from relforge.sources.catalog import ROW_ORDER, Catalog, export, write_text
 
 from . import ddl, erd
 
@@ -93,11 +92,10 @@ def emit(state: State) -> None:
 
 
 def save(state: State, output: str) -> None:
+    """The tables, the script and the diagrams, in a folder of any file system that Spark writes."""
     export(state.normalized.tables, output)
-    os.makedirs(output, exist_ok=True)
     for name, text in (("schema.sql", state.script), ("schema.dot", state.dot), ("schema.mmd", state.mermaid)):
-        with open(os.path.join(output, name), "w", encoding="utf-8") as f:
-            f.write(text)
+        write_text(state.spark, f"{output.rstrip('/')}/{name}", text)
 
 
 def split_structures(state: State) -> None:

@@ -54,6 +54,16 @@ def names_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any file system that Spark writes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def infer_kinds(raw: DataFrame) -> DataFrame:
     """Text columns as long, double or boolean where every value of the column allows it (one job)."""
     fits = []

@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,7 +16,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
 def comparable(pdf):
-    plain = lambda v: None if v is None or v != v else round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
     return sorted(repr([plain(v) for v in row]) for row in pdf[sorted(pdf.columns)].astype(object).values.tolist())
 
 
@@ -25,7 +26,7 @@ def test_every_query_has_sql():
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["column_profile_orders", "fd_matrix_customer", "transitive_deps_flat", "ind_coverage_all", "foreign_keys_detected", "surrogate_key_lineitem", "explode_url_segments", "rejoin_lossless", "sanitize_identifiers", "default_suggestion"])
+@pytest.mark.parametrize("name", ["column_profile_orders", "fd_matrix_customer", "transitive_deps_flat", "ind_coverage_all", "foreign_keys_detected", "surrogate_key_lineitem", "explode_url_segments", "rejoin_lossless", "sanitize_identifiers", "default_suggestion", "exceptions_of_a_split", "references_of_a_split", "minimal_dependencies_nation", "composite_constraints", "lists_of_values", "sketched_profiles", "exact_medians", "schema_script"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
