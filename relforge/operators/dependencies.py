@@ -77,7 +77,8 @@ def _numbers(hashes) -> np.ndarray:
 
 
 class Sample:
-    """The first REFUTING_ROWS rows as numbers (equal ones for equal values, -1 for null) to refute rules with."""
+    """The first REFUTING_ROWS rows as numbers (equal ones for equal values, -1 for null) to refute rules with. Values are
+    told apart by 64-bit hashes, which are all different in 10^5 rows but for a chance of 3 in 10^10 for each column."""
 
     def __init__(self, df: DataFrame):
         df = plain(df.drop(ROW_ORDER)).limit(REFUTING_ROWS)
