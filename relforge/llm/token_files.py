@@ -112,7 +112,7 @@ def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, spe
                 part = b.slice(first, stop - first)
                 ids = [np.append(i, np.int32(end_id)) for i in _ids(part.column(1).fill_null("").to_pylist(), path, special)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in columns(ids)]], names=names)
-        _tokenizer(path)[0].clear()
+        _tokenizer(path)[0].trim()
 
     return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, {schema}")
 

@@ -11,7 +11,7 @@ import numpy as np
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: White space of every kind, and a blank behind it: where a text is not simply cut at its blanks.
 _ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-#: Units, and characters of them, that a worker keeps before it starts afresh; looked at after every slice of texts.
+#: Units, and characters of them, that a worker keeps before it lets go of those seen once; looked at before every slice of texts.
 MAX_UNITS, MAX_CHARS = 400_000, 8_000_000
 PER_CALL = 20_000
 
@@ -42,27 +42,44 @@ class UnitCache:
         self.clear()
 
     def clear(self) -> None:
-        """Lets go of all that is kept; a task's last act, so that idle workers hold nothing."""
-        self.index, self.chars = _Index(), 0
+        """Lets go of all that is kept."""
+        self.index, self.chars, self.uses = _Index(), 0, np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def trim(self) -> None:
+        """Keeps what was used twice or more since the last trim, if it is at most half of the limits: most units of a
+        corpus occur once, and those that do not are few and come again in the next task."""
+        again = np.flatnonzero(self.uses > 1)
+        names = list(self.index)
+        kept = [names[i] for i in again.tolist()]
+        chars, lengths = sum(map(len, kept)), self.lengths[again]
+        flat = self.flat[np.arange(int(lengths.sum())) + np.repeat(self.starts[again] - (np.cumsum(lengths) - lengths), lengths)]
+        self.clear()
+        if len(kept) > self.max_units // 2 or chars > MAX_CHARS // 2:
+            return
+        self.index.update(zip(kept, range(len(kept)), strict=True))
+        self.chars, self.uses = chars, np.zeros(len(kept), np.int64)
+        self._store(flat, lengths, np.arange(len(kept)))
+
+    def _store(self, flat: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> None:
+        end = self.used + len(flat)
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : end] = flat
+        self.lengths[numbers], self.starts[numbers] = lengths, self.used + np.cumsum(lengths) - lengths
+        self.used = end
+
     def _add(self, units: list[str], numbers: list[int], kind: str) -> None:
         for at in range(0, len(units), PER_CALL):
             flat, lengths = self.encode(units[at : at + PER_CALL], kind)
-            end = self.used + len(flat)
-            while end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : end] = flat
-            mine = np.array(numbers[at : at + PER_CALL], np.int64)
-            self.lengths[mine], self.starts[mine] = lengths, self.used + np.cumsum(lengths) - lengths
-            self.used = end
+            self._store(flat, lengths, np.array(numbers[at : at + PER_CALL], np.int64))
 
     def _encode_new(self, odd: list[str]) -> None:
         """Encodes what was looked up for the first time; odd: those of them that come from oddly spaced texts."""
         new, self.index.new = self.index.new, []
-        while len(self.index) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
         self.chars += sum(map(len, new))
         other = [u for u in odd if u == "" or " " in u or u[-1].isspace()]
         if other:
@@ -74,7 +91,7 @@ class UnitCache:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
         if len(self.index) > self.max_units or self.chars > MAX_CHARS:
-            self.clear()
+            self.trim()
         number, firsts, odd, at, counts = self.index.__getitem__, [], [], [], []
         for t in texts:
             if not t:
@@ -92,6 +109,9 @@ class UnitCache:
         if self.index.new:
             self._encode_new(odd)
         at = np.array(at, np.int64)
+        uses = np.bincount(at[at >= 0], minlength=len(self.index))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         at[at < 0] = len(self.index) + np.arange(len(firsts))
         mine, sizes = self.encode(firsts, "first") if firsts else (np.zeros(0, np.int32), np.zeros(0, np.int64))  # one for each text, not kept
         all_lengths = np.concatenate([self.lengths[: len(self.index)], sizes])
