@@ -233,42 +233,3 @@ def test_quality_without_labels(spark):
     assert quality.score(docs.where("false"), quality.fit(docs.where("false"), labels), ["doc_id"]).count() == 0
     ones = labels.where("quality = 1")
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, ones), ["doc_id"]).collect()} == {0.99}
-
-
-def test_recurring_units_survive_a_trim():
-    import numpy as np
-
-    from relforge.llm.units import UnitCache
-
-    asked = []
-
-    def encode(units, kind):
-        asked.extend((kind, u) for u in units)
-        each = [np.frombuffer((u if kind == "first" else f" {u}").encode(), np.uint8).astype(np.int32) for u in units]
-        return (np.concatenate(each) if each else np.zeros(0, np.int32)), np.array(list(map(len, each)), np.int64)
-
-    cache = UnitCache(encode, max_units=8)
-    def check(texts):
-        assert [bytes(i.astype(np.uint8)).decode() for i in cache.ids(texts)] == texts
-
-    def times(unit):
-        return asked.count(("plain", unit))
-
-    check(["a b b c", "", "x b  d\n e "])
-    cache.trim()
-    check(["z b c"])
-    assert times("b") == 1 and times("c") == 2  # b came three times, c once
-    cache.trim()
-    check(["z b"])
-    assert times("b") == 2  # once since the last trim is not enough
-    cache.trim()
-    check(["q " + " ".join(f"w{k % 30}" for k in range(60)), "é b\n\nw3 w3"])
-    check(["q w3 w4 w3"])  # more recurring units than half of the limit: none stays
-    assert times("w3") == 2 and times("w4") == 2
-    check([])
-    cache.trim()
-    check(["q w3 w4"])
-    assert times("w3") == 2 and times("w4") == 3
-    cache.clear()
-    check(["q w3"])
-    assert times("w3") == 3
