@@ -18,13 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from relforge.functions import naming
-from relforge.functions.hashing import wide_hash
+from relforge.functions.hashing import row_hash
 from relforge.sources.catalog import ROW_ORDER, plain
+from relforge.sources.scratch import saved
 
 THRESHOLD = 0.99
 MAX_DETERMINANT = 3
 #: Determinants that are tested in one job; each is a shuffle of its own.
 DETERMINANTS_PER_JOB = 8
+#: Column sets that are looked at for duplicates in one scan; each row is hashed once for each of them.
+SETS_PER_SCAN = 24
+#: One combination in so many, by its hash, is looked at before all others.
+FIRST_LOOK = 8
 #: Rows in which dependencies and keys are refuted before all rows are asked.
 REFUTING_ROWS = 100_000
 _NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
@@ -85,24 +90,27 @@ class Sample:
         got = df.select(*[F.when(_q(c).isNotNull(), F.xxhash64(_q(c))).alias(str(i)) for i, c in enumerate(df.columns)]).toArrow()
         self.columns = {c: _numbers(got.column(i)) for i, c in enumerate(df.columns)}
 
-    def groups(self, x: tuple[str, ...], drop_nulls: bool = False) -> np.ndarray:
-        """The group of every row; -1 for rows that a null leaves out."""
-        out, size, out_of = np.zeros(len(next(iter(self.columns.values()))), np.int64), 1, None
+    def _codes(self, x: tuple[str, ...]) -> np.ndarray:
+        """Equal numbers for rows with equal values of x."""
+        out, size = np.zeros(len(next(iter(self.columns.values()))), np.int64), 1
         for c in x:
             v = self.columns[c]
-            out_of = (v < 0) if out_of is None else out_of | (v < 0)
             width = int(v.max(initial=0)) + 2
             if size * width >= 1 << 62:
                 kinds, out = np.unique(out, return_inverse=True)
                 size = len(kinds)
             out, size = out * width + v + 1, size * width
-        out = np.unique(out, return_inverse=True)[1]
-        return np.where(out_of, -1, out) if drop_nulls else out
+        return out
+
+    def groups(self, x: tuple[str, ...], drop_nulls: bool = False) -> np.ndarray:
+        """The group of every row; -1 for rows that a null leaves out."""
+        out = np.unique(self._codes(x), return_inverse=True)[1]
+        return np.where(np.any([self.columns[c] < 0 for c in x], axis=0), -1, out) if drop_nulls else out
 
     def duplicates(self, s: tuple[str, ...]) -> bool:
         """Whether some combination of values occurs twice (nulls are equal)."""
-        g = self.groups(s)
-        return len(np.unique(g)) < len(g)
+        codes = np.sort(self._codes(s))
+        return bool((codes[1:] == codes[:-1]).any())
 
     def violations(self, groups: np.ndarray, y: str) -> int:
         """Groups with more than one non-null value of y."""
@@ -147,25 +155,36 @@ def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependent
     return found
 
 
-def duplicate_groups(df: DataFrame, sets: list[tuple[str, ...]], names: list[str] | None = None) -> DataFrame:
-    """columns (joined by +, or the set's name), duplicates: how many value combinations occur more than once; nulls
-    are equal. Combinations move as 128-bit hashes, whatever their width."""
-    df = plain(df.drop(ROW_ORDER))
-    out = None
-    for s, name in zip(sets, names or ["+".join(s) for s in sets], strict=True):
-        part = df.select(*wide_hash([_q(c) for c in s])).groupBy("g0", "g1").count().agg(F.count(F.when(F.col("count") > 1, 1)).alias("duplicates")).select(F.lit(name).alias("columns"), "duplicates")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def free_of_duplicates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Those of the sets whose combinations are all different, a few sets for each job."""
-    found = []
-    for at in range(0, len(sets), DETERMINANTS_PER_JOB):
-        part = sets[at : at + DETERMINANTS_PER_JOB]
-        free = {r[0] for r in duplicate_groups(df, part, [str(i) for i in range(len(part))]).where("duplicates = 0").collect()}
-        found += [s for i, s in enumerate(part) if str(i) in free]
-    return found
+    """Those of the sets whose combinations are all different (nulls are equal).
+
+    Columns are written once as 128-bit hashes; one scan of these serves many sets: it emits each row's set and its
+    hash there, which are counted in one shuffle. One combination in FIRST_LOOK, by its hash, is counted first, with
+    all its rows; a duplicate there is one in the table. Only the sets that this leaves are asked of the other
+    combinations.
+    """
+    if not sets:
+        return []
+    columns = list(dict.fromkeys(c for s in sets for c in s))
+    place = {c: i for i, c in enumerate(columns)}
+    ids = saved(_spread(plain(df.drop(ROW_ORDER))).select(*[row_hash([_q(c)], seed).alias(f"h{seed}_{i}") for c, i in place.items() for seed in (0, 1)]), "ids")
+    for first in (True, False):
+        left = []
+        for at in range(0, len(sets), SETS_PER_SCAN):
+            part = sets[at : at + SETS_PER_SCAN]
+            hashes = [F.struct(F.lit(i).alias("set"), *[F.xxhash64(*[f"h{seed}_{place[c]}" for c in s]).alias(f"g{seed}") for seed in (0, 1)]) for i, s in enumerate(part)]
+            looked = F.pmod("g0", F.lit(FIRST_LOOK)) == 0
+            rows = ids.select(F.inline(F.array(*hashes))).where(looked if first else ~looked)
+            twice = rows.groupBy("set", "g0", "g1").count().where("count > 1").select("set").distinct().collect()  # as many as sets at most
+            left += [s for i, s in enumerate(part) if i not in {r[0] for r in twice}]
+        sets = left
+    return sets
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores goes to all of them; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, int]], n_rows: int, max_size: int = MAX_DETERMINANT, minimal: bool = True) -> list[tuple[str, ...]]:

@@ -77,3 +77,14 @@ def test_every_key_of_the_least_size(spark):
     rows = [(i, i // 2, i % 2, i // 2 + 100, i % 2 + 7) for i in range(20)]
     df = spark.createDataFrame([r[1:] for r in rows], "a_ref int, b_ref int, c_ref int, d_ref int")
     assert deps.candidate_keys(df, deps.measure(df, "t")) == [("a_ref", "b_ref"), ("a_ref", "d_ref"), ("b_ref", "c_ref"), ("c_ref", "d_ref")]
+
+
+def test_sets_are_asked_of_all_combinations(spark):
+    """One combination that occurs twice is found whether its hash is looked at first or not; nulls are equal."""
+    base = [(i, i % 7, f"t{i}") for i in range(60)]
+    for again in range(0, 60, 6):
+        df = spark.createDataFrame([*base, base[again][:2] + ("other",)], "a int, b int, c string")
+        assert deps.free_of_duplicates(df, [("a",), ("a", "b"), ("c",), ("a", "c")]) == [("c",), ("a", "c")]
+    df = spark.createDataFrame([(None, 1, None), (None, 2, "x"), (3, 1, None)], "a int, b int, c string")
+    assert deps.free_of_duplicates(df, [("a",), ("c",), ("a", "b"), ("a", "c")]) == [("a", "b"), ("a", "c")]
+    assert deps.free_of_duplicates(df, []) == [] and deps.free_of_duplicates(df.limit(0), [("a",)]) == [("a",)]
