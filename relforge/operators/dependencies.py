@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 from relforge.functions import naming
-from relforge.functions.hashing import row_hash
+from relforge.functions.hashing import row_hash, wide_hash
 from relforge.sources.catalog import ROW_ORDER, plain
 from relforge.sources.scratch import saved
 
@@ -27,9 +27,11 @@ MAX_DETERMINANT = 3
 #: Determinants that are tested in one job; each is a shuffle of its own.
 DETERMINANTS_PER_JOB = 8
 #: Column sets that are looked at for duplicates in one scan; each row is hashed once for each of them.
-SETS_PER_SCAN = 24
-#: One combination in so many, by its hash, is looked at before all others.
-FIRST_LOOK = 8
+SETS_PER_SCAN = 100
+#: One value in so many of a set's leading column, by its hash, is looked at before all others.
+FIRST_LOOKS = (1024, 32)
+#: Hashes that a task sends, and that a task compares; both stay in memory.
+HASHES_PER_TASK, HASHES_IN_A_TASK = 8_000_000, 1_000_000
 #: Rows in which dependencies and keys are refuted before all rows are asked.
 REFUTING_ROWS = 100_000
 _NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
@@ -155,30 +157,63 @@ def collect_ratios(df: DataFrame, determinants: list[tuple[str, ...]], dependent
     return found
 
 
-def free_of_duplicates(df: DataFrame, sets: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
+def free_of_duplicates(df: DataFrame, sets: list[tuple[str, ...]], distinct: dict[str, int] | None = None) -> list[tuple[str, ...]]:
     """Those of the sets whose combinations are all different (nulls are equal).
 
-    Columns are written once as 128-bit hashes; one scan of these serves many sets: it emits each row's set and its
-    hash there, which are counted in one shuffle. One combination in FIRST_LOOK, by its hash, is counted first, with
-    all its rows; a duplicate there is one in the table. Only the sets that this leaves are asked of the other
-    combinations.
+    The columns are written once. Sets are refuted first on all rows of a few values: each set by its column with most
+    distinct values (by ``distinct``, else its first), one value in so many of FIRST_LOOKS by its hash, so that rows that
+    are equal in a set are looked at together; a duplicate there is one in the table. What this leaves is asked of all rows by
+    a 64-bit hash for each set, a few sets in one shuffle. Rows of equal hashes are then compared by their values.
     """
     if not sets:
         return []
     columns = list(dict.fromkeys(c for s in sets for c in s))
-    place = {c: i for i, c in enumerate(columns)}
-    ids = saved(_spread(plain(df.drop(ROW_ORDER))).select(*[row_hash([_q(c)], seed).alias(f"h{seed}_{i}") for c, i in place.items() for seed in (0, 1)]), "ids")
-    for first in (True, False):
-        left = []
-        for at in range(0, len(sets), SETS_PER_SCAN):
-            part = sets[at : at + SETS_PER_SCAN]
-            hashes = [F.struct(F.lit(i).alias("set"), *[F.xxhash64(*[f"h{seed}_{place[c]}" for c in s]).alias(f"g{seed}") for seed in (0, 1)]) for i, s in enumerate(part)]
-            looked = F.pmod("g0", F.lit(FIRST_LOOK)) == 0
-            rows = ids.select(F.inline(F.array(*hashes))).where(looked if first else ~looked)
-            twice = rows.groupBy("set", "g0", "g1").count().where("count > 1").select("set").distinct().collect()  # as many as sets at most
-            left += [s for i, s in enumerate(part) if i not in {r[0] for r in twice}]
-        sets = left
-    return sets
+    rows = saved(_spread(plain(df.drop(ROW_ORDER))).select(*map(_q, columns)), "rows")
+    size = rows.count()
+    lead = {s: max(s, key=lambda c: (distinct or {}).get(c, 0)) for s in sets}
+    for one_in in FIRST_LOOKS:
+        parts = [sets[at : at + SETS_PER_SCAN] for at in range(0, len(sets), SETS_PER_SCAN)]
+        sets = [s for part in parts for s in _without(part, _seen_twice(rows, part, lead, one_in))]
+    per_task = -(-size // max(rows.rdd.getNumPartitions(), 1))
+    step = min(SETS_PER_SCAN, max(1, HASHES_PER_TASK // max(per_task, 1)))
+    parts = [sets[at : at + step] for at in range(0, len(sets), step)]
+    return [s for part in parts for s in _without(part, _repeated(rows, part, size))]
+
+
+def _without(sets: list[tuple[str, ...]], places: set[int]) -> list[tuple[str, ...]]:
+    return [s for i, s in enumerate(sets) if i not in places]
+
+
+def _seen_twice(rows: DataFrame, sets: list[tuple[str, ...]], lead: dict[tuple[str, ...], str], one_in: int) -> set[int]:
+    """Places of sets with a duplicate among the rows of one value in one_in of their leading column."""
+    groups: dict[str, list[int]] = {}
+    for i, s in enumerate(sets):
+        groups.setdefault(lead[s], []).append(i)
+    seen = None
+    for c, places in groups.items():
+        hashes = [F.struct(F.lit(i).alias("set"), *wide_hash([_q(x) for x in sets[i]])) for i in places]
+        part = rows.where(F.pmod(row_hash([_q(c)], 2), F.lit(one_in)) == 0).select(F.inline(F.array(*hashes)))
+        seen = part if seen is None else seen.unionByName(part)
+    return {r[0] for r in seen.groupBy("set", "g0", "g1").count().where("count > 1").select("set").distinct().collect()} if groups else set()  # as many as sets at most
+
+
+def _repeated(rows: DataFrame, sets: list[tuple[str, ...]], size: int) -> set[int]:
+    """Places of sets with a duplicate among all rows.
+
+    Hashes are nearly all different here, so none are counted before they move, and they go to tasks of
+    HASHES_IN_A_TASK, which bounds the memory of one.
+    """
+    g = {i: row_hash([_q(c) for c in s]) for i, s in enumerate(sets)}
+    hashes = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("set"), h.alias("g")) for i, h in g.items()])))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size * len(sets) // HASHES_IN_A_TASK))
+    twice = hashes.repartition(tasks, "set", "g").groupBy("set", "g").count().where("count > 1").groupBy("set").agg(F.min("g").alias("least"), F.max("g").alias("most")).collect()  # as many as sets at most
+    found = set()
+    for r in twice:
+        s, h = sets[r["set"]], g[r["set"]]
+        again = lambda some: not some.groupBy(*map(_q, s)).count().where("count > 1").isEmpty()  # noqa: B023, E731
+        if again(rows.where(h.isin(r["least"], r["most"]))) or again(rows):  # the second only after two hashes met by chance
+            found.add(r["set"])
+    return found
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -211,7 +246,7 @@ def unique_sets(df: DataFrame, columns: list[str], stats: dict[str, tuple[int, i
         if n_rows > 1 and open_sets:
             sample = sample or Sample(df.select(*[_q(c) for c in columns]))
             open_sets = [s for s in open_sets if not sample.duplicates(s)]
-            new += free_of_duplicates(df, open_sets)
+            new += free_of_duplicates(df, open_sets, {c: stats[c][0] for c in columns})
         found += new + ([] if minimal else implied)
     return found
 
@@ -268,7 +303,7 @@ def candidate_keys(df: DataFrame, facts: TableFacts, mode: str = "textbook", max
         if sets:
             sample = sample or Sample(df)
             sets = [s for s in sets if not sample.duplicates(s)]
-        if found := free_of_duplicates(df, sets):
+        if found := free_of_duplicates(df, sets, facts.unique):
             return found
     return []
 

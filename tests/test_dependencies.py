@@ -88,3 +88,15 @@ def test_sets_are_asked_of_all_combinations(spark):
     df = spark.createDataFrame([(None, 1, None), (None, 2, "x"), (3, 1, None)], "a int, b int, c string")
     assert deps.free_of_duplicates(df, [("a",), ("c",), ("a", "b"), ("a", "c")]) == [("a", "b"), ("a", "c")]
     assert deps.free_of_duplicates(df, []) == [] and deps.free_of_duplicates(df.limit(0), [("a",)]) == [("a",)]
+
+
+def test_equal_hashes_are_compared_by_value(spark, monkeypatch):
+    """Hashes that meet by chance make no duplicate, and what is stored has one column for each of the sets' columns."""
+    stored = []
+    real = deps.saved
+    monkeypatch.setattr(deps, "saved", lambda df, tag: (stored.append(df.columns), real(df, tag))[1])
+    whole = deps.row_hash
+    monkeypatch.setattr(deps, "row_hash", lambda columns, seed=0: whole(columns, seed) % 5)
+    df = spark.createDataFrame([(i, i % 7, f"t{i // 2}") for i in range(60)], "a int, b int, c string")
+    assert deps.free_of_duplicates(df, [("a",), ("b",), ("c",), ("b", "c"), ("a", "c")], {"a": 60, "b": 7, "c": 30}) == [("a",), ("b", "c"), ("a", "c")]
+    assert [sorted(x) for x in stored] == [["a", "b", "c"]]
