@@ -17,11 +17,15 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relforge.sources.scratch import saved
+
 from .foreign_keys import ForeignKey
 
 #: A value of a join key is spread over SALTS tasks if it has more than this share of the rows (so at most
 #: 1 / HOT_SHARE values are).
 HOT_SHARE, SALTS = 0.001, 64
+#: Determinants with several combinations that are broadcast, by their keys alone; more are joined.
+FEW_ODD = 200_000
 
 
 def _q(c: str) -> Column:
@@ -81,10 +85,34 @@ def agreed(df: DataFrame, determinant: tuple[str, ...], attributes: list[str]) -
     Equal rows are counted where they are read, so a determinant that a third of all rows have is as many rows as it
     has combinations.
     """
+    return _agreed(df, determinant, attributes).drop("_kinds")
+
+
+def _agreed(df: DataFrame, determinant: tuple[str, ...], attributes: list[str]) -> DataFrame:
+    """The same with _kinds, the number of combinations that the determinant has."""
     both = [*determinant, *attributes]
     counts = df.where(_no_null(determinant)).groupBy(*map(_q, both)).agg(F.count("*").alias("_n"))
-    best = counts.groupBy(*map(_q, determinant)).agg(F.max(F.struct("_n", *map(_q, attributes))).alias("_best"))
-    return best.select(*map(_q, determinant), *[F.col(f"_best.`{a}`").alias(a) for a in attributes])
+    best = counts.groupBy(*map(_q, determinant)).agg(F.max(F.struct("_n", *map(_q, attributes))).alias("_best"), F.count("*").alias("_kinds"))
+    return best.select(*map(_q, determinant), *[F.col(f"_best.`{a}`").alias(a) for a in attributes], "_kinds")
+
+
+def _deviating(df: DataFrame, best: DataFrame, determinant: tuple[str, ...], attributes: list[str], columns: list[str]) -> DataFrame:
+    """columns of the rows that don't have their determinant's combination; with a null in the determinant, of those
+    with any attribute.
+
+    Only rows of determinants with several combinations can deviate, so only these meet the combinations; where such
+    determinants are few, their rows are told where they are read.
+    """
+    odd = best.where("_kinds > 1").drop("_kinds")
+    known = df.where(_no_null(determinant))
+    if odd.count() <= FEW_ODD:
+        known = known.join(F.broadcast(odd.select(*map(_q, determinant))), list(determinant), "left_semi")
+    renamed = [f"_agreed_{a}" for a in attributes]
+    facts = odd.select(*map(_q, determinant), F.lit(True).alias("_odd"), *[_q(a).alias(r) for a, r in zip(attributes, renamed, strict=True)])
+    beside = spread_join(known, facts, [(c, c) for c in determinant], ["_odd", *renamed])
+    differs = ~_all(_q(a).eqNullSafe(_q(r)) for a, r in zip(attributes, renamed, strict=True))
+    unknown = df.where(~_no_null(determinant) & ~_all(_q(a).isNull() for a in attributes))
+    return beside.where(F.col("_odd") & differs).select(*map(_q, columns)).unionByName(unknown.select(*map(_q, columns)))
 
 
 def violations(df: DataFrame, determinant: tuple[str, ...], dependent: str) -> DataFrame:
@@ -135,15 +163,13 @@ def split(rest: Piece, name: str, determinant: tuple[str, ...], attributes: list
     df, moved = rest.df, [a for a in attributes if a in rest.df.columns]
     if not moved:
         return rest, []
-    best = agreed(df, determinant, moved)
-    renamed = [f"_agreed_{a}" for a in moved]
-    beside = spread_join(df, best.select(*map(_q, determinant), *[_q(a).alias(r) for a, r in zip(moved, renamed, strict=True)]), [(c, c) for c in determinant], renamed)
-    differs = ~_all(_q(a).eqNullSafe(_q(r)) for a, r in zip(moved, renamed, strict=True))
-    deviating = beside.where(differs)
+    both = saved(_agreed(df, determinant, moved), "agreed")
+    best = both.drop("_kinds")
+    deviating = saved(_deviating(df, both, determinant, moved, [*key, *moved] if set(key) <= set(df.columns) else moved), "deviating")
     if not deviating.isEmpty():
         if not key or not set(key) <= set(df.columns):
             return rest, []
-        extra = [Piece(f"{name}_exceptions", deviating.select(*map(_q, [*key, *moved])), rest.source, "exceptions", determinant, tuple(moved), key, reference(f"{name}_exceptions", key, rest.name, relationship="one-to-one"))]
+        extra = [Piece(f"{name}_exceptions", deviating, rest.source, "exceptions", determinant, tuple(moved), key, reference(f"{name}_exceptions", key, rest.name, relationship="one-to-one"))]
     else:
         extra = []
     parent = Piece(name, best, rest.source, kind, determinant, tuple(moved), determinant, reference(rest.name, determinant, name))
@@ -153,10 +179,13 @@ def split(rest: Piece, name: str, determinant: tuple[str, ...], attributes: list
 
 def rebuilt(found: Decomposition) -> DataFrame:
     """The source's rows from its pieces: parts and entities joined back to what refers to them, last split first;
-    exceptions override. Lists of values (1NF) are no part of it."""
+    exceptions override. Lists of values (1NF) are no part of it.
+
+    Each join but the last is written, as the next one reads it several times."""
     frames = {p.name: p.df for p in found.pieces}
     odd = {(p.reference.pk_table, p.determinant, p.attributes): p for p in found.splits if p.kind == "exceptions"}
-    for p in reversed([p for p in found.splits if p.kind in ("part", "entity")]):
+    joined = [p for p in found.splits if p.kind in ("part", "entity")]
+    for p in reversed(joined):
         home, moved = p.reference.fk_table, [c for c in frames[p.name].columns if c not in p.determinant]
         df = spread_join(frames[home], frames[p.name], list(zip(p.reference.columns, p.reference.targets, strict=True)), moved)
         e = next((e for (at, x, a), e in odd.items() if (at, x) == (home, p.determinant) and set(a) == set(moved)), None)
@@ -165,7 +194,7 @@ def rebuilt(found: Decomposition) -> DataFrame:
             df = df.join(other, _all(_q(k) == F.col(f"_k{i}") for i, k in enumerate(e.key)), "left")
             made = {a: F.when(F.col("_odd"), F.col(f"_e{i}")).otherwise(_q(a)) for i, a in enumerate(e.attributes)}
             df = df.withColumns(made).drop("_odd", *[f"_k{i}" for i in range(len(e.key))], *[f"_e{i}" for i in range(len(e.attributes))])
-        frames[home] = df
+        frames[home] = saved(df, "rebuilt") if p is not joined[0] else df
     return frames[found.rest.name]
 
 

@@ -44,7 +44,12 @@ def _decomposed(spark, d) -> tuple[DataFrame, Decomposition]:
     facts = dependencies.measure(df, "flat")
     facts.candidate_keys, facts.primary_key = [("order_id", "line_number")], ("order_id", "line_number")
     facts.partial = dependencies.partial_dependencies(df, facts.primary_key, facts.columns)
-    return df, normalize.decompose("flat", with_row_order(df), facts, set())
+    found = normalize.decompose("flat", with_row_order(df), facts, set())
+    if not any(p.kind == "exceptions" for p in found.splits):  # in small tables no order has a line of its own
+        name, key = "flat_order_id_exceptions", facts.primary_key
+        none = df.where(F.lit(False)).select(*key, *_OTHER)
+        found.splits.append(decompose.Piece(name, none, "flat", "exceptions", ("order_id",), tuple(_OTHER), key, decompose.reference(name, key, "flat", relationship="one-to-one")))
+    return df, found
 
 
 @query(f"WITH {_SQL_BEST} SELECT v.order_id, line_number, {', '.join(f'v.{c}' for c in _OTHER)} FROM v JOIN b USING (order_id) WHERE v.order_status IS DISTINCT FROM b.order_status")

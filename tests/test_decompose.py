@@ -151,3 +151,18 @@ def test_fingerprints(spark):
     lost, added = validate.difference(df, df.distinct().union(spark.createDataFrame([(9, "z"), (9, "z")], df.schema))).first()
     assert (lost, added) == (1, 2)
     assert ROW_ORDER not in with_row_order(df).drop(ROW_ORDER).columns
+
+
+def test_pieces_are_stored_once(spark, monkeypatch):
+    """What a split makes is read from a table, not worked out again by whatever asks for it; exceptions are the same whether
+    the odd determinants are few or many."""
+    data = [(k, n, "odd" if k == 3 and n == 0 else f"v{k}") for k in range(30) for n in range(3)] + [(None, 0, "x"), (None, 1, None)]
+    df = spark.createDataFrame(data, "k int, n int, v string")
+    for few in (200_000, 0):
+        monkeypatch.setattr(decompose, "FEW_ODD", few)
+        _, made = decompose.split(Piece("t", df, "t", "rest", (), ("k", "n", "v"), ("k", "n")), "t_k", ("k",), ["v"], "part", ("k", "n"))
+        assert [p.kind for p in made] == ["part", "exceptions"] and made[0].df.count() == 30
+        assert sorted(map(tuple, made[1].df.collect()), key=str) == [(3, 0, "odd"), (None, 0, "x")]
+        for p in made:
+            plan = p.df._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan and "Join" not in plan
