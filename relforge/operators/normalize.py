@@ -22,7 +22,7 @@ from . import dependencies as deps
 from .decompose import Decomposition
 from .dependencies import TableFacts
 from .foreign_keys import ForeignKey, infer_by_name
-from .profile import SAMPLE, first_values, multivalued, samples, split_json
+from .profile import HEAD_ROWS, SAMPLE, first_values, multivalued, samples, split_json
 
 
 def _q(c: str) -> Column:
@@ -75,10 +75,18 @@ def explode_list(df: DataFrame, column: str, key: list[str]) -> DataFrame:
     return df.where(_q(column).isNotNull()).select(*[_q(k) for k in key], F.posexplode(items).alias(f"{column}_position", f"{column}_value"))
 
 
-def object_keys(child: DataFrame, value: str, order: list[str]) -> list[str]:
-    """The keys of the elements if the first ones are all JSON objects, else none."""
-    first = child.where(_q(value).isNotNull()).orderBy(*map(_q, order)).limit(SAMPLE).select(F.json_object_keys(value).alias("k"))
-    got = first.agg(F.coalesce(F.bool_and(F.col("k").isNotNull()), F.lit(False)).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("k")))).alias("keys")).first()  # SAMPLE values
+def object_keys(df: DataFrame, column: str, key: list[str]) -> list[str]:
+    """The keys of a list column's elements if the first ones, by key and position, are all JSON objects, else none.
+
+    The lists of the first HEAD_ROWS rows are taken apart; those of all rows only if they hold fewer than SAMPLE values.
+    """
+    head = df.where(_q(column).isNotNull()).orderBy(*map(_q, key)).limit(HEAD_ROWS)
+    for rows in (head, df):
+        child = explode_list(rows, column, key)
+        first = child.where(_q(f"{column}_value").isNotNull()).orderBy(*map(_q, [*key, f"{column}_position"])).limit(SAMPLE).select(F.json_object_keys(f"{column}_value").alias("k"))
+        got = first.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("k").isNotNull()), F.lit(False)).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("k")))).alias("keys")).first()  # SAMPLE values
+        if got["n"] == SAMPLE:
+            break
     return got["keys"] if got["all"] else []
 
 
@@ -94,7 +102,7 @@ def first_normal_form(name: str, df: DataFrame, key: list[str], columns: list[st
     for c in asked:
         if c in arrays or (shares[c] or 0) > 0.5:
             child = explode_list(df, c, key)
-            if keys := object_keys(child, f"{c}_value", [*key, f"{c}_position"]):
+            if keys := object_keys(df, c, key):
                 child = split_json(child.withColumnRenamed(f"{c}_value", c), c, keys)
             out[f"{name}_{c}"] = child
         elif (d := pick_delimiter(df, c, order)) is not None:

@@ -103,3 +103,19 @@ def test_children_of_lists_have_keys(spark):
     assert found.keys["orders_tags"] == ("order_id", "tags_position") and not found.warnings
     assert [(k.fk_table, k.columns, k.pk_table) for k in found.foreign_keys] == [("orders_tags", ("order_id",), "orders")]
     assert validate.validate(found.tables, found.keys, found.foreign_keys).is_valid
+
+
+def test_object_keys_come_from_the_first_lists(spark, monkeypatch):
+    """Lists beyond the first rows are taken apart only if those hold too few values."""
+    asked = []
+    real = norm.explode_list
+    monkeypatch.setattr(norm, "HEAD_ROWS", 60)
+    monkeypatch.setattr(norm, "explode_list", lambda df, c, key: (asked.append(df.count()), real(df, c, key))[1])
+    full = [(i, '[{"a": 1}, {"b": 2}]' if i < 100 else '["text"]') for i in range(200)]
+    late = [(i, "[]" if i < 80 else '[{"c": 1}]' if i % 2 else "[null]") for i in range(200)]
+    for data, rows, keys in ((full, [60, 200], ["a", "b"]), (late, [60, 200, 200], ["c"])):
+        df = spark.createDataFrame(data, "k int, v string")
+        made = norm.first_normal_form("t", df, ["k"], ["v"], ["k"])
+        assert [c for c in made["t_v"].columns] == ["k", "v_position", *[f"v_{x}" for x in keys]]
+        assert sorted(asked) == rows
+        asked.clear()
