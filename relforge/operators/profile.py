@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StringType
+from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from relforge.functions import inference, naming
 from relforge.functions.hashing import wide_hash
@@ -17,6 +20,11 @@ JSON_SAMPLE = 10
 FIRST_VALUES = 5
 #: Rows that are looked at for first values, and ranges of one pass for a median.
 HEAD_ROWS, RANGES = 1_000, 1_024
+#: Distinct values that a task may count as it reads them, that a task gets of a column with more, and rows among which
+#: repeated ones are dropped before they move.
+FEW_VALUES, VALUES_IN_A_TASK, HELD_ROWS = 1_000_000, 500_000, 500_000
+#: Types whose values are no wider than a hash.
+_NARROW = (NumericType, BooleanType, DateType, TimestampType, TimestampNTZType)
 
 
 def columns_of(df: DataFrame) -> list[str]:
@@ -30,27 +38,67 @@ def _q(c: str) -> Column:
 def column_counts(df: DataFrame, table: str) -> DataFrame:
     """table_name, column_name, n, k (non-null), u (distinct): a row for each column.
 
-    Each column is grouped by its own values, which counts rows, non-nulls and distinct values at once: values are
-    counted where they are read, only distinct ones move, wide ones as 128-bit hashes, and no row is expanded. See
-    ``sketches.profile_all`` for a first look that moves nothing.
+    A first look (see ``first_look``) tells rows and non-nulls; then distinct values are counted, wide ones as 128-bit
+    hashes, and no row is expanded. See ``sketches.profile_all`` for a first look that moves nothing.
     """
-    return _counted(_value_groups(df, table))
+    return _counted(_value_groups(df, table, first_look({table: df})[table]))
+
+
+def first_look(tables: dict[str, DataFrame]) -> dict[str, dict[str, tuple[int, int, int]]]:
+    """Rows, non-nulls and about how many distinct values every column of every table has, in one job that moves a
+    row for each task."""
+    out = None
+    for name, df in tables.items():
+        df = plain(df.drop(ROW_ORDER))
+        aggs = [F.struct(F.lit(c).alias("c"), F.count("*").alias("n"), F.count(_q(c)).alias("k"), F.approx_count_distinct(_q(c)).alias("u")) for c in df.columns]
+        part = df.agg(F.array(*aggs).alias("r")).select(F.lit(name).alias("t"), F.inline("r"))
+        out = part if out is None else out.unionByName(part)
+    found: dict[str, dict[str, tuple[int, int, int]]] = {t: {} for t in tables}
+    for r in out.collect() if out is not None else []:  # a row for each column
+        found[r["t"]][r["c"]] = (r["n"], r["k"], r["u"])
+    return found
+
 
+def _value_groups(df: DataFrame, table: str, known: dict[str, tuple[int, int, int]]) -> DataFrame:
+    """table_name, column_name, n, k, u: a row with the rows and non-nulls of each column, and one (0, 0, 1) for each of
+    its distinct values. known: of each column rows, non-nulls and about how many distinct values it has.
 
-def _value_groups(df: DataFrame, table: str) -> DataFrame:
-    """table_name, column_name, rows, present: a row for each value of each column (nulls are one, not present),
-    and one without rows, so that columns of an empty table are there too."""
+    Values of columns with FEW_VALUES at most are counted where they are read. Those of others, which may be any
+    number, go to tasks of VALUES_IN_A_TASK, whatever they compress to; before, repeated values are dropped among
+    HELD_ROWS at a time, so a frequent value is few rows and no task's memory follows the table's size.
+    """
     df = plain(df.drop(ROW_ORDER))
-    out = df.sparkSession.createDataFrame([(table, c, 0, 0) for c in df.columns], "table_name string, column_name string, rows long, present int")
-    for c, kind in df.dtypes:
-        key = [_q(c).alias("g0")] if kind not in ("string", "binary") else [F.when(_q(c).isNotNull(), h).alias(f"g{i}") for i, h in enumerate(wide_hash([_q(c)]))]
-        values = df.select(*key).groupBy(*[f"g{i}" for i in range(len(key))]).agg(F.count("*").alias("rows"))
-        out = out.unionByName(values.select(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), "rows", F.col("g0").isNotNull().cast("int").alias("present")))
+    out = df.sparkSession.createDataFrame([(table, c, *known[c][:2], 0) for c in df.columns], "table_name string, column_name string, n long, k long, u long")
+    for f in df.schema:
+        key = [_q(f.name).alias("g0")] if isinstance(f.dataType, _NARROW) else wide_hash([_q(f.name)])
+        values = df.where(_q(f.name).isNotNull()).select(*key)
+        if known[f.name][2] > FEW_VALUES:
+            tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-known[f.name][2] // VALUES_IN_A_TASK))
+            values = values.mapInArrow(_fewer, values.schema).repartition(tasks, *values.columns)
+        out = out.unionByName(values.distinct().select(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(1).cast("long").alias("u")))
     return out
 
 
+def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different rows among HELD_ROWS at a time."""
+    held, size = [], 0
+
+    def different():
+        whole = pa.Table.from_batches(held)
+        return whole.group_by(whole.column_names, use_threads=False).aggregate([]).to_batches()
+
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= HELD_ROWS:
+            yield from different()
+            held, size = [], 0
+    if held:
+        yield from different()
+
+
 def _counted(groups: DataFrame) -> DataFrame:
-    return groups.groupBy("table_name", "column_name").agg(F.sum("rows").alias("n"), F.sum(F.col("rows") * F.col("present")).alias("k"), F.sum("present").alias("u"))
+    return groups.groupBy("table_name", "column_name").agg(*[F.sum(x).alias(x) for x in ("n", "k", "u")])
 
 
 def profiles_of(counts: DataFrame) -> DataFrame:
@@ -68,10 +116,10 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
 
 
 def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
-    """The column profiles of all tables in one job."""
-    out = None
+    """The column profiles of all tables, in one job after the first look."""
+    out, known = None, first_look(tables)
     for name, df in sorted(tables.items()):
-        part = _value_groups(df, name)
+        part = _value_groups(df, name, known[name])
         out = part if out is None else out.unionByName(part)
     return profiles_of(_counted(out))
 

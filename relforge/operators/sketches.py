@@ -67,12 +67,12 @@ def profile_all(tables: dict[str, DataFrame]) -> DataFrame:
         first = part if first is None else first.unionByName(part)
     known = estimated(first).collect()  # a row for each column
     exact, spark = None, next(iter(tables.values())).sparkSession
-    unsure: dict[str, list[str]] = {}
+    unsure: dict[str, dict[str, tuple[int, int, int]]] = {}
     for r in known:
         if not r["sure"]:
-            unsure.setdefault(r["table_name"], []).append(r["column_name"])
+            unsure.setdefault(r["table_name"], {})[r["column_name"]] = (r["n"], r["k"], r["u"])
     for name, columns in unsure.items():
-        part = _value_groups(tables[name].select(*map(_q, columns)), name)
+        part = _value_groups(tables[name].select(*map(_q, columns)), name, columns)
         exact = part if exact is None else exact.unionByName(part)
     rows = spark.createDataFrame([tuple(r) for r in known], "table_name string, column_name string, n long, k long, u long, sure boolean")
     if exact is not None:

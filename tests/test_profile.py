@@ -67,3 +67,19 @@ def test_catalog(spark, tmp_path):
         Catalog.from_file(spark, "x.xml")
     export(found.tables, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "b.json")).count() == 2
+
+
+def test_distinct_values_of_any_number_go_to_tasks_of_a_bounded_number(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FEW_VALUES", 500, raising=False)
+    monkeypatch.setattr(profile, "VALUES_IN_A_TASK", 2_000, raising=False)
+    monkeypatch.setattr(profile, "HELD_ROWS", 4_000, raising=False)
+    n = 40_000
+    i = F.col("id")
+    hot = F.when(i % 3 == 0, 7).when(i % 5 > 0, i)  # a third of the rows have one value, others none
+    df = spark.range(0, n, 1, 3).select(i.alias("k"), hot.alias("h"), F.concat(F.lit("x"), i % 20_000).alias("s"), F.timestamp_micros(i).alias("t"), F.when(i % 2 == 0, float("nan")).otherwise(i / 4).alias("d"), (i % 4).alias("few"))
+    got = {r["column_name"]: (r["n"], r["k"], r["u"]) for r in profile.column_counts(df, "t").collect()}
+    held = [7 if x % 3 == 0 else x for x in range(n) if x % 3 == 0 or x % 5 > 0]
+    assert got == {"k": (n, n, n), "h": (n, len(held), len(set(held))), "s": (n, n, 20_000), "t": (n, n, n), "d": (n, n // 2, n // 2), "few": (n, n, 4)}
+    groups = profile._value_groups(df, "t", profile.first_look({"t": df})["t"])
+    sizes = groups.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 2 * profile.VALUES_IN_A_TASK
