@@ -22,6 +22,7 @@ import html
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ BUCKETS = 1024
 HELD_HOSTS = 2_000
 #: Boilerplate elements that are ignored if nothing closes them.
 UNCLOSED = {"noscript", "svg"}
+#: Longest attributes whose label a worker keeps.
+KEPT_CHARS = 200
 LIMIT_HOSTS = 20_000
 SALTS = 16
 
@@ -60,6 +63,15 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 def _label(name: str, attributes: str) -> tuple[str, int]:
+    """_read_label(); attributes that hold no class, id or role are not read, and short ones once for each worker."""
+    low = attributes.lower()
+    if low.isascii() and "class" not in low and "id" not in low and "role" not in low:
+        attributes = ""
+    return (_read_label if len(attributes) <= KEPT_CHARS else _read_label.__wrapped__)(name, attributes)
+
+
+@lru_cache(maxsize=20_000)
+def _read_label(name: str, attributes: str) -> tuple[str, int]:
     """(name with its class, id and role; grade: -1 boilerplate, -2 perhaps, 4 article, 3 main, 2 content, 1 body, else 0).
 
     A name all of whose words mark boilerplate does so for its element. One word of a longer name ("site-footer")
@@ -163,11 +175,10 @@ def buckets(page: str) -> set[int]:
     found = set()
     for what, path, name, _, text in walk(page):
         if what != "text":
-            found.add(_seed(_tag(what, path, name)) & (BUCKETS - 1))
+            found.add(_seed(_tag(what, path, name)))
         elif path:
-            seed = _seed(path)
-            found.update([_hash(w, seed=seed) & (BUCKETS - 1) for w in set(text.split())])
-    return found
+            found.update(map(_hash, text.split(), repeat(_seed(path))))
+    return {t & (BUCKETS - 1) for t in found}
 
 
 def tokens(page: str, allowed: list[bool] | None = None) -> dict[int, list]:
@@ -182,8 +193,7 @@ def tokens(page: str, allowed: list[bool] | None = None) -> dict[int, list]:
                 seed = _seed(path)
                 if (inside := found.get(_seed(f"{path}>"))) is not None:
                     inside[3] += sum(map(len, words))
-                for k, w in enumerate(words, at + 1):
-                    t = _hash(w, seed=seed)
+                for k, t in enumerate(map(_hash, words, repeat(seed)), at + 1):
                     if allowed is None or allowed[t & (BUCKETS - 1)]:
                         if t in found:
                             found[t][0] += 1
