@@ -41,6 +41,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Words of letters with ASCII marks behind them: the library's split ends a word where its letters end. Of letters only
+#: those that are so in every version of Unicode.
+_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]+)")
+
 _LOADED: dict[str, tuple[UnitCache, re.Pattern | None, dict[str, int]]] = {}
 
 
@@ -82,7 +86,7 @@ def _tokenizer(path: str) -> tuple[UnitCache, re.Pattern | None, dict[str, int]]
             return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
 
         find = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
-        _LOADED[path] = UnitCache(encode), find, {content: i for content, (i, _) in added.items()}
+        _LOADED[path] = UnitCache(encode, halve=_WORD_AND_MARKS), find, {content: i for content, (i, _) in added.items()}
     return _LOADED[path]
 
 

@@ -10,7 +10,7 @@ import numpy as np
 
 _CUT = re.compile(r"(?<=\S)(?= )")
 #: White space of every kind, and a blank behind it: where a text is not simply cut at its blanks.
-_ODD = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_ODD = [(chr(c), chr(c) + " ") for c in range(0x3001) if chr(c).isspace()]
 #: Units, and characters of them, that a worker keeps before it starts afresh; looked at after every slice of texts.
 MAX_UNITS, MAX_CHARS = 400_000, 8_000_000
 PER_CALL = 20_000
@@ -34,11 +34,12 @@ class UnitCache:
     A text is cut before every blank that follows something other than white space. `encode` gets distinct
     units, and how they stand in a text: 'first' (at its start), 'plain' (after a blank, without another blank and
     without white space at the end) or 'other' (after a blank). It returns their ids, one unit after the other,
-    and how many each has.
+    and how many each has. `halve` matches plain units whose ids are those of two parts, one after the other: the
+    match's first group as a plain unit, and its second as it would stand at the start of a text.
     """
 
-    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], max_units: int = MAX_UNITS):
-        self.encode, self.max_units = encode, max_units
+    def __init__(self, encode: Callable[[list[str], str], tuple[np.ndarray, np.ndarray]], max_units: int = MAX_UNITS, halve: re.Pattern | None = None):
+        self.encode, self.max_units, self.halve = encode, max_units, halve
         self.clear()
 
     def clear(self) -> None:
@@ -58,18 +59,44 @@ class UnitCache:
             self.lengths[mine], self.starts[mine] = lengths, self.used + np.cumsum(lengths) - lengths
             self.used = end
 
+    def _join(self, halved: list[tuple[str, str, str]]) -> None:
+        """The ids of units (each with its two parts) from those of their parts."""
+        parts = np.array([self.index[x] for _, a, b in halved for x in (a, (b,))], np.int64)
+        lengths = self.lengths[parts]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        flat = self.flat[np.arange(total) + np.repeat(self.starts[parts] - (ends - lengths), lengths)]
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = flat
+        mine = np.array([self.index[u] for u, _, _ in halved], np.int64)
+        self.lengths[mine], self.starts[mine] = lengths[::2] + lengths[1::2], self.used + (ends - lengths)[::2]
+        self.used += total
+
     def _encode_new(self, odd: list[str]) -> None:
         """Encodes what was looked up for the first time; odd: those of them that come from oddly spaced texts."""
         new, self.index.new = self.index.new, []
+        halved, whole = [], []
+        if self.halve:
+            for u in new:
+                m = None if u.isalpha() else self.halve.fullmatch(u)
+                (halved.append((u, *m.groups())) if m else whole.append(u))
+            for _, a, b in halved:
+                self.index[a], self.index[(b,)]
+            tails = [x[0] for x in self.index.new if isinstance(x, tuple)]
+            new, self.index.new = whole + [x for x in self.index.new if isinstance(x, str)], []
         while len(self.index) > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
-        self.chars += sum(map(len, new))
+        self.chars += sum(map(len, new)) + sum(len(u) for u, _, _ in halved)
         other = [u for u in odd if u == "" or " " in u or u[-1].isspace()]
         if other:
             apart = set(other)
             new = [u for u in new if u not in apart]
         for units, kind in ((new, "plain"), (other, "other")):
             self._add(units, list(map(self.index.__getitem__, units)), kind)
+        if halved:
+            self._add(tails, [self.index[(x,)] for x in tails], "first")
+            self._join(halved)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; an empty text has none."""
@@ -107,7 +134,7 @@ class UnitCache:
 
 def _units(text: str) -> tuple[bool, list[str]]:
     """Whether the text is simply cut at its blanks; its first unit, then the others without their leading blank."""
-    if text[0] != " " and not text[-1].isspace() and not any([odd in text for odd in _ODD]):
+    if text[0] != " " and not text[-1].isspace() and not any([c in text and odd in text for c, odd in _ODD]):
         return True, text.split(" ")
     first, *others = _CUT.split(text)
     return False, [first, *[u[1:] for u in others]]

@@ -1,6 +1,10 @@
-"""Work that is done once: labels of elements."""
+"""Work that is done once: labels of elements, and words with marks behind them."""
 
-from relforge.llm import html_template
+import random
+
+import pytest
+
+from relforge.llm import html_template, token_files
 
 
 def test_labels_of_equal_elements_are_read_once():
@@ -14,3 +18,23 @@ def test_labels_of_equal_elements_are_read_once():
     for name, attributes in [("div", long), ("div", 'CLASS="site-footer"'), ("div", 'claſs="ad"'), ("div", 'title="é" role=main'), ("td", "width=1"), ("main", "")]:
         assert html_template._label(name, attributes) == read.__wrapped__(name, attributes)
     assert read.cache_info().currsize == 10  # not the long one
+
+
+def test_a_word_is_encoded_once_whatever_marks_follow_it(monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    cache = token_files._tokenizer(path)[0]
+    cache.clear()
+    asked, encode = [], cache.encode
+    monkeypatch.setattr(cache, "encode", lambda units, kind: asked.extend((u, kind) for u in units) or encode(units, kind))
+    library = Tokenizer.from_file(path)
+    text = "a wordlike wordlike, wordlike. other!? wordlike, don't other's x́, öl; _a_ ×."
+    (got,) = token_files._ids([text], path, True)
+    assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [u for u, kind in asked if u.startswith("wordlike")] == ["wordlike"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab'sé.,;!-_ \n×٣中’ʰ́") for _ in range(rng.randint(0, 30))) for _ in range(2_000)]
+    assert [x.tolist() for x in token_files._ids(texts, path, True)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    cache.clear()
