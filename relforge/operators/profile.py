@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -74,27 +75,26 @@ def _value_groups(df: DataFrame, table: str, known: dict[str, tuple[int, int, in
         values = df.where(_q(f.name).isNotNull()).select(*key)
         if known[f.name][2] > FEW_VALUES:
             tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-known[f.name][2] // VALUES_IN_A_TASK))
-            values = values.mapInArrow(_fewer, values.schema).repartition(tasks, *values.columns)
+            values = values.mapInArrow(_fewer(HELD_ROWS), values.schema).repartition(tasks, *values.columns)
         out = out.unionByName(values.distinct().select(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(1).cast("long").alias("u")))
     return out
 
 
-def _fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different rows among HELD_ROWS at a time."""
-    held, size = [], 0
+def _fewer(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for the different rows among so many at a time; it goes to the tasks by value, without this package."""
 
-    def different():
-        whole = pa.Table.from_batches(held)
-        return whole.group_by(whole.column_names, use_threads=False).aggregate([]).to_batches()
+    def run(batches):
+        held, size = [], 0
+        for b in chain(batches, [None]):
+            if b is not None:
+                held.append(b)
+                size += b.num_rows
+            if held and (b is None or size >= most):
+                whole = pa.Table.from_batches(held)
+                yield from whole.group_by(whole.column_names, use_threads=False).aggregate([]).to_batches()
+                held, size = [], 0
 
-    for b in batches:
-        held.append(b)
-        size += b.num_rows
-        if size >= HELD_ROWS:
-            yield from different()
-            held, size = [], 0
-    if held:
-        yield from different()
+    return run
 
 
 def _counted(groups: DataFrame) -> DataFrame:

@@ -1,3 +1,8 @@
+import os
+import subprocess
+import sys
+import tempfile
+
 from relforge.functions import inference
 from relforge.operators import profile
 from relforge.sources.catalog import Catalog, UnsupportedSource, export
@@ -83,3 +88,11 @@ def test_distinct_values_of_any_number_go_to_tasks_of_a_bounded_number(spark, mo
     groups = profile._value_groups(df, "t", profile.first_look({"t": df})["t"])
     sizes = groups.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     assert sizes <= 2 * profile.VALUES_IN_A_TASK
+
+
+def test_what_goes_to_the_tasks_needs_no_package_there():
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); import pyarrow as pa; b = pa.record_batch({'a': [1, 1, 2]}); print(sum(x.num_rows for x in f([b, b])), 'relforge' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(profile._fewer(10)), capture_output=True, cwd=tempfile.gettempdir(), env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert done.stdout.split() == [b"2", b"False"], done.stderr
