@@ -17,7 +17,7 @@ import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from itertools import chain
+from itertools import chain, pairwise
 from math import ceil, log2
 
 import numpy as np
@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pieces import PieceCache
 from .shared import saved, shared_dir, ship, table, text_slices
-from .units import UnitCache
 
 LANE = 512
 BLOCK_IDS = 1 << 20
@@ -41,96 +41,129 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Words of letters with ASCII marks behind them: the library's split ends a word where its letters end. Of letters only
-#: those that are so in every version of Unicode.
-_WORD_AND_MARKS = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]+)")
+_LOADED: dict[str, tuple[PieceCache, re.Pattern | None, dict[bytes, int]]] = {}
 
-_LOADED: dict[str, tuple[UnitCache, re.Pattern | None, dict[str, int]]] = {}
 
-
-def _tokenizer(path: str) -> tuple[UnitCache, re.Pattern | None, dict[str, int]]:
+def _tokenizer(path: str) -> tuple[PieceCache, re.Pattern | None, dict[bytes, int]]:
     """One tokenizer and cache for each Python worker, with what finds its added tokens in a text and their ids.
 
-    A byte-level BPE splits a text into words before it merges, and no word reaches over a blank that follows
-    something other than white space; so units are encoded on their own, those that the worker has not seen yet.
-    To the units, strings of added tokens are ordinary text; _ids() finds them.
+    A byte-level BPE splits a text into words before it merges; so the pieces of a text, which are such words or
+    several of them, are encoded on their own, those that the worker has not seen yet. Words are given to the
+    library's model without being split again. To the pieces, strings of added tokens are ordinary text;
+    _encoded() finds them.
     """
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
         library = Tokenizer.from_file(path)
         split = library.pre_tokenizer
         added = {t.content: (i, t) for i, t in library.get_added_tokens_decoder().items()}
         if any(t.lstrip or t.rstrip or t.single_word or not t.special for _, t in added.values()):
-            raise ValueError("only special tokens that neither take in nor look at what stands beside them are found by units")
-        if library.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not isinstance(library.model, BPE):
-            raise ValueError("only a plain byte-level BPE is encoded by units")
+            raise ValueError("only special tokens that neither take in nor look at what stands beside them are found by pieces")
+        if library.normalizer is not None or not isinstance(split, ByteLevel) or split.add_prefix_space or not split.use_regex or not isinstance(library.model, BPE):
+            raise ValueError("only a plain byte-level BPE is encoded by pieces")
         library.encode_special_tokens = True
-        blank = split.pre_tokenize_str(" ")[0][0]
+        words = Tokenizer(library.model)  # of words that are split already, a line for each
+        words.pre_tokenizer = CharDelimiterSplit("\n")
+        shown = np.arange(256, dtype="<u4")  # the character that stands for each byte
+        for byte in [*range(10), *range(11, 33)]:
+            shown[byte] = ord(split.pre_tokenize_str(chr(byte))[0][0])
+        for byte in range(128, 192):
+            shown[byte] = ord(split.pre_tokenize_str(bytes([0xC3, byte]).decode())[0][0][1])
+        for byte in range(0xC3, 0xCA):
+            shown[byte] = ord(split.pre_tokenize_str(bytes([byte, 0x80]).decode())[0][0][0])
+        blank = chr(shown[32])
         opens = np.zeros(library.get_vocab_size(with_added_tokens=True), bool)  # ids whose token begins with a blank
         opens[[i for t, i in library.get_vocab(with_added_tokens=False).items() if t.startswith(blank)]] = True
 
-        def encode(units: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
-            """Plain units are encoded as one text, in which each begins with its only token that opens with a
-            blank; the others are encoded one by one."""
+        def encode(pieces: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
+            """Pieces are encoded as one text, in which each begins with its only token that opens with a blank, or
+            comes after one that is only a blank; those of kind 'first' one by one."""
             if kind == "plain":
-                (found,) = library.encode_batch_fast([f" {' '.join(units)}"], add_special_tokens=False)
+                (found,) = library.encode_batch_fast([f" {' '.join(pieces)}"], add_special_tokens=False)
+            elif kind != "first":
+                text = f" {'\n '.join(pieces)}" if kind == "blank" else f" \n{'\n \n'.join(pieces)}"
+                (found,) = words.encode_batch_fast([shown[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")], add_special_tokens=False)
+            if kind != "first":
                 ids = np.array(found.ids, np.int32)
-                lengths = np.diff(np.append(np.flatnonzero(opens[ids]), len(ids)))
-                if len(lengths) == len(units):
-                    return ids, lengths
-            each = [e.ids for e in library.encode_batch_fast(units if kind == "first" else [f" {u}" for u in units], add_special_tokens=False)]
+                at = np.flatnonzero(opens[ids])
+                if len(at) == len(pieces):
+                    lengths = np.diff(np.append(at, len(ids)))
+                    return (np.delete(ids, at), lengths - 1) if kind == "bare" else (ids, lengths)
+            each = [e.ids for e in library.encode_batch_fast(pieces if kind in ("first", "bare") else [f" {p}" for p in pieces], add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(each), np.int32), np.fromiter(map(len, each), np.int64, len(each))
 
-        find = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})") if added else None
-        _LOADED[path] = UnitCache(encode, halve=_WORD_AND_MARKS), find, {content: i for content, (i, _) in added.items()}
+        ids = {content.encode(): i for content, (i, _) in added.items()}
+        find = re.compile(b"(%s)" % b"|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None
+        _LOADED[path] = PieceCache(encode), find, ids
     return _LOADED[path]
 
 
-def _ids(texts: list[str], path: str, special: bool) -> list[np.ndarray]:
-    """The ids of each text, as the library's encode(text, add_special_tokens=False) gives them: the string of an
-    added (also a special) token is that token, and what lies between is encoded on its own. Without `special`,
-    as the library does with encode_special_tokens, such strings are ordinary text.
+def _encoded(raw: np.ndarray, offsets: np.ndarray, path: str, special: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts (UTF-8, one after the other), and how many each has, as the library's encode(text,
+    add_special_tokens=False) gives them: the string of an added (also a special) token is that token, and what lies
+    between is encoded on its own. Without `special`, as the library does with encode_special_tokens, such strings are
+    ordinary text.
     """
     cache, find, added = _tokenizer(path)
-    split = {k: find.split(t) for k, t in enumerate(texts) if find.search(t)} if find and special else {}
-    if not split:
-        return cache.ids(texts)
-    parts = [split.get(k, [t]) for k, t in enumerate(texts)]  # every second part is an added token
-    found = iter(cache.ids([p for each in parts for p in each[::2]]))
-    return [np.concatenate([[added[p]] if j % 2 else next(found) for j, p in enumerate(each)]).astype(np.int32) if len(each) > 1 else next(found) for each in parts]
+    if not special or find is None or not find.search(raw):
+        return cache.ids(raw, offsets)
+    data = raw.tobytes()
+    parts = [find.split(data[a:b]) for a, b in pairwise(offsets.tolist())]  # every second part is an added token
+    plain = [p for each in parts for p in each[::2]]
+    flat, counts = cache.ids(np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)]))
+    found = iter(np.split(flat, np.cumsum(counts)[:-1]))
+    ids = [np.concatenate([[added[p]] if j % 2 else next(found) for j, p in enumerate(each)]) for each in parts]
+    return np.concatenate(ids).astype(np.int32), np.array(list(map(len, ids)), np.int64)
+
+
+def _ids(texts: list[str], path: str, special: bool) -> list[np.ndarray]:
+    """_encoded() of a list of texts: the ids of each."""
+    data = [t.encode() for t in texts]
+    flat, counts = _encoded(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), path, special)
+    return np.split(flat, np.cumsum(counts)[:-1]) if texts else []
 
 
 def _tokenized(docs: DataFrame, path: str, end_id: int, key: str, text: str, special: bool, schema: str, columns) -> DataFrame:
-    """id and what columns(list of id arrays) makes of the ids of some rows, with the end id last."""
+    """id and what columns(ids of some rows, where each row's end) makes of them, with the end id last."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     names = ["id", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches):
         for b in batches:
-            for first, stop, _, _ in text_slices(b.column(1)):
-                part = b.slice(first, stop - first)
-                ids = [np.append(i, np.int32(end_id)) for i in _ids(part.column(1).fill_null("").to_pylist(), path, special)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.binary()) for c in columns(ids)]], names=names)
+            for first, stop, raw, offsets in text_slices(b.column(1)):
+                flat, counts = _encoded(raw, offsets, path, special)
+                ends = np.cumsum(counts + 1)
+                ids = np.full(int(ends[-1]), end_id, np.int32)
+                ids[np.delete(np.arange(len(ids)), ends - 1)] = flat
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, stop - first), *columns(ids, ends)], names=names)
         _tokenizer(path)[0].clear()
 
     return rows.mapInArrow(run, f"id {rows.schema[0].dataType.simpleString()}, {schema}")
 
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of values up to each end."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text", special: bool = False) -> DataFrame:
     """id and ids (little-endian 32-bit integers, the end id last) of every row; a null text has the end id only.
 
     special: whether strings of the tokenizer's added tokens in a text are these tokens."""
-    return _tokenized(docs, path, end_id, key, text, special, "ids binary", lambda ids: [[i.astype("<u4").tobytes() for i in ids]])
+    return _tokenized(docs, path, end_id, key, text, special, "ids binary", lambda ids, ends: [_binary(ids.astype("<u4"), ends)])
 
 
-def _narrow(ids: list[np.ndarray]) -> list[list[bytes]]:
+def _narrow(ids: np.ndarray, ends: np.ndarray) -> list[pa.Array]:
     """Two bytes for each id below 65,536 and the rest (rare or absent) beside them, for the table in between."""
-    return [[x.astype("<u2").tobytes() for x in ids], [(x >> 16).astype("<u2").tobytes() if x.max() > 65535 else b"" for x in ids]]
+    high = (ids >> 16).astype("<u2")
+    rest = [x.tobytes() if x.any() else b"" for x in np.split(high, ends[:-1])] if high.any() else [b""] * len(ends)
+    return [_binary(ids.astype("<u2"), ends), pa.array(rest, pa.binary())]
 
 
 def _wide(low: bytes, high: bytes) -> np.ndarray:
