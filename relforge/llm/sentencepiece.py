@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 A text is normalised as the model asks for (a blank in front, blanks as U+2581) and cut before blanks; no piece
-holds a blank behind another character, so the units are independent. Distinct units of equal length form one
-matrix of code points and advance together: at each end position the hashes of all substrings that end there
-probe the sorted piece keys, the best sum of scores is a vectorised maximum, and its start is the backpointer.
-Characters without a piece fall back to their bytes.
+holds a blank behind another character, so the units are independent. Distinct units advance together: from all
+their positions a trie of the pieces is walked at once, as long as there is a piece that begins like that, and what
+is found are the edges; at each end position the best sum of scores is a maximum over the edges of all units, and
+its start is the backpointer. Characters without a piece fall back to their bytes.
 
 The result is the segmentation with the largest sum of piece scores, which is what the library's unigram
 decoder gives for the same pieces and scores. The model at hand was trained by merging pairs, and the library's
@@ -15,25 +15,22 @@ to the same text (see the README for figures).
 from __future__ import annotations
 
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mixed
 from .shared import saved, ship, table, text_slices
 from .units import UnitCache
 
-_U = np.uint64
-_BASE = _U(0x100000001B3)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct units that a worker keeps at most between slices of texts.
 MAX_UNITS = 150_000
-#: Only hashes that share this many leading bits with some key are looked up.
-PREFIX_BITS = 20
+#: Positions of units that are searched together.
+CELLS = 1 << 17
 
 
 def model_path() -> str:
@@ -42,14 +39,8 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Pieces:
-    """The pieces of a model file as sorted hash keys with scores and ids."""
+    """The pieces of a model file as a trie with scores and ids."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -70,81 +61,148 @@ class Pieces:
             if SPACE in self.text[i].lstrip(SPACE):
                 raise ValueError(f"piece {i} holds a blank behind another character")
         self.longest = max(len(self.text[i]) for i in plain)
-        sizes = np.array([len(self.text[i]) for i in plain])
-        keys = np.zeros(len(plain), _U)
-        for size in np.unique(sizes):
-            rows = np.flatnonzero(sizes == size)
-            keys[rows] = _piece_hashes(_matrix([self.text[plain[r]] for r in rows]))
-        order = np.argsort(keys)
-        self.keys, self.scores, self.ids = keys[order], scores[order], np.array(plain, np.int32)[order]
-        self.present = np.zeros(1 << PREFIX_BITS, bool)  # which leading bits the keys have
-        self.present[self.keys >> _U(64 - PREFIX_BITS)] = True
+        self.scores, self.ids = scores, np.array(plain, np.int32)
         self.unknown = float(scores.min()) - UNKNOWN_PENALTY
+        self.gain, self.piece_ids = np.append(self.unknown, scores), np.append(np.int32(-1), self.ids)
+        self._trie([self.text[i] for i in plain])
+
+    def _trie(self, texts: list[str]) -> None:
+        """A trie of the pieces in one array of slots: a node's child by letter c is slot base[node] + c, if above[slot]
+        is the node. Nodes are named by their slots; 0 is none."""
+        letters = sorted(set("".join(texts)))
+        self.letter = np.zeros(0x110000, np.min_scalar_type(len(letters)))  # 0: in no piece
+        self.letter[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        nodes = {t: i for i, t in enumerate(dict.fromkeys(t[:n] for t in texts for n in range(1, len(t) + 1)))}
+        tops, deep = [t for t in nodes if len(t) == 1], [t for t in nodes if len(t) > 1]
+        top, child, parent = (np.array([nodes[t] for t in x], np.int64) for x in (tops, deep, [t[:-1] for t in deep]))
+        by = self.letter[np.array([ord(t[-1]) for t in deep], np.int64)].astype(np.int64)
+        base, slot_of, taken = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.zeros(4 * len(nodes) + len(letters), bool)
+        slot_of[top] = np.arange(1, len(top) + 1)
+        taken[: len(top) + 1] = True
+        children = np.bincount(parent, minlength=len(nodes))
+        rank = np.empty(len(nodes), np.int64)
+        rank[np.argsort(-children, kind="stable")] = np.arange(len(nodes))
+        rng = np.random.default_rng(0)
+        for least, most in pairwise((len(letters) + 1, 64, 16, 4, 1)):  # nodes of many children first
+            left = np.flatnonzero((children[parent] < least) & (children[parent] >= most))
+            while len(left):  # each tries a place; of several that want a slot the one of most children has it
+                mine = parent[left]
+                place = rng.integers(1, len(taken) - len(letters), len(nodes))
+                slot = place[mine] + by[left]
+                owner = np.full(len(taken), len(nodes))
+                np.minimum.at(owner, slot, rank[mine])
+                placed = np.ones(len(nodes), bool)
+                placed[mine[taken[slot] | (owner[slot] != rank[mine])]] = False
+                good = placed[mine]
+                base[mine[good]], slot_of[child[left[good]]], taken[slot[good]] = place[mine[good]], slot[good], True
+                left = left[~good]
+                taken = np.append(taken, np.zeros(len(nodes) // 16, bool))  # room for those that found none
+        self.base, self.above = np.zeros(len(taken), np.int32), np.full(len(taken), -1, np.int32)
+        self.piece, self.root = np.zeros(len(taken), np.int32), np.zeros(len(letters) + 1, np.int32)
+        self.base[slot_of], self.above[slot_of[child]] = base, slot_of[parent]
+        self.piece[slot_of[[nodes[t] for t in texts]]] = np.arange(1, len(texts) + 1)
+        self.root[self.letter[list(map(ord, tops))]] = slot_of[top]
 
     def encode(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of each unit; units of equal length are searched together."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for i, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(i)
-        for length, rows in by_length.items():
-            step = max(1, 200_000 // max(length, 1))
-            for at in range(0, len(rows) if length else 0, step):
-                part = rows[at : at + step]
-                for i, ids in zip(part, self._viterbi(_matrix([units[r] for r in part])), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, points: np.ndarray) -> list[np.ndarray]:
-        n, length = points.shape
-        sums, inverse = _sums(points)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((n, length + 1), np.int32), np.zeros((n, length + 1), np.int32)
-        every = np.arange(n)
-        for end in range(1, length + 1):
-            lo = max(0, end - self.longest)
-            found, key = self._probe((sums[:, end : end + 1] - sums[:, lo:end]) * inverse[lo:end], end - np.arange(lo, end))
-            gain = np.where(found, self.scores[key], -np.inf)
-            single = ~found[:, -1]
-            gain[single, -1] = self.unknown
-            total = best[:, lo:end] + gain
-            start = np.argmax(total, axis=1)  # the first of equal sums: the longest piece
-            best[:, end], back[:, end] = total[every, start], start + lo
-            piece[:, end] = np.where(found[every, start], self.ids[key[every, start]], -1)
-        at, steps = np.full(n, length), []
-        while at.any():
-            steps.append(np.where(at > 0, piece[every, at], -2))
-            at = np.where(at > 0, back[every, at], 0)
-        chosen = np.stack(steps[::-1], 1)
-        plain = ~(chosen == -1).any(axis=1)
-        out = []
-        for r in range(n):
-            ids = chosen[r][chosen[r] != -2]
-            out.append(ids.astype(np.int32) if plain[r] else self._with_bytes(ids, points[r]))
+        """Ids of each unit."""
+        flat, counts = self.encode_flat(units)
+        return np.split(flat, np.cumsum(counts)[:-1]) if units else []
+
+    def encode_flat(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units, one unit after the other, and how many each has; units are searched together."""
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends, found, at = np.cumsum(sizes), [], 0
+        while at < len(units):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + CELLS, side="right")))
+            found.append(self._viterbi("".join(units[at:stop]), sizes[at:stop]))
+            at = stop
+        if not found:
+            return np.zeros(0, np.int32), sizes
+        return np.concatenate([f for f, _ in found]), np.concatenate([c for _, c in found])
+
+    def _viterbi(self, text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units that stand one after the other in `text`, and how many each has.
+
+        Cells are positions of units: row j holds position j of all units that reach it, longest units first. Rows are
+        gone through in blocks, so that the edges at hand are bounded.
+        """
+        n, length = len(sizes), int(sizes.max())
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        rank = np.empty(n, np.int64)
+        rank[np.argsort(-sizes, kind="stable")] = np.arange(n)
+        width = n - np.searchsorted(np.sort(sizes), np.arange(length + 1))
+        row = np.concatenate([[0], np.cumsum(width)])
+        step = np.repeat(width, width).astype(np.int32)  # from a cell to the unit's next one
+        first = np.cumsum(sizes) - sizes
+        cell = row[np.arange(len(points)) - np.repeat(first, sizes)] + np.repeat(rank, sizes)  # of each character
+        letter, inside = np.zeros(len(step), self.letter.dtype), np.zeros(len(step), bool)
+        letter[cell], inside[cell] = self.letter[points], True
+        best, start, piece = np.zeros(len(step)), np.zeros(len(step), np.int32), np.zeros(len(step), np.int32)
+        kept = [(np.zeros(0, np.int32),) * 3] * self.longest  # edges that end behind the block, by length
+        at = 0
+        while at < length:
+            stop = min(max(at + 1, int(np.searchsorted(row, row[at] + CELLS, side="right")) - 1), length)
+            edges = self._edges(row[at] + np.flatnonzero(inside[row[at] : row[stop]]), letter, step)
+            for k, found in enumerate(edges):
+                every = [np.concatenate(x) for x in zip(kept[k], found, strict=True)]
+                here = int(np.searchsorted(every[1], row[stop + 1]))
+                edges[k], kept[k] = tuple(x[:here] for x in every), tuple(x[here:] for x in every)
+            self._advance(edges, row[at + 1 : stop + 2], best, start, piece)
+            at = stop
+        on, back = np.zeros(len(step), bool), row[sizes] + rank
+        while len(back := back[back >= n]):
+            on[back] = True
+            back = start[back]
+        ends = cell + step[cell]
+        chosen = on[ends]
+        flat, counts = self._with_bytes(piece[ends[chosen]], points[chosen])
+        upto = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(chosen)])]
+        return flat, np.diff(upto[np.append(first, len(points))])
+
+    def _advance(self, edges: list[tuple[np.ndarray, ...]], row: np.ndarray, best: np.ndarray, start: np.ndarray, piece: np.ndarray) -> None:
+        """Best sums of the cells of some rows (`row` has their bounds), with the start and the piece of the last edge."""
+        at = np.zeros(row[-1] - row[0] + 1, np.int64)  # where the edges to each cell begin
+        for _, end, _ in edges:
+            at[end - row[0] + 1] += 1
+        at = np.cumsum(at)
+        free, starts, pieces = at[:-1].copy(), np.empty(at[-1], np.int32), np.empty(at[-1], np.int32)
+        for s, end, p in reversed(edges):  # the longest first
+            to = free[end - row[0]]
+            free[end - row[0]] += 1
+            starts[to], pieces[to] = s, p
+        gain = self.gain[pieces]
+        for lo, hi in pairwise(row.tolist()):
+            of = at[lo - row[0] : hi - row[0] + 1]
+            best[lo:hi] = np.maximum.reduceat(best[starts[of[0] : of[-1]]] + gain[of[0] : of[-1]], of[:-1] - of[0])
+        hit = np.flatnonzero(best[starts] + gain == np.repeat(best[row[0] : row[-1]], np.diff(at)))
+        hit = hit[np.searchsorted(hit, at[:-1])]  # the first of equal sums: the longest piece
+        start[row[0] : row[-1]], piece[row[0] : row[-1]] = starts[hit], pieces[hit]
+
+    def _with_bytes(self, piece: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, and how many each has: a character without a piece (its last code point) has its bytes'."""
+        flat, counts, bare = self.piece_ids[piece], np.ones(len(piece), np.int64), piece == 0
+        if bare.any():
+            c = points[bare]
+            counts[bare] += (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+            flat = np.repeat(flat, counts)
+            flat[np.repeat(bare, counts)] = self.bytes[np.frombuffer(c.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return flat, counts
+
+    def _edges(self, cells: np.ndarray, letter: np.ndarray, step: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length the pieces at `cells`: first cell, cell behind the last one, piece (0: a character without one)."""
+        start, state = cells.astype(np.int32), self.root[letter[cells]]
+        end = start + step[start]
+        out = [(start, end, self.piece[state])]
+        for _ in range(1, self.longest):
+            slot = self.base[state] + letter[end]
+            on = np.flatnonzero(self.above[slot] == state)
+            start, end, state = start[on], end[on], slot[on]
+            end = end + step[end]
+            piece = self.piece[state]
+            some = np.flatnonzero(piece)
+            out.append((start[some], end[some], piece[some]))
         return out
 
-    def _with_bytes(self, ids: np.ndarray, points: np.ndarray) -> np.ndarray:
-        out, at = [], 0
-        for i in ids.tolist():
-            if i == -1:
-                out += self.bytes[list(chr(points[at]).encode())].tolist()
-                at += 1
-            else:
-                out.append(i)
-                at += len(self.text[i])
-        return np.array(out, np.int32)
-
-    def _probe(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = mixed(hashes ^ (lengths.astype(_U) << _U(56)))
-        found = self.present[hashes >> _U(64 - PREFIX_BITS)]
-        some = hashes[found]
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        key = np.zeros(hashes.shape, np.int64)
-        key[found] = at
-        found[found] = self.keys[at] == some
-        return found, key
-
     def decode(self, ids: list[int]) -> str:
         out, raw = [], b""
         for i in ids:
@@ -159,22 +217,6 @@ class Pieces:
         return "".join([*out, raw.decode(errors="replace")]).replace(SPACE, " ")[1:]
 
 
-def _matrix(units: list[str]) -> np.ndarray:
-    return np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(len(units), -1)
-
-
-def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length = points.shape[1]
-    sums = np.zeros((len(points), length + 1), _U)
-    np.cumsum((points.astype(_U) + _U(1)) * _powers(_BASE, length), axis=1, out=sums[:, 1:])
-    return sums, _powers(_INVERSE, length)
-
-
-def _piece_hashes(points: np.ndarray) -> np.ndarray:
-    sums, _ = _sums(points)
-    return mixed(sums[:, -1] ^ (_U(points.shape[1]) << _U(56)))
-
-
 _LOADED: dict[str, tuple[Pieces, UnitCache]] = {}
 
 
@@ -184,8 +226,7 @@ def _loaded(path: str) -> tuple[Pieces, UnitCache]:
         pieces = Pieces(path)
 
         def units(texts: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
-            found = pieces.encode([SPACE + u.replace(" ", SPACE) for u in texts])
-            return np.concatenate(found), np.array(list(map(len, found)))
+            return pieces.encode_flat([SPACE + u.replace(" ", SPACE) for u in texts])
 
         _LOADED[path] = pieces, UnitCache(units, MAX_UNITS)
     return _LOADED[path]

@@ -2,7 +2,9 @@
 
 import hashlib
 import os
+import random
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -379,6 +381,37 @@ def test_viterbi_equals_brute_force(words):
         assert ids.tolist() in allowed
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(st.sampled_from("theingab☃é\n日😀\0"), max_size=40), max_size=6), st.integers(1, 30))
+def test_viterbi_in_blocks(words, cells):
+    pieces, units = brute_pieces(), [sentencepiece.SPACE + w for w in words]
+    whole = [ids.tolist() for ids in pieces.encode(units)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(sentencepiece, "CELLS", cells)
+        assert [ids.tolist() for ids in pieces.encode(units)] == whole
+    assert [pieces.decode(ids) for ids in whole] == words
+    assert [pieces.encode([u])[0].tolist() for u in units] == whole
+
+
+def test_viterbi_does_not_look_up_every_substring():
+    rng = random.Random(5)
+    ends = ("ing", "tion", "th", "er", "ea", "the", "on", "nd", "ly", ".\nRe", "&&&", "ç")
+    units = list({sentencepiece.SPACE + "".join(rng.choices(ends, k=rng.randint(8, 12))) for _ in range(6_000)})
+    pieces = brute_pieces()
+    known = set(pieces.text)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            at = time.process_time()
+            f()
+            took.append(time.process_time() - at)
+        return min(took)
+
+    every = seconds(lambda: [u[i:j] in known for u in units for i in range(len(u)) for j in range(i + 1, min(len(u), i + pieces.longest) + 1)])
+    assert seconds(lambda: pieces.encode(units)) < 0.25 * every  # 0.11 when written; 0.50 when numpy probed all substrings
+
+
 def brute_pieces(found=[]):
     if not found:
         found.append(sentencepiece.Pieces(sentencepiece.model_path()))
